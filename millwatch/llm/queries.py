@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwatch.llm import ann, chat, decontaminate, jaccard, langid, mixing, repeats, sharding, urls
+from millwatch.llm import ann, chat, decontaminate, jaccard, langid, licenses, mixing, repeats, sharding, urls
 from millwatch.llm.common import WORD, word_count
 
 #: The shards of the query and the pipeline.
@@ -31,6 +31,13 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document stands at source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text"), key="doc_id")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
 
@@ -92,7 +99,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_nearest, op4_jaccard, op5_repeats, op6_decontaminate, op7_chat, op8_urls, op9_langid, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_nearest, op3_licenses, op4_jaccard, op5_repeats, op6_decontaminate, op7_chat, op8_urls, op9_langid, op10_mixing)}
 
 
 def _q(values) -> str:
