@@ -110,8 +110,8 @@ def op1_sql() -> str:
     owners = ",".join(map(str, sharding.claim_slots(SHARDS, SLOTS)))
     return f"""
     WITH owner AS (SELECT string_split('{owners}', ',') AS o, [{_q(SHARDS)}] AS names),
-    at AS (SELECT doc_id, source, n_chars, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) % {SLOTS} AS INTEGER) AS slot FROM documents)
-    SELECT doc_id, source, n_chars, slot, names[CAST(o[slot + 1] AS INTEGER) + 1] AS shard FROM at, owner"""
+    placed AS (SELECT doc_id, source, n_chars, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) % {SLOTS} AS INTEGER) AS slot FROM documents)
+    SELECT doc_id, source, n_chars, slot, names[CAST(o[slot + 1] AS INTEGER) + 1] AS shard FROM placed, owner"""
 
 
 def op10_sql() -> str:
