@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+from millwatch.operators import decide, metrics
+from millwatch.plans import fixtures, q_rows, q_windows, registry  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid decisions (threshold 0.6, budget 5 percent) to confusion, mcc and cost."""
+    d = decide.hybrid(fixtures.scores(spark, sf_dir), 0.6, 5.0)
+    out = metrics.confusion(d)
+    return out.withColumn("total_cost", metrics.cost()).withColumn("mcc", F.round("mcc", 9))
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
