@@ -19,7 +19,7 @@ threshold. The join finds, for each document, those that share enough of its shi
 Nothing is capped: all documents that can link reach step 3, and step 3 is exact (to collisions of 64-bit hashes).
 
 Defined results: null or empty texts have no shingles and link with nothing; rows that repeat an id are one document,
-returned once, with the largest of its sets; a row without an id is returned with its size and null component;
+returned once, with the size of its largest set and the links of its text with most words; a row without an id is returned with its size and null component;
 an empty table gives an empty result.
 """
 
@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.llm.common import U64, components, maybe_in, mix, pieces, shingles, written
+from millwatch.llm.common import U64, components, maybe_in, mix, pieces, shingles, word_count, written
 
 #: Shingles of a block of a cell: about 16 MB of hashes.
 BLOCK = 1 << 21
 #: Share of a set that screening asks for beyond one shared shingle.
-EXTRA = 0.05
+EXTRA = 0.1
 MU = 0.0085
 
 
@@ -53,12 +53,26 @@ def _extra(n):
     return np.maximum(1, np.ceil(EXTRA * n)).astype(np.int64)
 
 
+def _signature(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row's set, whatever the order."""
+    one, two, some = np.zeros(len(n), dtype=U64), np.zeros(len(n), dtype=U64), np.flatnonzero(n)
+    if len(some):
+        at = (np.cumsum(n) - n)[some]
+        one[some] = np.add.reduceat(mix(h), at)
+        two[some] = np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), at)
+    return one, two
+
+
 def _screen(k: int, percent: int):
+    """Rows (token, doc, c, kind, v). Kind 0: a shingle that one document of a piece has; 1: one that several have; 2:
+    a document's shared shingles within its piece, and its set's size; 3, 4: its set's signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in pieces(batches, "text"):
             ids = batch.column(0).to_numpy()
             row, h = shingles(data, offs, k)
             n = np.bincount(row, minlength=len(ids)).astype(np.int64)
+            one, two = _signature(h, n)
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
             keep = np.arange(len(row)) - first[row] < (n - least(n, percent) + _extra(n))[row]
             row, h = row[keep], h[keep]
@@ -70,12 +84,14 @@ def _screen(k: int, percent: int):
             met = np.repeat(lo < hi, size)  # shared within this piece: known here, and told once for other pieces
             known = np.bincount(row[met], minlength=len(ids))
             solo, many = start[lo == hi], start[lo < hi]
-            token = np.concatenate([h[solo], h[many], mix(ids.astype(np.int64).view(U64))]).view(np.int64)
-            doc = np.concatenate([ids[row[solo]], ids[row[many]], ids])
-            count = np.concatenate([np.zeros(len(solo) + len(many), dtype=np.int32), known.astype(np.int32)])
-            kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(solo), len(many), len(ids)])
-            total = np.concatenate([np.zeros(len(solo) + len(many), dtype=np.int64), n])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, doc, count, kind, total)], names=["token", "doc", "c", "kind", "n"])
+            own = mix(ids.astype(np.int64).view(U64))
+            token = np.concatenate([h[solo], h[many], own, own, own]).view(np.int64)
+            doc = np.concatenate([ids[row[solo]], ids[row[many]], ids, ids, ids])
+            sent, each = len(solo) + len(many), len(ids)
+            count = np.concatenate([np.zeros(sent, dtype=np.int32), known.astype(np.int32), np.zeros(2 * each, dtype=np.int32)])
+            kind = np.repeat(np.arange(5, dtype=np.int8), [len(solo), len(many), each, each, each])
+            value = np.concatenate([np.zeros(sent, dtype=np.int64), n, one.view(np.int64), two.view(np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, doc, count, kind, value)], names=["token", "doc", "c", "kind", "v"])
 
     return run
 
@@ -86,13 +102,8 @@ def _sets(k: int):
             row, h = shingles(data, offs, k)
             n = np.bincount(row, minlength=batch.num_rows)
             at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            some = np.flatnonzero(n)
-            one, two = np.zeros(len(n), dtype=U64), np.zeros(len(n), dtype=U64)
-            if len(some):
-                one[some] = np.add.reduceat(mix(h), at[some])
-                two[some] = np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), at[some])
-            values = pa.array(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), values)], names=["doc", "n", "s1", "s2", "tokens"])
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), lists], names=["doc", "n", "tokens"])
 
     return run
 
@@ -155,22 +166,22 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     named = slim.where("doc is not null")
     # 1: how many of each document's first shingles others have, less how many it needs
-    sent = named.mapInArrow(_screen(words, percent), "token long, doc long, c int, kind byte, n long")
+    sent = named.mapInArrow(_screen(words, percent), "token long, doc long, c int, kind byte, v long")
     by = W.partitionBy("token")
     shared = (F.min("doc").over(by) < F.max("doc").over(by)) | (F.max("kind").over(by) == 1)
-    told = sent.withColumn("_s", shared).where("kind = 2 or kind = 0 and _s").select("doc", "n", F.when(F.col("kind") == 2, F.col("c")).when(F.col("_s") & (F.col("kind") == 0), 1).otherwise(0).alias("c"))
-    seen = told.groupBy("doc").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
+    told = sent.withColumn("_s", shared).where("kind >= 2 or kind = 0 and _s")
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("v")))
+    seen = told.groupBy("doc").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(F.col("c"))).alias("c"), of(2).alias("n"), of(3).alias("s1"), of(4).alias("s2"))
     seen = written(seen, "screened")
     ask = F.greatest(F.lit(1), F.ceil(EXTRA * F.floor((F.lit(percent) * F.col("n") + 99) / 100)))
-    left = seen.where(F.col("c") >= ask).select("doc")
-    # 2: their sets, equal ones once
-    texts = maybe_in(named, "doc", left, "doc").join(left, "doc", "left_semi").select("doc", "text")
-    sets = written(texts.mapInArrow(_sets(words), "doc long, n long, s1 long, s2 long, tokens array<long>").where("n > 0"), "sets")
-    sign = sets.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
-    sign = written(sign, "signs")
-    reps = sets.join(sign.select("rep", F.col("n").alias("_n")), (F.col("doc") == F.col("rep")) & (F.col("n") == F.col("_n"))).groupBy("rep", "n").agg(F.first("tokens").alias("tokens"))
-    reps = written(reps, "reps")
-    posts = reps.select("rep", "n", F.explode("tokens").alias("token")).withColumn("df", F.count("*").over(by)).where("df > 1")
+    left = seen.where((F.col("c") >= ask) & (F.col("n") > 0))
+    # 2: one of each group of equal sets
+    sign = written(left.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), "signs")
+    reps = sign.select(F.col("rep").alias("doc")).distinct()
+    texts = maybe_in(named, "doc", reps, "doc").join(reps, "doc").groupBy("doc").agg(F.max_by("text", F.struct(word_count(F.col("text")), F.col("text"))).alias("text"))
+    texts = written(texts, "texts")
+    sets = texts.mapInArrow(_sets(words), "doc long, n long, tokens array<long>").where("n > 0")
+    posts = sets.select(F.col("doc").alias("rep"), "n", F.explode("tokens").alias("token")).withColumn("df", F.count("*").over(by)).where("df > 1")
     need = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
     rank = W.partitionBy("rep").orderBy("df", "token")
     posts = posts.withColumns({"_k": F.row_number().over(rank), "_m": F.count("*").over(W.partitionBy("rep"))})
@@ -180,7 +191,9 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     hubs = early.groupBy("token").agg(F.min("rep").alias("hub"))
     cells = written(components(early.join(hubs, "token").select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a <> b")), "cells")
     # 3: cells in blocks
-    members = reps.join(cells, F.col("rep") == F.col("node")).select(F.col("root").alias("cell"), "rep", "tokens", "n")
+    some = texts.join(cells, F.col("doc") == F.col("node")).select("root", "doc", "text")
+    some = some.select(F.struct("root", "doc").alias("_key"), "text").mapInArrow(_sets(words), "doc struct<root:bigint,doc:bigint>, n long, tokens array<long>")
+    members = written(some.select(F.col("doc.root").alias("cell"), F.col("doc.doc").alias("rep"), "tokens", "n"), "members")
     weights = members.groupBy("cell").agg(F.sum("n").alias("_w")).withColumn("blocks", F.ceil(F.col("_w") / BLOCK).cast("int"))
     weights = written(weights, "weights")
     small = max(64, 2 * int(weights.where("blocks = 1").agg(F.sum("_w")).first()[0] or 0) // BLOCK)
@@ -207,7 +220,7 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     # 4
     roots = components(forest)
     classes = sign.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
-    member = sets.select("doc", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).groupBy("doc").agg(F.max(F.struct("n", "root")).alias("_r")).select("doc", F.col("_r.root").alias("root"))
+    member = left.select("doc", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc", "root")
     out = seen.join(member, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
-    nameless = slim.where("doc is null").select(F.lit(0).cast("long").alias("doc"), "text").mapInArrow(_sets(words), "doc long, n long, s1 long, s2 long, tokens array<long>")
+    nameless = slim.where("doc is null").select(F.lit(0).cast("long").alias("doc"), "text").mapInArrow(_sets(words), "doc long, n long, tokens array<long>")
     return out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
