@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwatch.operators.ordering import global_index, prefix
+from millwatch.sources.io import stored
 
 #: From so many reference rows distances are used, with their threshold; below, p-values with theirs.
 LARGE, DISTANCE, P_VALUE = 1000, 0.1, 0.05
@@ -23,8 +24,9 @@ def _fractions(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     """(x, f, g): the cumulative shares of both samples at each distinct value, and the next value."""
     both = ref.select(F.col(col).cast("double").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(cur.select(F.col(col).cast("double").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     per = both.where("x is not null").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run = prefix(prefix(per, "x", "x", F.col("a"), "_f"), "x", "x", F.col("b"), "_g")
-    run = global_index(run, "x", "x", "_i")
+    per = stored(per, "values")
+    run = stored(prefix(stored(prefix(per, "x", "x", F.col("a"), "_f"), "f"), "x", "x", F.col("b"), "_g"), "g")
+    run = stored(global_index(run, "x", "x", "_i"), "i")
     nxt = run.select((F.col("_i") - 1).alias("_j"), F.col("x").alias("_next"))
     total = per.agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
     return run.join(nxt, F.col("_i") == F.col("_j"), "left").crossJoin(F.broadcast(total)).select("x", (F.col("_f") / F.col("_na")).alias("f"), (F.col("_g") / F.col("_nb")).alias("g"), F.col("_next").alias("next"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwatch.operators.ordering import as_of, global_index, prefix
+from millwatch.sources.io import stored
 
 
 def records_around(df: DataFrame, row_id: str = "Id", widths: tuple[int, ...] = (25, 240, 1680)) -> DataFrame:
@@ -24,7 +25,7 @@ def trailing_rate(df: DataFrame, key: str, row_id: str, target: str, rows: int,
     so no wide frame is held."""
     within = within or []
     s = prefix(df, key, row_id, F.col(target).cast("long"), "_s", within, inclusive=False)
-    s = global_index(s, key, row_id, "_i", within)
+    s = stored(global_index(stored(s, "sums"), key, row_id, "_i", within), "places")
     back = s.select(*[F.col(c).alias(f"_w_{c}") for c in within], (F.col("_i") + rows).alias("_j"), F.col("_s").alias("_s0"))
     cond = F.col("_i") == F.col("_j")
     for c in within:
@@ -42,6 +43,7 @@ def oof_trailing_rate(df: DataFrame, key: str = "start_time", row_id: str = "Id"
     folds = df.select(F.col(fold).alias("_fold")).distinct()
     train = d.select("_k", row_id, target, fold).crossJoin(F.broadcast(folds)).where(F.col(fold) != F.col("_fold")).drop(fold)
     rated = trailing_rate(train, "_k", row_id, target, rows, "_rate", ["_fold"]).crossJoin(F.broadcast(mean)).withColumn("_rate", F.coalesce("_rate", "_g")).select("_fold", "_k", row_id, "_rate")
+    rated = stored(rated, "rated")
     got = as_of(d.withColumn("_fold", F.col(fold)), rated.withColumnRenamed("_k", "_rk"), "_k", "_rk", row_id, ["_rate"], within=["_fold"])
     return got.crossJoin(F.broadcast(mean)).withColumn(out, F.coalesce("_rate", "_g")).drop("_k", "_fold", "_rate", "_g")
 
@@ -49,7 +51,7 @@ def oof_trailing_rate(df: DataFrame, key: str = "start_time", row_id: str = "Id"
 def since_failures(df: DataFrame, failures: DataFrame, key: str, failure_key: str, failure_id: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """since_last_<k>: the row's time less the mean time of the last k failures strictly before it; null with fewer."""
     f = failures.where(F.col(failure_key).isNotNull()).select(F.col(failure_key).cast("double").alias("_ft"), F.col(failure_id).alias("_fi"))
-    f = global_index(prefix(f, "_ft", "_fi", F.col("_ft"), "_sum"), "_ft", "_fi", "_at")
+    f = stored(global_index(stored(prefix(f, "_ft", "_fi", F.col("_ft"), "_sum"), "sums"), "_ft", "_fi", "_at"), "failures")
     for k in ks:
         back = f.select((F.col("_at") + k).alias("_j"), F.col("_sum").alias("_s0"))
         f = f.join(back, F.col("_at") == F.col("_j"), "left").withColumn(f"_m{k}", F.when(F.col("_at") >= k - 1, (F.col("_sum") - F.coalesce("_s0", F.lit(0.0))) / k)).drop("_j", "_s0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
 from millwatch.operators import metrics
+from millwatch.sources.io import stored
 
 #: Feature lists of the three base models.
 BASELINE = ["start_time", "duration", "feature_mean", "records_last_1hr", "records_last_24hr", "density_ratio", "chunk_id", "chunk_size"]
@@ -45,7 +46,7 @@ def score(df: DataFrame, model, features: list[str], out: str = "pred") -> DataF
 def train_oof(df: DataFrame, features: list[str], folds: int = 5, target: str = "Response", fold: str = "cv_fold", **params) -> tuple[DataFrame, list]:
     """(Id, Response, oof_pred, cv_fold) and the models: each fold is scored by a model of the others. The loop is over
     folds, a fixed few; each fit is a Spark job."""
-    slim = df.select("Id", target, fold, *features).persist()
+    slim = stored(df.select("Id", target, fold, *features), "train")
     out, models = [], []
     for k in range(folds):
         m = fit_one(slim.where(F.col(fold) != k), features, target, **params)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
 from millwatch.operators.ordering import _meet, prefix, with_bucket
+from millwatch.sources.io import stored
 
 
 def adjacent_runs(df: DataFrame, keys: list[str], start: str = "start_time", row_id: str = "Id") -> DataFrame:
@@ -23,7 +24,8 @@ def adjacent_runs(df: DataFrame, keys: list[str], start: str = "start_time", row
     j = _meet(b.withColumns({"_prev": before, "_first": first}), carry, ["_b"])
     same = F.when(F.col("_first"), F.col("_has").isNotNull() & F.col("_carry").eqNullSafe(key)).otherwise(F.col("_prev").eqNullSafe(key))
     j = j.withColumn("is_duplicate", same.cast("int")).drop("_prev", "_first", "_carry", "_has", "_b")
-    out = prefix(j, start, row_id, (1 - F.col("is_duplicate")).cast("long"), "run_id")
+    out = prefix(stored(j, "flags"), start, row_id, (1 - F.col("is_duplicate")).cast("long"), "run_id")
+    out = stored(out, "runs")
     r = W.partitionBy("run_id")
     out = out.withColumns({"run_size": F.count("*").over(r), "run_rank": F.row_number().over(r.orderBy(*order))})
     return out.withColumn("run_rank_desc", F.col("run_size") - F.col("run_rank") + 1)

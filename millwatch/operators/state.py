@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millwatch.functions.columns import StationCatalog
 from millwatch.operators import encode, history, joins, paths, rowwise
+from millwatch.sources.io import stored
 
 #: Names that tell the future.
 LEAKY = ("mean_timediff_till_next_",)
@@ -81,7 +82,7 @@ NUMBERS = ["feature_mean", "feature_std", "start_time", "end_time", "duration",
 def fit(df: DataFrame, target: str = "Response") -> State:
     """The state of a labelled table; fitting changes nothing else."""
     catalog = StationCatalog.of(df.columns)
-    b = _base(df, catalog)
+    b = stored(_base(df, catalog), "features")
     cats = catalog.of_kind("C")
     failures = b.where(F.col(target) == 1).select(F.col("end_time").alias("time"), F.col("Id").alias("failure_id")).where("time is not null")
     return State(encode.target_encoding(df, cats, target), paths.smoothed_rate(b, "path_signature", target), encode.scalars(b, "duration"), encode.medians(b, NUMBERS), failures, df.agg(F.avg(target).alias("mean")))
@@ -94,7 +95,7 @@ def transform(df: DataFrame, state: State, context: DataFrame | None = None) ->
     if past is None:
         raise ValueError("neither a context nor fitted failures")
     cats = catalog.of_kind("C")
-    b = _base(df, catalog)
+    b = stored(_base(df, catalog), "features")
     b = encode.apply_encoding(b, state.encodings, cats, state.mean)
     b = joins.lookup(b, state.paths, "path_signature", "rate", state.mean, "path_rate")
     b = joins.lookup(b, state.paths.withColumn("n", F.col("n").cast("double")), "path_signature", "n", df.sparkSession.range(1).select(F.lit(0.0).alias("z")), "path_count")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.operators import decide, metrics
-from millwatch.plans import fixtures, q_rows, q_stats, q_windows, registry  # noqa: F401
+from millwatch.plans import fixtures, q_models, q_rows, q_stats, q_windows, registry  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

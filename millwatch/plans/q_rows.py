@@ -220,10 +220,10 @@ def p17(spark, sf_dir):
     return X.ticks(spark, sf_dir).select("Id", (F.col("value") / F.greatest("t", F.lit(1.0))).alias("density_ratio"))
 
 
-@query("p18_interactions", f"""{WP}, {START} SELECT s."Id", duration * CAST(s."Response" AS DOUBLE) AS duration_x_rate, round(list_avg({_LIST}) * duration, 2) AS feature_mean_x_duration FROM starts s JOIN parts p ON s."Id" = p."Id" """)
+@query("p18_interactions", f"""{WP}, {START} SELECT s."Id", duration * CAST(s."Response" AS DOUBLE) AS duration_x_rate, round(list_avg({_LIST}) * duration + 1e-7, 2) AS feature_mean_x_duration FROM starts s JOIN parts p ON s."Id" = p."Id" """)
 def p18(spark, sf_dir):
     d = rowwise.core_numbers(started(spark, sf_dir), X.NUMERIC)
-    return d.select("Id", (F.col("duration") * F.col("Response").cast("double")).alias("duration_x_rate"), F.round(F.col("feature_mean") * F.col("duration"), 2).alias("feature_mean_x_duration"))
+    return d.select("Id", (F.col("duration") * F.col("Response").cast("double")).alias("duration_x_rate"), F.round(F.col("feature_mean") * F.col("duration") + 1e-7, 2).alias("feature_mean_x_duration"))
 
 
 @query("p19_fill_start", f"""{WP}, {START} SELECT "Id", start_time, coalesce(start_time, min(start_time) OVER () - 1, CAST(row_number() OVER (ORDER BY "Id") - 1 AS DOUBLE)) AS fill_time FROM starts""")

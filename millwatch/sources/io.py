@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,3 +91,13 @@ def append_log(df: DataFrame, path: str, batch: str = "batch_id") -> None:
 def upsert(old: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
     """old without the keys of new, and new."""
     return new if old is None else old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def stored(df: DataFrame, name: str = "t") -> DataFrame:
+    """df written as Parquet below spark.checkpoint.dir (a temporary folder where that is unset) and read again: later
+    steps neither repeat its work nor carry its plan."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/millwatch-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
