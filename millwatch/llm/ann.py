@@ -31,7 +31,7 @@ from millwatch.llm.common import written
 
 SAMPLE, LISTS, BLOCK, QUERIES, LEAST = 1 << 15, 1 << 12, 4096, 512, 64
 COLUMNS = 16
-EPSILON = 2.1
+EPSILON = 3.5
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -92,7 +92,7 @@ def scan(queries: np.ndarray, base: np.ndarray, turn: np.ndarray, want: int, chu
     return out
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", visit: float = 0.25) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", visit: float = 0.7) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): the k nearest found of each row of `queries` (a column
     query_id, ids of df), itself apart, by Euclidean distance."""
     spark = df.sparkSession

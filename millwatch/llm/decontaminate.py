@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a row of tokens: words without outer punctuation, lower-cased. Numbers become one placeholder,
-quantities with a unit (5km, 10%) another, a unit after a number a third, and capitalised words inside a sentence a
+quantities with a unit (5km, 10%) another, a unit a third, and capitalised words inside a sentence a
 fourth; the word itself is kept as the slot's value. Windows of `window` tokens (an item's whole text, if it is
 shorter; 4 at least) are joined by hash with the benchmark's. Matches of a document and an item on one diagonal must
 fill the item's slots consistently: equal values by equal values, different ones by different ones. A document is
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from millwatch.llm.common import _LOWER, U64, mix, pieces, prefix_hash, span_hash, words
 
 LEAST = 4
-#: Units after a number.
-UNITS = "km m cm mm mi ft in kg g mg lb oz l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years % $ eur usd gbp dollars euros cents mph kmh kw w v a hz khz mhz ghz kb mb gb tb c f k"
+#: Units wherever they stand.
+UNITS = "km cm mm kg mg ml kmh mph kw khz mhz ghz kb mb gb tb mile miles kilometer kilometers meter meters metre metres feet foot inch inches gram grams kilogram kilograms liter liters litre litres hr hrs hour hours minute minutes second seconds day days week weeks month months year years eur usd gbp dollar dollars euro euros cents % $"
+#: Units only after a number, as they are words too.
+SHORT_UNITS = "m mi ft in g lb oz l s ms min h a v w hz c f k"
 NUM, QTY, UNIT, NAME = (np.uint64(x) for x in (1, 2, 3, 4))
 
 _DIGIT = np.zeros(256, dtype=bool)
@@ -46,7 +48,7 @@ def _word_hash(word: str) -> np.uint64:
     return span_hash(prefix_hash(b), np.array([0]), np.array([len(b)]))[0]
 
 
-_UNITS = np.sort(np.array([_word_hash(u) for u in UNITS.split()], dtype=U64))
+_UNITS, _SHORT_UNITS = (np.sort(np.array([_word_hash(u) for u in x.split()], dtype=U64)) for x in (UNITS, SHORT_UNITS))
 
 
 def template(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,9 +76,8 @@ def template(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     has = digits[ends] > digits[starts]
     number = has & (numeric[ends] - numeric[starts] == ends - starts)
     quantity = has & ~number & (_DIGIT[data[starts]] | (data[starts] == ord("$")))
-    unit = np.isin(literal, _UNITS)
-    unit[1:] &= number[:-1] & (row[1:] == row[:-1])
-    unit[0] = False
+    after = np.concatenate([[False], number[:-1] & (row[1:] == row[:-1])])
+    unit = np.isin(literal, _UNITS) | after & np.isin(literal, _SHORT_UNITS)
     first = data[starts]
     name = ~opens & (first >= 65) & (first <= 90)
     code = np.where(number, NUM, np.where(quantity, QTY, np.where(unit, UNIT, np.where(name, NAME, literal | U64(8)))))

@@ -160,7 +160,7 @@ def test_chat_parts_and_odd_turns(spark):
     one = out[1]
     assert [(a["type"], a["uri"], a["tokens"]) for a in one["attachments"]] == [("image", "u1", 576), ("audio", "u2", 9), ("document", "u3", 1024)] and one["attachment_tokens"] == 1609
     assert [(t["role"], t["text"]) for t in one["turns"]] == [("user", "see <image 1><audio 2>" + nasty), ("assistant", nasty + "<document 3>")]
-    assert re.findall(r"(?<!\\)<(?:image|audio|document) \d+>", one["formatted"]) == ["<image 1>", "<audio 2>", "<document 3>"]
+    assert re.findall(r"(?<!\\)(?:\\\\)*(<(?:image|audio|document) \d+>)", one["formatted"]) == ["<image 1>", "<audio 2>", "<document 3>"]
     assert [(t["role"], t["text"]) for t in out[2]["turns"]] == [("", ""), ("r\n\\<", "")] and out[2]["said"] == ""
     assert len(out[None]["said"]) == 200001
     assert chat.format_chats(df.limit(0)).count() == 0
