@@ -137,5 +137,40 @@ def op2_sql() -> str:
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+def op7_sql() -> str:
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    more = lambda c, marks: f"length({c}) - length(translate({c}, {marks}, ''))"
+    marks = "'\\<#'"
+    return f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum({len(chat.OPEN) + 1 + len(chat.CLOSE)} + length(role) + {more("role", f"{marks} || chr(10)")} + length(text) + {more("text", marks)}) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS attachment_tokens
+    FROM c GROUP BY conv_id"""
+
+
+def op3_sql() -> str:
+    """Documents stand at source/lang/doc_id, so only a document's own directory can hold licence files."""
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    return f"""
+    WITH tpl AS (SELECT * FROM (VALUES {rows}) v(name, line)), tc AS (SELECT name, t, count(*) AS c FROM (SELECT name, unnest({words.format("line")}) AS t FROM tpl) GROUP BY 1, 2),
+    n AS (SELECT count(*) AS n FROM documents), df AS (SELECT t, count(*) AS n FROM (SELECT unnest(list_distinct({words.format("text")})) AS t FROM documents) WHERE t IN (SELECT t FROM tc) GROUP BY 1),
+    idf AS (SELECT v.t, 1 + ln((1 + n.n) / (1 + coalesce(df.n, 0))::DOUBLE) AS idf FROM (SELECT DISTINCT t FROM tc) v LEFT JOIN df ON v.t = df.t, n),
+    tw AS (SELECT name, tc.t, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY name)) AS w FROM tc JOIN idf ON tc.t = idf.t),
+    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+    lc AS (SELECT doc_id, k, t, count(*) AS c FROM (SELECT doc_id, k, unnest({words.format("line")}) AS t FROM lines) GROUP BY 1, 2, 3),
+    lw AS (SELECT doc_id, k, lc.t, c, c * coalesce(idf, 1 + ln(1 + n.n::DOUBLE)) AS v FROM lc LEFT JOIN idf ON lc.t = idf.t, n),
+    ln AS (SELECT doc_id, k, sqrt(sum(v * v)) AS norm, sum(c) AS size FROM lw GROUP BY 1, 2), dt AS (SELECT doc_id, k, name, sum(v * w) AS dot FROM lw JOIN tw ON lw.t = tw.t GROUP BY 1, 2, 3),
+    hit AS (SELECT dt.doc_id, dt.k, name, size, round(dot / norm, 9) AS score FROM dt JOIN ln ON dt.doc_id = ln.doc_id AND dt.k = ln.k WHERE dot / norm >= 0.7),
+    one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY score DESC, name) AS r FROM hit), said AS (SELECT doc_id, sum(size) AS said FROM one WHERE r = 1 GROUP BY 1),
+    own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS q FROM one WHERE r = 1) WHERE q = 1),
+    f AS (SELECT d.doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') AS dir, own.name AS own_license, own.score AS own_score,
+      coalesce(said.said >= 0.5 * greatest(len({words.format("text")}), 1), false) AS is_license_file FROM documents d LEFT JOIN own ON d.doc_id = own.doc_id LEFT JOIN said ON d.doc_id = said.doc_id),
+    sp AS (SELECT dir, own_license AS name FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license) AS q FROM f WHERE is_license_file) WHERE q = 1)
+    SELECT doc_id, f.dir || '/' || CAST(doc_id AS VARCHAR) AS path, own_license, own_score, coalesce(own_license, sp.name) AS license, CASE WHEN own_license IS NULL AND sp.name IS NOT NULL THEN sp.dir END AS license_dir, is_license_file FROM f LEFT JOIN sp ON f.dir = sp.dir"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sql(), "op10_mixing": op10_sql()}
+    return {"op1_sharding": op1_sql(), "op3_licenses": op3_sql(), "op7_chat": op7_sql(), "op10_mixing": op10_sql()}
