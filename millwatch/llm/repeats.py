@@ -263,7 +263,7 @@ def find_repeats(rows: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
     shared = (F.col("kind") == 1) | (F.count("*").over(by) > 1) | (F.max("kind").over(by) == 2)
     places = sent.withColumn("_s", shared).where("_s and kind < 2").groupBy("doc").agg(F.collect_set("place").alias("places"))
     places = written(places.join(signed.where("first").select("doc").distinct(), "doc", "left_semi"), "places")
-    texts = maybe_in(long, "doc", places.select("doc"), "doc").join(places, "doc").join(signed.where("first").select("doc", "m"), ["doc", "m"], "left_semi")
+    texts = maybe_in(long, "doc", places.select("doc"), "doc").join(places, "doc").join(signed.where("first").select("doc", "m"), ["doc", "m"])
     windows = texts.select("doc", "m", "text", "places").mapInArrow(_send_windows(depth), "gram long, doc long, m long, start long, skip int, bytes binary")
     dealt = windows.repartition("gram").sortWithinPartitions("gram", "doc", "m", "start")
     return dealt.mapInArrow(_compare(depth), "doc long, m long, a long, b long").groupBy("doc", "m").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
