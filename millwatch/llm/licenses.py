@@ -6,6 +6,12 @@ reaches `least` carries that licence. A file whose name says so (license, licenc
 `share` stand in such lines is a licence file and speaks for its directory. A file without a licence of its own takes
 that of the nearest directory above it that has one.
 
+Besides, lines, paragraphs, blocks between blank lines and whole texts are compared with the common licences of
+license_texts.py: one-line headers, header notices, also wrapped over lines, and full texts. There idf is taken over
+those templates, N being their number, so it needs no second look at all files; a unit must also have all of the
+template's key words (a name, a version). An SPDX-License-Identifier line states its licences with score 1. Given
+`templates` of one's own, only lines are compared with them. The highest cosine of all of these is the file's.
+
 Lines that can't reach `least` are dropped before their terms are counted: from the weights follow, for each template,
 terms without which no line can (the cosine is at most the norm of the template's terms that the line has, over the
 template's norm). All lines of whole texts are judged.
@@ -15,17 +21,19 @@ path after each directory was made one row.
 
 Defined results: null and empty texts have no licence of their own; a null path has no directory and inherits
 nothing; several licences in a file: the highest cosine, then the first name; several licence files in a directory
-likewise; repeated rows are judged alike, one row out for each row in.
+likewise; repeated rows are judged alike, one row out for each row in. GNU notices without a version have no licence.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwatch.llm import license_texts
 from millwatch.llm.common import written
 
 #: Licence texts as headers state them.
@@ -36,6 +44,9 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
 }
 SPLIT = r"[^\p{L}\p{N}]+"
+#: Between paragraphs stand lines without letters and digits, between blocks blank ones.
+PARAGRAPHS, BLOCKS = r"(?:\n[^\p{L}\p{N}\n]*)+\n", r"\n[ \t\r]*\n"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)"
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
 
@@ -72,10 +83,67 @@ def signals(weights: dict[str, dict[str, float]], least: float) -> list[str]:
     return sorted(need)
 
 
+def spelled(text: Column) -> Column:
+    """Lower case, one spelling of license, and v3 as v 3."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "licence", "license"), r"\bv(?=\d)", "v ")
+
+
+def scan_common(keyed: DataFrame, least: float) -> DataFrame:
+    """(_id, _h, b, _said) of the texts that carry a common licence: b as struct(-cosine, licence), and the terms of
+    the largest unit that does."""
+    spark = keyed.sparkSession
+    same = lambda t: re.sub(r"\bv(?=\d)", "v ", t.lower().replace("licence", "license"))
+    given = license_texts.common()
+    texts = {f"{i:03d}": same(text) for i, (_, _, text) in enumerate(given)}
+    keys = {k: sorted(set(words.split())) for k, (_, words, _) in zip(texts, given, strict=True)}
+    licence = {k: name for k, (name, _, _) in zip(texts, given, strict=True)}
+    n = len(texts)
+    df: dict[str, int] = {}
+    for text in texts.values():
+        for t in set(terms(text)):
+            df[t] = df.get(t, 0) + 1
+    weights, idf = template_weights(texts, n, df)
+    rows: dict[str, list] = {t: [] for t in idf}
+    for k, w in weights.items():
+        for t, x in w.items():
+            rows[t].append((k, float(x), int(t in keys[k])))
+    table = spark.createDataFrame([(t, float(idf[t]), w) for t, w in sorted(rows.items())], "t string, idf double, w array<struct<name:string,x:double,k:int>>")
+    told = spark.createDataFrame([(k, licence[k], len(keys[k])) for k in texts], "name string, licence string, _keys int")
+    sets: dict[tuple, list] = {}
+    for k in texts:
+        sets.setdefault(tuple(keys[k]), []).append(k)
+    # units with the key words of a template, and which those are
+    first = sorted({words.split()[0] for _, words, _ in given})
+    quick = "(?i)" + "|".join(first).replace("license", "licen[sc]e")
+    may = F.flatten(F.array(*[F.when(_all([F.contains(F.col("_l"), F.lit(w)) for w in words]), F.array(*[F.lit(k) for k in ks])).otherwise(F.array().cast("array<string>")) for words, ks in sets.items()]))
+    body = F.col("_text")
+    units = F.array_distinct(F.concat(F.array(body), F.split(body, BLOCKS), F.split(body, PARAGRAPHS), F.split(body, r"\n")))
+    units = keyed.where(body.rlike(quick)).select("_id", "_h", F.posexplode(F.filter(units, lambda u: u.rlike(quick))).alias("_unit", "_l")).withColumn("_l", spelled(F.col("_l")))
+    units = units.withColumn("_may", may).where(F.size("_may") > 0)
+    by = ["_id", "_h", "_unit"]
+    counts = units.select(*by, "_may", F.explode(tokens(F.col("_l"))).alias("t")).groupBy(*by, "_may", "t").agg(F.count("*").alias("c"))
+    weighed = counts.join(F.broadcast(table), "t", "left").withColumn("v", F.col("c") * F.coalesce("idf", F.lit(1 + math.log(1 + n))))
+    weighed = weighed.select(*by, "v", "c", F.filter(F.coalesce("w", F.array().cast("array<struct<name:string,x:double,k:int>>")), lambda w: F.array_contains("_may", w["name"])).alias("w"))
+    norms = weighed.groupBy(*by).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"), F.sum("c").alias("_n"), F.collect_list(F.when(F.size("w") > 0, F.struct("v", "w"))).alias("_hits"))
+    dots = norms.select(*by, "_norm", "_n", F.explode("_hits").alias("h")).select(*by, "_norm", "_n", "h.v", F.explode("h.w").alias("w")).groupBy(*by, "_norm", "_n", F.col("w.name").alias("name")).agg(F.sum(F.col("v") * F.col("w.x")).alias("_dot"), F.sum("w.k").alias("_k"))
+    hits = dots.join(F.broadcast(told), "name").withColumn("score", F.col("_dot") / F.col("_norm")).where((F.col("score") >= least) & (F.col("_k") == F.col("_keys")))
+    found = hits.select("_id", "_h", F.struct((-F.round("score", 9)).alias("s"), F.col("licence").alias("name")).alias("b"), F.col("_n").alias("_said"))
+    # what SPDX lines state
+    stated = keyed.where(body.contains("SPDX-License-Identifier:") | body.rlike("(?i)spdx-license-identifier:")).select("_id", "_h", F.explode(F.regexp_extract_all("_text", F.lit(SPDX), 1)).alias("e"))
+    stated = stated.select("_id", "_h", F.explode(F.split(F.regexp_replace("e", r"(?i)[ \t]+WITH[ \t]+[^ \t)]+", ""), r"(?i)[ \t]+(?:AND|OR)[ \t]+")).alias("e"))
+    name = F.regexp_replace(F.regexp_replace("e", r"[()]|\.+$", ""), r"(?i)(-only|-or-later|\+)$", "")
+    stated = stated.select("_id", "_h", F.struct(F.lit(-1.0).alias("s"), name.alias("name")).alias("b"), (3 + F.size(tokens(name))).cast("long").alias("_said"))
+    return found.unionByName(stated).groupBy("_id", "_h").agg(F.min("b").alias("b"), F.max("_said").alias("_said"))
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
 def scan_licenses(files: DataFrame, key: str = "id", path: str = "path", text: str = "text", templates: dict[str, str] | None = None, least: float = 0.7, share: float = 0.5) -> DataFrame:
     """files without the text, with own_license, own_score, license, license_dir (null where it is the file's own)
     and is_license_file."""
-    templates = TEMPLATES if templates is None else templates
+    both, templates = templates is None, TEMPLATES if templates is None else templates
     new = {"own_license", "own_score", "license", "license_dir", "is_license_file"}
     if clash := (new | {c for c in files.columns if c.startswith("_")}) & set(files.columns):
         raise ValueError(f"the input already has {sorted(clash)}")
@@ -102,7 +170,10 @@ def scan_licenses(files: DataFrame, key: str = "id", path: str = "path", text: s
     hits = dots.withColumn("score", F.col("_dot") / F.col("_norm")).where(F.col("score") >= least)
     best = F.min(F.struct((-F.round("score", 9)).alias("s"), "name"))
     line = hits.groupBy(*by, "_n").agg(best.alias("b"))
-    own = written(line.groupBy("_id", "_h").agg(F.min("b").alias("b"), F.sum("_n").alias("_said")), "own")
+    own = line.groupBy("_id", "_h").agg(F.min("b").alias("b"), F.sum("_n").alias("_said"))
+    if both:
+        own = own.unionByName(scan_common(keyed, least)).groupBy("_id", "_h").agg(F.min("b").alias("b"), F.max("_said").alias("_said"))
+    own = written(own, "own")
     # each file, with what its own text says
     base = files.drop(text).columns
     rows = files.select(*[F.col(f"`{c}`") for c in base], F.col(f"`{key}`").alias("_i"), F.xxhash64(body).alias("_x"), F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"[\p{L}\p{N}]+")).alias("_all"))

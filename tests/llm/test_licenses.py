@@ -1,11 +1,13 @@
 import math
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from millwatch.llm import licenses
+from millwatch.llm import license_texts, licenses
 from millwatch.llm.queries import op3_licenses
 
 
@@ -89,3 +91,32 @@ def test_tree(spark, tree):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.scan_licenses(df.withColumn("license", F.lit(1)))
+
+
+def test_common_licences(spark):
+    """Headers, wrapped notices, SPDX lines and full texts; names outside the list have none."""
+    texts = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    bsd = license_texts._BSD + "\n" + license_texts._BSD_3 + "\n\n" + license_texts._BSD_END
+    comment = lambda t: "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 60)) + "\n */\n" + "int main(void) { return counter + offset; }\n" * 30
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    rows = [(f"full/{k}/LICENSE", t, k) for k, t in texts.items()]
+    rows += [
+        ("mit/LICENSE", "MIT License\n\nCopyright (c) 2020 Ann Other\n\n" + license_texts._MIT.replace("conditions:\n", "conditions:\n\n") + "\n\n" + license_texts._AS_IS, "MIT"),
+        ("bsd3/LICENSE", "Copyright (c) 2020, Ann Other\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"),
+        ("bsd2/LICENSE", "Copyright (c) 2020, Ann Other\n\n" + license_texts._BSD + "\n\n" + license_texts._BSD_END, "BSD-2-Clause"),
+        ("isc/LICENSE", "Copyright 2020 Ann\n\n" + license_texts._ISC + ", provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n" + license_texts._ISC_END, "ISC"),
+        ("a/1.c", comment(gpl2), "GPL-2.0"),
+        ("a/2.c", comment(gpl2.replace("version 2", "version 3")), "GPL-3.0"),
+        ("a/3.c", comment(gpl2.replace("version 2", "version 2.1").replace("program", "library").replace("General", "Lesser General")), "LGPL-2.1"),
+        ("a/4.c", comment(license_texts._MPL), "MPL-2.0"),
+        ("a/5.c", comment(license_texts._APACHE), "Apache-2.0"),
+        ("a/6.c", "// SPDX-License-Identifier: MIT\nint x;\n" + "int y;\n" * 30, "MIT"),
+        ("a/7.c", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */\n" + "int y;\n" * 30, "GPL-2.0"),
+        ("a/8.py", "# Released under the BSD License.\n" + "y = 1\n" * 30, "BSD"),
+        ("a/9.py", "# Licensed under the GNU General Public License v3.\n" + "y = 1\n" * 30, "GPL-3.0"),
+        ("a/10.txt", "The council gave permission to hold a license hearing.\nNobody redistributed the 2 papers.", None),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "id long, path string, text string")
+    got = {r["path"]: (r["own_license"], r["is_license_file"]) for r in licenses.scan_licenses(df).collect()}
+    assert {p: x for p, (x, _) in got.items()} == {p: x for p, _, x in rows}
+    assert all(is_file for p, (_, is_file) in got.items() if p.endswith("LICENSE")) and not any(is_file for p, (_, is_file) in got.items() if p.startswith("a/"))
