@@ -3,16 +3,21 @@
 A text becomes a row of tokens: words without outer punctuation, lower-cased. Numbers become one placeholder,
 quantities with a unit (5km, 10%) another, a unit a third, and capitalised words inside a sentence a
 fourth; the word itself is kept as the slot's value. Windows of `window` tokens (an item's whole text, if it is
-shorter; 4 at least) are joined by hash with the benchmark's. Matches of a document and an item on one diagonal must
-fill the item's slots consistently: equal values by equal values, different ones by different ones. A document is
-contaminated by an item when consistent matches cover `cover` of the item's windows. So a question is found again
-after its numbers, names or units were changed.
+shorter; 4 at least) are joined by hash with the benchmark's, once as templates and once by their lower-cased words
+(ASCII letters), so that a copy in another case is found too. Matches of a document and an item on one diagonal must
+fill the item's slots consistently: an equal value by equal ones (where they differ, the one that most slots have counts),
+different names and units by different ones; numbers may coincide. A slot that breaks this removes the template windows
+that hold it and no others; windows equal word by word always count. A document is contaminated by an item when
+matches cover `cover` of the item's windows of either kind, `run` tokens in a row, or, with the equal words beside them
+on their diagonals, `share` of its tokens. So a question is found again after its numbers, names or units were changed,
+in part, or with scattered words changed.
 
 The benchmark goes to the tasks in blocks of items with at most `block` windows each (one block, if it has fewer),
 documents being read once a block.
 
-Defined results: null or empty documents and items match nothing, nor do items of fewer than 4 tokens; windows with
-fewer than half literal words are too general and don't count; repeated rows give repeated findings; an empty
+Defined results: null or empty documents and items match nothing, nor do items of fewer than 4 tokens; template
+windows with fewer than half literal words are too general and don't count, nor do equal ones of which more than half
+are numbers and units; repeated rows give repeated findings; an empty
 benchmark or an empty table gives an empty result. Output columns are fixed, so other columns never clash.
 """
 
@@ -84,22 +89,29 @@ def template(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, code, literal
 
 
-def windows(row: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position of its first token, hash) of each window of `size` tokens inside a row with enough literal words."""
+def windows(row: np.ndarray, code: np.ndarray, size: int, value: np.ndarray | None = None, least: np.uint64 = NAME) -> tuple[np.ndarray, np.ndarray]:
+    """(position of its first token, hash) of each window of `size` tokens inside a row of which half at least have a
+    code above `least`. The hash is of `value`, of the codes if that is left out."""
+    value = code if value is None else value
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
-    h = np.zeros(n, dtype=U64)
+    mixed, h = mix(value), np.zeros(n, dtype=U64)
     for j in range(size):
-        h = h * U64(0x9E3779B97F4A7C15) + mix(code[j : j + n])
-    plain = np.concatenate([[0], np.cumsum(code > NAME)])
+        h = h * U64(0x9E3779B97F4A7C15) + mixed[j : j + n]
+    plain = np.concatenate([[0], np.cumsum(code > least)])
     ok = (row[:n] == row[size - 1 :]) & (2 * (plain[size:] - plain[:n]) >= size)
     at = np.flatnonzero(ok)
     return at, mix(h[at])
 
 
+def both_kinds(row: np.ndarray, code: np.ndarray, literal: np.ndarray, size: int) -> tuple:
+    """Windows by template, and word by word."""
+    return windows(row, code, size), windows(row, code, size, literal, UNIT)
+
+
 class Items:
-    """A block of the benchmark: its tokens, and its windows sorted by hash, by window size."""
+    """A block of the benchmark: its tokens, and its windows of both kinds sorted by hash, by window size."""
 
     def __init__(self, ids: list, texts: list, size: int):
         raw = [(t or "").encode() for t in texts]
@@ -107,59 +119,93 @@ class Items:
         self.ids = ids
         self.row, self.code, self.literal = template(data, offs)
         count = np.bincount(self.row, minlength=len(ids)).astype(np.int64)
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.windows = np.zeros(len(ids), dtype=np.int64)
+        self.by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.windows = np.zeros((2, len(ids)), dtype=np.int64)
+        self.general = np.ones(len(self.row), dtype=bool)
         for s in sorted({min(size, int(c)) for c in count if c >= LEAST}):
-            at, h = windows(self.row, self.code, s)
-            mine = np.minimum(count[self.row[at]], size) == s
-            at, h = at[mine], h[mine]
-            self.windows += np.bincount(self.row[at], minlength=len(ids))
-            order = np.argsort(h, kind="stable")
-            if len(order):
-                self.by_size[s] = (h[order], at[order])
-
-
-def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether equal values of a stand beside equal ones of b, and different ones beside different ones."""
-    pairs = {(int(x), int(y)) for x, y in zip(a, b, strict=True)}
-    return len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
-
-
-def search(items: Items, data: np.ndarray, offs: np.ndarray, cover: float) -> list[tuple]:
+            kinds = []
+            for kind, (at, h) in enumerate(both_kinds(self.row, self.code, self.literal, s)):
+                mine = np.minimum(count[self.row[at]], size) == s
+                at, h = at[mine], h[mine]
+                self.windows[kind] += np.bincount(self.row[at], minlength=len(ids))
+                if kind == 0:
+                    self.general[at] = False
+                order = np.argsort(h, kind="stable")
+                kinds.append((h[order], at[order]))
+            self.by_size[s] = kinds
+        self.start = np.concatenate([[0], np.cumsum(count)])
+
+
+def _broken(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which slots break consistency: a value of a beside another value of b than most of its slots have, and a name or
+    unit of b beside another value of a than most. Without a majority all slots of the value do."""
+    bad = np.zeros(len(a), dtype=bool)
+    for key, value, some in ((a, b, np.ones(len(a), dtype=bool)), (b, a, (kind == NAME) | (kind == UNIT))):
+        groups: dict[int, list[int]] = {}
+        for i in np.flatnonzero(some & ~bad):
+            groups.setdefault(int(key[i]), []).append(int(i))
+        for mine in groups.values():
+            values, counts = np.unique(value[mine], return_counts=True)
+            if len(values) > 1:
+                most = int(np.argmax(counts))
+                wrong = [i for i in mine if 2 * counts[most] <= len(mine) or value[i] != values[most]]
+                bad[wrong] = True
+    return bad
+
+
+def search(items: Items, data: np.ndarray, offs: np.ndarray, cover: float, share: float, run: int) -> list[tuple]:
     """(row, item, matched windows, item's windows, slots, changed slots) of the contaminated rows."""
     row, code, literal = template(data, offs)
-    hits = []
-    for size, (keys, places) in items.by_size.items():
-        at, h = windows(row, code, size)
-        left = np.searchsorted(keys, h)
-        found = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == h)
-        for i in found:
-            j = left[i]
-            while j < len(keys) and keys[j] == h[i]:
-                hits.append((int(row[at[i]]), int(items.row[places[j]]), int(at[i] - places[j]), int(places[j]), size))
-                j += 1
-    runs: dict[tuple, list] = {}
-    for r, item, shift, place, size in hits:
-        runs.setdefault((r, item), {}).setdefault(shift, []).append((place, size))
+    found: dict[tuple, dict[int, tuple[set, set, int]]] = {}
+    for size, kinds in items.by_size.items():
+        for kind, ((keys, places), (at, h)) in enumerate(zip(kinds, both_kinds(row, code, literal, size), strict=True)):
+            if not len(keys):
+                continue
+            left = np.searchsorted(keys, h)
+            for i in np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == h):
+                j = left[i]
+                while j < len(keys) and keys[j] == h[i]:
+                    place = int(places[j])
+                    shifts = found.setdefault((int(row[at[i]]), int(items.row[place])), {})
+                    shifts.setdefault(int(at[i]) - place, (set(), set(), size))[kind].add(place)
+                    j += 1
     out = []
-    for (r, item), shifts in runs.items():
-        matched: set[int] = set()
+    for (r, item), shifts in found.items():
+        kept: set[int] = set()
+        equal: set[int] = set()
+        tokens: set[int] = set()
         slots: set[int] = set()
         changed: set[int] = set()
-        for shift, got in shifts.items():
-            tokens = np.unique(np.concatenate([np.arange(p, p + s) for p, s in got]))
-            tokens = tokens[items.code[tokens] <= NAME]
-            a, b = items.literal[tokens], literal[tokens + shift]
-            if _consistent(a, b):
-                matched |= {p for p, _ in got}
-                slots |= set(tokens.tolist())
-                changed |= set(tokens[a != b].tolist())
-        if matched and len(matched) >= cover * items.windows[item]:
-            out.append((r, item, len(matched), int(items.windows[item]), len(slots), len(changed)))
+        longest = 0
+        for shift, (by_template, by_word, size) in shifts.items():
+            span = lambda places, size=size: np.unique(np.concatenate([np.arange(p, p + size) for p in places])) if places else np.zeros(0, dtype=np.int64)
+            own = span(by_template)
+            own = own[items.code[own] <= NAME]
+            bad = set(own[_broken(items.code[own], items.literal[own], literal[own + shift])].tolist())
+            good = by_word | {p for p in by_template if bad.isdisjoint(range(p, p + size))}
+            if not good:
+                continue
+            kept |= good
+            equal |= by_word
+            held = span(good)
+            tokens |= set(held.tolist())
+            beside = np.arange(max(items.start[item], -shift), min(items.start[item + 1], len(row) - shift))
+            beside = beside[row[beside + shift] == r]
+            tokens |= set(beside[items.literal[beside] == literal[beside + shift]].tolist())
+            longest = max(longest, *np.diff(np.concatenate([[0], np.flatnonzero(np.diff(held) > 1) + 1, [len(held)]])).tolist())
+            held = held[items.code[held] <= NAME]
+            slots |= set(held.tolist())
+            changed |= set(held[items.literal[held] != literal[held + shift]].tolist())
+        if not kept:
+            continue
+        kept = {p for p in kept if not items.general[p]}
+        n, total = max(((len(m), int(t)) for m, t in zip((kept, equal), items.windows[:, item], strict=True) if t), key=lambda x: x[0] / x[1])
+        if n >= cover * total or len(tokens) >= share * (items.start[item + 1] - items.start[item]) or longest >= run:
+            out.append((r, item, n, total, len(slots), len(changed)))
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, cover: float = 0.5, block: int = 1 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, cover: float = 0.5, share: float = 0.9, run: int = 30, block: int = 1 << 20) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, coverage, slots, changed_slots), a row for each contaminated
     document and item. changed_slots above 0: the question was re-parameterised."""
     spark = docs.sparkSession
@@ -176,7 +222,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch, data, offs in pieces(batches, "text"):
-                if found := search(held.value, data, offs, cover):
+                if found := search(held.value, data, offs, cover, share, run):
                     r, item, n, total, slots, changed = zip(*found, strict=True)
                     ids = held.value.ids
                     cols = [batch.column(0).take(pa.array(r)), pa.array([ids[i] for i in item]), pa.array(n, pa.int32()), pa.array(total, pa.int32()), pa.array([x / y for x, y in zip(n, total, strict=True)]), pa.array(slots, pa.int32()), pa.array(changed, pa.int32())]

@@ -75,6 +75,29 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
 
 
+def test_partial_contamination(spark):
+    """One slot, half an item, scattered words and another case; a shared phrase alone is none."""
+    two = "At the old harbour 12 boats were painted by the guild while another 12 boats waited on the quiet northern shore."
+    pair = "A shop sells 3 large baskets of ripe fruit each morning and 5 small baskets of dried herbs each evening."
+    long = " ".join(f"term{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    named = "Every summer Anna Berg and Carl Dahl walk from Lund to Malmo with Eva Falk and then return from Malmo to Lund by train."
+    filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)) + ". "
+    words = long.split()
+    docs = [
+        (1, filler + two.replace("another 12", "another 13")),
+        (2, filler + pair.replace("3 large", "4 large").replace("5 small", "4 small")),
+        (3, filler + " ".join(words[10:40])),
+        (4, filler + " ".join("other" if i % 12 == 5 else w for i, w in enumerate(words))),
+        (5, filler + named.lower()),
+        (6, filler + named.upper()),
+        (7, filler + " ".join(words[10:22]) + " " + filler),
+        (8, filler),
+    ]
+    bench = spark.createDataFrame([(1, two), (2, pair), (3, long), (4, named)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 4)}
+
+
 def test_planted_passages(spark):
     docs = [tuple(r) for r in Q.table(spark, SF, "documents").select("doc_id", "text").collect()]
     items = [tuple(r) for r in Q.table(spark, SF, "benchmark").select("item_id", "text").collect()]
