@@ -73,12 +73,12 @@ def _small(spark, sf_dir):
 
 @query("m3_train_oof")
 def m3(spark, sf_dir):
-    return model.train_oof(_small(spark, sf_dir), model.BASELINE, rounds=2, depth=2)[0]
+    return model.train_oof(_small(spark, sf_dir), model.BASELINE)[0]
 
 
 @query("a23_importance")
 def a23(spark, sf_dir):
-    _, models = model.train_oof(_small(spark, sf_dir), model.BASELINE, rounds=2, depth=2)
+    _, models = model.train_oof(_small(spark, sf_dir), model.BASELINE)
     return model.importance(spark, models, model.BASELINE)
 
 
@@ -98,7 +98,7 @@ def m6(spark, sf_dir):
 
     m = ordering.chunk_ids(model.meta_features(X.oof3(spark, sf_dir), ["p1", "p2", "p3"]), "Id", "Id", 100)
     m = folds.assign_folds(m, folds.group_folds(m, "chunk_id"), "chunk_id", check=False)
-    return model.train_oof(m, model.META, rounds=2, depth=2)[0]
+    return model.train_oof(m, model.META)[0]
 
 
 @query("m7_ensemble", f'{O3} SELECT "Id", round(((p1 + p2) / 2 + p3) / 2, 6) AS proba FROM oof3')
