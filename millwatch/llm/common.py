@@ -32,6 +32,27 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bare(df: DataFrame) -> DataFrame:
+    """df with its columns named in0, in1, ... by place, so that no name of the input can meet one of an operator's."""
+    return df.toDF(*[f"in{i}" for i in range(len(df.columns))])
+
+
+def at(df: DataFrame, name: str) -> str:
+    """The name that bare() gives to a column of df: the one of that name, else one that differs in case only."""
+    if name in df.columns:
+        return f"in{df.columns.index(name)}"
+    low = [c.lower() for c in df.columns]
+    if name.lower() not in low:
+        raise ValueError(f"no column {name}")
+    return f"in{low.index(name.lower())}"
+
+
+def given(df: DataFrame, new) -> list[F.Column]:
+    """What bare() renamed, under df's own names, without columns whose names an operator's new ones take."""
+    taken = {c.lower() for c in new}
+    return [F.col(f"in{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() not in taken]
+
+
 def word_count(text) -> F.Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -95,7 +95,8 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    docs = docs.withColumn("appeal", mixing.length_appeal(F.col("size")))
+    return mixing.mix(docs, appeal="appeal").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def queries() -> dict:
@@ -115,18 +116,23 @@ def op1_sql() -> str:
 
 
 def op10_sql() -> str:
+    """The level to which sources are filled is found from the words that each possible level would give."""
     weights = ", ".join(map(str, mixing.WEIGHTS))
     return f"""
     WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
-    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS w FROM d GROUP BY source),
-    c AS (SELECT *, CAST(3.0 AS DOUBLE) * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
-    l AS (SELECT *, cap / w AS ratio, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-    t AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(level, ratio) FROM l WHERE level * w <= cap)) AS target FROM l),
+    a AS (SELECT *, floor(sqrt(size::DOUBLE)) + 1 AS a FROM d),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size * a) AS appeal, [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS w FROM a GROUP BY source),
+    c AS (SELECT *, 3.0::DOUBLE * source_size AS cap FROM s), total AS (SELECT sum(source_size)::DOUBLE AS total FROM s),
+    f AS (SELECT x.cap / x.w AS full_at, sum(least(y.cap, x.cap / x.w * y.w)) AS words FROM c x, c y GROUP BY x.source, x.cap, x.w),
+    upto AS (SELECT min(full_at) AS full_at FROM f, total WHERE words >= total * (1 - 1e-12)),
+    level AS (SELECT (total - coalesce(sum(cap) FILTER (cap / w < full_at), 0)) / sum(w) FILTER (cap / w >= full_at) AS level FROM c, upto, total GROUP BY total),
+    t AS (SELECT source, source_size, appeal, least(cap, w * level) AS target FROM c, level),
     r AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INTEGER) ELSE 0 END AS whole FROM t),
-    u AS (SELECT d.*, r.source_size, target, whole, target - whole * r.source_size AS rest, (CAST('0x' || substr(md5('11:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS v FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-    k AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY v, CAST(doc_id AS VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
-    SELECT doc_id, source, size, source_size, target, CAST(whole + CASE WHEN rest > 0 AND whole < 3 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END AS INTEGER) AS copies,
-      CAST(size * (whole + CASE WHEN rest > 0 AND whole < 3 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM k"""
+    u AS (SELECT a.*, r.source_size, appeal, target, whole, target - whole * r.source_size AS rest, (CAST('0x' || substr(md5('11:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS v FROM a JOIN r ON a.source IS NOT DISTINCT FROM r.source),
+    p AS (SELECT *, CASE WHEN appeal > 0 THEN least(greatest(a * rest / appeal, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) ELSE 0.5::DOUBLE END AS p FROM u),
+    k AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY v / (1 - v) * (1 - p) / p, CAST(doc_id AS VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+    e AS (SELECT *, CASE WHEN size > 0 AND rest > 0 AND whole < 3 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END AS extra FROM k)
+    SELECT doc_id, source, size, source_size, target, CAST(whole + extra AS INTEGER) AS copies, CAST(size * (whole + extra) AS BIGINT) AS taken FROM e"""
 
 
 def op2_sql() -> str:

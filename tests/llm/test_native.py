@@ -92,11 +92,31 @@ def test_mixing_unequal_and_odd(spark):
     got = mixing.mix(df, weights=(1.0, 9.0), most=1.0, appeal="quality").collect()
     mean = lambda want: sum(x["quality"] for x in got if x["source"] == "b" and (x["taken"] > 0) == want) / max(1, sum(x["source"] == "b" and (x["taken"] > 0) == want for x in got))
     assert abs(sum(x["taken"] for x in got) - sum({x["source"]: x["target"] for x in got}.values())) <= 20 and mean(True) >= mean(False)
-    odd = spark.createDataFrame([(1, None, None), (1, None, 0), (None, "x", 5), (None, "x", 5)], "doc_id long, source string, size long")
-    assert len(mixing.mix(odd).collect()) == 4
+    odd = spark.createDataFrame([(1, None, None), (1, None, 0), (None, "x", 5), (None, "x", 5), (2, "x", 0)], "doc_id long, source string, size long")
+    got = mixing.mix(odd).collect()
+    assert len(got) == 5 and all(x["copies"] == 1 for x in got if x["size"])
     assert mixing.mix(odd.limit(0)).count() == 0
+    clash = mixing.mix(odd.withColumns({"Taken": F.lit("a"), "_size": F.lit(7), "in0": F.lit(3)}))
+    assert clash.columns == ["doc_id", "source", "size", "_size", "in0", "source_size", "target", "copies", "taken"] and {r["_size"] for r in clash.collect()} == {7}
     with pytest.raises(ValueError):
-        mixing.mix(odd.withColumn("taken", F.lit(1)))
+        mixing.mix(odd, bins=100)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 501, "b": 200, "c": 100}, {"a": 500, "b": 200, "c": 100}, {"a": 100, "b": 100, "c": 100}, {"a": 7}, {"a": 0, "b": 90, None: 30}, {"a": 0}, {"a": 5, "b": 1000, "c": 2, "d": 2, "e": 900}])
+@pytest.mark.parametrize("weights", [(5.0, 2.0, 1.0), (1.0,), (1.0, 2.0)])
+def test_targets_tied(spark, sizes, weights):
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df, weights).collect()}
+    want = targets(sizes, weights)
+    assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) and 0 <= got[s] <= 3 * sizes[s] for s in sizes)
+    assert abs(sum(got.values()) - sum(sizes.values())) < 1e-6 * max(1, sum(sizes.values()))
+
+
+def test_bins_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_ORDERED", 20)
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], 1 + i % 7) for i in range(3000)], "doc_id long, source string, size long")
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(df, bins=2).collect()}
+    assert got == {r["doc_id"]: r["taken"] for r in mixing.mix(df, bins=4096).collect()}
 
 
 def test_urls(spark):
