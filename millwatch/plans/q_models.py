@@ -16,6 +16,10 @@ from millwatch.streaming import replay
 _F = 'list_filter([' + ", ".join(f'"{c}"' for c in X.NUMERIC) + "], lambda x: x IS NOT NULL)"
 
 
+#: Parts of a time chunk: small enough that the smallest input has more chunks than folds.
+CHUNK = 100
+
+
 def _roll(w: float) -> str:
     return f'count(*) OVER (ORDER BY ft RANGE BETWEEN {w} PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY ft) + row_number() OVER (PARTITION BY ft ORDER BY "Id")'
 
@@ -23,7 +27,7 @@ def _roll(w: float) -> str:
 BASE = f"""{X.PARTS}, {SIGNED}, {START}, core0 AS (SELECT s."Id", s."Response", start_time, duration, coalesce(list_avg({_F}), 0) AS feature_mean, path_signature,
     coalesce(start_time, min(start_time) OVER () - 1) AS ft FROM starts s JOIN parts p ON s."Id" = p."Id" JOIN signed g ON s."Id" = g."Id"),
   core1 AS (SELECT *, count(*) OVER (PARTITION BY path_signature) AS path_count, CAST({_roll(1.0)} AS INTEGER) AS records_last_1hr, CAST({_roll(24.0)} AS INTEGER) AS records_last_24hr,
-    CAST((row_number() OVER (ORDER BY ft, "Id") - 1) // 500 AS INTEGER) AS chunk_id FROM core0),
+    CAST((row_number() OVER (ORDER BY ft, "Id") - 1) // {CHUNK} AS INTEGER) AS chunk_id FROM core0),
   base AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) AS chunk_size, records_last_1hr / greatest(records_last_24hr, 1)::DOUBLE AS density_ratio FROM core1)"""
 _BASE_COLS = ["Id", "Response", "start_time", "duration", "records_last_1hr", "records_last_24hr", "chunk_id", "chunk_size", "path_signature", "path_count"]
 _quoted = lambda cols: ", ".join(f'"{c}"' for c in cols)
@@ -31,12 +35,12 @@ _quoted = lambda cols: ", ".join(f'"{c}"' for c in cols)
 
 @query("m11_baseline", f"WITH {BASE} SELECT {_quoted(_BASE_COLS)}, {R6(['feature_mean', 'density_ratio'])} FROM base")
 def m11(spark, sf_dir):
-    return datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=500).select(*_BASE_COLS, *[F.round(c, 6).alias(c) for c in ("feature_mean", "density_ratio")])
+    return datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=CHUNK).select(*_BASE_COLS, *[F.round(c, 6).alias(c) for c in ("feature_mean", "density_ratio")])
 
 
 FBASE = f"""{BASE}, {folds_sql("base", "chunk_id")}, fparts AS (SELECT b.*, f.cv_fold FROM base b JOIN folds f ON b.chunk_id = f.grp), g AS (SELECT avg("Response") AS g FROM fparts)"""
 ROLL = """tk AS (SELECT coalesce(start_time, -1e9) AS k, "Id", "Response", cv_fold FROM fparts), tr0 AS (SELECT x.f, k, "Id", "Response" FROM tk, (SELECT DISTINCT cv_fold AS f FROM fparts) x WHERE cv_fold <> x.f),
-  rl AS (SELECT f, k, "Id", coalesce(avg("Response") OVER (PARTITION BY f ORDER BY k, "Id" ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING), g) AS r FROM tr0, g), rm AS (SELECT f, k, arg_max(r, "Id") AS r FROM rl GROUP BY 1, 2),
+  rl AS (SELECT f, k, "Id", coalesce(avg("Response") OVER (PARTITION BY f ORDER BY k, "Id" ROWS BETWEEN 10000 PRECEDING AND 1 PRECEDING), g) AS r FROM tr0, g), rm AS (SELECT f, k, arg_max(r, "Id") AS r FROM rl GROUP BY 1, 2),
   rolled AS (SELECT tk."Id", rm.r FROM tk ASOF LEFT JOIN rm ON tk.cv_fold = rm.f AND tk.k >= rm.k)"""
 _GCOLS = ["chunk_failure_rate", "rolling_fail_rate_w10000", "signature_failure_rate", "path_failure_rate", "duration_x_path_failure_rate"]
 
@@ -46,8 +50,8 @@ _GCOLS = ["chunk_failure_rate", "rolling_fail_rate_w10000", "signature_failure_r
   e AS (SELECT *, signature_failure_rate AS path_failure_rate, duration * signature_failure_rate AS duration_x_path_failure_rate FROM d)
   SELECT "Id", cv_fold, {R6(_GCOLS)}, round(feature_mean * duration + 1e-7, 2) AS feature_mean_x_duration FROM e""")
 def m12(spark, sf_dir):
-    b = datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=500)
-    d = datasets.dataset_g(datasets.with_folds(b), rolling=1000)
+    b = datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=CHUNK)
+    d = datasets.dataset_g(datasets.with_folds(b))
     return d.select("Id", "cv_fold", *[F.round(c, 6).alias(c) for c in _GCOLS], F.round(F.col("feature_mean_x_duration") + 1e-7, 2).alias("feature_mean_x_duration"))
 
 
@@ -62,13 +66,13 @@ _HCOLS = ["transition_fail_rate_mean", "transition_fail_rate_max", "transition_f
     FROM fparts p LEFT JOIN sa ON p.path_signature = sa.path_signature AND p.cv_fold = sa.cv_fold LEFT JOIN sm ON p.path_signature = sm.path_signature AND p.cv_fold = sm.cv_fold LEFT JOIN ps ON p.path_signature = ps.path_signature, g)
   SELECT "Id", cv_fold, path_count, {R6(_HCOLS)} FROM d""")
 def m13(spark, sf_dir):
-    b = datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=500)
+    b = datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=CHUNK)
     return datasets.dataset_h(datasets.with_folds(b)).select("Id", "cv_fold", "path_count", *[F.round(c, 6).alias(c) for c in _HCOLS])
 
 
 def _small(spark, sf_dir):
     """Baseline with folds, for training."""
-    return datasets.with_folds(datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=100))
+    return datasets.with_folds(datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=CHUNK))
 
 
 @query("m3_train_oof")

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from millwatch.plans import catalog
@@ -20,7 +21,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
         return None
     return float(v) if isinstance(v, (int, bool)) else v
 
