@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.operators.ordering import global_index, prefix
+from millwatch.operators.ordering import global_index, meet, running
 from millwatch.sources.io import stored
 
 #: From so many reference rows distances are used, with their threshold; below, p-values with theirs.
@@ -20,27 +22,29 @@ def stable_split(df: DataFrame, row_id: str = "Id", share: float = 0.7, seed: in
     return global_index(h, "_h", row_id, "_i").crossJoin(F.broadcast(n)).withColumn("is_reference", F.col("_i") < F.floor(F.col("_n") * share)).drop("_h", "_i", "_n")
 
 
-def _fractions(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
-    """(x, f, g): the cumulative shares of both samples at each distinct value, and the next value."""
-    both = ref.select(F.col(col).cast("double").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(cur.select(F.col(col).cast("double").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    per = both.where("x is not null").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    per = stored(per, "values")
-    run = stored(prefix(stored(prefix(per, "x", "x", F.col("a"), "_f"), "f"), "x", "x", F.col("b"), "_g"), "g")
-    run = stored(global_index(run, "x", "x", "_i"), "i")
-    nxt = run.select((F.col("_i") - 1).alias("_j"), F.col("x").alias("_next"))
-    total = per.agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
-    return run.join(nxt, F.col("_i") == F.col("_j"), "left").crossJoin(F.broadcast(total)).select("x", (F.col("_f") / F.col("_na")).alias("f"), (F.col("_g") / F.col("_nb")).alias("g"), F.col("_next").alias("next"))
+def _fractions(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, x, f, g, next, n, m): for each column the cumulative shares of both samples at each distinct value, the
+    next value, and the rows with one. All columns go through one ordered pass."""
+
+    def long(df: DataFrame, a: int) -> DataFrame:
+        xs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols]))
+        return df.select(xs.alias("p")).select("p.*", F.lit(a).cast("long").alias("a"), F.lit(1 - a).cast("long").alias("b"))
+
+    per = long(ref, 1).unionByName(long(cur, 0)).where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("column", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    run = running(stored(per, "values"), [F.col("x").asc()], {"f": F.col("a"), "g": F.col("b")}, ["column"], totals=True, keep=True)
+    run = run.withColumn("next", F.lead("x").over(W.partitionBy("column", "_b").orderBy("x")))
+    firsts = run.groupBy("column", "_b").agg(F.min("x").alias("_x"))
+    after = firsts.select("column", "_b", F.lead("_x").over(W.partitionBy("column").orderBy("_b")).alias("_after"))
+    run = meet(run, after, ["column", "_b"])
+    return run.select("column", "x", (F.col("f") / F.col("f_total")).alias("f"), (F.col("g") / F.col("g_total")).alias("g"), F.coalesce("next", "_after").alias("next"), F.col("f_total").alias("n"), F.col("g_total").alias("m"))
 
 
 def wasserstein(ref: DataFrame, cur: DataFrame, cols: list[str], floor: float = 0.001) -> DataFrame:
     """(column, drift_score): Wasserstein-1 distance over the reference's deviation (floored)."""
-    out = None
-    for c in cols:
-        sd = ref.agg(F.greatest(F.stddev_pop(c), F.lit(floor)).alias("_sd"))
-        d = _fractions(ref, cur, c).agg(F.sum(F.abs(F.col("f") - F.col("g")) * (F.col("next") - F.col("x"))).alias("_d"))
-        row = d.crossJoin(sd).select(F.lit(c).alias("column"), (F.coalesce("_d", F.lit(0.0)) / F.col("_sd")).alias("drift_score"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    sd = ref.agg(*[F.greatest(F.stddev_pop(c), F.lit(floor)).alias(c) for c in cols])
+    sd = sd.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("_sd")) for c in cols])).alias("p")).select("p.*")
+    d = _fractions(ref, cur, cols).groupBy("column").agg(F.sum(F.abs(F.col("f") - F.col("g")) * (F.col("next") - F.col("x"))).alias("_d"))
+    return F.broadcast(sd).join(d, "column", "left").select("column", (F.coalesce("_d", F.lit(0.0)) / F.col("_sd")).alias("drift_score"))
 
 
 def jensen_shannon(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
@@ -54,14 +58,12 @@ def jensen_shannon(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).agg((F.sum(term(p) + term(q)) / 2).alias("_d")).select(F.lit(col).alias("column"), F.sqrt(F.greatest("_d", F.lit(0.0))).alias("drift_score"))
 
 
-def kolmogorov_smirnov(ref: DataFrame, cur: DataFrame, col: str, terms: int = 100) -> DataFrame:
+def kolmogorov_smirnov(ref: DataFrame, cur: DataFrame, cols: list[str], terms: int = 100) -> DataFrame:
     """(column, statistic, p_value): the largest gap of the cumulative shares, and its asymptotic p-value."""
-    d = _fractions(ref, cur, col).agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("statistic"))
-    n = ref.agg(F.count(col).alias("_n")).crossJoin(cur.agg(F.count(col).alias("_m")))
-    e = F.sqrt(F.col("_n") * F.col("_m") / (F.col("_n") + F.col("_m")))
-    lam = e * F.col("statistic")
+    d = _fractions(ref, cur, cols).groupBy("column").agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("statistic"), F.max("n").alias("_n"), F.max("m").alias("_m"))
+    lam = F.sqrt(F.col("_n") * F.col("_m") / (F.col("_n") + F.col("_m"))) * F.col("statistic")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * lam * lam))
-    return d.crossJoin(n).select(F.lit(col).alias("column"), "statistic", F.when(lam < 0.2, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))).alias("p_value"))
+    return d.select("column", "statistic", F.when(lam < 0.2, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))).alias("p_value"))
 
 
 def drifted(score: Column, threshold: Column, is_p_value: Column) -> Column:
@@ -74,6 +76,20 @@ def rule(scores: DataFrame, threshold: float = DISTANCE, is_p_value: bool = Fals
     return scores.select("column", "drift_score", t.alias("threshold"), F.coalesce(drifted(F.col("drift_score"), t, F.lit(is_p_value)), F.lit(False)).alias("drift_detected"))
 
 
+def detect(ref: DataFrame, cur: DataFrame, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
+    """(column, test, drift_score, threshold, drift_detected) with the test that fits the reference's size: above
+    `LARGE` rows distances (Wasserstein for numbers, Jensen-Shannon for categories), else the Kolmogorov-Smirnov p-value
+    for numbers."""
+    large = ref.limit(LARGE + 1).count() > LARGE
+    out = [rule(jensen_shannon(ref, cur, c)).withColumn("test", F.lit("jensen_shannon")) for c in categorical]
+    if numeric and large:
+        out.append(rule(wasserstein(ref, cur, numeric)).withColumn("test", F.lit("wasserstein")))
+    elif numeric:
+        p = kolmogorov_smirnov(ref, cur, numeric).select("column", F.col("p_value").alias("drift_score"))
+        out.append(rule(p, P_VALUE, is_p_value=True).withColumn("test", F.lit("kolmogorov_smirnov")))
+    return reduce(DataFrame.unionByName, out).select("column", "test", "drift_score", "threshold", "drift_detected")
+
+
 def summary(rows: DataFrame, prediction: str = "pred") -> DataFrame:
     """One row: drifted columns, columns, their share, the prediction's own result, and the drifted columns by score."""
     one = rows.agg(F.count_if("drift_detected").alias("drifted_columns_count"), F.count("*").alias("number_of_columns"), F.max(F.when(F.col("column") == prediction, F.struct("drift_detected", "drift_score", "threshold"))).alias("_p"), F.sort_array(F.collect_list(F.when(F.col("drift_detected"), F.struct((-F.col("drift_score")).alias("s"), "column")))).alias("_d"))

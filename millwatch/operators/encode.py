@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwatch.operators import joins
+from millwatch.operators.ordering import running
 from millwatch.operators.paths import parse
+from millwatch.sources.io import stored
 
 
 def target_encoding(df: DataFrame, cols: list[str], target: str = "Response") -> DataFrame:
@@ -16,26 +19,50 @@ def target_encoding(df: DataFrame, cols: list[str], target: str = "Response") ->
 
 
 def apply_encoding(df: DataFrame, table: DataFrame, cols: list[str], default: DataFrame, suffix: str = "_target_enc") -> DataFrame:
-    """df with each column's encoding; null, unseen and absent values get the default. All columns meet the table in
-    one map a row, so it must stay small: a row a value."""
-    lists = table.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "col", "value"), "rate"))).alias("_m")).crossJoin(default.select(F.col(default.columns[0]).alias("_g")))
-    out = df.crossJoin(F.broadcast(lists))
-    get = lambda c: F.coalesce(F.try_element_at(F.col("_m"), F.concat_ws("\x1f", F.lit(c), F.col(c).cast("string"))), F.col("_g"))
-    return out.withColumns({f"{c}{suffix}": F.when(F.col(c).isNull(), F.col("_g")).otherwise(get(c)) if c in df.columns else F.col("_g") for c in cols}).drop("_m", "_g")
+    """df with each column's encoding; null, unseen and absent values get the default. Each column meets its own values
+    in a join; their table is broadcast where its size, counted first, allows."""
+    sizes = {r["col"]: r["count"] for r in table.groupBy("col").count().collect()}  # a row a column
+    out = df.crossJoin(F.broadcast(default.select(F.col(default.columns[0]).alias("_g"))))
+    for c in cols:
+        if c not in df.columns or not sizes.get(c):
+            out = out.withColumn(f"{c}{suffix}", F.col("_g"))
+            continue
+        t = table.where(F.col("col") == c).select(F.col("value").alias("_k"), F.col("rate").alias("_v"))
+        t = F.broadcast(t) if sizes[c] <= joins.MOST_BROADCAST else t
+        out = out.join(t, F.col(c).cast("string") == F.col("_k"), "left").withColumn(f"{c}{suffix}", F.coalesce("_v", "_g")).drop("_k", "_v")
+    return out.drop("_g")
+
+
+def percentiles(df: DataFrame, cols: list[str], shares: list[float]) -> DataFrame:
+    """(col, share, value): exact percentiles, between two values by their distance; a column without values has no
+    row. Distinct values with their counts are ordered in ranges, all columns in one pass, so no task holds them all."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("x")) for c in cols])).alias("p")).select("p.*")
+    per = long.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("col", "x").agg(F.count("*").alias("n"))
+    line = running(stored(per, "values"), [F.col("x").asc()], {"_at": F.col("n")}, ["col"], inclusive=False, totals=True)
+    asked = line.withColumn("share", F.explode(F.array(*[F.lit(float(q)) for q in shares])))
+    place = F.col("share") * (F.col("_at_total") - 1)
+    holds = lambda k: (k >= F.col("_at")) & (k < F.col("_at") + F.col("n"))
+    low, high = F.floor(place), F.ceil(place)
+    near = asked.where(holds(low) | holds(high)).groupBy("col", "share").agg(F.max(F.when(holds(low), F.col("x"))).alias("a"), F.max(F.when(holds(high), F.col("x"))).alias("b"), F.max(place - low).alias("f"))
+    return near.select("col", "share", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("f")) + F.col("b") * F.col("f")).alias("value"))
 
 
 def scalars(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """One row: mean, std (sample; 1 where it is not positive), p90, p10. Exact percentiles group by value; the
-    approximate ones need one pass."""
-    p = (lambda q: F.percentile(col, F.lit(q))) if exact else (lambda q: F.approx_percentile(col, F.lit(q), F.lit(10000)).cast("double"))
+    """One row: mean, std (sample; 1 where it is not positive), p90, p10. The approximate percentiles need one pass."""
     sd = F.stddev_samp(col)
-    return df.agg(F.avg(col).alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("std"), p(0.9).alias("p90"), p(0.1).alias("p10"))
+    one = df.agg(F.avg(col).alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("std"), *([] if exact else [F.approx_percentile(col, F.lit(q), F.lit(10000)).cast("double").alias(n) for q, n in ((0.9, "p90"), (0.1, "p10"))]))
+    if exact:
+        at = lambda q: F.max(F.when(F.col("share") == q, F.col("value")))
+        one = one.crossJoin(percentiles(df, [col], [0.9, 0.1]).agg(at(0.9).alias("p90"), at(0.1).alias("p10")))
+    return one
 
 
 def medians(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """(col, median): 0 for a column without values."""
-    p = (lambda c: F.median(c)) if exact else (lambda c: F.approx_percentile(c, F.lit(0.5), F.lit(10000)).cast("double"))
-    one = df.agg(*[F.coalesce(p(c), F.lit(0.0)).alias(c) for c in cols])
+    if exact:
+        names = df.sparkSession.createDataFrame([(c,) for c in cols], "col string")
+        return names.join(F.broadcast(percentiles(df, cols, [0.5])), "col", "left").select("col", F.coalesce("value", F.lit(0.0)).alias("median"))
+    one = df.agg(*[F.coalesce(F.approx_percentile(c, F.lit(0.5), F.lit(10000)).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("median")) for c in cols])).alias("p")).select("p.*")
 
 

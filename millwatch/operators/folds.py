@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwatch.operators.ordering import running
+
 
 def group_folds(df: DataFrame, group: str, target: str = "Response", folds: int = 5, seed: int = 42) -> DataFrame:
-    """(group, cv_fold): groups by positives, rows and a hash of name and seed go to folds in a serpentine. Ranks come
-    from a count for each number of positives and a rank among its groups, so no task orders all groups."""
+    """(group, cv_fold): groups by positives, rows and a hash of name and seed go to folds in a serpentine."""
     stats = df.groupBy(group).agg(F.sum(target).alias("_p"), F.count("*").alias("_n"))
     if stats.limit(folds).count() < folds:
         raise ValueError(f"fewer groups than {folds} folds")
-    level = stats.groupBy("_p").agg(F.count("*").alias("_c"))
-    level = level.select("_p", F.coalesce(F.sum("_c").over(W.orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     name = F.md5(F.concat(F.col(group).cast("string"), F.lit(f":{seed}")))
-    place = F.row_number().over(W.partitionBy("_p").orderBy(F.desc("_n"), name, group)) - 1 + F.col("_o")
-    r = F.pmod(place, F.lit(2 * folds))
-    return stats.join(level, "_p").select(group, F.when(r < folds, r).otherwise(2 * folds - 1 - r).cast("int").alias("cv_fold"))
+    place = running(stats, [F.desc("_p"), F.desc("_n"), name.asc(), F.col(group).asc()], {"_r": F.lit(1).cast("long")}, inclusive=False)
+    r = F.pmod(F.col("_r"), F.lit(2 * folds))
+    return place.select(group, F.when(r < folds, r).otherwise(2 * folds - 1 - r).cast("int").alias("cv_fold"))
 
 
 def assign_folds(df: DataFrame, table: DataFrame, group: str, check: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwatch.operators.ordering import as_of, global_index, prefix
+from millwatch.operators.ordering import as_of, by_key, global_index, running
 from millwatch.sources.io import stored
 
 
@@ -24,8 +24,7 @@ def trailing_rate(df: DataFrame, key: str, row_id: str, target: str, rows: int,
     Sums up to a row come from prefix sums; the sum up to the frame's begin is that of another row, found by its place,
     so no wide frame is held."""
     within = within or []
-    s = prefix(df, key, row_id, F.col(target).cast("long"), "_s", within, inclusive=False)
-    s = stored(global_index(stored(s, "sums"), key, row_id, "_i", within), "places")
+    s = stored(running(df, by_key(key, row_id), {"_s": F.col(target).cast("long"), "_i": F.lit(1).cast("long")}, within, inclusive=False), "places")
     back = s.select(*[F.col(c).alias(f"_w_{c}") for c in within], (F.col("_i") + rows).alias("_j"), F.col("_s").alias("_s0"))
     cond = F.col("_i") == F.col("_j")
     for c in within:
@@ -51,9 +50,11 @@ def oof_trailing_rate(df: DataFrame, key: str = "start_time", row_id: str = "Id"
 def since_failures(df: DataFrame, failures: DataFrame, key: str, failure_key: str, failure_id: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """since_last_<k>: the row's time less the mean time of the last k failures strictly before it; null with fewer."""
     f = failures.where(F.col(failure_key).isNotNull()).select(F.col(failure_key).cast("double").alias("_ft"), F.col(failure_id).alias("_fi"))
-    f = stored(global_index(stored(prefix(f, "_ft", "_fi", F.col("_ft"), "_sum"), "sums"), "_ft", "_fi", "_at"), "failures")
-    for k in ks:
-        back = f.select((F.col("_at") + k).alias("_j"), F.col("_sum").alias("_s0"))
-        f = f.join(back, F.col("_at") == F.col("_j"), "left").withColumn(f"_m{k}", F.when(F.col("_at") >= k - 1, (F.col("_sum") - F.coalesce("_s0", F.lit(0.0))) / k)).drop("_j", "_s0")
+    f = global_index(f, "_ft", "_fi", "_at")
+    # each failure counts for itself and the next ones
+    wide = f.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(ks) - 1))).alias("_step"))
+    own = F.col("_step") == 0
+    means = [F.when(F.count(F.when(F.col("_step") < k, 1)) == k, F.sum(F.when(F.col("_step") < k, F.col("_ft"))) / k).alias(f"_m{k}") for k in ks]
+    f = wide.groupBy((F.col("_at") + F.col("_step")).alias("_to")).agg(F.max(F.when(own, F.col("_ft"))).alias("_ft"), F.max(F.when(own, F.col("_fi"))).alias("_fi"), *means).where("_ft is not null")
     got = as_of(df, f, key, "_ft", "_fi", [f"_m{k}" for k in ks], strict=True)
     return got.withColumns({f"since_last_{k}": F.col(key) - F.col(f"_m{k}") for k in ks}).drop(*[f"_m{k}" for k in ks])

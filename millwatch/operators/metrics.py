@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwatch.operators import encode
 from millwatch.operators.ordering import global_index
 
 #: Cost of a missed failure and of a needless inspection.
@@ -96,7 +97,8 @@ def fixed_precision(sweep: DataFrame, targets: tuple[int, ...] = tuple(range(5,
 
 def risk_groups(df: DataFrame, label: str = "Response", score: str = "pred") -> DataFrame:
     """HIGH from the 90th percentile, MEDIUM from the 70th, LOW: parts, failure percent, mean score."""
-    q = df.agg(F.percentile(score, F.array(F.lit(0.9), F.lit(0.7))).alias("_q"))
+    at = lambda share: F.max(F.when(F.col("share") == share, F.col("value")))
+    q = encode.percentiles(df, [score], [0.9, 0.7]).agg(F.array(at(0.9), at(0.7)).alias("_q"))
     g = df.crossJoin(F.broadcast(q)).withColumn("risk_group", F.when(F.col(score) >= F.col("_q")[0], "HIGH").when(F.col(score) >= F.col("_q")[1], "MEDIUM").otherwise("LOW"))
     return g.groupBy("risk_group").agg(F.count("*").alias("parts"), (100 * F.avg(label)).alias("failure_pct"), F.avg(score).alias("mean_score"))
 

@@ -1,8 +1,9 @@
 """Global order without a global sort in one task.
 
-Keys are cut into ordered buckets at quantiles; what a row needs to know of the buckets before its own (how many rows,
-what sum, which last value) comes from one small row a bucket. A key that many rows share gets buckets of its own, cut
-by the id, so ties don't gather either.
+A table with more than `ROWS` rows is dealt to ranges of the whole order (key and id, so that a key which many rows
+share is cut too), about `ROWS` rows each, and stored with the range's number. What a row needs to know of the ranges
+before its own (how many rows, what sum, which last value) comes from one small row a range, so no task orders more
+than a range. A table of at most `ROWS` rows is one range.
 """
 
 from __future__ import annotations
@@ -11,61 +12,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Buckets; their table has so many rows (a group) and is broadcast.
-BUCKETS = 64
+from millwatch.sources.io import stored
 
+#: Rows of a range. Spark's range partitioner samples, so a range may hold some three times as many.
+ROWS = 1 << 19
 
-def _place(value: Column, bounds: list[float], strict: bool = False) -> Column:
-    """Number of bounds below the value (not above it, unless strict)."""
-    if not bounds:
-        return F.lit(0)
-    b = F.array(*[F.lit(float(x)) for x in bounds])
-    return F.size(F.filter(b, (lambda x: x < value) if strict else (lambda x: x <= value)))
 
+def ranges(df: DataFrame, order: list[Column], n: int | None = None) -> tuple[DataFrame, int]:
+    """df with `_b` int, rows of a smaller range coming before those of a larger in the order; and the number of
+    ranges. n: the number of rows, or a bound, where the caller knows it."""
+    n = df.count() if n is None else n
+    parts = max(1, -(-n // ROWS))
+    if parts == 1:
+        return df.withColumn("_b", F.lit(0)), 1
+    # stored at once: the ranges' bounds are those of this one shuffle, also for tasks that run again
+    return stored(df.repartitionByRange(parts, *order).withColumn("_b", F.spark_partition_id()), "ranges"), parts
 
-def with_bucket(df: DataFrame, key: str, row_id: str, descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """df with `_b` int: rows of a smaller bucket come before those of a larger in the order (key, id), nulls last."""
-    d = df.select(F.col(key).cast("double").alias("k"), F.col(row_id).cast("double").alias("i"))
-    steps = [j / buckets for j in range(1, buckets)]
-    keys, ids = d.approxQuantile(["k", "i"], steps, 0.5 / buckets) if buckets > 1 else ([], [])
-    hot = sorted({x for x in keys if keys.count(x) > 1})
-    bounds, ids = sorted(set(keys)), sorted(set(ids))
-    k = F.col(key).cast("double")
-    tied = k.isin(hot) if hot else F.lit(False)
-    # before a bound, at it, after it: twice the bounds not above, less one for those strictly below
-    coarse = _place(k, bounds) + _place(k, bounds, strict=True)
-    if descending:
-        coarse = F.lit(2 * len(bounds)) - coarse
-    fine = F.when(tied | k.isNull(), _place(F.col(row_id).cast("double"), ids)).otherwise(0)
-    coarse = F.when(k.isNull(), F.lit(2 * len(bounds) + 1)).otherwise(coarse)
-    return df.withColumn("_b", (coarse * (len(ids) + 1) + fine).cast("int"))
 
+def by_key(key: str, row_id: str, descending: bool = False) -> list[Column]:
+    return [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last(), F.col(row_id).asc()]
 
-def _order(key: str, row_id: str, descending: bool):
-    return (F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()), F.col(row_id).asc()
 
-
-def prefix(df: DataFrame, key: str, row_id: str, value: Column, out: str, within: list[str] | None = None, descending: bool = False, inclusive: bool = True) -> DataFrame:
-    """df with `out`: the running sum of value in the order (key, id), nulls last, over all rows or within groups."""
-    within = within or []
-    b = with_bucket(df.withColumn("_v", value), key, row_id, descending)
-    sums = b.groupBy(*within, "_b").agg(F.sum("_v").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(W.partitionBy(*within).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.withColumn("_o", before).drop("_s")
-    frame = W.partitionBy(*within, "_b").orderBy(*_order(key, row_id, descending)).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    run = b.withColumn("_r", F.coalesce(F.sum("_v").over(frame), F.lit(0)))
-    return _meet(run, offsets, [*within, "_b"]).withColumn(out, F.col("_r") + F.col("_o")).drop("_v", "_r", "_o", "_b")
-
-
-def _meet(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Joins bucket rows to their bucket's figures; groups may be null."""
+def meet(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Joins rows to the figures of their range or group; groups may be null."""
     right = small.select(*[F.col(c).alias(f"_j_{c}") for c in on], *[c for c in small.columns if c not in on])
+    if on == ["_b"]:
+        right = F.broadcast(right)  # a row a range
     cond = F.lit(True)
     for c in on:
         cond = cond & rows[c].eqNullSafe(right[f"_j_{c}"])
     return rows.join(right, cond, "left").drop(*[f"_j_{c}" for c in on])
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], within: list[str] | None = None, inclusive: bool = True, totals: bool = False, n: int | None = None, keep: bool = False) -> DataFrame:
+    """df with running sums in the order, over all rows or within groups, all in one pass; with totals also the sum of
+    the row's whole group as <name>_total. keep leaves the range's number `_b` in."""
+    within = within or []
+    b, parts = ranges(df.withColumns({f"_v_{k}": v for k, v in sums.items()}), order, n)
+    frame = W.partitionBy(*within, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    run = b.withColumns({k: F.coalesce(F.sum(f"_v_{k}").over(frame), F.lit(0)) for k in sums})
+    if totals and parts == 1:
+        run = run.withColumns({f"{k}_total": F.sum(f"_v_{k}").over(W.partitionBy(*within, "_b")) for k in sums})
+    run = run.drop(*[f"_v_{k}" for k in sums])
+    if parts > 1:
+        per = b.groupBy(*within, "_b").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in sums])
+        group = W.partitionBy(*within)
+        before = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        more = {f"{k}_total": F.sum(f"_s_{k}").over(group) for k in sums} if totals else {}
+        per = per.withColumns({f"_o_{k}": F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)) for k in sums} | more).drop(*[f"_s_{k}" for k in sums])
+        run = meet(run, per, [*within, "_b"]).withColumns({k: F.col(k) + F.col(f"_o_{k}") for k in sums}).drop(*[f"_o_{k}" for k in sums])
+    return run if keep else run.drop("_b")
+
+
+def prefix(df: DataFrame, key: str, row_id: str, value: Column, out: str, within: list[str] | None = None, descending: bool = False, inclusive: bool = True) -> DataFrame:
+    """df with `out`: the running sum of value in the order (key, id), nulls last, over all rows or within groups."""
+    return running(df, by_key(key, row_id, descending), {out: value}, within, inclusive)
+
+
 def global_index(df: DataFrame, key: str, row_id: str, out: str = "idx", within: list[str] | None = None, descending: bool = False) -> DataFrame:
     """df with `out` long: the row's place, from 0, in the order (key, id), nulls last."""
     return prefix(df, key, row_id, F.lit(1).cast("long"), out, within, descending, inclusive=False).withColumn(out, F.col(out).cast("long"))
@@ -78,17 +81,44 @@ def chunk_ids(df: DataFrame, key: str, row_id: str, size: int, out: str = "chunk
     return global_index(df, key, row_id, "_i").withColumn(out, F.expr(f"cast(_i div {size} as int)")).drop("_i")
 
 
-def trailing_count(df: DataFrame, key: str, row_id: str, width: float, out: str) -> DataFrame:
-    """Rows whose key is in [key - width, key], of equal keys only those up to the row itself in id order.
+def trailing_counts(df: DataFrame, key: str, row_id: str, widths: dict[str, float], place: str | None = None) -> DataFrame:
+    """df with, for each name, the rows whose key is in [key - width, key], of equal keys only those up to the row
+    itself in id order; with `place` also the row's place, from 0, in the order (key, id).
+
+    Distinct keys with their counts go to buckets of a window's width and to the next one, so each window is inside a
+    bucket. Rows meet the figures of their key once a range, so a key that most rows share doesn't gather."""
+    b, parts = ranges(df, by_key(key, row_id))
+    per = b.groupBy(F.col(key).alias("_k"), "_b").agg(F.count("*").alias("_n"))
+    per = stored(per, "keys") if parts > 1 else per
+    dense = per.groupBy("_k").agg(F.sum("_n").alias("_all"))
+    figures = dense
+    for name, width in widths.items():
+        cut = dense.withColumn("_c", F.floor(F.col("_k") / width))
+        halo = cut.withColumn("_me", F.lit(1)).unionByName(cut.where("_k is not null").withColumn("_c", F.col("_c") + 1).withColumn("_me", F.lit(0)))
+        total = halo.withColumn(f"_w_{name}", F.expr(f"sum(_all) OVER (PARTITION BY _c ORDER BY _k RANGE BETWEEN {width}D PRECEDING AND CURRENT ROW)"))
+        figures = meet(figures, total.where("_me = 1").select("_k", f"_w_{name}"), ["_k"])
+    if parts > 1:
+        before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        figures = meet(per.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), figures, ["_k"])
+    else:
+        figures = figures.withColumns({"_b": F.lit(0), "_o": F.lit(0)})
+    rows = b.withColumn("_p", F.row_number().over(W.partitionBy(key, "_b").orderBy(row_id)))
+    rows = meet(rows.withColumn("_k", F.col(key)), figures, ["_k", "_b"])
+    rows = rows.withColumns({name: (F.col(f"_w_{name}") - F.col("_all") + F.col("_o") + F.col("_p")).cast("int") for name in widths})
+    rows = rows.drop("_k", "_all", "_o", "_p", *[f"_w_{name}" for name in widths])
+    if place:
+        at = F.row_number().over(W.partitionBy("_b").orderBy(*by_key(key, row_id))) - 1
+        rows = rows.withColumn(place, at.cast("long"))
+        if parts > 1:
+            sizes = per.groupBy("_b").agg(F.sum("_n").alias("_m"))
+            starts = sizes.select("_b", F.coalesce(F.sum("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+            rows = meet(rows, starts, ["_b"]).withColumn(place, F.col(place) + F.col("_o")).drop("_o")
+    return rows.drop("_b")
 
-    Distinct keys with their counts go to buckets of the window's width and to the next one, so each window is inside a
-    bucket; rows then meet their key's count."""
-    per = df.groupBy(key).agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.col(key) / width))
-    halo = per.withColumn("_me", F.lit(1)).unionByName(per.withColumn("_b", F.col("_b") + 1).withColumn("_me", F.lit(0)))
-    total = halo.withColumn("_w", F.expr(f"sum(_n) OVER (PARTITION BY _b ORDER BY {key} RANGE BETWEEN {width}D PRECEDING AND CURRENT ROW)"))
-    dense = total.where("_me = 1").select(F.col(key).alias("_k"), "_n", "_w")
-    peers = df.withColumn("_p", F.row_number().over(W.partitionBy(key).orderBy(row_id)))
-    return peers.join(dense, peers[key].eqNullSafe(dense["_k"])).withColumn(out, (F.col("_w") - F.col("_n") + F.col("_p")).cast("int")).drop("_k", "_n", "_w", "_p")
+
+def trailing_count(df: DataFrame, key: str, row_id: str, width: float, out: str) -> DataFrame:
+    """df with one trailing count; see trailing_counts()."""
+    return trailing_counts(df, key, row_id, {out: width})
 
 
 def around_count(df: DataFrame, key: str, width: float, out: str) -> DataFrame:
@@ -105,16 +135,18 @@ def around_count(df: DataFrame, key: str, width: float, out: str) -> DataFrame:
 
 def as_of(left: DataFrame, right: DataFrame, left_key: str, right_key: str, right_id: str, values: list[str], strict: bool = False, within: list[str] | None = None) -> DataFrame:
     """left with the values of the last right row whose key is not above the left row's (below it, if strict); among
-    equal keys the last by id. Only distinct keys are ordered, in buckets, and each bucket hands its last right row on;
+    equal keys the last by id. Only distinct keys are ordered, in ranges, and each range hands its last right row on;
     left rows then meet their key."""
     within = within or []
     side = (0, 1) if not strict else (1, 0)  # of equal keys the right one comes before the left one, or after
     r = right.where(F.col(right_key).isNotNull()).groupBy(*within, F.col(right_key).cast("double").alias("_k")).agg(F.max_by(F.struct(*values), right_id).alias("_val")).withColumn("_side", F.lit(side[0]))
     a = left.where(F.col(left_key).isNotNull()).select(*within, F.col(left_key).cast("double").alias("_k")).distinct().withColumns({"_val": F.lit(None).cast(r.schema["_val"].dataType), "_side": F.lit(side[1])})
-    both = with_bucket(r.unionByName(a), "_k", "_side")
-    tails = both.groupBy(*within, "_b").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col("_k"))).alias("_t"))
-    carry = tails.withColumn("_carry", F.last("_t", ignorenulls=True).over(W.partitionBy(*within).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).drop("_t")
+    both, parts = ranges(r.unionByName(a), [F.col("_k"), F.col("_side")], left.count() + right.count())
     seen = both.withColumn("_last", F.last("_val", ignorenulls=True).over(W.partitionBy(*within, "_b").orderBy("_k", "_side").rowsBetween(W.unboundedPreceding, 0)))
-    found = _meet(seen, carry, [*within, "_b"]).where(F.col("_side") == side[1]).select(*within, "_k", F.coalesce("_last", "_carry").alias("_v"))
-    out = _meet(left.withColumn("_k", F.col(left_key).cast("double")), found, [*within, "_k"])
+    if parts > 1:
+        tails = both.groupBy(*within, "_b").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col("_k"))).alias("_t"))
+        carry = tails.withColumn("_carry", F.last("_t", ignorenulls=True).over(W.partitionBy(*within).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).drop("_t")
+        seen = meet(seen, carry, [*within, "_b"]).withColumn("_last", F.coalesce("_last", "_carry"))
+    found = seen.where(F.col("_side") == side[1]).select(*within, "_k", F.col("_last").alias("_v"))
+    out = meet(left.withColumn("_k", F.col(left_key).cast("double")), found, [*within, "_k"])
     return out.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])

@@ -1,84 +1,112 @@
-"""Adjacent duplicate runs and features of a run's rows."""
+"""Adjacent duplicate runs and features of a run's rows. No run and no group of equal rows is ordered in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
-from millwatch.operators.ordering import _meet, prefix, with_bucket
+from millwatch.operators.ordering import by_key, meet, ranges, running
 from millwatch.sources.io import stored
 
+#: Rows without data are spread over so many groups, where they would meet in one.
+SPREAD = 1024
+
 
 def adjacent_runs(df: DataFrame, keys: list[str], start: str = "start_time", row_id: str = "Id") -> DataFrame:
     """is_duplicate, run_id (from 1), run_size, run_rank, run_rank_desc in the order (start, id), nulls last: a run is a
-    stretch of rows with equal keys, nulls being equal. Each bucket of the order hands its last key on."""
-    key = F.struct(*keys)
-    b = with_bucket(df, start, row_id)
-    order = [F.col(start).asc_nulls_last(), F.col(row_id)]
-    ends = b.groupBy("_b").agg(F.max_by(key, F.struct(F.col(start).isNull().alias("z"), F.col(start).alias("s"), F.col(row_id).alias("i"))).alias("_end"))
-    carry = ends.withColumns({"_carry": F.lag("_end").over(W.orderBy("_b")), "_has": F.lag(F.lit(1)).over(W.orderBy("_b"))}).drop("_end")
+    stretch of rows with equal keys, nulls being equal. Each range of the order hands on its last key, its rows and
+    runs so far, where its last run began, and where its first new one does; ranks and sizes are differences of places."""
+    key, order = F.struct(*keys), by_key(start, row_id)
+    b, parts = ranges(df, order)
     w = W.partitionBy("_b").orderBy(*order)
-    before, first = F.lag(key).over(w), F.row_number().over(w) == 1
-    j = _meet(b.withColumns({"_prev": before, "_first": first}), carry, ["_b"])
-    same = F.when(F.col("_first"), F.col("_has").isNotNull() & F.col("_carry").eqNullSafe(key)).otherwise(F.col("_prev").eqNullSafe(key))
-    j = j.withColumn("is_duplicate", same.cast("int")).drop("_prev", "_first", "_carry", "_has", "_b")
-    out = prefix(stored(j, "flags"), start, row_id, (1 - F.col("is_duplicate")).cast("long"), "run_id")
-    out = stored(out, "runs")
-    r = W.partitionBy("run_id")
-    out = out.withColumns({"run_size": F.count("*").over(r), "run_rank": F.row_number().over(r.orderBy(*order))})
-    return out.withColumn("run_rank_desc", F.col("run_size") - F.col("run_rank") + 1)
+    j = b.withColumns({"_prev": F.lag(key).over(w), "_i": F.row_number().over(w).cast("long")})
+    same = (F.col("_i") > 1) & F.col("_prev").eqNullSafe(key)
+    if parts > 1:
+        ends = b.groupBy("_b").agg(F.max_by(key, F.struct(F.col(start).isNull().alias("z"), F.col(start).alias("s"), F.col(row_id).alias("i"))).alias("_end"))
+        over = W.orderBy("_b")
+        j = meet(j, ends.withColumns({"_carry": F.lag("_end").over(over), "_has": F.lag(F.lit(1)).over(over)}).drop("_end"), ["_b"])
+        same = F.when(F.col("_i") == 1, F.col("_has").isNotNull() & F.col("_carry").eqNullSafe(key)).otherwise(F.col("_prev").eqNullSafe(key))
+    j = j.withColumn("is_duplicate", same.cast("int"))
+    new = F.when(F.col("is_duplicate") == 0, F.col("_i"))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    j = j.withColumns({"run_id": F.sum((1 - F.col("is_duplicate")).cast("long")).over(upto), "_from": F.max(new).over(upto), "_next": F.min(new).over(w.rowsBetween(1, W.unboundedFollowing)), "_new": new})
+    j = j.drop("_prev", "_carry", "_has")
+    if parts > 1:
+        j = stored(j, "runs")
+        per = j.groupBy("_b").agg(F.count("*").alias("_n"), F.count("_new").alias("_c"), F.max("_new").alias("_l"), F.min("_new").alias("_f"))
+        past, later = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_b").rowsBetween(1, W.unboundedFollowing)
+        per = per.withColumns({"_o": F.coalesce(F.sum("_n").over(past), F.lit(0)), "_oc": F.coalesce(F.sum("_c").over(past), F.lit(0)), "_end": F.sum("_n").over(W.partitionBy()) + 1})
+        per = per.withColumns({"_l": F.col("_l") + F.col("_o"), "_f": F.col("_f") + F.col("_o")})
+        per = per.withColumns({"_pl": F.last("_l", ignorenulls=True).over(past), "_nf": F.first("_f", ignorenulls=True).over(later)}).drop("_n", "_c", "_l", "_f")
+        j = meet(j, per, ["_b"])
+    else:
+        j = j.withColumns({"_o": F.lit(0), "_oc": F.lit(0), "_pl": F.lit(None).cast("long"), "_nf": F.lit(None).cast("long"), "_end": F.count("*").over(W.partitionBy("_b")) + 1})
+    begin = F.coalesce(F.col("_from") + F.col("_o"), F.col("_pl"))
+    j = j.withColumns({"run_id": F.coalesce("run_id", F.lit(0)) + F.col("_oc"), "run_size": F.coalesce(F.col("_next") + F.col("_o"), F.col("_nf"), F.col("_end")) - begin, "run_rank": (F.col("_i") + F.col("_o") - begin + 1).cast("int")})
+    return j.withColumn("run_rank_desc", F.col("run_size") - F.col("run_rank") + 1).drop("_b", "_i", "_from", "_next", "_new", "_o", "_oc", "_pl", "_nf", "_end")
+
+
+def _spread(cols: list[Column], row_id: str) -> tuple[Column, Column]:
+    """Whether a row has data, and a group for rows that have none."""
+    has = F.coalesce(*cols).isNotNull()
+    return has, F.when(~has, F.pmod(F.xxhash64(row_id), F.lit(SPREAD)))
 
 
 def station_duplicates(df: DataFrame, stations: dict[str, list[str]], start: str = "start_time", row_id: str = "Id") -> DataFrame:
     """<station>_dup_count and <station>_dup_rank of rows with equal measures there, 0 without any; and their total."""
     for s, cols in stations.items():
-        has = F.coalesce(*[F.col(c) for c in cols]).isNotNull()
-        w = W.partitionBy(*cols)
-        df = df.withColumns({f"{s}_dup_count": F.when(has, F.count("*").over(w)).otherwise(0).cast("int"), f"{s}_dup_rank": F.when(has, F.row_number().over(w.orderBy(F.col(start).asc_nulls_last(), row_id))).otherwise(0).cast("int")})
+        has, group = _spread([F.col(c) for c in cols], row_id)
+        d = running(df.withColumn("_z", group), by_key(start, row_id), {"_r": F.lit(1).cast("long")}, [*cols, "_z"], totals=True)
+        df = d.withColumns({f"{s}_dup_count": F.when(has, F.col("_r_total")).otherwise(0).cast("int"), f"{s}_dup_rank": F.when(has, F.col("_r")).otherwise(0).cast("int")}).drop("_z", "_r", "_r_total")
     return df.withColumn("total_station_dups", N.add([F.lit(0), *[F.col(f"{s}_dup_count") for s in stations]]))
 
 
-def rounded_duplicates(df: DataFrame, stations: dict[str, list[str]], least: float = 0.01, digits: int = 6) -> DataFrame:
+def rounded_duplicates(df: DataFrame, stations: dict[str, list[str]], least: float = 0.01, digits: int = 6, row_id: str = "Id") -> DataFrame:
     """<station>_concat_count of rows with equal rounded measures, where enough of them are distinct, and the sum of
     their log1p."""
     from millwatch.operators.encode import uniqueness_gate
 
     for s, cols in stations.items():
         gate = uniqueness_gate(df, cols, least, digits).select(F.col("use_counts").alias("_use"))
-        has = F.coalesce(*[F.col(c) for c in cols]).isNotNull()
-        w = W.partitionBy(*[F.bround(F.col(c), digits) for c in cols])
-        df = df.crossJoin(F.broadcast(gate)).withColumn(f"{s}_concat_count", F.when(has & F.col("_use"), F.count("*").over(w)).otherwise(0).cast("int")).drop("_use")
+        has, group = _spread([F.col(c) for c in cols], row_id)
+        keys = {f"_q{i}": F.bround(F.col(c), digits) for i, c in enumerate(cols)}
+        rows = df.withColumns(keys | {"_z": group})
+        per = rows.where("_z is null").groupBy(*keys, "_z").agg(F.count("*").alias("_n"))
+        df = meet(rows, per, [*keys, "_z"]).crossJoin(F.broadcast(gate)).withColumn(f"{s}_concat_count", F.when(has & F.col("_use"), F.col("_n")).otherwise(0).cast("int")).drop("_use", "_n", "_z", *keys)
     return df.withColumn("total_concat_count", N.add([F.lit(0.0), *[F.log1p(F.col(f"{s}_concat_count").cast("double")) for s in stations]]))
 
 
-def _run(order: bool = True):
-    w = W.partitionBy("run_id")
-    return w.orderBy("run_rank", "Id") if order else w
-
-
 def neighbours(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Of each column the run's previous and next value (-1 if missing), whether they are missing, and the deltas."""
+    """Of each column the run's previous and next value (-1 if missing), whether they are missing, and the deltas. The
+    neighbour is found by its rank in the run."""
+    at = lambda step, name: df.select(F.col("run_id").alias("_g"), (F.col("run_rank") + step).alias("_p"), *[F.col(c).alias(f"{c}_{name}") for c in cols])
+    out = df
+    for step, name in ((1, "prev"), (-1, "next")):
+        o = at(step, name)
+        out = out.join(o, (out["run_id"] == o["_g"]) & (out["run_rank"] == o["_p"]), "left").drop("_g", "_p")
     for c in cols:
-        p, n = F.lag(c).over(_run()), F.lead(c).over(_run())
-        df = df.withColumns({f"{c}_prev": p, f"{c}_next": n})
-        df = df.withColumns({f"{c}_prev_missing": F.col(f"{c}_prev").isNull().cast("int"), f"{c}_next_missing": F.col(f"{c}_next").isNull().cast("int"), f"{c}_prev": F.coalesce(f"{c}_prev", F.lit(-1.0)), f"{c}_next": F.coalesce(f"{c}_next", F.lit(-1.0))})
-        df = df.withColumns({f"{c}_delta_prev": F.col(c) - F.col(f"{c}_prev"), f"{c}_delta_next": F.col(f"{c}_next") - F.col(c)})
-    return df
+        out = out.withColumns({f"{c}_prev_missing": F.col(f"{c}_prev").isNull().cast("int"), f"{c}_next_missing": F.col(f"{c}_next").isNull().cast("int"), f"{c}_prev": F.coalesce(f"{c}_prev", F.lit(-1.0)), f"{c}_next": F.coalesce(f"{c}_next", F.lit(-1.0))})
+        out = out.withColumns({f"{c}_delta_prev": F.col(c) - F.col(f"{c}_prev"), f"{c}_delta_next": F.col(f"{c}_next") - F.col(c)})
+    return out
 
 
 def expanding_mean(df: DataFrame, score: str, out: str = "prev_score_mean") -> DataFrame:
-    return df.withColumn(out, F.coalesce(F.avg(score).over(_run().rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    """Mean score of the run's rows before the row; 0 for the first."""
+    d = running(df, by_key("run_rank", "Id"), {"_s": F.col(score), "_n": F.col(score).isNotNull().cast("long")}, ["run_id"], inclusive=False)
+    return d.withColumn(out, F.coalesce(F.try_divide("_s", "_n"), F.lit(0.0))).drop("_s", "_n")
 
 
 def run_statistics(df: DataFrame, score: str, duration: str = "duration") -> DataFrame:
-    w = _run(False)
-    return df.withColumns({"run_score_mean": F.avg(score).over(w), "run_score_max": F.max(score).over(w), "run_score_std": F.coalesce(F.stddev_samp(score).over(w), F.lit(0.0)), "run_duration_mean": F.avg(duration).over(w), "run_duration_range": F.max(duration).over(w) - F.min(duration).over(w)})
+    per = df.groupBy("run_id").agg(F.avg(score).alias("run_score_mean"), F.max(score).alias("run_score_max"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("run_score_std"), F.avg(duration).alias("run_duration_mean"), (F.max(duration) - F.min(duration)).alias("run_duration_range"))
+    return df.join(per, "run_id")
 
 
 def run_rank_of(df: DataFrame, col: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.row_number().over(_run(False).orderBy(F.col(col).desc_nulls_last(), "run_rank", "Id")))
+    """The row's rank in its run, highest first, ties by run_rank."""
+    order = [F.col(col).desc_nulls_last(), F.col("run_rank").asc(), F.col("Id").asc()]
+    return running(df, order, {out: F.lit(1).cast("long")}, ["run_id"]).withColumn(out, F.col(out).cast("int"))
 
 
 def positions(df: DataFrame) -> DataFrame:

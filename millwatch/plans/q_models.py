@@ -159,9 +159,25 @@ def d2(spark, sf_dir):
     return drift.wasserstein(*_pair(spark, sf_dir), ["pred", "Id2"]).select("column", F.round("drift_score", 6).alias("drift_score"))
 
 
-@query("d3_drift_rule", f'{W1} SELECT "column", round(drift_score, 6) AS drift_score, CAST(threshold AS DOUBLE) AS threshold, drift_detected FROM ruled')
+_LAM = "sqrt(n::DOUBLE * m / (n + m)) * s"
+
+
+def _ks(col: str, out: str) -> str:
+    return f"""ks_{out} AS (SELECT '{col}' AS "column", max(abs(f - g)) AS s, (SELECT count(*) FROM ref) AS n, (SELECT count(*) FROM cur) AS m FROM {out})"""
+
+
+def _p_value(source: str) -> str:
+    return f"""SELECT "column", s, CASE WHEN {_LAM} < 0.2 THEN 1.0 ELSE least(greatest((SELECT sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * pow({_LAM}, 2))) FROM range(1, 101) t(k)), 0.0), 1.0) END AS p FROM {source}"""
+
+
+@query("d3_drift_rule", f"""{W1}, js AS (SELECT sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS d
+    FROM (SELECT sum(a)::DOUBLE / (SELECT count(*) FROM ref) AS p, sum(b)::DOUBLE / (SELECT count(*) FROM cur) AS q FROM (SELECT "Response" AS v, 1 AS a, 0 AS b FROM ref UNION ALL SELECT "Response", 0, 1 FROM cur) GROUP BY v)),
+  {_ks('pred', 'fp')}, {_ks('Id2', 'fi')}, ks AS ({_p_value('(SELECT * FROM ks_fp UNION ALL SELECT * FROM ks_fi)')}), size AS (SELECT count(*) > 1000 AS large FROM ref)
+  SELECT "column", CASE WHEN large THEN 'wasserstein' ELSE 'kolmogorov_smirnov' END AS test, round(CASE WHEN large THEN w1.drift_score ELSE ks.p END, 6) AS drift_score, CASE WHEN large THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END AS threshold,
+    CASE WHEN large THEN w1.drift_score > 0.1 ELSE ks.p < 0.05 END AS drift_detected FROM w1 JOIN ks USING ("column"), size
+  UNION ALL SELECT 'Response', 'jensen_shannon', round(d, 6), 0.1::DOUBLE, d > 0.1 FROM js""")
 def d3(spark, sf_dir):
-    return drift.rule(drift.wasserstein(*_pair(spark, sf_dir), ["pred", "Id2"])).withColumn("drift_score", F.round("drift_score", 6))
+    return drift.detect(*_pair(spark, sf_dir), ["pred", "Id2"], ["Response"]).withColumn("drift_score", F.round("drift_score", 6))
 
 
 @query("d4_drift_summary", f"""{W1} SELECT count(*) FILTER (drift_detected) AS drifted_columns_count, count(*) AS number_of_columns, count(*) FILTER (drift_detected) / count(*)::DOUBLE AS drift_share,
@@ -177,9 +193,10 @@ def d5(spark, sf_dir):
     return drift.jensen_shannon(*_pair(spark, sf_dir), "Response").withColumn("drift_score", F.round("drift_score", 6))
 
 
-@query("d6_kolmogorov_smirnov", f"""{PAIR}, {_fractions('"Id2"', 'fi')} SELECT 'Id2' AS "column", round(max(abs(f - g)), 9) AS statistic FROM fi""")
+@query("d6_kolmogorov_smirnov", f"""{PAIR}, {_fractions('pred', 'fp')}, {_fractions('"Id2"', 'fi')}, {_ks('pred', 'fp')}, {_ks('Id2', 'fi')} SELECT "column", round(s, 9) AS statistic, round(p, 9) AS p_value FROM ({_p_value('(SELECT * FROM ks_fp UNION ALL SELECT * FROM ks_fi)')})""")
 def d6(spark, sf_dir):
-    return drift.kolmogorov_smirnov(*_pair(spark, sf_dir), "Id2").select("column", F.round("statistic", 9).alias("statistic"))
+    out = drift.kolmogorov_smirnov(*_pair(spark, sf_dir), ["pred", "Id2"])
+    return out.select("column", F.round("statistic", 9).alias("statistic"), F.round("p_value", 9).alias("p_value"))
 
 
 @query("q1_no_nulls", f"""{S}, x AS (SELECT count(*) FILTER ("Id" IS NULL OR "Response" IS NULL OR pred IS NULL) AS b FROM scores) SELECT 'scores' AS module, 'no_nulls' AS "check", b = 0 AS passed FROM x""")

@@ -20,8 +20,7 @@ def _rolling(w: float) -> str:
 
 @query("w1_rolling_count", f'{T} SELECT "Id", CAST({_rolling(1.0)} AS INTEGER) AS records_last_1hr, CAST({_rolling(24.0)} AS INTEGER) AS records_last_24hr FROM ticks')
 def w1(spark, sf_dir):
-    d = ordering.trailing_count(X.ticks(spark, sf_dir), "t", "Id", 1.0, "records_last_1hr")
-    return ordering.trailing_count(d, "t", "Id", 24.0, "records_last_24hr").select("Id", "records_last_1hr", "records_last_24hr")
+    return ordering.trailing_counts(X.ticks(spark, sf_dir), "t", "Id", {"records_last_1hr": 1.0, "records_last_24hr": 24.0}).select("Id", "records_last_1hr", "records_last_24hr")
 
 
 @query("w2_time_chunk", f'{T} SELECT "Id", CAST((row_number() OVER (ORDER BY t, "Id") - 1) // 1000 AS INTEGER) AS chunk_id FROM ticks')
