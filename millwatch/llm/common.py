@@ -17,12 +17,15 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests, a laptop), below a temporary one."""
+    """A new folder below spark.checkpoint.dir, in one for the application, which may be removed when that has ended.
+    Where the setting is unset, below a temporary one, but only if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="millwatch-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/millwatch-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/millwatch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
@@ -85,19 +88,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 # ---- sets of ids as bits ------------------------------------------------------------------------------------------
 
-FILTER_BITS = 1 << 26
+#: Least and most bits of a filter: 128 KB to 32 MB.
+FILTER_BITS = (1 << 20, 1 << 28)
 
 
-def maybe_in(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of df whose key may be among ids, before the join that decides. The ids become bits of their hash,
-    2048 rows of 4 KB at most whatever the number of ids, so the broadcast is bounded (8 MB)."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
-    bits = ids.select(place(F.col(id_col)).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    at = df.withColumn("_p", place(F.col(key))).withColumn("_bucket", F.bitmap_bucket_number("_p"))
-    out = at.join(F.broadcast(bits), "_bucket")
-    pos = F.bitmap_bit_position("_p")
+def bitmap(ids: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """The ids as bits of their hash: (_bucket, _bits), rows of 4 KB; and how many bits there are, some 16 an id as far
+    as the bound allows, so the table may be broadcast whatever the number of ids."""
+    size = FILTER_BITS[0]
+    n = ids.count()
+    while size < min(16 * n, FILTER_BITS[1]):
+        size *= 2
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(size)) + 1
+    return ids.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits")), size
+
+
+def flagged(df: DataFrame, key: str, bits: tuple[DataFrame, int], out: str) -> DataFrame:
+    """df with `out`: the key may be among the bitmap's ids."""
+    table, size = bits
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(size)) + 1
+    there = df.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(table), "_bucket", "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return out.where(F.getbit(byte, (pos % 8).cast("int")) == 1).select(*df.columns)
+    bit = F.getbit(byte, (F.bitmap_bit_position("_p") % 8).cast("int")) == 1
+    return there.withColumn(out, F.coalesce(bit, F.lit(False))).drop("_p", "_bucket", "_bits")
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose key may be among ids, before the join that decides."""
+    return flagged(df, key, bitmap(ids, id_col), "_maybe").where("_maybe").drop("_maybe")
 
 
 # ---- text as bytes ------------------------------------------------------------------------------------------------

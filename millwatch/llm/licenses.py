@@ -21,7 +21,8 @@ path after each directory was made one row.
 
 Defined results: null and empty texts have no licence of their own; a null path has no directory and inherits
 nothing; several licences in a file: the highest cosine, then the first name; several licence files in a directory
-likewise; repeated rows are judged alike, one row out for each row in. GNU notices without a version have no licence.
+likewise; repeated rows are judged once and alike, one row out for each row in; very long texts are judged whole; an empty
+table gives an empty result; a column of the input named like one of the new ones gives way to it. GNU notices without a version have no licence.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwatch.llm import license_texts
-from millwatch.llm.common import written
+from millwatch.llm.common import at, bare, given, written
 
 #: Licence texts as headers state them.
 TEMPLATES = {
@@ -47,6 +48,7 @@ SPLIT = r"[^\p{L}\p{N}]+"
 #: Between paragraphs stand lines without letters and digits, between blocks blank ones.
 PARAGRAPHS, BLOCKS = r"(?:\n[^\p{L}\p{N}\n]*)+\n", r"\n[ \t\r]*\n"
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)"
+NEW = ("own_license", "own_score", "license", "license_dir", "is_license_file")
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
 
@@ -118,9 +120,9 @@ def scan_common(keyed: DataFrame, least: float) -> DataFrame:
     may = F.flatten(F.array(*[F.when(_all([F.contains(F.col("_l"), F.lit(w)) for w in words]), F.array(*[F.lit(k) for k in ks])).otherwise(F.array().cast("array<string>")) for words, ks in sets.items()]))
     body = F.col("_text")
     units = F.array_distinct(F.concat(F.array(body), F.split(body, BLOCKS), F.split(body, PARAGRAPHS), F.split(body, r"\n")))
-    units = keyed.where(body.rlike(quick)).select("_id", "_h", F.posexplode(F.filter(units, lambda u: u.rlike(quick))).alias("_unit", "_l")).withColumn("_l", spelled(F.col("_l")))
-    units = units.withColumn("_may", may).where(F.size("_may") > 0)
     by = ["_id", "_h", "_unit"]
+    units = keyed.where(body.rlike(quick)).select("_id", "_h", F.posexplode(F.filter(units, lambda u: u.rlike(quick))).alias("_unit", "_l")).withColumn("_l", spelled(F.col("_l")))
+    units = units.withColumn("_may", may).where(F.size("_may") > 0).dropDuplicates(by)  # a repeated row counts once
     counts = units.select(*by, "_may", F.explode(tokens(F.col("_l"))).alias("t")).groupBy(*by, "_may", "t").agg(F.count("*").alias("c"))
     weighed = counts.join(F.broadcast(table), "t", "left").withColumn("v", F.col("c") * F.coalesce("idf", F.lit(1 + math.log(1 + n))))
     weighed = weighed.select(*by, "v", "c", F.filter(F.coalesce("w", F.array().cast("array<struct<name:string,x:double,k:int>>")), lambda w: F.array_contains("_may", w["name"])).alias("w"))
@@ -144,10 +146,8 @@ def scan_licenses(files: DataFrame, key: str = "id", path: str = "path", text: s
     """files without the text, with own_license, own_score, license, license_dir (null where it is the file's own)
     and is_license_file."""
     both, templates = templates is None, TEMPLATES if templates is None else templates
-    new = {"own_license", "own_score", "license", "license_dir", "is_license_file"}
-    if clash := (new | {c for c in files.columns if c.startswith("_")}) & set(files.columns):
-        raise ValueError(f"the input already has {sorted(clash)}")
-    spark, body, p = files.sparkSession, F.col(f"`{text}`"), F.col(f"`{path}`")
+    base, key, body, p = [*NEW, text], at(files, key), F.col(at(files, text)), F.col(at(files, path))
+    kept, spark, text_col, files = given(files, base), files.sparkSession, at(files, text), bare(files)
     vocabulary = sorted({t for x in templates.values() for t in terms(x)})
     found = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(tokens(F.coalesce(body, F.lit(""))), F.array(*[F.lit(t) for t in vocabulary])))).alias("t")).groupBy("t").count()
     df = {r["t"]: r["count"] for r in found.collect()}  # a row a template term, and one for all documents
@@ -159,8 +159,9 @@ def scan_licenses(files: DataFrame, key: str = "id", path: str = "path", text: s
     has = lambda c: F.arrays_overlap(tokens(c), F.array(*[F.lit(t) for t in needs]))
     quick = "(?i)" + "|".join(re.escape(t) for t in needs) if needs else "$^"
     # lines that can carry a licence
-    keyed = files.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(body).alias("_h"), body.alias("_text"))
+    keyed = files.select(F.col(key).alias("_id"), F.xxhash64(body).alias("_h"), body.alias("_text"))
     lines = keyed.where(F.lower("_text").rlike(quick)).select("_id", "_h", F.posexplode(F.split("_text", r"\n")).alias("_line", "_l")).where(F.lower("_l").rlike(quick)).where(has(F.col("_l")))
+    lines = lines.dropDuplicates(["_id", "_h", "_line"])  # a repeated row counts once
     counts = lines.select("_id", "_h", "_line", F.explode(tokens(F.col("_l"))).alias("t")).groupBy("_id", "_h", "_line", "t").agg(F.count("*").alias("c"))
     weighed = counts.join(F.broadcast(table), "t", "left").withColumn("v", F.col("c") * F.coalesce("idf", F.lit(unseen)))
     by = ["_id", "_h", "_line"]
@@ -175,11 +176,12 @@ def scan_licenses(files: DataFrame, key: str = "id", path: str = "path", text: s
         own = own.unionByName(scan_common(keyed, least)).groupBy("_id", "_h").agg(F.min("b").alias("b"), F.max("_said").alias("_said"))
     own = written(own, "own")
     # each file, with what its own text says
-    base = files.drop(text).columns
-    rows = files.select(*[F.col(f"`{c}`") for c in base], F.col(f"`{key}`").alias("_i"), F.xxhash64(body).alias("_x"), F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"[\p{L}\p{N}]+")).alias("_all"))
+    base = [c for c in files.columns if c != text_col]
+    rows = files.select(*base, F.col(key).alias("_i"), F.xxhash64(body).alias("_x"), F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"[\p{L}\p{N}]+")).alias("_all"), p.alias("_path"))
     rows = rows.join(own, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_h")), "left")
     said = F.col("_said") / F.greatest(F.col("_all"), F.lit(1))
-    rows = rows.select(*[F.col(f"`{c}`") for c in base], F.col("b.name").alias("own_license"), (-F.col("b.s")).alias("own_score"), (F.col("b").isNotNull() & ((said >= share) | F.coalesce(p.rlike(NAMES), F.lit(False)))).alias("is_license_file"), F.regexp_extract(p, r"(?s)^(.*)/[^/]*$", 1).alias("_dir"))
+    p = F.col("_path")
+    rows = rows.select(*base, F.col("b.name").alias("own_license"), (-F.col("b.s")).alias("own_score"), (F.col("b").isNotNull() & ((said >= share) | F.coalesce(p.rlike(NAMES), F.lit(False)))).alias("is_license_file"), F.regexp_extract(p, r"(?s)^(.*)/[^/]*$", 1).alias("_dir"))
     rows = written(rows, "files")
     # directories: what they say, and the nearest that says something
     speak = rows.where("is_license_file and _dir is not null").groupBy(F.col("_dir").alias("_at")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("name"))).alias("_b")).select("_at", F.col("_b.name").alias("_name"))
@@ -189,4 +191,4 @@ def scan_licenses(files: DataFrame, key: str = "id", path: str = "path", text: s
     near = above.join(speak, "_at").groupBy("_dir").agg(F.max(F.struct("depth", F.col("_at").alias("at"), F.col("_name").alias("name"))).alias("_n")).select(F.col("_dir").alias("_d"), F.col("_n.at").alias("_from"), F.col("_n.name").alias("_license"))
     out = rows.join(near, F.col("_dir") == F.col("_d"), "left")
     heir = F.col("own_license").isNull()
-    return out.select(*[F.col(f"`{c}`") for c in base], "own_license", "own_score", F.when(heir, F.col("_license")).otherwise(F.col("own_license")).alias("license"), F.when(heir, F.col("_from")).alias("license_dir"), "is_license_file")
+    return out.select(*kept, "own_license", "own_score", F.when(heir, F.col("_license")).otherwise(F.col("own_license")).alias("license"), F.when(heir, F.col("_from")).alias("license_dir"), "is_license_file")

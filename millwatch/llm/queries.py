@@ -82,7 +82,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, "url", RULES, labelled_urls(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-def language_model(docs: DataFrame) -> dict:
+def language_model(docs: DataFrame) -> langid.Models:
     """Learned from text and lang of the documents that are not held out."""
     return langid.fit(docs.where(~langid.held_out(F.col("doc_id"))).select(F.col("doc_id").cast("string").alias("key"), "text", "lang"))
 

@@ -8,8 +8,9 @@ the slot of its key's hash: one lookup, no shuffle.
 The table has `slots` rows whatever the data (the bound is checked), so it is broadcast.
 
 Defined results: a row whose key is null in every key column is placed by the hash of its other columns, so that
-null keys don't meet in one shard; equal rows go to the same shard; an empty table gives an empty result; columns of
-the input that carry the output's names are refused with ValueError.
+null keys don't meet in one shard; equal rows go to the same shard; empty and very long keys are hashed like others; an
+empty table gives an empty result; a column of the input named like one of the new ones (slot, shard) gives way to it,
+but if it is a key it still decides.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millwatch.llm.common import at, bare, given
+
 #: Largest table that is broadcast: 4 million rows of two ints.
 MOST_SLOTS = 1 << 22
 
@@ -63,13 +66,12 @@ def slot_of(key: Column, slots: int) -> Column:
 
 def assign_shards(df: DataFrame, keys: list[str], shards: list[str], slots: int = 65537, out: str = "shard") -> DataFrame:
     """df with `slot` int and `out` string."""
-    if {"slot", out} & set(df.columns):
-        raise ValueError(f"the input already has a column slot or {out}")
-    others = [F.col(f"`{c}`").cast("string") for c in df.columns if c not in keys] or [F.lit("")]
-    text = F.concat_ws("\x1f", *[F.col(f"`{k}`").cast("string") for k in keys])
+    mine = [at(df, k) for k in keys]
+    rows = bare(df)
+    others = [F.col(c).cast("string") for c in rows.columns if c not in mine] or [F.lit("")]
     gone = F.lit(True)
-    for k in keys:
-        gone = gone & F.col(f"`{k}`").isNull()
-    key = F.when(gone, F.concat_ws("\x1f", *others)).otherwise(text)
-    table = lookup_table(df.sparkSession, shards, slots).withColumnRenamed("shard", out)
-    return df.withColumn("slot", slot_of(key, slots)).join(F.broadcast(table), "slot", "left").select(*[F.col(f"`{c}`") for c in df.columns], "slot", F.col(f"`{out}`"))
+    for k in mine:
+        gone = gone & F.col(k).isNull()
+    key = F.when(gone, F.concat_ws("\x1f", *others)).otherwise(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in mine]))
+    table = lookup_table(df.sparkSession, shards, slots)
+    return rows.withColumn("slot", slot_of(key, slots)).join(F.broadcast(table), "slot", "left").select(*given(df, ["slot", out]), "slot", F.col("shard").alias(out))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -58,3 +59,43 @@ def repeats(docs: list[tuple[int, str | None]], depth: int) -> list[tuple]:
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         out.append((d, len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def targets(sizes: dict, weights=(5, 2, 1), most=3) -> dict:
+    """Words of each source: the rest is shared by weight until no source is above its bound."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, out, free = sum(sizes.values()), {}, set(names)
+    while True:
+        left = total - sum(out.values())
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return out | share
+        out |= {s: most * sizes[s] for s in over}
+        free -= over
+
+
+def mix(docs: list[tuple], key, seed: int = 11) -> dict:
+    """{doc_id: copies} above 0 of (doc_id, source, text) by Pareto order sampling, longer documents likelier."""
+    rows = [(d, s, len(WORD.findall((t or "").encode())), str(key(d, t))) for d, s, t in docs]
+    sizes: dict = {}
+    for _, s, n, _ in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    want, out = targets(sizes), {}
+    for s, target in want.items():
+        mine = [(d, n, k, math.isqrt(n) + 1) for d, x, n, k in rows if x == s]
+        whole = int(target // sizes[s]) if sizes[s] else 0
+        rest = target - whole * sizes[s]
+        appeal = sum(n * a for _, n, _, a in mine)
+        ranked = []
+        for d, n, k, a in mine:
+            u = (int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+            p = min(max(a * rest / appeal, 1e-12), 1 - 1e-12) if appeal else 0.5
+            ranked.append((u / (1 - u) * (1 - p) / p, k, n, d))
+        run = 0
+        for _, _, n, d in sorted(ranked):
+            extra = n > 0 and rest > 0 and whole < 3 and 2 * run + n <= 2 * rest
+            out[d] = out.get(d, 0) + whole + extra
+            run += n
+    return {d: c for d, c in out.items() if c}

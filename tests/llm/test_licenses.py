@@ -89,8 +89,9 @@ def test_tree(spark, tree):
     assert result(got, "id") == plain(tree)
     assert {"t", "name", "c"} <= set(got.columns)
     assert licenses.scan_licenses(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        licenses.scan_licenses(df.withColumn("license", F.lit(1)))
+    clash = licenses.scan_licenses(df.withColumns({"License": F.lit(1), "_id": F.lit(5)}))
+    assert "License" not in clash.columns and clash.where("_id = 5").count() == df.count()
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
 def test_common_licences(spark):
@@ -120,3 +121,11 @@ def test_common_licences(spark):
     got = {r["path"]: (r["own_license"], r["is_license_file"]) for r in licenses.scan_licenses(df).collect()}
     assert {p: x for p, (x, _) in got.items()} == {p: x for p, _, x in rows}
     assert all(is_file for p, (_, is_file) in got.items() if p.endswith("LICENSE")) and not any(is_file for p, (_, is_file) in got.items() if p.startswith("a/"))
+
+
+def test_repeated_rows_count_once(spark):
+    """A row given twice is no likelier a licence file than given once, so its directory doesn't inherit."""
+    text = "Released under the MIT License.\n" + " ".join(f"word{i}" for i in range(8))
+    rows = [(1, "a/x.py", text), (2, "a/y.py", "nothing here"), (3, "b/x.py", text), (3, "b/x.py", text), (4, "b/y.py", "nothing here")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string"))
+    assert {(r["id"], r["own_license"], r["license"], r["is_license_file"]) for r in got.collect()} == {(1, "MIT", "MIT", False), (2, None, None, False), (3, "MIT", "MIT", False), (4, None, None, False)}

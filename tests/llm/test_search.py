@@ -115,26 +115,81 @@ def test_language_held_out(spark):
     assert got.where("rejected").count() <= 0.01 * got.count()
 
 
-def test_language_odd(spark):
+def test_language_odd(spark, monkeypatch):
     docs = Q.table(spark, SF, "documents")
     model = Q.language_model(docs)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !!"), (4, "the and of the with that this " * 30000), (5, "ъжщы ююя " * 80), (5, "ъжщы ююя " * 80)], "doc_id long, text string").withColumn("lang", F.lit("xx"))
-    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.identify(odd, model).collect()}
-    assert all(got[k] == ("und", True) for k in (1, 2, 3)) and got[4] == ("en", False) and got[5][1]
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !!"), (4, "the and of the with that this " * 30000), (5, "ъжщы ююя " * 80), (5, "ъжщы ююя " * 80), (6, "\U00030000\U00030001 " * 30)], "doc_id long, text string").withColumns({"lang": F.lit("xx"), "Score": F.lit("s"), "_n": F.lit(1)})
+    out = langid.identify(odd, model)
+    assert out.columns == ["doc_id", "text", "lang", "_n", "lang_pred", "score", "rejected"]
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in out.collect()}
+    assert all(got[k] == ("und", True) for k in (1, 2, 3)) and got[4] == ("en", False) and got[5][1] and got[6][1]
     assert langid.identify(odd.limit(0), model).count() == 0
     none = langid.fit(docs.limit(0).select(F.lit("k").alias("key"), "text", "lang"))
     assert {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.identify(odd.withColumn("score", F.lit(1)), model)
-
-
-def test_kneser_ney_sums_to_one():
+    # a language a block gives what one block gives
+    some = docs.limit(200)
+    one = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9), r["rejected"]) for r in langid.identify(some, model).collect()}
+    monkeypatch.setattr(langid, "MODEL_BYTES", 1)
+    assert len(model.blocks()) == 4
+    assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9), r["rejected"]) for r in langid.identify(some, model).collect()} == one
+
+
+def test_language_noise(spark):
+    """A mislabelled text doesn't widen the room; a language with one row is learned; more than 200 languages are."""
+    docs = Q.table(spark, SF, "documents").select(F.col("doc_id").cast("string").alias("key"), "text", "lang")
+    r = random.Random(4)
+    babble = lambda: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(120))
+    noise = spark.createDataFrame([(f"n{i}", babble(), "en") for i in range(4)] + [("one", "ъжщы ююя " * 50, "zz")], "key string, text string, lang string")
+    model = langid.fit(docs.unionByName(noise))
+    ask = spark.createDataFrame([(1, babble()), (2, "ъжщы ююя " * 30)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(ask, model).collect()}
+    assert got[1]["rejected"] and got[2]["lang_pred"] == "zz" and not got[2]["rejected"]
+    many = spark.createDataFrame([(f"k{i}", "".join(chr(0x4E00 + 40 * i + j % 40) for j in range(60)), f"l{i:03d}") for i in range(230)], "key string, text string, lang string")
+    assert langid.fit(many).table.count() == 230
+
+
+def plain_kneser_ney(text):
+    """Bits of each character of a text by interpolated Kneser-Ney of order 4, from the definition."""
+    line = "\1\1\1" + text
+    count = [{} for _ in range(5)]
+    for i in range(3, len(line)):
+        g = line[i - 3 : i + 1]
+        count[4][g] = count[4].get(g, 0) + 1
+    for n in (3, 2, 1):
+        for g in count[n + 1]:
+            count[n][g[1:]] = count[n].get(g[1:], 0) + 1
+    size = len(count[1]) + 1
+    discount = [0.0] * 5
+    for n in range(1, 5):
+        ones, twos = max(1, sum(v == 1 for v in count[n].values())), sum(v == 2 for v in count[n].values())
+        discount[n] = min(0.95, max(0.05, ones / (ones + 2 * twos)))
+
+    def p(g):
+        if not g:
+            return 1 / size
+        n = len(g)
+        mine = {k: v for k, v in count[n].items() if k[:-1] == g[:-1]}
+        if not mine:
+            return p(g[1:])
+        total = sum(mine.values())
+        return max(mine.get(g, 0) - discount[n], 0) / total + discount[n] * len(mine) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney():
     r = random.Random(1)
-    text = "".join(r.choice("abcde ") for _ in range(3000)).encode()
-    _, code = langid.grams(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
-    model = langid.fit_model(*np.unique(code, return_counts=True))
-    for context in code[[5, 50, 500]]:
-        base = (context >> np.uint64(16)) << np.uint64(16)
-        letters = np.array([ord(c) for c in "abcde "], dtype=np.uint64)
-        p = np.exp2(-langid.surprise(model, base | letters))
-        assert abs(p.sum() - 1) < 0.16 and (p > 0).all()
+    text = "".join(r.choice("abcde ") for _ in range(400)).replace("  ", " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    _, chars = langid.grams(data, np.array([0, len(data)]))
+    ids, some = langid._distinct(chars)
+    model = langid.fit_model(some, np.bincount(ids))
+    p = plain_kneser_ney(text)
+    asked = ["abcd", "\1\1\1a", "zzzz", "ab z", *{"".join(map(chr, g)) for g in zip(*(c[:40].tolist() for c in chars), strict=True)}]
+    got = langid.surprise(model, [np.array([ord(g[k]) for g in asked], dtype=np.uint64) for k in range(4)])
+    assert all(abs(x + np.log2(p(g))) < 1e-9 for x, g in zip(got, asked, strict=True))
+    for context in ("abc", "e a", "zzz"):
+        bits = langid.surprise(model, [np.array([ord(c)] * 7, dtype=np.uint64) for c in context] + [np.array([ord(c) for c in "abcde z"], dtype=np.uint64)])
+        assert abs(np.exp2(-bits).sum() - 1) < 1e-3
