@@ -94,10 +94,15 @@ def upsert(old: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir (a temporary folder where that is unset) and read again: later
-    steps neither repeat its work nor carry its plan."""
+    """df written as Parquet below spark.checkpoint.dir, in a folder for the application (which may be removed when that
+    has ended), and read again: later steps neither repeat its work nor carry its plan. Where the setting is unset, a
+    temporary folder serves, but only if driver and executors are one process."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/millwatch-{uuid.uuid4().hex}/{name}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/millwatch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
