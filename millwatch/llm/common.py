@@ -118,6 +118,24 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     return flagged(df, key, bitmap(ids, id_col), "_maybe").where("_maybe").drop("_maybe")
 
 
+# ---- groups of very different sizes ------------------------------------------------------------------------------
+
+#: Groups with more rows are few (the rows divided by this), so that their figures may be broadcast.
+HOT_GROUP = 1 << 20
+
+
+def meet_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the columns of groups (a row a key, with its number of rows in `count`), null where there is none. Rows
+    of the large groups meet them by broadcast; the others meet by a shuffle in which no key has many rows."""
+    new = [c for c in groups.columns if c not in (key, count)]
+    side = lambda g, mark: g.select(F.col(key).alias(f"{mark}k"), *[F.col(c).alias(f"{mark}{c}") for c in new])
+    out = rows.join(F.broadcast(side(groups.where(F.col(count) > HOT_GROUP), "_h")), F.col(key) == F.col("_hk"), "left")
+    # a row that has met its group takes a key that no group has and that spreads
+    spread = F.when(F.col("_hk").isNull(), F.col(key)).otherwise(F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string")))
+    out = out.withColumn("_ck", spread).join(side(groups.where(F.col(count) <= HOT_GROUP), "_c"), "_ck", "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_h{c}", f"_c{c}").alias(c) for c in new])
+
+
 # ---- text as bytes ------------------------------------------------------------------------------------------------
 
 

@@ -6,18 +6,22 @@ that become single leave at once; what is equal at full depth are the repeated w
 
 1. Equal texts are one: the first keeps its bytes, the others are repeats from end to end.
 2. First digit. Of each window one gram of `GRAM` bytes is its digit: the one with the smallest hash, the first of
-   these. Equal windows have it at the same place, and neighbouring windows share it, so a document sends one row for
-   some 40 bytes. A shuffle by gram drops the grams that occur once. A gram that one piece of text holds more than
-   once is told once a piece, so frequent grams don't gather.
+   these, grams that are frequent in a sample of the documents coming last. Equal windows have it at the same place, and
+   neighbouring windows share it, so a document sends one row for some 40 bytes. A window that reaches beyond a frequent
+   line has a rarer gram, so a frequent gram has only the windows inside such a line, which are few different ones. The
+   sample decides how evenly windows are dealt, never what is found. A shuffle by gram drops the grams that occur once.
+   A gram that one piece of text holds more than once is told once a piece, so frequent grams don't gather.
 3. The documents of the remaining grams meet their texts again and send, for each such gram, the bytes of the windows
-   whose digit it is. These meet by gram, and windows are refined digit after digit of 8 bytes; the windows equal at
-   full depth, but the first of each, are repeats. A gram with many windows is taken window place by window place.
+   whose digit it is; of a frequent gram each piece sends equal windows once. These meet by gram, and windows are
+   refined digit after digit of 8 bytes; the windows equal at full depth, but the first of each, are repeats. A gram
+   with many windows is taken window place by window place, and in parts: what is different so far stays, the rest goes.
 4. A document's repeats become maximal runs.
 
 Texts are UTF-8 bytes. Comparison of windows is by bytes; only the first digit is a hash, of equal grams.
 
-Defined results: null is empty; rows that repeat an id are ordered by a hash of their text, and by nothing if equal
-(all but one of them are repeats); a null id sorts first; an empty table gives an empty result.
+Defined results: null and empty texts have no bytes; very long texts are read whole, in pieces; rows that repeat an id
+are ordered by a hash of their text, and by nothing if equal (all but one of them are repeats); a null id sorts first;
+an empty table gives an empty result. Output columns are fixed, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -31,25 +35,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.llm.common import BASE, INVERSE, U64, maybe_in, mix, pieces, powers, prefix_hash, written
+from millwatch.llm.common import BASE, INVERSE, U64, maybe_in, meet_groups, mix, pieces, powers, prefix_hash, written
 
 GRAM = 32
 #: Bytes of text that are hashed at once, and windows that are sorted at once.
-PIECE, WINDOWS = 1 << 21, 1 << 18
+PIECE, WINDOWS = 1 << 20, 1 << 18
 _POSITION = U64((1 << 24) - 1)
+#: One document of so many is looked at for frequent grams; one with `OFTEN` places there is frequent. The most frequent
+#: million at most: they are bits of a table of 2 MB.
+SAMPLE, OFTEN, MOST_HOT, HOT_BITS = 100, 20, 1 << 20, 24
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    prefix = prefix_hash(data)
+    return mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix), INVERSE)[: len(data) - GRAM + 1])
+
+
+def is_hot(gram: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    place = gram >> U64(64 - HOT_BITS)
+    return (hot[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def anchors(data: np.ndarray, offs: np.ndarray, depth: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each anchor (a gram that is the digit of some windows), by place: row, place of the gram, its hash, first
     and last start of its windows; places count from the row's begin. data: less than 16 MB."""
     span = depth - GRAM + 1  # grams of a window
     z = np.zeros(0, dtype=np.int64)
     if len(data) < depth:
         return z, z, z.view(U64), z, z
-    prefix = prefix_hash(data)
     n = len(data) - GRAM + 1
-    hashes = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix), INVERSE)[:n])
-    key = (hashes & ~_POSITION) | np.arange(n, dtype=U64)
+    hashes = gram_hashes(data)
+    key = ((hashes >> U64(1)) & ~_POSITION) | np.arange(n, dtype=U64)
+    if hot is not None:
+        key |= is_hot(hashes, hot).astype(U64) << U64(63)
     # smallest key of each span by minima from both ends of blocks
     full = -(-n // span) * span
     padded = np.full(full, ~U64(0))
@@ -88,10 +106,48 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy()
 
 
-def _send_grams(depth: int):
+def _sample_grams(depth: int):
+    """(gram, n) of all places, a row for each gram of a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offs, _ in long_pieces(batches, "text", depth):
+            if len(data) < GRAM:
+                continue
+            place = np.arange(len(data) - GRAM + 1)
+            inside = place + GRAM <= offs[np.searchsorted(offs, place, side="right")]
+            gram, n = np.unique(gram_hashes(data)[inside], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    return run
+
+
+def frequent_grams(long: DataFrame, depth: int) -> np.ndarray | None:
+    """Bits of the grams that are frequent in the sample; None if there are none."""
+    some = long.where(F.pmod(F.xxhash64("doc", "m"), F.lit(SAMPLE)) == 0).select("text")
+    counts = some.mapInArrow(_sample_grams(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    counts = written(counts, "frequent")
+    levels = counts.groupBy(F.floor(F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()  # a row a power of two
+    least, held = None, 0
+    for r in levels:
+        held += r["count"]
+        if held > MOST_HOT:
+            break
+        least = 1 << r["level"]
+    if least is None:
+        return None
+    place = F.shiftrightunsigned("gram", 64 - HOT_BITS) + 1
+    rows = counts.where(F.col("n") >= least).select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    hot = np.zeros(1 << (HOT_BITS - 3), dtype=np.uint8)
+    for r in rows:  # 512 rows of 4 KB at most
+        bits = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        hot[(r["b"] - 1) * 4096 : r["b"] * 4096] = bits
+    return hot
+
+
+def _send_grams(depth: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs, up in long_pieces(batches, "text", depth):
-            row, place, gram, _, _ = anchors(data, offs, depth)
+            row, place, gram, _, _ = anchors(data, offs, depth, hot.value)
             if not len(row):
                 continue
             place, doc = place + up[row], _numbers(batch, "doc")[row]
@@ -111,25 +167,47 @@ def _send_grams(depth: int):
     return run
 
 
-def _send_windows(depth: int):
+COLUMNS = ["gram", "doc", "m", "start", "skip", "bytes"]
+
+
+def _rows(gram, doc, m, start, skip, blob) -> pa.RecordBatch:
+    cols = [pa.array(gram), pa.array(doc), pa.array(m), pa.array(start), pa.array(skip.astype(np.int32)), pa.array(blob, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=COLUMNS)
+
+
+def _send_windows(depth: int, hot):
+    """Rows of windows; and, with null bytes, runs from start to start + skip that are repeats for certain."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs, up in long_pieces(batches, "text", depth):
-            row, place, gram, lo, hi = anchors(data, offs, depth)
+            row, place, gram, lo, hi = anchors(data, offs, depth, hot.value)
             if not len(row):
                 continue
             lists = batch.column(batch.schema.get_field_index("places"))
-            flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            flat, edge = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             wanted = np.zeros(len(data) + 1, dtype=bool)
             for i in range(batch.num_rows):
-                w = flat[at[i] : at[i + 1]] - up[i] + offs[i]
+                w = flat[edge[i] : edge[i + 1]] - up[i] + offs[i]
                 wanted[w[(w >= offs[i]) & (w < offs[i + 1])]] = True
             keep = wanted[place + offs[row]]
             row, place, gram, lo, hi = (x[keep] for x in (row, place, gram, lo, hi))
             raw = data.tobytes()
             begin, end = lo + offs[row], hi + offs[row] + depth
-            blob = pa.array([raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
-            cols = [gram.view(np.int64), _numbers(batch, "doc")[row], _numbers(batch, "m")[row], lo + up[row], (place - lo).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), blob], names=["gram", "doc", "m", "start", "skip", "bytes"])
+            doc, m = _numbers(batch, "doc")[row], _numbers(batch, "m")[row]
+            blob = np.array([raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)] + [None], dtype=object)[:-1]
+            cold = np.ones(len(row), dtype=bool) if hot.value is None else ~is_hot(gram, hot.value)
+            columns = (gram.view(np.int64), doc, m, lo + up[row], place - lo, blob)
+            if cold.any():
+                yield _rows(*(x[cold] for x in columns))
+            if not cold.all():
+                order = np.flatnonzero(~cold)
+                order = order[np.lexsort((columns[3][order], m[order], doc[order], columns[0][order]))]
+                runs, rest = _resolve(pa.Table.from_batches([_rows(*(x[order] for x in columns))]), depth, keep=True)
+                yield from rest
+                d, n, a, b = (c.to_numpy() for c in runs.columns)
+                if len(d):
+                    spread = mix(d.view(U64) * U64(BASE) + a.view(U64)).view(np.int64)
+                    yield _rows(spread, d, n, a, b - a, [None] * len(d))
 
     return run
 
@@ -156,44 +234,67 @@ def radix_repeats(digits, group: np.ndarray, order: np.ndarray, depth: int) -> n
     return mark
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """At each byte the 8 bytes from there as one number."""
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(U64)
-    out = np.zeros(len(data), dtype=U64)
-    for k in range(8):
-        out = (out << U64(8)) | padded[k : k + len(data)]
-    return out
-
-
-def _resolve(table: pa.Table, depth: int) -> pa.RecordBatch:
-    """Runs (doc, m, a, b) of repeated bytes from whole grams' rows, sorted by gram, doc, m and start."""
-    gram, doc, m, start, skip = (table.column(c).to_numpy() for c in ("gram", "doc", "m", "start", "skip"))
-    blobs = table.column("bytes").to_pylist()
-    length = np.array([len(x) for x in blobs])
-    blob, begin = np.frombuffer(b"".join(blobs), dtype=np.uint8), np.cumsum(length) - length
-    word = _words(blob)
+def _resolve(table: pa.Table, depth: int, keep: bool = False) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+    """Runs (doc, m, a, b) of repeated bytes from whole grams' rows, sorted by gram, doc, m and start; and with keep the
+    rows of the windows that are no repeats, in the same order."""
+    gram, doc, m, start, skip = (table.column(c).to_numpy() for c in COLUMNS[:-1])
+    column = table.column("bytes").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    edge = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
+    blob = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+    begin, length = edge[:-1], np.diff(edge)
+    # rows with the same bytes and place are equal window by window: all but the first are repeats from end to end
+    code = column.dictionary_encode().indices.to_numpy().astype(np.int64) * (4 * depth) + skip
+    _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+    twin = first[inverse] != np.arange(len(code))
+    out = [(doc[twin], m[twin], start[twin], start[twin] + length[twin])]
+    mine = np.flatnonzero(~twin)
+    begin, length = begin[mine], length[mine]
     count = length - depth + 1
     total = int(count.sum())
-    own = np.repeat(np.arange(len(gram)), count)
+    own = np.repeat(np.arange(len(mine)), count)
     inner = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-    rel = inner - skip[own]  # the window's begin, seen from the gram: equal windows agree
-    gid = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))[own] * np.int64(4 * depth) + (rel + depth)
+    g = gram[mine]
+    number = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
+    shared = np.bincount(number)[number] > 1 if len(g) else np.zeros(0, dtype=bool)
+    rel = inner - skip[mine][own]  # the window's begin, seen from the gram: equal windows agree
+    gid = number[own] * np.int64(4 * depth) + (rel + depth)
     mark, tail = np.zeros(total, dtype=bool), depth % 8
+    padded = np.concatenate([blob, np.zeros(8, dtype=np.uint8)])
+    word = np.ndarray((len(blob),), dtype=">u8", buffer=padded, strides=(1,))  # at each byte the 8 from there
+    asked = np.flatnonzero(shared[own]) if total else np.zeros(0, dtype=np.int64)
     # a gram with very many windows is taken place by place: windows at different places are never equal
-    parts = [np.arange(total)] if total <= 4 * WINDOWS else [np.flatnonzero(rel == r) for r in np.unique(rel)]
+    parts = [asked] if len(asked) <= 4 * WINDOWS else [asked[rel[asked] == r] for r in np.unique(rel[asked])]
     for part in parts:
-        at = begin[own[part]] + inner[part]
+        place = begin[own[part]] + inner[part]
 
-        def digits(d, which, at=at):
-            v = word[at[which] + 8 * d]
+        def digits(d, which, place=place):
+            v = word[place[which] + 8 * d].astype(U64)
             return v >> U64(8 * (8 - tail)) if tail and d == depth // 8 else v
 
-        mark[part] = radix_repeats(digits, gid[part], part, depth)
+        if len(part):
+            mark[part] = radix_repeats(digits, gid[part], part, depth)
     # a row's windows follow each other, so marked neighbours are one run
-    edge = np.concatenate([[True], (own[1:] != own[:-1]) | ~mark[:-1]]) & mark
-    stop = np.concatenate([(own[1:] != own[:-1]) | ~mark[1:], [True]]) & mark
-    a, b = np.flatnonzero(edge), np.flatnonzero(stop)
-    return pa.RecordBatch.from_arrays([pa.array(doc[own[a]]), pa.array(m[own[a]]), pa.array(start[own[a]] + inner[a]), pa.array(start[own[b]] + inner[b] + depth)], names=["doc", "m", "a", "b"])
+    a, b = _stretches(mark, own)
+    at = mine[own[a]]
+    out.append((doc[at], m[at], start[at] + inner[a], start[at] + inner[b] + depth))
+    runs = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["doc", "m", "a", "b"])
+    if not keep:
+        return runs, []
+    a, b = _stretches(~mark, own)
+    at, raw = mine[own[a]], blob.tobytes()
+    lo, hi = begin[own[a]] + inner[a], begin[own[a]] + inner[b] + depth
+    return runs, [_rows(gram[at], doc[at], m[at], start[at] + inner[a], skip[at] - inner[a], [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])]
+
+
+def _stretches(mark: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each stretch of marks within one owner."""
+    if not len(mark):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    other = own[1:] != own[:-1]
+    edge = np.concatenate([[True], other | ~mark[:-1]]) & mark
+    stop = np.concatenate([other | ~mark[1:], [True]]) & mark
+    return np.flatnonzero(edge), np.flatnonzero(stop)
 
 
 def _compare(depth: int):
@@ -201,9 +302,15 @@ def _compare(depth: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        limit = most
         for batch in batches:
+            known = batch.filter(batch.column(5).is_null())
+            if known.num_rows:
+                a = known.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(2), pa.array(a), pa.array(a + known.column(4).to_numpy())], names=["doc", "m", "a", "b"])
+                batch = batch.filter(batch.column(5).is_valid())
             held.append(batch)
-            if sum(b.num_rows for b in held) < most:
+            if sum(b.num_rows for b in held) < limit:
                 continue
             table = pa.Table.from_batches(held)
             gram = table.column("gram").to_numpy()
@@ -211,11 +318,15 @@ def _compare(depth: int):
             a, cut = 0, int(edges[-1])
             while a < cut:  # chunks of whole grams; the last gram may go on in the next batch
                 z = int(edges[min(int(np.searchsorted(edges, a + most)), len(edges) - 1)])
-                yield _resolve(table.slice(a, z - a), depth)
+                yield _resolve(table.slice(a, z - a), depth)[0]
                 a = z
-            held = table.slice(cut).to_batches()
+            held, limit = table.slice(cut).to_batches(), most
+            if table.num_rows - cut >= most:  # one gram: what equals an earlier window goes now
+                runs, held = _resolve(table.slice(cut), depth, keep=True)
+                yield runs
+                limit = max(most, 2 * sum(b.num_rows for b in held))
         if sum(b.num_rows for b in held):
-            yield _resolve(pa.Table.from_batches(held), depth)
+            yield _resolve(pa.Table.from_batches(held), depth)[0]
 
     return run
 
@@ -258,13 +369,14 @@ def find_repeats(rows: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
     """(doc, m, runs array<struct<a,b>>) of the texts of keyed() that are not repeats from end to end and hold
     repeats. signed: (doc, m, n, first boolean), a row a text."""
     long = rows.where(F.octet_length("text") >= depth)
+    hot = rows.sparkSession.sparkContext.broadcast(frequent_grams(long, depth))
     by = W.partitionBy("gram")
-    sent = long.select("doc", "text").mapInArrow(_send_grams(depth), "gram long, doc long, place long, kind byte")
+    sent = long.select("doc", "text").mapInArrow(_send_grams(depth, hot), "gram long, doc long, place long, kind byte")
     shared = (F.col("kind") == 1) | (F.count("*").over(by) > 1) | (F.max("kind").over(by) == 2)
     places = sent.withColumn("_s", shared).where("_s and kind < 2").groupBy("doc").agg(F.collect_set("place").alias("places"))
     places = written(places.join(signed.where("first").select("doc").distinct(), "doc", "left_semi"), "places")
     texts = maybe_in(long, "doc", places.select("doc"), "doc").join(places, "doc").join(signed.where("first").select("doc", "m"), ["doc", "m"])
-    windows = texts.select("doc", "m", "text", "places").mapInArrow(_send_windows(depth), "gram long, doc long, m long, start long, skip int, bytes binary")
+    windows = texts.select("doc", "m", "text", "places").mapInArrow(_send_windows(depth, hot), "gram long, doc long, m long, start long, skip int, bytes binary")
     dealt = windows.repartition("gram").sortWithinPartitions("gram", "doc", "m", "start")
     return dealt.mapInArrow(_compare(depth), "doc long, m long, a long, b long").groupBy("doc", "m").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
@@ -274,8 +386,8 @@ def sign_texts(rows: DataFrame, depth: int) -> DataFrame:
     shorter than depth."""
     signed = rows.groupBy("doc", "m").agg(F.count("*").alias("copies"), F.min(F.octet_length("text")).cast("long").alias("n"), F.min(F.sha2("text", 256)).alias("sha256"))
     signed = written(signed, "texts")
-    first = signed.groupBy("n", "m").agg(F.min("doc").alias("_f"))
-    return written(signed.join(first, ["n", "m"]).withColumn("first", (F.col("n") < depth) | (F.col("doc") == F.col("_f"))).drop("_f"), "signed")
+    first = written(signed.groupBy("sha256").agg(F.min("doc").alias("_f"), F.count("*").alias("_c")), "firsts")
+    return written(meet_groups(signed, first, "sha256", "_c").withColumn("first", (F.col("n") < depth) | (F.col("doc") == F.col("_f"))).drop("_f"), "signed")
 
 
 def cut_texts(rows: DataFrame, runs: DataFrame) -> DataFrame:

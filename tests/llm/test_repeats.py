@@ -1,5 +1,6 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def test_small_pieces(spark, monkeypatch):
     df = spark.createDataFrame(docs, SCHEMA)
     rows = repeats.keyed(df, "doc_id", "text")
     batches = rows.select("doc", "text").toArrow().to_batches()
-    sent = [b for b in repeats._send_grams(100)(iter(batches))]
+    sent = [b for b in repeats._send_grams(100, SimpleNamespace(value=None))(iter(batches))]
     assert sum(b.num_rows for b in sent) > 100
     data = b"".join((t or "").encode() for _, t in docs[:40])
     whole = {(int(p) + 0, int(g)) for _, p, g, _, _ in zip(*repeats.anchors(common.np.frombuffer(data, dtype=common.np.uint8), common.np.array([0, len(data)]), 100), strict=True)}
@@ -73,3 +74,38 @@ def test_odd_rows(spark):
     assert got == {(1, 0, 0, 0, b""), (2, 0, 0, 0, b""), (3, 5, 0, 0, b"short"), (4, 5, 0, 0, b"short"), (5, 300, 300, 1, b""), (None, 300, 290, 1, long[:10].encode())}
     assert len(first) == 109 and none
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_common_line(spark):
+    """A line that 90 % of the documents hold, with other text around it: equal to brute force, and no gram gathers."""
+    r = random.Random(8)
+    line = "".join(r.choice("abcdefgh ") for _ in range(260)) + "\n"
+    noise = lambda n: "".join(r.choice("ijklmnop ") for _ in range(n)) + "\n"
+    docs = [(i, "".join(noise(r.randint(20, 90)) + (line if r.random() < 0.9 else "") for _ in range(3))) for i in range(3000)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(24)
+    assert result(repeats.remove_repeats(df, digest=True)) == brute.repeats(docs, 100)
+    rows = repeats.keyed(df, "doc_id", "text")
+    hot = spark.sparkContext.broadcast(repeats.frequent_grams(rows, 100))
+    assert hot.value is not None
+    sizes = []
+    for use in (hot, spark.sparkContext.broadcast(None)):
+        every = rows.withColumn("places", F.sequence(F.lit(0).cast("long"), F.octet_length("text").cast("long")))
+        sent = every.mapInArrow(repeats._send_windows(100, use), "gram long, doc long, m long, start long, skip int, bytes binary").where("bytes is not null")
+        sizes.append(sorted(x["count"] for x in sent.groupBy("gram").count().collect()))
+    assert sizes[0][-1] <= 1500 < 5000 < sizes[1][-1]
+
+
+def test_comparison_in_parts(monkeypatch):
+    """A gram with very many windows, in many batches, gives what it gives in one."""
+    r = random.Random(9)
+    gram = "".join(r.choice("abc") for _ in range(32)).encode()
+    rows = []
+    for d in range(400):
+        left, right = (bytes(r.choice([b"xy", b"xxxxxxxxy"])[0] if r.random() < 0.9 else 97 for _ in range(40)) for _ in range(2))
+        rows.append((5, d, 0, 0, 40, left + gram + right + b"z" * 20))
+    batch = repeats._rows(*(repeats.np.array(c) for c in list(zip(*rows, strict=True))[:5]), [x[5] for x in rows])
+    spans = lambda out: sorted({(d, x) for b in out for d, a, z in zip(b["doc"].to_pylist(), b["a"].to_pylist(), b["b"].to_pylist(), strict=True) for x in range(a, z)})
+    whole = spans([repeats._resolve(repeats.pa.Table.from_batches([batch]), 100)[0]])
+    monkeypatch.setattr(repeats, "WINDOWS", 800)
+    parts = spans(list(repeats._compare(100)(iter([batch.slice(k, 7) for k in range(0, 400, 7)]))))
+    assert whole and parts == whole
