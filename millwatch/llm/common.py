@@ -139,7 +139,7 @@ def meet_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> Dat
 # ---- text as bytes ------------------------------------------------------------------------------------------------
 
 
-def pieces(batches: Iterator[pa.RecordBatch], col: str, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], col: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most so many bytes of text (one row, if it alone has more), the bytes of the text
     one after the other, and each row's offset (one more than rows). Null is empty."""
     for batch in batches:

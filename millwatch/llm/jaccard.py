@@ -12,15 +12,17 @@ threshold. The join finds, for each document, those that share enough of its shi
 3. T-occurrence search in each cell with DivideSkip: a document's inverted lists are split into long and short ones,
    the short ones are merged and counted, and what reaches T minus the number of long lists is probed in the long ones
    by binary search. A document already connected to a candidate isn't probed against it again, as only components
-   are returned. Cells with many shingles are cut into blocks, pairs of blocks going to separate tasks; each returns a
+   are returned. A cell with many shingles is cut into blocks. First all of its documents are compared with some
+   `PIVOTS` of them, block by block, which joins most of a class of near copies in one pass; then the components so far
+   are cut into blocks, and pairs of blocks that aren't of one component go to separate tasks, each of which returns a
    spanning forest of its links.
 4. Components of the forests.
 
 Nothing is capped: all documents that can link reach step 3, and step 3 is exact (to collisions of 64-bit hashes).
 
-Defined results: null or empty texts have no shingles and link with nothing; rows that repeat an id are one document,
+Defined results: null or empty texts have no shingles and link with nothing; very long texts are read whole; rows that repeat an id are one document,
 returned once, with the size of its largest set and the links of its text with most words; a row without an id is returned with its size and null component;
-an empty table gives an empty result.
+an empty table gives an empty result. Output columns are fixed, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -35,10 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.llm.common import U64, components, maybe_in, mix, pieces, shingles, word_count, written
+from millwatch.llm.common import U64, bitmap, components, flagged, maybe_in, meet_groups, mix, pieces, shingles, word_count, written
 
-#: Shingles of a block of a cell: about 16 MB of hashes.
-BLOCK = 1 << 21
+#: Shingles of a block of a cell: about 500 KB of hashes.
+BLOCK = 1 << 16
+#: Documents of a large cell that all of its documents are compared with first, about.
+PIVOTS = 16
+#: Shingles in more documents than this may gather: their documents are dealt over SALT tasks.
+COMMON, SALT = 1 << 14, 64
 #: Share of a set that screening asks for beyond one shared shingle.
 EXTRA = 0.1
 MU = 0.0085
@@ -159,10 +165,69 @@ def t_occurrence(sets: list[np.ndarray], ask: list[int], among: list[int], perce
     return forest
 
 
+def _linked(g: pd.DataFrame, pivots: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of a block's documents with the cell's pivots."""
+    got = []
+    if len(g) and len(pivots):
+        sets = [np.sort(t) for t in pivots["tokens"]] + [np.sort(t) for t in g["tokens"]]
+        ids = np.concatenate([pivots["rep"].to_numpy(), g["rep"].to_numpy()])
+        k = len(pivots)
+        got = [(ids[a], ids[b]) for a, b in t_occurrence(sets, list(range(k, len(sets))), list(range(k)), percent) if ids[a] != ids[b]]
+    return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
+
+
+def _forest(g: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links found in one task: within its small cells, or between the two blocks of a large one."""
+    got = []
+    for _, cell in g.groupby("cell"):
+        cell = cell.sort_values("rep")
+        sets, ids = [np.sort(t) for t in cell["tokens"]], cell["rep"].to_numpy()
+        x, y, block = cell["x"].iloc[0], cell["y"].iloc[0], cell["block"].to_numpy()
+        if x == y:
+            ask = among = list(range(len(ids)))
+        else:
+            ask, among = np.flatnonzero(block == x).tolist(), np.flatnonzero(block != x).tolist()
+        got += [(ids[a], ids[b]) for a, b in t_occurrence(sets, ask, among, percent)]
+    return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
+
+
+def search_cells(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what links connect in each cell. members: (cell, rep, tokens, n)."""
+    sizes = written(members.groupBy("cell").agg(F.sum("n").alias("w"), F.count("*").alias("many")), "sizes")
+    total = sizes.where(F.col("w") <= BLOCK).agg(F.sum("w")).first()[0] or 0
+    tasks = max(64, 2 * int(total) // BLOCK)
+    keyed = members.withColumn("_k", F.col("cell").cast("string"))
+    sized = meet_groups(keyed, sizes.select(F.col("cell").cast("string").alias("_k"), "w", F.col("many").alias("_many"), "many"), "_k", "many")
+    whole = sized.where(F.col("w") <= BLOCK).select(F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("task"), "cell", "rep", "tokens", F.lit(0).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"))
+    found = whole.groupBy("task").applyInPandas(lambda g: _forest(g, percent), "a long, b long")
+    if not sizes.where(F.col("w") > BLOCK).take(1):
+        return found
+    # large cells: pivots first
+    large = written(sized.where(F.col("w") > BLOCK).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / BLOCK)).cast("int")), "large")
+    chosen = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("_many")
+    pivots = large.where(chosen).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("w") / BLOCK).cast("int") - 1))).select("cell", "block", "rep", "tokens")
+    blocks = large.select("cell", "block", "rep", "tokens").groupBy("cell", "block")
+    first = written(blocks.cogroup(pivots.groupBy("cell", "block")).applyInPandas(lambda g, p: _linked(g, p, percent), "a long, b long"), "pivoted")
+    roots = components(first)
+    large = large.drop("block").join(roots, F.col("rep") == F.col("node"), "left").select("cell", "rep", "tokens", "n", "w", F.coalesce("root", "rep").alias("part"))
+    # large components have blocks of their own, the others share the cell's
+    parts = large.groupBy("cell", "part").agg(F.sum("n").alias("v"), F.max("w").alias("w")).where(F.col("v") > BLOCK / 2)
+    parts = parts.select("cell", "part", F.ceil(F.col("v") / BLOCK).cast("int").alias("_blocks"))
+    large = large.join(F.broadcast(parts) if parts.limit(1 << 17).count() < 1 << 17 else parts, ["cell", "part"], "left")
+    own = F.col("_blocks").isNotNull()
+    number = F.when(own, F.pmod(F.xxhash64("rep"), F.col("_blocks"))).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("w") / BLOCK))).cast("int")
+    large = written(large.select("cell", "rep", "tokens", F.struct(F.when(own, F.col("part")).alias("part"), number.alias("number")).alias("name")), "blocks")
+    names = large.select("cell", "name").distinct().groupBy("cell").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    placed = large.join(names, "cell").withColumn("block", F.array_position("names", F.col("name")).cast("int") - 1)
+    others = F.filter(F.transform("names", lambda name, i: F.struct(i.alias("i"), (name["part"].isNull() | ~name["part"].eqNullSafe(F.col("name.part"))).alias("other"))), lambda z: z["other"])
+    pairs = placed.select("cell", "rep", "tokens", "block", F.explode(others).alias("o")).select("cell", "rep", "tokens", "block", F.least("block", "o.i").alias("x"), F.greatest("block", "o.i").alias("y"))
+    rest = pairs.groupBy("cell", "x", "y").applyInPandas(lambda g: _forest(g, percent), "a long, b long")
+    return found.unionByName(first).unionByName(rest)
+
+
 def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id long, n_shingles long, component_id long), one row a document; component_id is the smallest doc_id
     that links reach."""
-    spark = docs.sparkSession
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     named = slim.where("doc is not null")
     # 1: how many of each document's first shingles others have, less how many it needs
@@ -174,53 +239,37 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     seen = told.groupBy("doc").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(F.col("c"))).alias("c"), of(2).alias("n"), of(3).alias("s1"), of(4).alias("s2"))
     seen = written(seen, "screened")
     ask = F.greatest(F.lit(1), F.ceil(EXTRA * F.floor((F.lit(percent) * F.col("n") + 99) / 100)))
-    left = seen.where((F.col("c") >= ask) & (F.col("n") > 0))
+    left = seen.where((F.col("c") >= ask) & (F.col("n") > 0)).select("doc", F.concat_ws(":", "n", "s1", "s2").alias("sign"))
     # 2: one of each group of equal sets
-    sign = written(left.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), "signs")
+    sign = written(left.groupBy("sign").agg(F.min("doc").alias("rep"), F.count("*").alias("many")), "signs")
     reps = sign.select(F.col("rep").alias("doc")).distinct()
     texts = maybe_in(named, "doc", reps, "doc").join(reps, "doc").groupBy("doc").agg(F.max_by("text", F.struct(word_count(F.col("text")), F.col("text"))).alias("text"))
     texts = written(texts, "texts")
     sets = texts.mapInArrow(_sets(words), "doc long, n long, tokens array<long>").where("n > 0")
-    posts = sets.select(F.col("doc").alias("rep"), "n", F.explode("tokens").alias("token")).withColumn("df", F.count("*").over(by)).where("df > 1")
+    posts = sets.select(F.col("doc").alias("rep"), "n", F.explode("tokens").alias("token"))
+    counts = written(posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    # documents of a common shingle are dealt over several tasks, to each of which its count goes
+    common = bitmap(counts.where(F.col("df") > COMMON), "token")
+    salted = lambda d, salt: flagged(d, "token", common, "_common").withColumn("_salt", F.when(F.col("_common"), salt).otherwise(F.lit(0)).cast("int")).drop("_common")
+    told = flagged(counts, "token", common, "_common").select("token", "df", F.explode(F.sequence(F.lit(0), F.when(F.col("_common"), SALT - 1).otherwise(0))).alias("_salt"))
+    posts = salted(posts, F.pmod(F.xxhash64("rep"), F.lit(SALT))).join(told, ["token", "_salt"]).select("rep", "n", "token", "df")
     need = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
     rank = W.partitionBy("rep").orderBy("df", "token")
     posts = posts.withColumns({"_k": F.row_number().over(rank), "_m": F.count("*").over(W.partitionBy("rep"))})
     # the document's own shingles, n - _m of them, come first
     early = posts.where((F.col("n") - F.col("_m")) + F.col("_k") <= F.col("n") - need + 1).select("rep", "token")
     early = written(early, "prefixes")
-    hubs = early.groupBy("token").agg(F.min("rep").alias("hub"))
-    cells = written(components(early.join(hubs, "token").select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a <> b")), "cells")
-    # 3: cells in blocks
+    hubs = written(early.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("many")).where("many > 1").withColumn("key", F.col("token").cast("string")), "hubs")
+    near = meet_groups(early.select("rep", F.col("token").cast("string").alias("key")), hubs.select("key", "hub", "many"), "key", "many")
+    cells = written(components(near.select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a <> b")), "cells")
+    # 3: the sets of each cell
     some = texts.join(cells, F.col("doc") == F.col("node")).select("root", "doc", "text")
     some = some.select(F.struct("root", "doc").alias("_key"), "text").mapInArrow(_sets(words), "doc struct<root:bigint,doc:bigint>, n long, tokens array<long>")
     members = written(some.select(F.col("doc.root").alias("cell"), F.col("doc.doc").alias("rep"), "tokens", "n"), "members")
-    weights = members.groupBy("cell").agg(F.sum("n").alias("_w")).withColumn("blocks", F.ceil(F.col("_w") / BLOCK).cast("int"))
-    weights = written(weights, "weights")
-    small = max(64, 2 * int(weights.where("blocks = 1").agg(F.sum("_w")).first()[0] or 0) // BLOCK)
-    weights = weights.drop("_w")
-    members = members.join(weights, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pairs = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")})
-    tasks = F.when(F.col("blocks") == 1, F.struct(F.lit(-1).cast("long").alias("c"), F.pmod(F.xxhash64("cell"), F.lit(small)).cast("int").alias("x"), F.lit(0).alias("y"))).otherwise(F.struct(F.col("cell").alias("c"), "x", "y"))
-
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        got = []
-        for _, cell in g.groupby("cell"):
-            cell = cell.sort_values("rep")
-            sets = [np.sort(t) for t in cell["tokens"]]
-            ids, x = cell["rep"].to_numpy(), cell["x"].iloc[0]
-            if cell["x"].iloc[0] == cell["y"].iloc[0]:
-                ask = among = list(range(len(ids)))
-            else:
-                ask = np.flatnonzero(cell["block"].to_numpy() == x).tolist()
-                among = np.flatnonzero(cell["block"].to_numpy() != x).tolist()
-            got += [(ids[a], ids[b]) for a, b in t_occurrence(sets, ask, among, percent)]
-        return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
-
-    forest = pairs.withColumn("task", tasks).select("task", "cell", "rep", "tokens", "block", "x", "y").groupBy("task").applyInPandas(search, "a long, b long")
     # 4
-    roots = components(forest)
-    classes = sign.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
-    member = left.select("doc", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc", "root")
+    roots = components(search_cells(members, percent))
+    classes = written(sign.join(roots, F.col("rep") == F.col("node"), "left").select("sign", F.coalesce("root", "rep").alias("root"), "many"), "classes")
+    member = meet_groups(left, classes, "sign", "many").select("doc", "root")
     out = seen.join(member, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
     nameless = slim.where("doc is null").select(F.lit(0).cast("long").alias("doc"), "text").mapInArrow(_sets(words), "doc long, n long, tokens array<long>")
     return out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))

@@ -37,12 +37,34 @@ def test_random(spark, seed, words, percent):
     assert got == brute.jaccard(docs, words, percent)
 
 
-def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 600)
+@pytest.mark.parametrize("block", [100, 600, 3000])
+def test_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "COMMON", 5)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
     docs = corpus(5)
     assert result(jaccard.link_classes(spark.createDataFrame(docs, SCHEMA), words=4, percent=85)) == brute.jaccard(docs, 4, 85)
 
 
+def test_large_class(spark, monkeypatch):
+    """A class of near copies far above a block: pivots join it, no task gets more than some blocks, no link is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 2000)
+    r = random.Random(6)
+    base = [f"w{r.randrange(3000)}" for _ in range(120)]
+    docs = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, " ".join([*base[:60], *(f"y{i // 2}-{j}" for j in range(60))])) for i in range(60)]
+    got = result(jaccard.link_classes(spark.createDataFrame(docs, SCHEMA), words=4, percent=85))
+    assert got == brute.jaccard(docs, 4, 85)
+    members = spark.createDataFrame([(0, d, sorted(hash(s) for s in brute.shingle_set(t, 4))) for d, t in docs], "cell long, rep long, tokens array<long>").withColumn("n", F.size("tokens").cast("long"))
+    roots = {x["node"]: x["root"] for x in jaccard.components(jaccard.search_cells(members, 85)).collect()}
+    assert {d: roots.get(d, d) for d, _ in docs} == {d: c for d, (_, c) in got.items()}
+
+
 def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert result(op4_jaccard(spark, "/root/testdata/sf0.001")) == brute.jaccard(docs, 4, 85)
