@@ -1,21 +1,22 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a row of tokens: words without outer punctuation, lower-cased. Numbers become one placeholder,
-quantities with a unit (5km, 10%) another, a unit a third, and capitalised words inside a sentence a
-fourth; the word itself is kept as the slot's value. Windows of `window` tokens (an item's whole text, if it is
-shorter; 4 at least) are joined by hash with the benchmark's, once as templates and once by their lower-cased words
-(ASCII letters), so that a copy in another case is found too. Matches of a document and an item on one diagonal must
-fill the item's slots consistently: an equal value by equal ones (where they differ, the one that most slots have counts),
-different names and units by different ones; numbers may coincide. A slot that breaks this removes the template windows
-that hold it and no others; windows equal word by word always count. A document is contaminated by an item when
-matches cover `cover` of the item's windows of either kind, `run` tokens in a row, or, with the equal words beside them
-on their diagonals, `share` of its tokens. So a question is found again after its numbers, names or units were changed,
-in part, or with scattered words changed.
-
-The benchmark goes to the tasks in blocks of items with at most `block` windows each (one block, if it has fewer),
-documents being read once a block.
-
-Defined results: null or empty documents and items match nothing, nor do items of fewer than 4 tokens; template
+A text becomes a row of tokens: words without outer punctuation, in one case. Numbers and number words become one
+placeholder, quantities with a unit (5km, 10%) another, a unit a third, and names a fourth; the word itself is kept as
+the slot's value. Names are capitalised words, in one view only those inside a sentence, in another those that begin one
+too. Windows of `window` tokens (an item's whole text, if it is shorter; 4 at least) are joined by hash with the
+benchmark's, as templates in both views and by their words in one case, so that a copy in another case is found too. Matches of a
+document and an item on one diagonal must fill the item's slots consistently: an equal value by equal ones (where they
+differ, the one that most slots have counts), different names and units by different ones; numbers may coincide. A slot
+that breaks this removes the template windows that hold it and no others; windows equal word by word always count. A
+document is contaminated by an item when matches cover `cover` of the item's windows of either kind, `run` tokens in a
+row, or, with the equal words beside them on their diagonals, `share` of its tokens. So a question is found again after
+its numbers, names or units were changed, in part, or with scattered words changed. An item of fewer than 4 tokens is found
+in documents that have its words and no others.
+
+The benchmark goes to the tasks in blocks of items with at most `block` windows each (one block, if it has fewer), one
+after the other, documents being read once a block; the driver holds one block.
+
+Defined results: null or empty documents and items match nothing; very long texts are read whole; template
 windows with fewer than half literal words are too general and don't count, nor do equal ones of which more than half
 are numbers and units; repeated rows give repeated findings; an empty
 benchmark or an empty table gives an empty result. Output columns are fixed, so other columns never clash.
@@ -30,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwatch.llm.common import _LOWER, U64, mix, pieces, prefix_hash, span_hash, words
+from millwatch.llm.common import _LOWER, U64, mix, pieces, prefix_hash, span_hash, words, written
 
 LEAST = 4
 #: Units wherever they stand.
 UNITS = "km cm mm kg mg ml kmh mph kw khz mhz ghz kb mb gb tb mile miles kilometer kilometers meter meters metre metres feet foot inch inches gram grams kilogram kilograms liter liters litre litres hr hrs hour hours minute minutes second seconds day days week weeks month months year years eur usd gbp dollar dollars euro euros cents % $"
 #: Units only after a number, as they are words too.
 SHORT_UNITS = "m mi ft in g lb oz l s ms min h a v w hz c f k"
+#: Words for numbers ("one" is mostly a pronoun).
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
+#: Punctuation beyond ASCII, as its nearest ASCII sign.
+PUNCTUATION = {ord(a): b for a, b in zip("‘’‚‛“”„‟«»‹›…–—。，？！：；、（）", chr(39) * 4 + chr(34) * 6 + chr(39) * 2 + ".--.,?!:;,()", strict=True)}
 NUM, QTY, UNIT, NAME = (np.uint64(x) for x in (1, 2, 3, 4))
 
 _DIGIT = np.zeros(256, dtype=bool)
@@ -53,40 +58,59 @@ def _word_hash(word: str) -> np.uint64:
     return span_hash(prefix_hash(b), np.array([0]), np.array([len(b)]))[0]
 
 
-_UNITS, _SHORT_UNITS = (np.sort(np.array([_word_hash(u) for u in x.split()], dtype=U64)) for x in (UNITS, SHORT_UNITS))
+_UNITS, _SHORT_UNITS, _NUMBER_WORDS = (np.sort(np.array([_word_hash(u) for u in x.split()], dtype=U64)) for x in (UNITS, SHORT_UNITS, NUMBER_WORDS))
+
+
+def one_case(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes and offsets of the rows with ASCII punctuation, and those in one case."""
+    if not len(data) or data.max() < 128:
+        return data, offs, _LOWER[data], offs
+    plain = [data[a:b].tobytes().decode("utf-8", "replace").translate(PUNCTUATION) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    out = []
+    for texts in (plain, [t.casefold() for t in plain]):
+        raw = [t.encode() for t in texts]
+        out += [np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)]
+    return tuple(out)
 
 
-def template(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, canonical, literal) of each token: placeholders are the numbers 1 to 4."""
+def template(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(row, canonical in both views, literal) of each token: placeholders are the numbers 1 to 4."""
+    data, offs, low, low_offs = one_case(data, offs)
     starts, ends, row = words(data, offs)
     z = np.zeros(0, dtype=U64)
-    if not len(starts):
-        return row, z, z
+    solid = np.flatnonzero(~_PUNCT[data])
+    if not len(starts) or not len(solid):
+        return np.zeros(0, dtype=np.int64), (z, z), z
     stop = np.isin(data[ends - 1], np.frombuffer(b".!?:", dtype=np.uint8))
     lines = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(data == 10, out=lines[1:])
     opens = np.ones(len(starts), dtype=bool)
     opens[1:] = (row[1:] != row[:-1]) | stop[:-1] | (lines[starts[1:]] != lines[ends[:-1]])
-    for _ in range(4):  # outer punctuation
-        starts = starts + ((starts < ends) & _PUNCT[data[np.minimum(starts, len(data) - 1)]])
-        ends = ends - ((starts < ends) & _PUNCT[data[np.maximum(ends - 1, 0)]])
-    some = starts < ends
-    starts, ends, row, opens = starts[some], ends[some], row[some], opens[some]
+    # without outer punctuation
+    first = np.searchsorted(solid, starts)
+    begin = np.minimum(np.where(first < len(solid), solid[np.minimum(first, len(solid) - 1)], ends), ends)
+    last = np.searchsorted(solid, ends) - 1
+    end = np.maximum(np.where(last >= 0, solid[np.maximum(last, 0)] + 1, begin), begin)
+    low_starts, low_ends, _ = words(low, low_offs)
+    low_starts, low_ends = low_starts + (begin - starts), low_ends - (ends - end)
+    some = begin < end
+    starts, ends, row, opens, low_starts, low_ends = (x[some] for x in (begin, end, row, opens, low_starts, low_ends))
     if not len(starts):
-        return row, z, z
-    low = _LOWER[data]
-    literal = span_hash(prefix_hash(low), starts, ends)
+        return row, (z, z), z
+    literal = span_hash(prefix_hash(low), low_starts, low_ends)
     sums = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     digits, numeric = sums(_DIGIT[data]), sums(_NUMERIC[data])
     has = digits[ends] > digits[starts]
-    number = has & (numeric[ends] - numeric[starts] == ends - starts)
+    number = has & (numeric[ends] - numeric[starts] == ends - starts) | np.isin(literal, _NUMBER_WORDS)
     quantity = has & ~number & (_DIGIT[data[starts]] | (data[starts] == ord("$")))
     after = np.concatenate([[False], number[:-1] & (row[1:] == row[:-1])])
     unit = np.isin(literal, _UNITS) | after & np.isin(literal, _SHORT_UNITS)
-    first = data[starts]
-    name = ~opens & (first >= 65) & (first <= 90)
-    code = np.where(number, NUM, np.where(quantity, QTY, np.where(unit, UNIT, np.where(name, NAME, literal | U64(8)))))
-    return row, code, literal
+    upper = data[starts] != low[low_starts]
+    second = (data[starts] >= 0xC0) & (starts + 1 < len(data)) & (low_starts + 1 < len(low))
+    upper |= second & (data[np.minimum(starts + 1, len(data) - 1)] != low[np.minimum(low_starts + 1, len(low) - 1)])
+    code = np.where(number, NUM, np.where(quantity, QTY, np.where(unit, UNIT, literal | U64(8))))
+    name = upper & (code > NAME)
+    return row, (np.where(name & ~opens, NAME, code), np.where(name, NAME, code)), literal
 
 
 def windows(row: np.ndarray, code: np.ndarray, size: int, value: np.ndarray | None = None, least: np.uint64 = NAME) -> tuple[np.ndarray, np.ndarray]:
@@ -105,35 +129,37 @@ def windows(row: np.ndarray, code: np.ndarray, size: int, value: np.ndarray | No
     return at, mix(h[at])
 
 
-def both_kinds(row: np.ndarray, code: np.ndarray, literal: np.ndarray, size: int) -> tuple:
-    """Windows by template, and word by word."""
-    return windows(row, code, size), windows(row, code, size, literal, UNIT)
+def all_kinds(row: np.ndarray, codes: tuple[np.ndarray, np.ndarray], literal: np.ndarray, size: int) -> list:
+    """Windows by template in both views, and word by word."""
+    return [*(windows(row, code, size) for code in codes), windows(row, codes[0], size, literal, UNIT)]
 
 
 class Items:
-    """A block of the benchmark: its tokens, and its windows of both kinds sorted by hash, by window size."""
+    """A block of the benchmark: its tokens, and its windows of all kinds sorted by hash, by window size."""
 
     def __init__(self, ids: list, texts: list, size: int):
         raw = [(t or "").encode() for t in texts]
         data, offs = np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         self.ids = ids
-        self.row, self.code, self.literal = template(data, offs)
+        self.row, self.codes, self.literal = template(data, offs)
         count = np.bincount(self.row, minlength=len(ids)).astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(count)])
         self.by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.windows = np.zeros((2, len(ids)), dtype=np.int64)
-        self.general = np.ones(len(self.row), dtype=bool)
+        equal, fits = np.zeros(len(self.row), dtype=bool), np.zeros(len(self.row), dtype=bool)
         for s in sorted({min(size, int(c)) for c in count if c >= LEAST}):
             kinds = []
-            for kind, (at, h) in enumerate(both_kinds(self.row, self.code, self.literal, s)):
+            for kind, (at, h) in enumerate(all_kinds(self.row, self.codes, self.literal, s)):
                 mine = np.minimum(count[self.row[at]], size) == s
                 at, h = at[mine], h[mine]
-                self.windows[kind] += np.bincount(self.row[at], minlength=len(ids))
-                if kind == 0:
-                    self.general[at] = False
+                (equal if kind == 2 else fits)[at] = True
                 order = np.argsort(h, kind="stable")
                 kinds.append((h[order], at[order]))
             self.by_size[s] = kinds
-        self.start = np.concatenate([[0], np.cumsum(count)])
+        self.general = ~fits
+        self.windows = np.array([np.bincount(self.row[m], minlength=len(ids)) for m in (fits, equal)])
+        self.short: dict[tuple, list[int]] = {}
+        for i in np.flatnonzero((count > 0) & (count < LEAST)):
+            self.short.setdefault(tuple(self.literal[self.start[i] : self.start[i + 1]].tolist()), []).append(int(i))
 
 
 def _broken(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,10 +181,10 @@ def _broken(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search(items: Items, data: np.ndarray, offs: np.ndarray, cover: float, share: float, run: int) -> list[tuple]:
     """(row, item, matched windows, item's windows, slots, changed slots) of the contaminated rows."""
-    row, code, literal = template(data, offs)
-    found: dict[tuple, dict[int, tuple[set, set, int]]] = {}
+    row, codes, literal = template(data, offs)
+    found: dict[tuple, dict[int, tuple[set, set, set, int]]] = {}
     for size, kinds in items.by_size.items():
-        for kind, ((keys, places), (at, h)) in enumerate(zip(kinds, both_kinds(row, code, literal, size), strict=True)):
+        for kind, ((keys, places), (at, h)) in enumerate(zip(kinds, all_kinds(row, codes, literal, size), strict=True)):
             if not len(keys):
                 continue
             left = np.searchsorted(keys, h)
@@ -167,9 +193,14 @@ def search(items: Items, data: np.ndarray, offs: np.ndarray, cover: float, share
                 while j < len(keys) and keys[j] == h[i]:
                     place = int(places[j])
                     shifts = found.setdefault((int(row[at[i]]), int(items.row[place])), {})
-                    shifts.setdefault(int(at[i]) - place, (set(), set(), size))[kind].add(place)
+                    shifts.setdefault(int(at[i]) - place, (set(), set(), set(), size))[kind].add(place)
                     j += 1
     out = []
+    if items.short:
+        count = np.bincount(row, minlength=len(offs) - 1)
+        start = np.concatenate([[0], np.cumsum(count)])
+        for r in np.flatnonzero((count > 0) & (count < LEAST)):
+            out += [(int(r), i, 1, 1, 0, 0) for i in items.short.get(tuple(literal[start[r] : start[r + 1]].tolist()), [])]
     for (r, item), shifts in found.items():
         kept: set[int] = set()
         equal: set[int] = set()
@@ -177,12 +208,14 @@ def search(items: Items, data: np.ndarray, offs: np.ndarray, cover: float, share
         slots: set[int] = set()
         changed: set[int] = set()
         longest = 0
-        for shift, (by_template, by_word, size) in shifts.items():
+        for shift, (*views, by_word, size) in shifts.items():
             span = lambda places, size=size: np.unique(np.concatenate([np.arange(p, p + size) for p in places])) if places else np.zeros(0, dtype=np.int64)
-            own = span(by_template)
-            own = own[items.code[own] <= NAME]
-            bad = set(own[_broken(items.code[own], items.literal[own], literal[own + shift])].tolist())
-            good = by_word | {p for p in by_template if bad.isdisjoint(range(p, p + size))}
+            good = set(by_word)
+            for code, places in zip(items.codes, views, strict=True):
+                own = span(places)
+                own = own[code[own] <= NAME]
+                bad = set(own[_broken(code[own], items.literal[own], literal[own + shift])].tolist())
+                good |= {p for p in places if bad.isdisjoint(range(p, p + size))}
             if not good:
                 continue
             kept |= good
@@ -193,7 +226,7 @@ def search(items: Items, data: np.ndarray, offs: np.ndarray, cover: float, share
             beside = beside[row[beside + shift] == r]
             tokens |= set(beside[items.literal[beside] == literal[beside + shift]].tolist())
             longest = max(longest, *np.diff(np.concatenate([[0], np.flatnonzero(np.diff(held) > 1) + 1, [len(held)]])).tolist())
-            held = held[items.code[held] <= NAME]
+            held = held[items.codes[1][held] <= NAME]
             slots |= set(held.tolist())
             changed |= set(held[items.literal[held] != literal[held + shift]].tolist())
         if not kept:
@@ -229,5 +262,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "matched_windows", "item_windows", "coverage", "slots", "changed_slots"])
 
         one = slim.mapInArrow(scan, schema)
+        if blocks > 1:  # done before the next block is read
+            one = written(one, "found")
+            held.destroy()
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], schema)

@@ -99,3 +99,75 @@ def mix(docs: list[tuple], key, seed: int = 11) -> dict:
             out[d] = out.get(d, 0) + whole + extra
             run += n
     return {d: c for d, c in out.items() if c}
+
+
+def _tokens(text: str) -> list[tuple[str, str, str]]:
+    """(canonical inside sentences, canonical anywhere, word in one case) of each word."""
+    from millwatch.llm import decontaminate as D
+
+    punctuation = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "%$")
+    out, opens = [], True
+    for line in text.translate(D.PUNCTUATION).split("\n"):
+        opens = True
+        for raw in line.split():
+            word, begins = raw.strip(punctuation), opens
+            opens = raw[-1] in ".!?:"
+            if not word:
+                continue
+            low = word.casefold()
+            if re.fullmatch(r"[0-9.,:/+-]*[0-9][0-9.,:/+-]*", word) or low in D.NUMBER_WORDS.split():
+                kind = "NUM"
+            elif re.search("[0-9]", word) and (word[0].isdigit() or word[0] == "$"):
+                kind = "QTY"
+            elif low in D.UNITS.split() or out and out[-1][0] == "NUM" and low in D.SHORT_UNITS.split():
+                kind = "UNIT"
+            else:
+                kind = "=" + low
+            name = kind[0] == "=" and word[0] != low[0]
+            out.append(("NAME" if name and not begins else kind, "NAME" if name else kind, low))
+    return out
+
+
+def contaminated(text: str, item: str, size: int = 8, cover: float = 0.5, share: float = 0.9, run: int = 30) -> bool:
+    """Whether a document of one line holds an item of `size` tokens at least, whole or re-parameterised."""
+    d, b = _tokens(text), _tokens(item)
+    fit = lambda row, at, k: 2 * sum(t[k][0] == "=" for t in row[at : at + size]) >= size
+    plain = lambda row, at: 2 * sum(t[0][0] == "=" or t[0] == "NAME" for t in row[at : at + size]) >= size
+    same = lambda i, j, k: [t[k] for t in d[i : i + size]] == [t[k] for t in b[j : j + size]]
+    eligible = [{j for j in range(len(b) - size + 1) if fit(b, j, 0) or fit(b, j, 1)}, {j for j in range(len(b) - size + 1) if plain(b, j)}]
+    kept, equal, tokens, longest = set(), set(), set(), 0
+    for shift in range(-len(b), len(d)):
+        inside = [j for j in range(len(b) - size + 1) if 0 <= j + shift <= len(d) - size]
+        by_word = {j for j in inside if plain(b, j) and same(j + shift, j, 2)}
+        good = set(by_word)
+        for k in (0, 1):
+            places = {j for j in inside if fit(b, j, k) and same(j + shift, j, k)}
+            slots = sorted({p for j in places for p in range(j, j + size) if b[p][k][0] != "="})
+            bad = set()
+            for one, other, kinds in ((b, d, None), (d, b, ("NAME", "UNIT"))):
+                of = lambda row, p: (row[p] if row is b else row[p + shift])[2]  # noqa: B023, E731
+                free = [p for p in slots if p not in bad and (kinds is None or b[p][k] in kinds)]
+                groups: dict = {}
+                for p in free:
+                    groups.setdefault(of(one, p), []).append(p)
+                for mine in groups.values():
+                    values = [of(other, p) for p in mine]
+                    top = max(values.count(v) for v in values)
+                    if len(set(values)) > 1:
+                        assert 2 * top <= len(mine) or sum(values.count(v) == top for v in set(values)) == 1
+                        bad |= {p for p, v in zip(mine, values, strict=True) if 2 * top <= len(mine) or values.count(v) != top}
+            good |= {j for j in places if bad.isdisjoint(range(j, j + size))}
+        if good:
+            held = sorted({p for j in good for p in range(j, j + size)})
+            kept |= good
+            equal |= by_word
+            tokens |= set(held) | {p for p in range(len(b)) if 0 <= p + shift < len(d) and b[p][2] == d[p + shift][2]}
+            stretch = 1
+            for x, y in zip(held, held[1:], strict=False):
+                longest = max(longest, stretch)
+                stretch = stretch + 1 if y == x + 1 else 1
+            longest = max(longest, stretch)
+    if not kept:
+        return False
+    shares = [len(m & e) / len(e) for m, e in zip((kept, equal), eligible, strict=True) if e]
+    return max(shares) >= cover or len(tokens) >= share * len(b) or longest >= run

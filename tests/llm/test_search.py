@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millwatch.llm import ann, decontaminate, langid
 from millwatch.llm import queries as Q
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,11 +66,11 @@ def test_decontamination(spark, monkeypatch):
     twin = "A train leaves Madrid at 7 and covers 360 miles in 4 hours. What speed in miles did the train of Madrid keep at 7 on its way to the sea?"
     off = "A train leaves Madrid at 7 and covers 360 miles in 4 hours. What speed in km did the train of Oslo keep at 8 on its way to the sea?"
     filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)) + ". "
-    docs = [(1, filler + item + " " + filler), (2, filler + twin), (3, off), (4, filler), (5, None), (6, ""), (7, item[:40]), (8, item), (8, item), (None, item), (9, (filler * 300) + item)]
-    bench = spark.createDataFrame([(1, item), (2, "Too short."), (3, None), (4, "only five words are here")], "item_id long, text string")
+    docs = [(1, filler + item + " " + filler), (2, filler + twin), (3, off), (4, filler), (5, None), (6, ""), (7, item[:40]), (8, item), (8, item), (None, item), (9, (filler * 300) + item), (10, "“HELLO” there (world)!"), (11, "hello there world again"), (12, filler + " ".join(f"\"'((**{w}**))'\"," for w in item.split()))]
+    bench = spark.createDataFrame([(1, item), (2, "Too short."), (3, None), (4, "only five words are here"), (5, "Hello there, world")], "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1))
     got = sorted((str(r["doc_id"]), r["item_id"], r["changed_slots"] > 0) for r in decontaminate.find_contamination(df, bench).collect())
-    assert got == sorted([("1", 1, False), ("2", 1, True), ("8", 1, False), ("8", 1, False), ("None", 1, False), ("9", 1, False)])
+    assert got == sorted([("1", 1, False), ("2", 1, True), ("8", 1, False), ("8", 1, False), ("None", 1, False), ("9", 1, False), ("10", 5, False), ("12", 1, False)])
     assert sorted(str(r["doc_id"]) for r in decontaminate.find_contamination(df, bench, block=8).collect()) == sorted(x for x, *_ in got)
     assert decontaminate.find_contamination(df, bench.limit(0)).count() == 0
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
@@ -98,6 +99,39 @@ def test_partial_contamination(spark):
     assert got == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 4)}
 
 
+def twins(seed, n):
+    """(item, re-parameterised copy) pairs: other numbers, names (also at a sentence's begin, also beyond ASCII), units."""
+    r = random.Random(seed)
+    names, units = "Anna Boris Émile Österby Carla Dmitri Özlem Erik Fatima Gustav".split(), "km miles kg gram liters hours".split()
+    nouns = "boxes apples tickets letters stones bottles".split()
+    out = []
+    for i in range(n):
+        a, b = r.sample(names, 2), r.sample(names, 2)
+        u, v = r.choice(units), r.choice(units)
+        noun, k = r.choice(nouns), i % 3
+        make = lambda x, unit, n1, n2: [
+            f"{x[0]} has {n1} {noun} in the green cellar and gives half of them to {x[1]} before the rain begins. {x[1]} then carries {n2} {unit} of flour up the hill for case {i}.",
+            f"Every morning {x[0]} rides {n1} {unit} along the river while {x[1]} counts {n2} {noun} on the wooden table. How many {noun} does {x[1]} have after {n1} days of case {i}?",
+            f"{x[0]} and {x[1]} share {n1} {noun} so that each keeps an equal part, and {x[0]} loses {n2} on the road home. Who of them holds more {noun} in case {i}?",
+        ][k]
+        out.append((make(a, u, r.randint(3, 50), r.randint(51, 99)), make(b, v, "seven" if i % 4 == 0 else r.randint(3, 50), r.randint(51, 99))))
+    return out
+
+
+def test_twins(spark):
+    """Re-parameterised questions are found, and found by a plain version; prose isn't."""
+    pairs = twins(1, 24)
+    filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)) + ". "
+    docs = [(i, filler + twin + " " + filler) for i, (_, twin) in enumerate(pairs)] + [(1000 + i, filler) for i in range(5)]
+    bench = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(pairs)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    found = sum((i, i) in got for i in range(len(pairs))) / len(pairs)
+    print("recall of re-parameterised items", found)
+    assert found >= 0.9 and all(d < 1000 for d, _ in got)
+    want = {(d, i) for d, t in docs for i, (item, _) in enumerate(pairs) if brute.contaminated(t, item)}
+    assert got == want
+
+
 def test_planted_passages(spark):
     docs = [tuple(r) for r in Q.table(spark, SF, "documents").select("doc_id", "text").collect()]
     items = [tuple(r) for r in Q.table(spark, SF, "benchmark").select("item_id", "text").collect()]
