@@ -2,10 +2,11 @@
 
 Equal vectors are one entry with its smallest ids. Entries go to the list of their nearest centroid; centroids come
 from k-means on a bounded sample (`SAMPLE` entries, by hash). A query visits its nearest lists until they hold
-`visit` of all entries and at least `LEAST` more than it needs. A visited list is scanned in blocks: vectors are
+`visit` of all entries and at least `LEAST` more than it needs (where that is all, the search is exact). A visited list is scanned in blocks: vectors are
 rotated by one random orthogonal matrix and laid out in column blocks; after each block the partial distance, scaled
 to all dimensions, is tested against the best distances found so far, and a candidate that the test rejects
-(chance of a false rejection set by `EPSILON`) reads no further block. What survives is measured exactly, in double
+(chance of a false rejection set by `EPSILON`) reads no further block. A list's queries are scanned together: the first
+`DENSE` blocks as matrix products, the others for the pairs that are left. What survives is measured exactly, in double
 precision, on the original vectors.
 
 A list with many entries is cut into blocks of `BLOCK` entries and its queries into blocks of `QUERIES`, so no task
@@ -13,7 +14,8 @@ holds an unbounded list.
 
 Defined results: null, empty and zero vectors, and vectors with a null or non-finite component, take no part, nor do
 vectors of another dimension than the most frequent one (the smaller, at a tie); rows that repeat an id keep one of
-them (the first by vector); fewer candidates than asked for give them all; ties go to the smaller id.
+them (the first by vector); fewer candidates than asked for give them all; ties go to the smaller id; an empty table
+gives an empty result. Output columns are fixed, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from millwatch.llm.common import written
 
-SAMPLE, LISTS, BLOCK, QUERIES, LEAST = 1 << 15, 1 << 12, 4096, 512, 64
-COLUMNS = 16
+SAMPLE, LISTS, BLOCK, QUERIES, LEAST = 1 << 15, 1 << 12, 4096, 512, 4096
+COLUMNS, DENSE = 16, 2
 EPSILON = 3.5
 
 
@@ -59,40 +61,59 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     return c
 
 
-def scan(queries: np.ndarray, base: np.ndarray, turn: np.ndarray, want: int, chunk: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the indices and exact distances of the `want` nearest rows of base that the tests let through."""
-    dim = base.shape[1]
-    cols = [slice(a, min(a + COLUMNS, dim)) for a in range(0, dim, COLUMNS)]
-    rotated = base @ turn
-    blocks = [np.ascontiguousarray(rotated[:, c]) for c in cols]
-    out = []
-    for q in queries:
-        qr = q @ turn
-        idx, dist, bound = np.zeros(0, dtype=np.int64), np.zeros(0), math.inf
-        for begin in range(0, len(base), chunk):
-            alive = np.arange(begin, min(begin + chunk, len(base)))
-            part = np.zeros(len(alive))
-            for k, c in enumerate(cols):
-                part = part + ((blocks[k][alive] - qr[c]) ** 2).sum(axis=1)
-                if k + 1 < len(cols) and bound < math.inf:
-                    seen = c.stop
-                    keep = part * (dim / seen) <= bound * (1 + EPSILON / math.sqrt(seen)) ** 2
-                    alive, part = alive[keep], part[keep]
-                    if not len(alive):
-                        break
-            if len(alive):
-                exact = ((base[alive] - q) ** 2).sum(axis=1)
-                idx, dist = np.concatenate([idx, alive]), np.concatenate([dist, exact])
-                if len(dist) > want:
-                    best = np.lexsort((idx, dist))[:want]
-                    idx, dist = idx[best], dist[best]
-                if len(dist) >= want:
-                    bound = dist.max()
-        out.append((idx, np.sqrt(dist)))
+def _exact(queries: np.ndarray, base: np.ndarray, q: np.ndarray, i: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    """Squared distances of the pairs (q, i)."""
+    out = np.zeros(len(q))
+    for a in range(0, len(q), most):
+        out[a : a + most] = ((base[i[a : a + most]] - queries[q[a : a + most]]) ** 2).sum(axis=1)
     return out
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", visit: float = 0.7) -> DataFrame:
+def scan(queries: np.ndarray, base: np.ndarray, turn: np.ndarray, want: int, chunk: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the indices and exact distances of the `want` nearest rows of base that the tests let through."""
+    dim, many = base.shape[1], len(queries)
+    cols = [slice(a, min(a + COLUMNS, dim)) for a in range(0, dim, COLUMNS)]
+    asked, rotated = queries @ turn, base @ turn
+    square = lambda x, y: np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0.0)
+    best_q, best_i, best_d = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, float))
+    bound = np.full(many, np.inf)
+    begin = 0
+    while begin < len(base):
+        # the first chunk, whole, gives the first bounds
+        stop = min(begin + (chunk if begin else max(want, chunk // 4)), len(base))
+        if not begin:
+            part = square(queries, base[:stop])
+            kth = np.partition(part, min(want, stop) - 1, axis=1)[:, min(want, stop) - 1]
+            q, i = np.nonzero(part <= kth[:, None] * (1 + 1e-9) + 1e-12)
+        else:
+            part, alive = np.zeros((many, stop - begin)), np.ones((many, stop - begin), dtype=bool)
+            room = lambda seen: bound * (1 + EPSILON / np.sqrt(seen)) ** 2 * (seen / dim)
+            for c in cols[:DENSE]:
+                part += square(asked[:, c], rotated[begin:stop, c])
+                alive &= part <= room(c.stop)[:, None]
+            q, i = np.nonzero(alive)
+            left = part[q, i]
+            i = i + begin
+            for c in cols[DENSE:-1]:
+                left = left + ((rotated[i, c] - asked[q, c]) ** 2).sum(axis=1)
+                keep = left <= room(c.stop)[q]
+                q, i, left = q[keep], i[keep], left[keep]
+        d = _exact(queries, base, q, i)
+        new = d <= bound[q]
+        best_q, best_i, best_d = (np.concatenate([x, y[new]]) for x, y in ((best_q, q), (best_i, i), (best_d, d)))
+        order = np.lexsort((best_i, best_d, best_q))
+        best_q, best_i, best_d = best_q[order], best_i[order], best_d[order]
+        place = np.arange(len(best_q)) - np.searchsorted(best_q, best_q)
+        top = place < want
+        best_q, best_i, best_d, place = best_q[top], best_i[top], best_d[top], place[top]
+        last = place == want - 1
+        bound[best_q[last]] = best_d[last]
+        begin = stop
+    edge = np.searchsorted(best_q, np.arange(many + 1))
+    return [(best_i[a:b], np.sqrt(best_d[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", visit: float = 0.5) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): the k nearest found of each row of `queries` (a column
     query_id, ids of df), itself apart, by Euclidean distance."""
     spark = df.sparkSession

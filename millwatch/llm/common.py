@@ -131,7 +131,7 @@ def meet_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> Dat
     side = lambda g, mark: g.select(F.col(key).alias(f"{mark}k"), *[F.col(c).alias(f"{mark}{c}") for c in new])
     out = rows.join(F.broadcast(side(groups.where(F.col(count) > HOT_GROUP), "_h")), F.col(key) == F.col("_hk"), "left")
     # a row that has met its group takes a key that no group has and that spreads
-    spread = F.when(F.col("_hk").isNull(), F.col(key)).otherwise(F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string")))
+    spread = F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string")))
     out = out.withColumn("_ck", spread).join(side(groups.where(F.col(count) <= HOT_GROUP), "_c"), "_ck", "left")
     return out.select(*rows.columns, *[F.coalesce(f"_h{c}", f"_c{c}").alias(c) for c in new])
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwatch.llm import license_texts
-from millwatch.llm.common import at, bare, given, written
+from millwatch.llm.common import at, bare, given, meet_groups, written
 
 #: Licence texts as headers state them.
 TEMPLATES = {
@@ -48,6 +48,8 @@ SPLIT = r"[^\p{L}\p{N}]+"
 #: Between paragraphs stand lines without letters and digits, between blocks blank ones.
 PARAGRAPHS, BLOCKS = r"(?:\n[^\p{L}\p{N}\n]*)+\n", r"\n[ \t\r]*\n"
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)"
+#: Directories that inherit are broadcast up to so many.
+MOST_BROADCAST = 1 << 16
 NEW = ("own_license", "own_score", "license", "license_dir", "is_license_file")
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
@@ -185,10 +187,14 @@ def scan_licenses(files: DataFrame, key: str = "id", path: str = "path", text: s
     rows = written(rows, "files")
     # directories: what they say, and the nearest that says something
     speak = rows.where("is_license_file and _dir is not null").groupBy(F.col("_dir").alias("_at")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("name"))).alias("_b")).select("_at", F.col("_b.name").alias("_name"))
-    dirs = rows.where("own_license is null and _dir is not null").select("_dir").distinct()
+    dirs = rows.where("own_license is null and _dir is not null").groupBy("_dir").agg(F.count("*").alias("_rows"))
     parts = F.split("_dir", "/")
-    above = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("at")))).alias("u")).select("_dir", "u.depth", F.col("u.at").alias("_at"))
-    near = above.join(speak, "_at").groupBy("_dir").agg(F.max(F.struct("depth", F.col("_at").alias("at"), F.col("_name").alias("name"))).alias("_n")).select(F.col("_dir").alias("_d"), F.col("_n.at").alias("_from"), F.col("_n.name").alias("_license"))
-    out = rows.join(near, F.col("_dir") == F.col("_d"), "left")
+    above = dirs.select("_dir", "_rows", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("at")))).alias("u")).select("_dir", "_rows", "u.depth", F.col("u.at").alias("_at"))
+    near = above.join(speak, "_at").groupBy("_dir", "_rows").agg(F.max(F.struct("depth", F.col("_at").alias("at"), F.col("_name").alias("name"))).alias("_n")).select("_dir", "_rows", F.col("_n.at").alias("_from"), F.col("_n.name").alias("_license"))
+    near = written(near, "near")
+    if near.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        out = rows.join(F.broadcast(near.drop("_rows")), "_dir", "left")
+    else:  # a directory may hold a third of all files
+        out = meet_groups(rows, near, "_dir", "_rows")
     heir = F.col("own_license").isNull()
     return out.select(*kept, "own_license", "own_score", F.when(heir, F.col("_license")).otherwise(F.col("own_license")).alias("license"), F.when(heir, F.col("_from")).alias("license_dir"), "is_license_file")

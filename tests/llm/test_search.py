@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,7 +42,16 @@ def test_recall(spark):
     want = exact({r[0]: np.array(r[1], dtype=float) for r in e.select("vec_id", "embedding").collect()})
     got = ranked(Q.op2_nearest(spark, "/root/testdata/sf0.1"))
     assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    print("recall", recall(got, want))
     assert recall(got, want) >= 0.95
+    con = duckdb.connect()
+    con.execute("create view embeddings as select * from read_parquet('/root/testdata/sf0.1/embeddings.parquet')")
+    plain: dict = {}
+    for q, _, v, d in con.sql(Q.op2_sql() + " ORDER BY query_id, rank").fetchall():
+        plain.setdefault(q, []).append((v, d))
+    assert {q: [v for v, _ in x] for q, x in plain.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+    exact_score = {(q, v): d for q, x in plain.items() for v, d in x}
+    assert all(abs(d - exact_score[q, v]) < 1e-9 for q, x in got.items() for v, d in x if (q, v) in exact_score)
 
 
 def test_vectors_odd(spark, monkeypatch):
