@@ -45,20 +45,25 @@ def cost(fn_cost: float = COST_FN, fp_cost: float = COST_FP) -> Column:
     return _d("fn") * fn_cost + _d("fp") * fp_cost
 
 
-def threshold_sweep(df: DataFrame, label: str = "Response", score: str = "pred") -> DataFrame:
-    """A row for each threshold 0.01 ... 0.99. Rows become a histogram over the thresholds (a score's bucket is the
-    number of thresholds not above it), and 99 suffix sums follow."""
+def threshold_sweep(df: DataFrame, label: str = "Response", score: str = "pred", by: list[str] | None = None) -> DataFrame:
+    """A row for each threshold 0.01 ... 0.99 (of each group). Rows become a histogram over the thresholds (a score's
+    bucket is the number of thresholds not above it), and 99 suffix sums follow."""
+    by = by or []
     grid = F.array(*[F.lit(k / 100) for k in range(1, 100)])
     guess = F.greatest(F.lit(0), F.least(F.lit(99), F.floor(F.col(score) * 100).cast("int")))
     low, high = F.greatest(guess - 1, F.lit(0)), F.least(guess + 1, F.lit(99))
     at = lambda k: F.coalesce(F.get(grid, k - 1), F.lit(float("-inf")))
     bucket = F.when(F.col(score) >= at(high), high).when(F.col(score) >= at(guess), guess).otherwise(low)
-    h = df.where(F.col(score).isNotNull()).groupBy(bucket.alias("k")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    spark = df.sparkSession
-    line = spark.range(0, 100).select(F.col("id").cast("int").alias("k")).join(F.broadcast(h), "k", "left").fillna(0, ["p", "q"])
-    w, one = W.orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    out = line.select("k", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(one).alias("_p"), F.sum("q").over(one).alias("_q")).where("k > 0")
-    out = out.select((F.col("k") / 100).alias("threshold"), "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_q") - F.col("fp")).alias("tn"))
+    h = df.where(F.col(score).isNotNull()).groupBy(*by, bucket.alias("k")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    line = df.sparkSession.range(0, 100).select(F.col("id").cast("int").alias("k"))
+    if by:
+        line = h.select(*by).distinct().crossJoin(F.broadcast(line)).join(h, [*by, "k"], "left")
+    else:
+        line = line.join(F.broadcast(h), "k", "left")
+    line = line.fillna(0, ["p", "q"])
+    w, one = W.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
+    out = line.select(*by, "k", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(one).alias("_p"), F.sum("q").over(one).alias("_q")).where("k > 0")
+    out = out.select(*by, (F.col("k") / 100).alias("threshold"), "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_q") - F.col("fp")).alias("tn"))
     return rates(out).withColumnRenamed("flagged_pct", "positives_pct").withColumn("mcc", mcc())
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
-from millwatch.operators import metrics
+from millwatch.operators import encode, joins, metrics
 from millwatch.sources.io import stored
 
 #: Feature lists of the three base models.
@@ -21,9 +26,16 @@ DATASET_H = [*BASELINE, "transition_fail_rate_mean", "transition_fail_rate_max",
 META = ["p1", "p2", "p3", "mean_prediction", "std_prediction", "max_prediction", "agreement_count"]
 
 
-def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    filled = df.withColumns({f: F.coalesce(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")), F.lit(0.0)) for f in features})
-    return VectorAssembler(inputCols=features, outputCol="_x").transform(filled)
+def fill_values(df: DataFrame, features: list[str]) -> dict[str, float]:
+    """Each feature's median, one row a feature; 0 for one without values."""
+    doubles = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    return {r["col"]: r["median"] for r in encode.medians(doubles, features).collect()}
+
+
+def _assemble(df: DataFrame, features: list[str], fills: dict[str, float]) -> DataFrame:
+    x = lambda f: F.col(f).cast("double")
+    values = [F.coalesce(F.when(~F.isnan(x(f)), x(f)), F.lit(float(fills.get(f, 0.0)))).alias(f"_f{i}") for i, f in enumerate(features)]
+    return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x").transform(df.select("*", *values)).drop(*[f"_f{i}" for i in range(len(features))])
 
 
 def balanced(df: DataFrame, target: str = "Response") -> DataFrame:
@@ -33,37 +45,85 @@ def balanced(df: DataFrame, target: str = "Response") -> DataFrame:
     return df.crossJoin(F.broadcast(per)).withColumn("_w", w).drop("_n", "_p")
 
 
-def fit_one(train: DataFrame, features: list[str], target: str = "Response", rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42, stop_share: float = 0.1) -> GBTClassificationModel:
+def fit_one(train: DataFrame, features: list[str], fills: dict[str, float], target: str = "Response", rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42, stop_share: float = 0.1) -> GBTClassificationModel:
     """One model with balanced weights; a hashed share of the rows decides when to stop."""
-    t = balanced(_assemble(train, features), target).select("_x", F.col(target).cast("double").alias("_y"), "_w", (F.pmod(F.xxhash64("Id", F.lit(seed)), F.lit(1000)) < int(1000 * stop_share)).alias("_stop"))
+    t = balanced(_assemble(train, features, fills), target).select("_x", F.col(target).cast("double").alias("_y"), "_w", (F.pmod(F.xxhash64("Id", F.lit(seed)), F.lit(1000)) < int(1000 * stop_share)).alias("_stop"))
     return GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", validationIndicatorCol="_stop", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed).fit(t)
 
 
-def score(df: DataFrame, model, features: list[str], out: str = "pred") -> DataFrame:
-    return model.transform(_assemble(df, features)).withColumn(out, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+def score(df: DataFrame, model, features: list[str], fills: dict[str, float], out: str = "pred") -> DataFrame:
+    return model.transform(_assemble(df, features, fills)).withColumn(out, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+
+
+@dataclass
+class Trained:
+    """Models, one a fold, with what scoring needs: features in order and fill values."""
+
+    models: list
+    features: list[str]
+    fills: dict[str, float]
+
+    @property
+    def version(self) -> str:
+        """Prefix of the hash of all that scoring depends on."""
+        trees = [m.toDebugString for m in self.models]
+        return hashlib.sha256(json.dumps([self.features, sorted(self.fills.items()), trees]).encode()).hexdigest()[:12]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        for k, m in enumerate(self.models):
+            m.write().overwrite().save(f"{path}/model-{k}")
+        told = [(len(self.models), self.features, [float(self.fills[f]) for f in self.features])]
+        spark.createDataFrame(told, "models int, features array<string>, fills array<double>").coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
-def train_oof(df: DataFrame, features: list[str], folds: int = 5, target: str = "Response", fold: str = "cv_fold", **params) -> tuple[DataFrame, list]:
-    """(Id, Response, oof_pred, cv_fold) and the models: each fold is scored by a model of the others. The loop is over
-    folds, a fixed few; each fit is a Spark job."""
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Trained:
+        r = spark.read.schema("models int, features array<string>, fills array<double>").json(f"{path}/about").first()
+        return cls([GBTClassificationModel.load(f"{path}/model-{k}") for k in range(r["models"])], r["features"], dict(zip(r["features"], r["fills"], strict=True)))
+
+    def score(self, df: DataFrame, out: str = "predicted_proba") -> DataFrame:
+        """df with the mean of the models' probabilities."""
+        d = _assemble(df, self.features, self.fills)
+        for k, m in enumerate(self.models):
+            d = m.transform(d).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        mean = ensemble([[F.col(f"_p{k}")] for k in range(len(self.models))])
+        return d.withColumn(out, mean).drop("_x", *[f"_p{k}" for k in range(len(self.models))])
+
+
+def train_oof(df: DataFrame, features: list[str], folds: int = 5, target: str = "Response", fold: str = "cv_fold", parallelism: int = 3, **params) -> tuple[DataFrame, Trained]:
+    """(Id, Response, oof_pred, cv_fold) and the models: each fold is scored by a model of the others. Folds are a fixed
+    few; some are fitted at a time, each fit being Spark jobs."""
     slim = stored(df.select("Id", target, fold, *features), "train")
-    out, models = [], []
-    for k in range(folds):
-        m = fit_one(slim.where(F.col(fold) != k), features, target, **params)
-        models.append(m)
-        out.append(score(slim.where(F.col(fold) == k), m, features, "oof_pred").select("Id", target, "oof_pred", fold))
-    return reduce(DataFrame.unionByName, out), models
+    fills = fill_values(slim, features)
+    fit = lambda k: fit_one(slim.where(F.col(fold) != k), features, fills, target, **params)
+    with ThreadPool(min(parallelism, folds)) as pool:
+        models = pool.map(inheritable_thread_target(slim.sparkSession)(fit), range(folds)) if folds > 1 else [fit(0)]
+    out = [score(slim.where(F.col(fold) == k), m, features, fills, "oof_pred").select("Id", target, "oof_pred", fold) for k, m in enumerate(models)]
+    return reduce(DataFrame.unionByName, out), Trained(models, features, fills)
 
 
-def importance(spark, models: list, features: list[str]) -> DataFrame:
+def importance(spark: SparkSession, trained: Trained) -> DataFrame:
     """(feature, importance) over the models' mean, the highest first."""
-    rows = [(k, f, float(v)) for k, m in enumerate(models) for f, v in zip(features, m.featureImportances.toArray(), strict=True)]
+    rows = [(k, f, float(v)) for k, m in enumerate(trained.models) for f, v in zip(trained.features, m.featureImportances.toArray(), strict=True)]
     return spark.createDataFrame(rows, "fold int, feature string, v double").groupBy("feature").agg(F.avg("v").alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
 def fold_report(oof: DataFrame, target: str = "Response", fold: str = "cv_fold") -> DataFrame:
-    """(scope, threshold, mcc): the best threshold overall."""
-    return metrics.best_threshold(metrics.threshold_sweep(oof, target, "oof_pred")).select(F.lit("overall").alias("scope"), "threshold", "mcc")
+    """(scope, rows, threshold, mcc): rows and the best threshold of each fold, and overall."""
+    every = oof.select(F.concat(F.lit("fold "), F.col(fold).cast("string")).alias("scope"), target, "oof_pred").unionByName(oof.select(F.lit("overall").alias("scope"), target, "oof_pred"))
+    every = stored(every, "oof")
+    best = metrics.best_threshold(metrics.threshold_sweep(every, target, "oof_pred", by=["scope"]), by=["scope"])
+    return every.groupBy("scope").agg(F.count("*").alias("rows")).join(best, "scope").select("scope", "rows", "threshold", "mcc")
+
+
+def stack(bases: dict[str, DataFrame], groups: DataFrame) -> DataFrame:
+    """Out-of-fold scores of base models (Id, Response, oof_pred) as one table with the meta features, each base score
+    counted from its own best threshold on; groups: (Id, chunk_id, cv_fold)."""
+    out, names, limits = groups, [f"p{i}" for i in range(1, len(bases) + 1)], []
+    for i, (name, oof) in enumerate(zip(names, bases.values(), strict=True)):
+        limits.append(metrics.best_threshold(metrics.threshold_sweep(oof, score="oof_pred")).first()["threshold"])
+        cols = ["Id", *(["Response"] if i == 0 else []), F.col("oof_pred").alias(name)]
+        out = joins.one_to_one(out, oof.select(*cols))
+    return meta_features(out, names, limits)
 
 
 def meta_features(df: DataFrame, scores: list[str], thresholds: list[float] | None = None) -> DataFrame:
@@ -91,4 +151,4 @@ def predictions(df: DataFrame, score_col: str, features: list[str], version: str
     """Prediction rows: probability, label, time, model version, features used and missing."""
     here = [f for f in features if f in df.columns]
     gone = N.add([F.lit(0), *[F.col(f).isNull().cast("int") for f in here]]) + (len(features) - len(here))
-    return df.select("Id", F.col(score_col).alias("predicted_proba"), (F.col(score_col) >= threshold).cast("int").alias("predicted_label"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("prediction_timestamp"), F.substring(F.sha2(F.lit(version), 256), 1, 12).alias("model_version"), F.lit(len(here)).alias("n_features_used"), gone.alias("missing_features_count"))
+    return df.select("Id", F.col(score_col).alias("predicted_proba"), (F.col(score_col) >= threshold).cast("int").alias("predicted_label"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("prediction_timestamp"), F.lit(version).alias("model_version"), F.lit(len(here)).alias("n_features_used"), gone.alias("missing_features_count"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from millwatch.functions import numbers as N
 from millwatch.functions.columns import StationCatalog
-from millwatch.operators import encode, history, joins, paths, rowwise
+from millwatch.operators import encode, history, joins, ordering, paths, rowwise, runs
 from millwatch.sources.io import stored
 
 #: Names that tell the future.
@@ -49,16 +49,16 @@ def guard(df: DataFrame, features: list[str], check_nulls: bool = True) -> DataF
 @dataclass
 class State:
     """Tables: encodings (col, value, rate), paths (path_signature, n, rate), scalars (one row), medians (col, median),
-    failures (time, id)."""
+    mean (one row), contract (place, name, kind, fill)."""
 
     encodings: DataFrame
     paths: DataFrame
     scalars: DataFrame
     medians: DataFrame
-    failures: DataFrame
     mean: DataFrame
+    contract: DataFrame
 
-    NAMES = ("encodings", "paths", "scalars", "medians", "failures", "mean")
+    NAMES = ("encodings", "paths", "scalars", "medians", "mean", "contract")
 
     def save(self, path: str) -> None:
         for n in self.NAMES:
@@ -68,44 +68,130 @@ class State:
     def load(cls, spark: SparkSession, path: str) -> State:
         return cls(*[spark.read.parquet(f"{path}/{n}") for n in cls.NAMES])
 
+    def columns(self) -> list[tuple[str, str, object]]:
+        """The contract as align() takes it; a row a feature."""
+        rows = self.contract.orderBy("place").collect()
+        return [(r["name"], r["kind"], r["fill"] if r["kind"] == "string" else float(r["fill"])) for r in rows]
 
-def _base(df: DataFrame, catalog: StationCatalog) -> DataFrame:
-    d = rowwise.core_numbers(df, catalog.of_kind("F"))
-    d = rowwise.line_times(rowwise.entry_times(d, catalog), catalog)
-    d = rowwise.station_counts(rowwise.visited(d, catalog, "F"), catalog)
-    return rowwise.calendar(d.withColumn("path_signature", rowwise.signature(catalog, rowwise.EMPTY_PIPELINE)))
 
+#: Stations whose repeated measures are counted as they are, and rounded; those with their own statistics.
+DUPLICATES = ("L0_S0", "L0_S12", "L3_S29", "L3_S30", "L3_S33")
+ROUNDED = (*DUPLICATES, "L3_S35")
+STATISTICS = ("L3_S24", "L3_S26")
+HISTORY = (1, 5, 10)
+#: The width in which records count as simultaneous.
+SAME = 0.01
 
-NUMBERS = ["feature_mean", "feature_std", "start_time", "end_time", "duration", "week_time"]
 
+@dataclass(frozen=True)
+class Stations:
+    """Stations of the blocks that name some; those that a table lacks are left out."""
+
+    duplicates: tuple[str, ...] = DUPLICATES
+    rounded: tuple[str, ...] = ROUNDED
+    statistics: tuple[str, ...] = STATISTICS
 
-def fit(df: DataFrame, target: str = "Response") -> State:
-    """The state of a labelled table; fitting changes nothing else."""
-    catalog = StationCatalog.of(df.columns)
-    b = stored(_base(df, catalog), "features")
-    cats = catalog.of_kind("C")
-    failures = b.where(F.col(target) == 1).select(F.col("end_time").alias("time"), F.col("Id").alias("failure_id")).where("time is not null")
-    return State(encode.target_encoding(df, cats, target), paths.smoothed_rate(b, "path_signature", target), encode.scalars(b, "duration"), encode.medians(b, NUMBERS), failures, df.agg(F.avg(target).alias("mean")))
 
+def raw_end(df: DataFrame) -> Column:
+    return N.max_of(StationCatalog.of(df.columns).of_kind("D"))
 
-def transform(df: DataFrame, state: State, context: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """(features, info). context: (time, failure_id) of failures to look back on; the state's own without it."""
+
+def _raw(df: DataFrame, catalog: StationCatalog, stations: Stations) -> tuple[DataFrame, list[str], list[str]]:
+    """The features that depend on no fitted value, times as they are; and the names of all and of the times."""
+    measures, has = catalog.of_kind("F"), lambda names: {s: catalog.of_kind("F", s) for s in names if catalog.of_kind("F", s)}
+    d = rowwise.core_numbers(df, measures)
+    d = rowwise.station_statistics(d, list(has(stations.statistics)), catalog)
+    d = d.withColumn("_t", N.min_of(catalog.of_kind("D")))
+    # duplicates, in the order of time and id
+    d = stored(runs.adjacent_runs(d, measures, "_t"), "runs")
+    d = runs.station_duplicates(d, has(stations.duplicates), "_t")
+    d = stored(runs.rounded_duplicates(d, has(stations.rounded)), "duplicates")
+    # path
+    d = rowwise.station_counts(rowwise.visited(d, catalog, "F"), catalog)
+    d = paths.frequency(d.withColumn("path_signature", rowwise.signature(catalog, rowwise.EMPTY_PIPELINE)), "path_signature", "path_count")
+    d = d.withColumn("path_risk_tier", rowwise.risk_tier(F.col("path_count")))
+    # times
+    before = set(d.columns)
+    d = rowwise.calendar(rowwise.line_times(rowwise.entry_times(d, catalog), catalog))
+    times = [c for c in d.columns if c not in before and c != "timed_stations"]
+    d = rowwise.id_shift(history.records_around(d))
+    made = [c for c in d.columns if c not in {*df.columns, "_t"}]
+    return stored(d.select(*df.columns, *made), "raw"), made, times
+
+
+def _complete(b: DataFrame, state_of: dict[str, DataFrame], cats: list[str], times: list[str], failures: DataFrame | None) -> DataFrame:
+    """b with the features that depend on fitted tables; without failures the history stays null."""
+    b = encode.apply_encoding(b, state_of["encodings"], cats, state_of["mean"])
+    b = joins.lookup(b, state_of["paths"], "path_signature", "rate", state_of["mean"], "path_failure_rate")
+    b = rowwise.duration_flags(b, state_of["scalars"])
+    fills = state_of["medians"].where(F.col("col").isin(times)).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("col", "median"))).alias("_m"))
+    b = b.crossJoin(F.broadcast(fills))
+    b = b.withColumns({c: F.coalesce(F.col(c).cast("double"), F.try_element_at("_m", F.lit(c)), F.lit(0.0)) for c in times}).drop("_m")
+    b = stored(b, "filled")
+    if failures is None:
+        b = b.withColumns({f"since_last_{k}": F.lit(None).cast("double") for k in HISTORY})
+    else:
+        b = history.since_failures(b, failures, "end_time", "time", "failure_id", HISTORY)
+    return ordering.around_count(b, "start_time", SAME, "records_same")
+
+
+def _kind(t: str) -> str:
+    return t if t in ("tinyint", "smallint", "int", "bigint", "string") else "double"
+
+
+def fit(df: DataFrame, target: str = "Response", stations: Stations = Stations()) -> State:
+    """The state of a labelled table; fitting changes nothing else. Its own failures are the history of its rows."""
+    catalog = StationCatalog.of(df.columns)
+    b, made, times = _raw(df, catalog, stations)
+    cats, spark = catalog.of_kind("C"), df.sparkSession
+    of = {"encodings": encode.target_encoding(b, cats, target), "paths": paths.smoothed_rate(b, "path_signature", target), "scalars": encode.scalars(b, "duration"), "mean": b.agg(F.avg(target).alias("mean")), "medians": encode.medians(b, times)}
+    of = {k: stored(v, k) for k, v in of.items()}
+    filled_end = F.coalesce(F.col("end_time").cast("double"), F.lit(of["medians"].where("col = 'end_time'").first()["median"]))
+    failures = b.where(F.col(target) == 1).select(filled_end.alias("time"), F.col("Id").alias("failure_id"))
+    full = stored(_complete(b, of, cats, times, failures).drop(*df.columns), "full")
+    kinds = {c: _kind(t) for c, t in full.dtypes}
+    medians = stored(encode.medians(full, [c for c, t in kinds.items() if t != "string"]), "medians")
+    fill = {r["col"]: r["median"] for r in medians.collect()}  # a row a feature
+    told = [(i, c, t, ("unknown_path" if c == "path_signature" else "") if t == "string" else repr(float(fill[c]))) for i, (c, t) in enumerate(kinds.items())]
+    return State(of["encodings"], of["paths"], of["scalars"], medians, of["mean"], spark.createDataFrame(told, "place int, name string, kind string, fill string"))
+
+
+def failures_of(context: DataFrame) -> DataFrame:
+    """(time, failure_id) of a context's failures: it has Response, and end_time or the raw times."""
+    if "Response" not in context.columns:
+        raise ValueError("the context has no Response")
+    end = F.col("end_time") if "end_time" in context.columns else raw_end(context)
+    return context.where("Response = 1").select(end.cast("double").alias("time"), F.col("Id").alias("failure_id")).where("time is not null")
+
+
+def transform(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations()) -> tuple[DataFrame, dict]:
+    """(Id and the contract's features, info). context: labelled rows to look back on. Without usable failures the
+    history's fitted medians stand in, and info warns, unless allow_fallback is off."""
     catalog = StationCatalog.of(df.columns)
-    past = context if context is not None else state.failures
-    if past is None:
-        raise ValueError("neither a context nor fitted failures")
-    cats = catalog.of_kind("C")
-    b = stored(_base(df, catalog), "features")
-    b = encode.apply_encoding(b, state.encodings, cats, state.mean)
-    b = joins.lookup(b, state.paths, "path_signature", "rate", state.mean, "path_rate")
-    b = joins.lookup(b, state.paths.withColumn("n", F.col("n").cast("double")), "path_signature", "n", df.sparkSession.range(1).select(F.lit(0.0).alias("z")), "path_count")
-    b = history.since_failures(b, past, "start_time", "time", "failure_id")
-    b = rowwise.duration_flags(b, state.scalars)
-    keep = ["Id", *NUMBERS, *[f"{c}_target_enc" for c in cats], "path_rate", "path_count", "station_count", "since_last_1", "since_last_5", "since_last_10", "log_duration", "duration_z", "is_long", "is_short"]
-    out = impute(b.select(*keep), state.medians)
-    return out, {"features": len(keep) - 1, "missing_stations": [], "context": "given" if context is not None else "fitted"}
-
-
-def contract_of(df: DataFrame) -> list[tuple[str, str, object]]:
-    """The contract a fitted feature table sets: its columns, types and neutral fills."""
-    return [(f.name, f.dataType.simpleString(), "" if isinstance(f.dataType, T.StringType) else 0) for f in df.schema]
+    info: dict = {"temporal_context_used": False, "temporal_fallback_used": False, "warnings": []}
+    failures = None if context is None else failures_of(context)
+    if failures is not None and not failures.take(1):
+        failures = None
+    why = "no context to look back on" if context is None else "the context holds no usable failure"
+    if failures is not None:
+        info["temporal_context_used"] = True
+    elif not allow_fallback:
+        raise ValueError(f"{why}, and falling back is switched off")
+    else:
+        info["temporal_fallback_used"] = True
+        info["warnings"].append(f"{why}: fitted medians stand in for the time since failures")
+    b, _, times = _raw(df, catalog, stations)
+    full = _complete(b, {n: getattr(state, n) for n in State.NAMES}, catalog.of_kind("C"), times, failures)
+    contract = state.columns()
+    info["missing_features"] = [name for name, _, _ in contract if name not in full.columns]
+    return align(full, [("Id", "bigint", 0), *contract]), info
+
+
+def prepare(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations()) -> tuple[DataFrame, dict]:
+    """transform(), stored and checked: an error where a name tells the future or a feature holds nulls."""
+    out, info = transform(df, state, context, allow_fallback, stations)
+    out = stored(out, "prepared")
+    bad = [(r["check"], r["columns"]) for r in guard(out, [n for n, _, _ in state.columns()]).where("not passed").collect()]
+    if bad:
+        raise ValueError(f"features are not fit for a model: {bad}")
+    return out, info

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millwatch.operators import drift, metrics, model, quality, state
+from millwatch.operators import drift, metrics, model, predict, quality, state
 from millwatch.plans import datasets
 from millwatch.plans import fixtures as X
-from millwatch.plans.q_rows import SIGNED, START, _scratch, parts
+from millwatch.plans.q_rows import CATALOG, D_COLS, SIGNED, START, _scratch, parts
 from millwatch.plans.q_stats import _COST, A6, A7, O3, R6, TABLE, folds_sql, oof_sql, table, tokens_sql
 from millwatch.plans.q_windows import B, R, S, batch_rows, run_rows
 from millwatch.plans.registry import query
+from millwatch.sources.io import stored
 from millwatch.streaming import replay
 
 _F = 'list_filter([' + ", ".join(f'"{c}"' for c in X.NUMERIC) + "], lambda x: x IS NOT NULL)"
@@ -80,10 +81,14 @@ def m3(spark, sf_dir):
     return model.train_oof(_small(spark, sf_dir), model.BASELINE)[0]
 
 
+@query("m3_report")
+def m3_report(spark, sf_dir):
+    return model.fold_report(model.train_oof(_small(spark, sf_dir), model.BASELINE)[0])
+
+
 @query("a23_importance")
 def a23(spark, sf_dir):
-    _, models = model.train_oof(_small(spark, sf_dir), model.BASELINE)
-    return model.importance(spark, models, model.BASELINE)
+    return model.importance(spark, model.train_oof(_small(spark, sf_dir), model.BASELINE)[1])
 
 
 META_SQL = f"""{O3}, m AS (SELECT *, (p1 + p2 + p3) / 3 AS mean_prediction FROM oof3), meta AS (SELECT *, sqrt(((p1 - mean_prediction) * (p1 - mean_prediction) + (p2 - mean_prediction) * (p2 - mean_prediction) + (p3 - mean_prediction) * (p3 - mean_prediction)) / 3) AS std_prediction,
@@ -98,11 +103,12 @@ def m5(spark, sf_dir):
 
 @query("m6_stacked")
 def m6(spark, sf_dir):
-    from millwatch.operators import folds, ordering
-
-    m = ordering.chunk_ids(model.meta_features(X.oof3(spark, sf_dir), ["p1", "p2", "p3"]), "Id", "Id", 100)
-    m = folds.assign_folds(m, folds.group_folds(m, "chunk_id"), "chunk_id", check=False)
-    return model.train_oof(m, model.META)[0]
+    """Three base models, on the baseline and on datasets G and H, and one on their out-of-fold scores; three folds."""
+    base = datasets.with_folds(datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=CHUNK), n=3)
+    oof = lambda df, features: stored(model.train_oof(df, features, 3)[0], "oof")
+    bases = {"baseline": oof(base, model.BASELINE), "dataset_g": oof(datasets.dataset_g(base), model.DATASET_G), "dataset_h": oof(datasets.dataset_h(base), model.DATASET_H)}
+    meta = model.stack(bases, base.select("Id", "chunk_id", "cv_fold"))
+    return model.train_oof(meta, model.META, 3)[0]
 
 
 @query("m7_ensemble", f'{O3} SELECT "Id", round(((p1 + p2) / 2 + p3) / 2, 6) AS proba FROM oof3')
@@ -112,7 +118,15 @@ def m7(spark, sf_dir):
 
 @query("m8_predictions")
 def m8(spark, sf_dir):
-    return model.predictions(X.oof3(spark, sf_dir), "p3", ["p1", "p2", "absent"], "mean of two scores")
+    """Raw rows to labels: state and models are fitted, saved and loaded again."""
+    p, path = stored(parts(spark, sf_dir), "parts"), _scratch(spark, "prediction")
+    state.fit(p, stations=STATIONS).save(f"{path}/state")
+    fitted = state.State.load(spark, f"{path}/state")
+    features = state.prepare(p.drop("Response"), fitted, p, stations=STATIONS)[0]
+    folded = features.join(p.select("Id", "Response"), "Id").withColumn("cv_fold", F.pmod(F.xxhash64("Id"), F.lit(2)))
+    names = [n for n, kind, _ in fitted.columns() if kind != "string"]
+    model.train_oof(folded, names, 2)[1].save(spark, f"{path}/models")
+    return predict.predict(p.drop("Response"), fitted, model.Trained.load(spark, f"{path}/models"), p, stations=STATIONS)[0]
 
 
 @query("m9_two_stage", f'{R} SELECT "Id", CASE WHEN run_size > 1 THEN score * score ELSE score END AS final_predicted_proba, CAST(CASE WHEN run_size > 1 THEN score * score ELSE score END >= 0.5 AS INTEGER) AS predicted_label, CAST(run_size > 1 AS INTEGER) AS is_duplicate_row FROM runs')
@@ -121,12 +135,28 @@ def m9(spark, sf_dir):
     return model.route(d, "score", "second").select("Id", "final_predicted_proba", "predicted_label", "is_duplicate_row")
 
 
-@query("m10_fit_transform")
+#: Stations of the test table in the blocks that name some.
+STATIONS = state.Stations(("L0_S1", "L1_S2"), ("L0_S1", "L2_S3"), ("L0_S1",))
+_SQ = f"signed AS (SELECT \"Id\", CASE WHEN s = '' THEN 'no_stations' ELSE s END AS path_signature FROM (SELECT \"Id\", concat_ws('|', {', '.join(f"""CASE WHEN coalesce("{s}_F1", "{s}_F2") IS NOT NULL THEN '{s}' END""" for s in CATALOG.stations)}) AS s FROM parts))"
+_MED = lambda c: f"(SELECT coalesce(median({c}), 0) FROM starts0)"
+
+
+@query("m10_fit_transform", f"""WITH {X.PARTS}, {_SQ}, starts0 AS (SELECT "Id", "Response", least({D_COLS}) AS st, greatest({D_COLS}) AS et, greatest({D_COLS}) - least({D_COLS}) AS du FROM parts),
+  starts AS (SELECT "Id", "Response", coalesce(st, {_MED("st")}) AS start_time, coalesce(et, {_MED("et")}) AS end_time, coalesce(du, {_MED("du")}) AS duration FROM starts0),
+  g AS (SELECT avg("Response") AS g FROM parts), pr AS (SELECT path_signature, count(*) AS n, (sum("Response") + 10 * g) / (count(*) + 10) AS r FROM signed JOIN parts p ON signed."Id" = p."Id", g GROUP BY path_signature, g),
+  enc AS (SELECT "L0_S1_C1" AS v, avg("Response") AS r FROM parts WHERE "L0_S1_C1" IS NOT NULL GROUP BY 1),
+  f AS (SELECT DISTINCT et AS ft FROM starts0 WHERE "Response" = 1 AND et IS NOT NULL), f0 AS (SELECT DISTINCT end_time AS ft FROM starts WHERE "Response" = 1), same AS (SELECT start_time, count(*) - 1 AS c FROM starts GROUP BY 1),
+  m1 AS (SELECT coalesce(median(s.end_time - f0.ft), 0) AS m FROM starts s ASOF JOIN f0 ON s.end_time > f0.ft), r AS (SELECT "Id", row_number() OVER (ORDER BY "Id") AS r, count(*) OVER () AS n FROM parts)
+  SELECT s."Id", round(s.start_time, 6) AS start_time, round(end_time, 6) AS end_time, round(duration, 6) AS duration, pr.path_signature, CAST(pr.n AS BIGINT) AS path_count, round(pr.r, 6) AS path_failure_rate, round(coalesce(enc.r, g), 6) AS "L0_S1_C1_target_enc",
+    round(coalesce(s.end_time - f.ft, m1.m), 6) AS since_last_1, CAST(same.c AS INTEGER) AS records_same, CAST(least(r.r, 25) AS BIGINT) AS records_before_25, CAST(least(r.n - r.r + 1, 240) AS BIGINT) AS records_after_240
+  FROM starts s JOIN signed q ON s."Id" = q."Id" JOIN pr ON q.path_signature = pr.path_signature JOIN parts p ON p."Id" = s."Id" LEFT JOIN enc ON p."L0_S1_C1" = enc.v ASOF LEFT JOIN f ON s.end_time > f.ft JOIN same ON s.start_time = same.start_time JOIN r ON r."Id" = s."Id", g, m1""")
 def m10(spark, sf_dir):
-    p = parts(spark, sf_dir)
-    path = _scratch(spark, "state")
-    state.fit(p).save(path)
-    return state.transform(p.drop("Response"), state.State.load(spark, path))[0]
+    """Some of the columns that the fitted state gives the rows it was fitted on, looking back on them."""
+    p, path = stored(parts(spark, sf_dir), "parts"), _scratch(spark, "state")
+    state.fit(p, stations=STATIONS).save(path)
+    d = state.transform(p.drop("Response"), state.State.load(spark, path), p, stations=STATIONS)[0]
+    rounded = ["start_time", "end_time", "duration", "path_failure_rate", "L0_S1_C1_target_enc", "since_last_1"]
+    return d.select("Id", "path_signature", "path_count", "records_same", F.col("records_before_25").cast("bigint").alias("records_before_25"), F.col("records_after_240").cast("bigint").alias("records_after_240"), *[F.round(c, 6).alias(c) for c in rounded])
 
 
 @query("d1_stable_split")
