@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.operators.ordering import global_index, meet, running
+from millwatch.operators.ordering import meet, running
 from millwatch.sources.io import stored
 
 #: From so many reference rows distances are used, with their threshold; below, p-values with theirs.
@@ -16,10 +16,11 @@ LARGE, DISTANCE, P_VALUE = 1000, 0.1, 0.05
 
 
 def stable_split(df: DataFrame, row_id: str = "Id", share: float = 0.7, seed: int = 42) -> DataFrame:
-    """df with is_reference: the first int(share * n) rows by a hash of id and seed."""
+    """df with is_reference: the first floor(share * n) rows by a hash of id and seed."""
     n = df.agg(F.count("*").alias("_n"))
-    h = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
-    return global_index(h, "_h", row_id, "_i").crossJoin(F.broadcast(n)).withColumn("is_reference", F.col("_i") < F.floor(F.col("_n") * share)).drop("_h", "_i", "_n")
+    h = df.withColumn("_h", F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}"))))
+    placed = running(h, [F.col("_h").asc(), F.col(row_id).asc()], {"_i": F.lit(1).cast("long")}, inclusive=False)
+    return placed.crossJoin(F.broadcast(n)).withColumn("is_reference", F.col("_i") < F.floor(F.col("_n") * share)).drop("_h", "_i", "_n")
 
 
 def _fractions(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:

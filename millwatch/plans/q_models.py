@@ -159,7 +159,7 @@ def m10(spark, sf_dir):
     return d.select("Id", "path_signature", "path_count", "records_same", F.col("records_before_25").cast("bigint").alias("records_before_25"), F.col("records_after_240").cast("bigint").alias("records_after_240"), *[F.round(c, 6).alias(c) for c in rounded])
 
 
-@query("d1_stable_split")
+@query("d1_stable_split", f"""{S}, r AS (SELECT "Id", row_number() OVER (ORDER BY md5("Id" || ':42'), "Id") - 1 AS i, count(*) OVER () AS n FROM scores) SELECT "Id", i < floor(n * 0.7::DOUBLE) AS is_reference FROM r""")
 def d1(spark, sf_dir):
     return drift.stable_split(X.scores(spark, sf_dir)).select("Id", "is_reference")
 

@@ -46,7 +46,7 @@ def _scratch(spark, name):
     return f"{base.rstrip('/')}/millwatch-io-{uuid.uuid4().hex}/{name}"
 
 
-@query("s1_csv_to_parquet")
+@query("s1_csv_to_parquet", f"""{WP} SELECT "Id", CAST("Response" AS TINYINT) AS "Response", {", ".join(f'CAST({q(c)} AS FLOAT) AS {q(c)}' for c in (*X.NUMERIC, *X.DATES))}, {", ".join(map(q, X.CATEGORIES))} FROM parts""")
 def s1(spark, sf_dir):
     p = parts(spark, sf_dir)
     src, out = _scratch(spark, "csv"), _scratch(spark, "parquet")
@@ -79,17 +79,18 @@ def s6(spark, sf_dir):
     folder = _scratch(spark, "tables")
     io.write_csv(s, f"{folder}/sweep.csv")
     ddl = ", ".join(f"{c} {t}" for c, t in s.dtypes)
-    return io.read_tables(spark, folder, {"sweep.csv": ddl})["sweep.csv"]
+    back = io.read_tables(spark, folder, {"sweep.csv": ddl})["sweep.csv"]
+    return back.select("threshold", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "mcc", "positives_pct")])
 
 
-@query("s7_parquet_sink")
+@query("s7_parquet_sink", f'WITH {X.SCORES} SELECT * FROM scores')
 def s7(spark, sf_dir):
     path = _scratch(spark, "sink")
     io.write_parquet(X.scores(spark, sf_dir), path)
     return spark.read.parquet(path)
 
 
-@query("s8_csv_sink")
+@query("s8_csv_sink", f'WITH {X.SCORES} SELECT * FROM scores')
 def s8(spark, sf_dir):
     path = _scratch(spark, "sink")
     s = X.scores(spark, sf_dir)
@@ -97,6 +98,12 @@ def s8(spark, sf_dir):
     return spark.read.schema(s.schema).csv(path, header=True)
 
 
+def rounded_batches(df, first):
+    """The columns of batch metrics, measures rounded."""
+    plain = ["rows", "auto_reject_count", "manual_inspect_count", "tp", "fp", "fn", "tn"]
+    return df.select(*first, *plain, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "flagged_pct", "pred_mean", "pred_std")])
+
+
 @query("s9_append_log")
 def s9(spark, sf_dir):
     from millwatch.operators import decide
@@ -106,7 +113,7 @@ def s9(spark, sf_dir):
     m = replay.batch_metrics(decide.batches(X.scores(spark, sf_dir), 10000)).withColumnRenamed("batch", "batch_id")
     for _ in range(2):  # written twice, there once
         io.append_log(m, path)
-    return spark.read.parquet(path)
+    return rounded_batches(spark.read.parquet(path), ["batch_id", "batch_start", "batch_end"])
 
 
 @query("s10_summary")
@@ -116,7 +123,7 @@ def s10(spark, sf_dir):
     path = _scratch(spark, "summary")
     best = metrics.best_threshold(metrics.threshold_sweep(X.scores(spark, sf_dir))).select(F.lit("first").alias("model"), "threshold", "mcc")
     io.write_summary(io.upsert(best, best.withColumn("mcc", F.col("mcc") + 1), "model"), path)
-    return spark.read.schema(best.schema).json(path)
+    return spark.read.schema(best.schema).json(path).withColumn("mcc", F.round("mcc", 9))
 
 
 @query("p1_to_number", "SELECT o_orderkey, coalesce(TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE), -1) AS level, coalesce(TRY_CAST(o_orderstatus AS DOUBLE), 0) AS status FROM orders")
@@ -251,7 +258,8 @@ def p22(spark, sf_dir):
     return state.align(parts(spark, sf_dir).withColumn("half", F.col("L0_S1_F1") / 2), CONTRACT)
 
 
-@query("p23_guard")
+@query("p23_guard", f"""{WP}, n AS (SELECT count(*) FILTER ("L0_S1_F1" IS NULL) AS n FROM parts) SELECT 'missing' AS "check", 'L9_S9_F9' AS "columns", false AS passed
+  UNION ALL SELECT 'leaky', 'mean_timediff_till_next_5', false UNION ALL SELECT 'nulls', CASE WHEN n > 0 THEN 'L0_S1_F1' ELSE '' END, n = 0 FROM n""")
 def p23(spark, sf_dir):
     d = parts(spark, sf_dir).withColumn("mean_timediff_till_next_5", F.lit(0.0))
     return state.guard(d, ["L0_S1_F1", "L9_S9_F9", "Id"])

@@ -8,7 +8,8 @@ from millwatch.operators import decide, encode, folds, joins, metrics, ordering,
 from millwatch.plans import fixtures as X
 from millwatch.plans.q_rows import SIGNED, START, TOKENS, WP, parts, signed, started
 from millwatch.plans.q_windows import HYBRID, S, T
-from millwatch.plans.registry import query
+from millwatch.plans.registry import SQL, query
+from millwatch.sources.io import stored
 
 P = f"{WP}, {SIGNED}"
 O3 = f"WITH {X.OOF3}"
@@ -66,8 +67,8 @@ def _enc_sql() -> str:
 
 @query("a2_target_encoding", _enc_sql())
 def a2(spark, sf_dir):
-    d = parts(spark, sf_dir)
-    out = encode.apply_encoding(d, encode.target_encoding(d, _CATS), _CATS, d.agg(F.avg("Response").alias("g")))
+    d = stored(parts(spark, sf_dir), "parts")
+    out = encode.apply_encoding(d, stored(encode.target_encoding(d, _CATS), "encodings"), _CATS, d.agg(F.avg("Response").alias("g")))
     return out.select("Id", *[F.round(f"{c}_target_enc", 6).alias(f"{c}_target_enc") for c in _CATS])
 
 
@@ -205,6 +206,8 @@ def a12(spark, sf_dir):
     return r9(metrics.best_threshold(sweep(spark, sf_dir)), ["threshold"], ["mcc"])
 
 
+SQL["s6_csv_tables"] = SQL["a11_threshold_sweep"]
+SQL["s10_summary"] = f"{S}, {SWEEP} SELECT 'first' AS model, threshold, round(mcc + 1, 9) AS mcc FROM sweep ORDER BY sweep.mcc DESC, threshold LIMIT 1"
 BUDGET = f"""rk AS (SELECT *, row_number() OVER (ORDER BY pred DESC, "Id") AS r, count(*) OVER () AS n FROM scores), bk AS (SELECT CAST(b AS DOUBLE) AS inspection_budget_pct, CAST(ceil(n * (b / 100.0::DOUBLE)) AS BIGINT) AS selected_rows FROM range(1, 11) x(b), (SELECT count(*) AS n FROM scores)),
   bc AS (SELECT inspection_budget_pct, selected_rows, min(pred) FILTER (r = selected_rows) AS score_cutoff, {counts_sql('r <= selected_rows')} FROM bk, rk GROUP BY 1, 2), budget AS (SELECT *, {rates_sql()} FROM bc)"""
 

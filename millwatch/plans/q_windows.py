@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millwatch.operators import decide, history, ordering, runs
 from millwatch.plans import fixtures as X
-from millwatch.plans.registry import query
+from millwatch.plans.registry import SQL, query
 from millwatch.plans.q_rows import START, WP, started
 from millwatch.streaming import replay
 
@@ -205,17 +205,24 @@ def st1(spark, sf_dir):
     return replay.replay_window(X.scores(spark, sf_dir), 500, 1000)
 
 
-@query("st2_stream_replay")
+_B10 = B.replace("// 1000 AS batch", "// 10000 AS batch")
+_LOG = ", ".join(["rows", "auto_reject_count", "manual_inspect_count", "tp", "fp", "fn", "tn", *[f"round({c}, 6) AS {c}" for c in _BROUND]])
+SQL["s9_append_log"] = f"{_B10} SELECT batch AS batch_id, batch_start, batch_end, {_LOG} FROM q"
+
+
+@query("st2_stream_replay", f"{_B10} SELECT batch AS batch_id, {_LOG} FROM q")
 def st2(spark, sf_dir):
     from millwatch.plans.q_rows import _scratch
 
     base = _scratch(spark, "stream")
     replay.write_batches(X.scores(spark, sf_dir), f"{base}/in", 10000)
     replay.run_stream(spark, f"{base}/in", f"{base}/log", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/log")
+    from millwatch.plans.q_rows import rounded_batches
+
+    return rounded_batches(spark.read.parquet(f"{base}/log"), ["batch_id"])
 
 
-@query("st3_action_stream")
+@query("st3_action_stream", f"{S} SELECT \"Id\", pred, CASE WHEN pred >= 0.5 THEN 'auto_reject' ELSE 'pass' END AS action FROM scores")
 def st3(spark, sf_dir):
     from millwatch.plans.q_rows import _scratch
 
@@ -223,5 +230,3 @@ def st3(spark, sf_dir):
     replay.write_batches(X.scores(spark, sf_dir), f"{base}/in", 10000)
     replay.action_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema("Id long, pred double, action string").parquet(f"{base}/out")
-
-
