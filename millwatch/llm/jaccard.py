@@ -43,6 +43,8 @@ from millwatch.llm.common import U64, bitmap, components, flagged, maybe_in, mee
 BLOCK = 1 << 16
 #: Documents of a large cell that all of its documents are compared with first, about.
 PIVOTS = 16
+#: Large cells, or their blocks, that are broadcast; more meet their documents by size.
+FEW = 1 << 16
 #: Shingles in more documents than this may gather: their documents are dealt over SALT tasks.
 COMMON, SALT = 1 << 14, 64
 #: Share of a set that screening asks for beyond one shared shingle.
@@ -196,14 +198,18 @@ def search_cells(members: DataFrame, percent: int) -> DataFrame:
     sizes = written(members.groupBy("cell").agg(F.sum("n").alias("w"), F.count("*").alias("many")), "sizes")
     total = sizes.where(F.col("w") <= BLOCK).agg(F.sum("w")).first()[0] or 0
     tasks = max(64, 2 * int(total) // BLOCK)
-    keyed = members.withColumn("_k", F.col("cell").cast("string"))
-    sized = meet_groups(keyed, sizes.select(F.col("cell").cast("string").alias("_k"), "w", F.col("many").alias("_many"), "many"), "_k", "many")
-    whole = sized.where(F.col("w") <= BLOCK).select(F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("task"), "cell", "rep", "tokens", F.lit(0).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"))
+    big = written(sizes.where(F.col("w") > BLOCK).select("cell", "w", F.col("many").alias("_many"), "many"), "big")
+    many = big.count()
+    if many <= FEW:
+        sized = members.join(F.broadcast(big.drop("many")), "cell", "left")
+    else:
+        sized = meet_groups(members.withColumn("_k", F.col("cell").cast("string")), big.select(F.col("cell").cast("string").alias("_k"), "w", "_many", "many"), "_k", "many")
+    whole = sized.where("w is null").select(F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("task"), "cell", "rep", "tokens", F.lit(0).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"))
     found = whole.groupBy("task").applyInPandas(lambda g: _forest(g, percent), "a long, b long")
-    if not sizes.where(F.col("w") > BLOCK).take(1):
+    if not many:
         return found
     # large cells: pivots first
-    large = written(sized.where(F.col("w") > BLOCK).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / BLOCK)).cast("int")), "large")
+    large = written(sized.where("w is not null").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / BLOCK)).cast("int")), "large")
     chosen = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("_many")
     pivots = large.where(chosen).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("w") / BLOCK).cast("int") - 1))).select("cell", "block", "rep", "tokens")
     blocks = large.select("cell", "block", "rep", "tokens").groupBy("cell", "block")
@@ -213,12 +219,17 @@ def search_cells(members: DataFrame, percent: int) -> DataFrame:
     # large components have blocks of their own, the others share the cell's
     parts = large.groupBy("cell", "part").agg(F.sum("n").alias("v"), F.max("w").alias("w")).where(F.col("v") > BLOCK / 2)
     parts = parts.select("cell", "part", F.ceil(F.col("v") / BLOCK).cast("int").alias("_blocks"))
-    large = large.join(F.broadcast(parts) if parts.limit(1 << 17).count() < 1 << 17 else parts, ["cell", "part"], "left")
+    large = large.join(F.broadcast(parts) if parts.limit(FEW + 1).count() <= FEW else parts, ["cell", "part"], "left")
     own = F.col("_blocks").isNotNull()
     number = F.when(own, F.pmod(F.xxhash64("rep"), F.col("_blocks"))).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("w") / BLOCK))).cast("int")
     large = written(large.select("cell", "rep", "tokens", F.struct(F.when(own, F.col("part")).alias("part"), number.alias("number")).alias("name")), "blocks")
-    names = large.select("cell", "name").distinct().groupBy("cell").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    placed = large.join(names, "cell").withColumn("block", F.array_position("names", F.col("name")).cast("int") - 1)
+    blocks = written(large.groupBy("cell", "name").agg(F.count("*").alias("many")), "names")
+    names = blocks.groupBy("cell").agg(F.sort_array(F.collect_list("name")).alias("names"), F.sum("many").alias("many"))
+    if blocks.count() <= FEW:
+        placed = large.join(F.broadcast(names.drop("many")), "cell")
+    else:
+        placed = meet_groups(large.withColumn("_k", F.col("cell").cast("string")), names.select(F.col("cell").cast("string").alias("_k"), "names", "many"), "_k", "many")
+    placed = placed.withColumn("block", F.array_position("names", F.col("name")).cast("int") - 1)
     others = F.filter(F.transform("names", lambda name, i: F.struct(i.alias("i"), (name["part"].isNull() | ~name["part"].eqNullSafe(F.col("name.part"))).alias("other"))), lambda z: z["other"])
     pairs = placed.select("cell", "rep", "tokens", "block", F.explode(others).alias("o")).select("cell", "rep", "tokens", "block", F.least("block", "o.i").alias("x"), F.greatest("block", "o.i").alias("y"))
     rest = pairs.groupBy("cell", "x", "y").applyInPandas(lambda g: _forest(g, percent), "a long, b long")

@@ -42,6 +42,7 @@ def test_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "COMMON", 5)
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "FEW", 0 if block == 600 else 1000)
     docs = corpus(5)
     assert result(jaccard.link_classes(spark.createDataFrame(docs, SCHEMA), words=4, percent=85)) == brute.jaccard(docs, 4, 85)
 
