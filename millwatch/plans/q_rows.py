@@ -55,10 +55,11 @@ def s1(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@query("s2_types", f"""{WP} SELECT CAST("Id" AS BIGINT) AS "Id", CAST("Response" AS TINYINT) AS "Response", {", ".join(f'CAST({q(c)} AS FLOAT) AS {q(c)}' for c in X.NUMERIC)} FROM parts""")
+@query("s2_types", f"""{WP} SELECT CAST("Id" AS BIGINT) AS "Id", CAST("Response" AS TINYINT) AS "Response", {", ".join(f'CAST({q(c)} AS FLOAT) AS {q(c)}' for c in X.NUMERIC)}, CAST("Id" % 100 AS TINYINT) AS small, CAST("Id" % 100 * 300 AS SMALLINT) AS middle FROM parts""")
 def s2(spark, sf_dir):
-    d = parts(spark, sf_dir).select("Id", "Response", *X.NUMERIC)
-    return io.optimize_types(d.select(*[F.col(c).cast("string").alias(c) for c in d.columns]))
+    d = parts(spark, sf_dir).select("Id", "Response", *X.NUMERIC, (F.col("Id") % 100).alias("small"), (F.col("Id") % 100 * 300).alias("middle"))
+    kinds = io.narrowest(d, ["small", "middle"])
+    return io.optimize_types(d.select(*[F.col(c).cast("string").alias(c) for c in d.columns]), kinds)
 
 
 @query("s4_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")

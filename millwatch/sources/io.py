@@ -17,10 +17,12 @@ def raw_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, names: list[str], overwrite: bool = False) -> None:
-    """All CSV files below `source` as one typed Parquet table; an existing target stays unless overwrite."""
+def csv_to_parquet(spark: SparkSession, source: str, target: str, names: list[str], overwrite: bool = False, whole: tuple[str, ...] = ()) -> None:
+    """All CSV files below `source` as one typed Parquet table; an existing target stays unless overwrite. `whole`: columns
+    of whole numbers, which get the narrowest type that holds them all (one more pass over these columns)."""
     rows = spark.read.schema(raw_schema(names)).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(source, header=True)
-    optimize_types(rows).write.mode("overwrite" if overwrite else "ignore").parquet(target)
+    kinds = narrowest(rows.select(*[F.col(c).try_cast("bigint").alias(c) for c in whole]), list(whole)) if whole else None
+    optimize_types(rows, kinds).write.mode("overwrite" if overwrite else "ignore").parquet(target)
 
 
 def optimize_types(df: DataFrame, whole: dict[str, str] | None = None) -> DataFrame:
