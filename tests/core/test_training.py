@@ -1,14 +1,22 @@
 """Registered training queries run the operator's own rounds and depth."""
 
+import pytest
+
 from millwatch.operators import model
 from millwatch.plans import q_models
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_defaults(spark, monkeypatch):
+@pytest.mark.parametrize("query", [q_models.m3, q_models.m6, q_models.a23, q_models.m3_report])
+def test_defaults(spark, monkeypatch, query):
     seen = []
-    monkeypatch.setattr(model, "train_oof", lambda df, features, **params: (seen.append(params), (df, []))[1])
-    for query in (q_models.m3, q_models.m6, q_models.a23):
+
+    def stop(train, features, fills, target, **params):
+        seen.append(params)
+        raise KeyError("seen enough")
+
+    monkeypatch.setattr(model, "fit_one", stop)
+    with pytest.raises(KeyError, match="seen enough"):
         query(spark, SF)
-    assert seen == [{}, {}, {}]
+    assert seen and all(p == {} for p in seen)
