@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = rows.select(F.col("key").alias("doc_id"), "id")
     named = written(classes.join(ids, "doc_id").select(F.col("component_id").alias("c"), F.struct(F.col("id").isNull().alias("z"), "id", F.col("doc_id").alias("key")).alias("who")), "named")
     best = named.groupBy("c").agg(F.min("who").alias("best"))
-    gone = named.join(best, "c").where("who.key <> best.key").select("who.key").distinct()
+    gone = named.select("who.key").distinct().join(best.select("best.key"), "key", "left_anti")
     kept = rows.join(gone, "key", "left_anti")
     twice = written(rows.groupBy("key").count().where("count > 1").select("key"), "twice")
     if twice.take(1):
