@@ -9,7 +9,7 @@ one without a letter. A language without such documents uses the widest room of
 
 Fitting reads a bounded sample of every labelled language: about `most_fit` documents and `most_text` characters,
 chosen by a hash of key and text (one document at least), and a quarter as many others for calibration. A language's
-n-grams are counted by a shuffle and fitted in one task. Predicting reads whole texts, in pieces of 2 MB; the models are
+n-grams are counted by a shuffle and fitted in one task. Predicting reads whole texts, in pieces of half a MB; the models are
 broadcast in blocks of `MODEL_BYTES` (one, but for hundreds of languages), and documents pass the blocks one after the
 other, keeping the best language so far.
 
@@ -206,7 +206,7 @@ def _search(df: DataFrame, models: Models, text: str) -> DataFrame:
         held = df.sparkSession.sparkContext.broadcast(models.load(names) if names else [])
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, first=number == 0) -> Iterator[pa.RecordBatch]:
-            for batch, data, offs in pieces(batches, text):
+            for batch, data, offs in pieces(batches, text, 1 << 19):
                 rows = batch.num_rows
                 row, chars = grams(data, offs)
                 n = np.bincount(row, minlength=rows)
