@@ -16,6 +16,8 @@ from millwatch.sources.io import stored
 
 #: Rows of a range. Spark's range partitioner samples, so a range may hold some three times as many.
 ROWS = 1 << 19
+#: Ranges whose figures (some numbers each) may be broadcast: 69 billion rows.
+MOST_RANGES = 1 << 17
 
 
 def ranges(df: DataFrame, order: list[Column], n: int | None = None) -> tuple[DataFrame, int]:
@@ -33,11 +35,12 @@ def by_key(key: str, row_id: str, descending: bool = False) -> list[Column]:
     return [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last(), F.col(row_id).asc()]
 
 
-def meet(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Joins rows to the figures of their range or group; groups may be null."""
+def meet(rows: DataFrame, small: DataFrame, on: list[str], parts: int | None = None) -> DataFrame:
+    """Joins rows to the figures of their range or group; groups may be null. parts: small has a row a range, of which
+    there are so many; it is broadcast up to MOST_RANGES, and beyond that shuffled, a range's rows being one task's."""
     right = small.select(*[F.col(c).alias(f"_j_{c}") for c in on], *[c for c in small.columns if c not in on])
-    if on == ["_b"]:
-        right = F.broadcast(right)  # a row a range
+    if parts is not None and parts <= MOST_RANGES:
+        right = F.broadcast(right)
     cond = F.lit(True)
     for c in on:
         cond = cond & rows[c].eqNullSafe(right[f"_j_{c}"])
@@ -60,7 +63,7 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], within:
         before = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
         more = {f"{k}_total": F.sum(f"_s_{k}").over(group) for k in sums} if totals else {}
         per = per.withColumns({f"_o_{k}": F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)) for k in sums} | more).drop(*[f"_s_{k}" for k in sums])
-        run = meet(run, per, [*within, "_b"]).withColumns({k: F.col(k) + F.col(f"_o_{k}") for k in sums}).drop(*[f"_o_{k}" for k in sums])
+        run = meet(run, per, [*within, "_b"], None if within else parts).withColumns({k: F.col(k) + F.col(f"_o_{k}") for k in sums}).drop(*[f"_o_{k}" for k in sums])
     return run if keep else run.drop("_b")
 
 
@@ -112,7 +115,7 @@ def trailing_counts(df: DataFrame, key: str, row_id: str, widths: dict[str, floa
         if parts > 1:
             sizes = per.groupBy("_b").agg(F.sum("_n").alias("_m"))
             starts = sizes.select("_b", F.coalesce(F.sum("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-            rows = meet(rows, starts, ["_b"]).withColumn(place, F.col(place) + F.col("_o")).drop("_o")
+            rows = meet(rows, starts, ["_b"], parts).withColumn(place, F.col(place) + F.col("_o")).drop("_o")
     return rows.drop("_b")
 
 
@@ -146,7 +149,7 @@ def as_of(left: DataFrame, right: DataFrame, left_key: str, right_key: str, righ
     if parts > 1:
         tails = both.groupBy(*within, "_b").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col("_k"))).alias("_t"))
         carry = tails.withColumn("_carry", F.last("_t", ignorenulls=True).over(W.partitionBy(*within).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).drop("_t")
-        seen = meet(seen, carry, [*within, "_b"]).withColumn("_last", F.coalesce("_last", "_carry"))
+        seen = meet(seen, carry, [*within, "_b"], None if within else parts).withColumn("_last", F.coalesce("_last", "_carry"))
     found = seen.where(F.col("_side") == side[1]).select(*within, "_k", F.col("_last").alias("_v"))
     out = meet(left.withColumn("_k", F.col(left_key).cast("double")), found, [*within, "_k"])
     return out.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])

@@ -16,35 +16,42 @@ SPREAD = 1024
 
 def adjacent_runs(df: DataFrame, keys: list[str], start: str = "start_time", row_id: str = "Id") -> DataFrame:
     """is_duplicate, run_id (from 1), run_size, run_rank, run_rank_desc in the order (start, id), nulls last: a run is a
-    stretch of rows with equal keys, nulls being equal. Each range of the order hands on its last key, its rows and
-    runs so far, where its last run began, and where its first new one does; ranks and sizes are differences of places."""
+    stretch of rows with equal keys, nulls being equal. A row knows where its run begins from the rows before it and
+    where the next one begins from the rows after it, both by frames that grow (forwards and backwards) in its range;
+    each range hands on its rows and runs so far, where its last run began and where its first new one does. Ranks and
+    sizes are differences of places, so a run of any length is neither a group nor a frame. Rows equal in start and id
+    take any order; an empty table gives none."""
     key, order = F.struct(*keys), by_key(start, row_id)
     b, parts = ranges(df, order)
     w = W.partitionBy("_b").orderBy(*order)
     j = b.withColumns({"_prev": F.lag(key).over(w), "_i": F.row_number().over(w).cast("long")})
     same = (F.col("_i") > 1) & F.col("_prev").eqNullSafe(key)
     if parts > 1:
-        ends = b.groupBy("_b").agg(F.max_by(key, F.struct(F.col(start).isNull().alias("z"), F.col(start).alias("s"), F.col(row_id).alias("i"))).alias("_end"))
-        over = W.orderBy("_b")
-        j = meet(j, ends.withColumns({"_carry": F.lag("_end").over(over), "_has": F.lag(F.lit(1)).over(over)}).drop("_end"), ["_b"])
-        same = F.when(F.col("_i") == 1, F.col("_has").isNotNull() & F.col("_carry").eqNullSafe(key)).otherwise(F.col("_prev").eqNullSafe(key))
-    j = j.withColumn("is_duplicate", same.cast("int"))
-    new = F.when(F.col("is_duplicate") == 0, F.col("_i"))
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    j = j.withColumns({"run_id": F.sum((1 - F.col("is_duplicate")).cast("long")).over(upto), "_from": F.max(new).over(upto), "_next": F.min(new).over(w.rowsBetween(1, W.unboundedFollowing)), "_new": new})
-    j = j.drop("_prev", "_carry", "_has")
+        j = stored(j.withColumn("_same", same).drop("_prev"), "places")
+        per = j.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_at", F.row_number().over(W.orderBy("_b")))
+        # each range's first row meets the last one of the range before it: whole keys, two rows a range
+        edge = lambda row, step, name: meet(row.select("_b", key.alias(name)), per, ["_b"], parts).select((F.col("_at") + step).alias("_at"), name, *(["_b"] if step == 0 else []))
+        ends = meet(j, per.select("_b", F.col("_n").alias("_end")), ["_b"], parts).where("_i = _end")
+        goes_on = edge(j.where("_i = 1"), 0, "_first").join(edge(ends, 1, "_last"), "_at").select("_b", F.col("_first").eqNullSafe(F.col("_last")).alias("_on"))
+        j = meet(j, goes_on, ["_b"], parts)
+        same = F.when(F.col("_i") == 1, F.coalesce("_on", F.lit(False))).otherwise(F.col("_same"))
+    j = j.withColumn("is_duplicate", same.cast("int")).drop("_prev", "_same", "_on")
+    j = j.withColumn("_new", F.when(F.col("is_duplicate") == 0, F.col("_i")))
+    upto = W.partitionBy("_b").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy("_b").orderBy(F.desc("_i")).rowsBetween(W.unboundedPreceding, -1)
+    j = j.withColumns({"run_id": F.count("_new").over(upto), "_from": F.max("_new").over(upto)}).withColumn("_next", F.min("_new").over(after))
     if parts > 1:
         j = stored(j, "runs")
         per = j.groupBy("_b").agg(F.count("*").alias("_n"), F.count("_new").alias("_c"), F.max("_new").alias("_l"), F.min("_new").alias("_f"))
-        past, later = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_b").rowsBetween(1, W.unboundedFollowing)
+        past, later = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
         per = per.withColumns({"_o": F.coalesce(F.sum("_n").over(past), F.lit(0)), "_oc": F.coalesce(F.sum("_c").over(past), F.lit(0)), "_end": F.sum("_n").over(W.partitionBy()) + 1})
         per = per.withColumns({"_l": F.col("_l") + F.col("_o"), "_f": F.col("_f") + F.col("_o")})
-        per = per.withColumns({"_pl": F.last("_l", ignorenulls=True).over(past), "_nf": F.first("_f", ignorenulls=True).over(later)}).drop("_n", "_c", "_l", "_f")
-        j = meet(j, per, ["_b"])
+        per = per.withColumn("_pl", F.last("_l", ignorenulls=True).over(past)).withColumn("_nf", F.last("_f", ignorenulls=True).over(later)).drop("_n", "_c", "_l", "_f")
+        j = meet(j, per, ["_b"], parts)
     else:
         j = j.withColumns({"_o": F.lit(0), "_oc": F.lit(0), "_pl": F.lit(None).cast("long"), "_nf": F.lit(None).cast("long"), "_end": F.count("*").over(W.partitionBy("_b")) + 1})
     begin = F.coalesce(F.col("_from") + F.col("_o"), F.col("_pl"))
-    j = j.withColumns({"run_id": F.coalesce("run_id", F.lit(0)) + F.col("_oc"), "run_size": F.coalesce(F.col("_next") + F.col("_o"), F.col("_nf"), F.col("_end")) - begin, "run_rank": (F.col("_i") + F.col("_o") - begin + 1).cast("int")})
+    j = j.withColumns({"run_id": F.col("run_id") + F.col("_oc"), "run_size": F.coalesce(F.col("_next") + F.col("_o"), F.col("_nf"), F.col("_end")) - begin, "run_rank": (F.col("_i") + F.col("_o") - begin + 1).cast("int")})
     return j.withColumn("run_rank_desc", F.col("run_size") - F.col("run_rank") + 1).drop("_b", "_i", "_from", "_next", "_new", "_o", "_oc", "_pl", "_nf", "_end")
 
 
