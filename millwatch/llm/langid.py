@@ -1,6 +1,6 @@
 """Language identification: one interpolated Kneser-Ney character model (order 4) a language.
 
-Text is lower-cased; everything but letters becomes one space. A model is a set of arrays sorted by the 64-bit hash of an
+Text is lower-cased; everything but letters and the marks that combine with them becomes one space. A model is a set of arrays sorted by the 64-bit hash of an
 n-gram beside interpolated probabilities, and by that of a context beside back-off weights, found by binary search. A
 document gets the language whose model has the lowest cross-entropy per character. Rejection is calibrated: on
 labelled documents that the models didn't see, each language learns its median cross-entropy and, for four classes of
@@ -45,16 +45,25 @@ QUANTILE = 0.99
 _TABLE: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
-    """For each code point its lower-case letter, or a space. No letters lie between U+40000 and U+E0000."""
+def _tables() -> list[np.ndarray]:
+    """For each code point its lower-case letter, itself if it is a mark, or a space; and whether it is a letter. No
+    letters or marks lie between U+40000 and U+E0000."""
     if not _TABLE:
-        t = np.full(0x110000, SPACE, dtype=np.uint32)
+        t, letter = np.full(0x110000, SPACE, dtype=np.uint32), np.zeros(0x110000, dtype=bool)
         for c in [*range(0x40000), *range(0xE0000, 0x110000)]:
             ch = chr(c)
-            if unicodedata.category(ch)[0] in "LM":
+            kind = unicodedata.category(ch)[0]
+            if kind in "LM":
                 t[c] = ord(ch.lower()[0])
-        _TABLE.append(t)
-    return _TABLE[0]
+            letter[c] = kind == "L"
+        letter[t[letter]] = True
+        _TABLE.extend([t, letter])
+    return _TABLE
+
+
+def is_letter(chars: np.ndarray) -> np.ndarray:
+    """Marks alone (accents, variation selectors, keycaps) are no letters."""
+    return _tables()[1][chars.astype(np.int64)]
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -68,7 +77,7 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarr
     out = np.full(len(point) + 3 * rows, EDGE, dtype=np.uint32)
     own = np.full(len(out), -1, dtype=np.int64)
     place = np.arange(len(point)) + 3 * (row + 1)
-    out[place], own[place] = _letters()[point], row
+    out[place], own[place] = _tables()[0][point], row
     keep = np.ones(len(out), dtype=bool)
     keep[1:] = (out[1:] != SPACE) | (out[:-1] != SPACE)
     out, own = out[keep], own[keep]
@@ -211,7 +220,7 @@ def _search(df: DataFrame, models: Models, text: str) -> DataFrame:
                 row, chars = grams(data, offs)
                 n = np.bincount(row, minlength=rows)
                 ids, some = _distinct(chars)
-                letter = np.bincount(row, weights=(chars[-1] != SPACE), minlength=rows) > 0
+                letter = np.bincount(row, weights=is_letter(chars[-1]), minlength=rows) > 0
                 bits = np.array([np.bincount(row, weights=surprise(m, some)[ids], minlength=rows) / np.maximum(n, 1) for _, m, _, _ in held.value]).reshape(len(held.value), rows)
                 if first:
                     best, low, z, mean, room = np.full(rows, None, dtype=object), np.full(rows, np.inf), np.zeros(rows), np.zeros(rows), np.zeros(rows)

@@ -168,6 +168,11 @@ def test_language_odd(spark, monkeypatch):
     got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in out.collect()}
     assert all(got[k] == ("und", True) for k in (1, 2, 3)) and got[4] == ("en", False) and got[5][1] and got[6][1]
     assert langid.identify(odd.limit(0), model).count() == 0
+    # marks alone are no letters: emoji with selectors, keycaps, lone accents; with a letter they are part of the text
+    bare = ["\u2764\ufe0f 12 \u2600\ufe0f 1\ufe0f\u20e3", "1\u20e3 2\u20e3", "\u0301 \u0308\u0300", "\u0903 \u20dd", "42", "\u00b2 \u00bd \u2167", "-\n\t_"]
+    marks = spark.createDataFrame([*enumerate(bare), (100, "e\u0301"), (101, "\u2764\ufe0f a")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in langid.identify(marks, model).collect()}
+    assert all(got[k] == ("und", 0.0, True) for k in range(len(bare))) and got[100][0] != "und" and got[101][0] != "und"
     none = langid.fit(docs.limit(0).select(F.lit("k").alias("key"), "text", "lang"))
     assert {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"}
     # a language a block gives what one block gives
