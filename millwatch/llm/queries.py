@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwatch.llm import ann, chat, decontaminate, jaccard, langid, licenses, mixing, repeats, sharding, urls
+from millwatch.llm import ann, chat, decontaminate, jaccard, langid, licenses, mixing, repeats, sharding, urls, whitening
 from millwatch.llm.common import WORD, word_count
 
 #: The shards of the query and the pipeline.
@@ -99,8 +99,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, appeal="appeal").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_nearest, op3_licenses, op4_jaccard, op5_repeats, op6_decontaminate, op7_chat, op8_urls, op9_langid, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_nearest, op3_licenses, op4_jaccard, op5_repeats, op6_decontaminate, op7_chat, op8_urls, op9_langid, op10_mixing, op13_whitening)}
 
 
 def _q(values) -> str:
