@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwatch.llm import ann, chat, decontaminate, jaccard, langid, licenses, mixing, repeats, sharding, urls, whitening
+from millwatch.llm import ann, chat, decontaminate, jaccard, langid, licenses, merkle, mixing, repeats, sharding, urls, whitening
 from millwatch.llm.common import WORD, word_count
 
 #: The shards of the query and the pipeline.
@@ -99,12 +99,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, appeal="appeal").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering lower-cases A-Z of the texts that every_fifth() names."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered=merkle.every_fifth(F.col("doc_id")), tamper={"text": merkle.lower_case(F.col("text"))}).drop("position")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_nearest, op3_licenses, op4_jaccard, op5_repeats, op6_decontaminate, op7_chat, op8_urls, op9_langid, op10_mixing, op13_whitening)}
+    return {f.__name__: f for f in (op1_sharding, op2_nearest, op3_licenses, op4_jaccard, op5_repeats, op6_decontaminate, op7_chat, op8_urls, op9_langid, op10_mixing, op11_merkle, op13_whitening)}
 
 
 def _q(values) -> str:
@@ -182,5 +188,32 @@ def op3_sql() -> str:
     SELECT doc_id, f.dir || '/' || CAST(doc_id AS VARCHAR) AS path, own_license, own_score, coalesce(own_license, sp.name) AS license, CASE WHEN own_license IS NULL AND sp.name IS NOT NULL THEN sp.dir END AS license_dir, is_license_file FROM f LEFT JOIN sp ON f.dir = sp.dir"""
 
 
+def op11_sql(levels: int = 5, tops: int = 2) -> str:
+    """For 16 ** levels rows a source and 16 ** tops sources at most. A group that is down to one node passes."""
+    enc = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    row = lambda text: "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    crc = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, CAST(i AS INTEGER), 1)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+    run = lambda n, of, value: f"r{n} AS (SELECT g, p // 16 AS q, list({value} ORDER BY p) AS kids, any_value(m) AS m FROM {of} GROUP BY 1, 2), n{n} AS (SELECT g, q AS p, (m + 15) // 16 AS m, CASE WHEN m > 1 THEN sha256(array_to_string(kids, '')) ELSE kids[1] END AS d FROM r{n})"
+    ctes = [run(1, "n0", "leaf"), *[run(k, f"n{k - 1}", "d") for k in range(2, levels + 1)]]
+    ctes.append(f"t0 AS (SELECT '' AS g, g AS source, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS m, d FROM n{levels})")
+    ctes += [run(f"t{k}", "t0" if k == 1 else f"nt{k - 1}", "d") for k in range(1, tops + 1)]
+    folds, joins, sides = "e.seen", [], []
+    steps = [(f"r{k}", "e.g", f"(e.p // {16 ** (k - 1)})") for k in range(1, levels + 1)] + [(f"rt{k}", "''", f"(t0.p // {16 ** (k - 1)})") for k in range(1, tops + 1)]
+    for i, (t, g, p) in enumerate(steps):
+        joins.append(f"JOIN {t} ON {t}.g = {g} AND {t}.q = {p} // 16")
+        left, right = f"array_to_string({t}.kids[1:CAST({p} % 16 AS INTEGER)], '')", f"array_to_string({t}.kids[CAST({p} % 16 AS INTEGER) + 2:], '')"
+        sides += [f"coalesce({left}, '') AS l{i}", f"coalesce({right}, '') AS x{i}", f"{t}.m AS m{i}"]
+    path = [f"f0 AS (SELECT e.doc_id, e.leaf, e.seen AS f, t0.d AS subroot, {', '.join(sides)} FROM n0 e JOIN t0 ON t0.source = e.g {' '.join(joins)})"]
+    for i in range(len(steps)):
+        path.append(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN m{i} > 1 THEN sha256(l{i} || f || x{i}) ELSE f END AS f) FROM f{i})")
+    proof = " || ".join(f"l{i} || x{i}" for i in range(len(steps)))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, {row("text")} AS leaf, CAST(doc_id AS VARCHAR) AS k, {row(f"translate(text, '{upper}', '{upper.lower()}')")} AS other FROM documents),
+    n0 AS (SELECT doc_id, g, leaf, CASE WHEN k IS NOT NULL AND {crc} % 5 = 0 THEN other ELSE leaf END AS seen, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS m FROM d),
+    {", ".join(ctes)}, top AS (SELECT d AS root FROM nt{tops}), {", ".join(path)}
+    SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{len(steps)}, top"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sql(), "op3_licenses": op3_sql(), "op7_chat": op7_sql(), "op10_mixing": op10_sql()}
+    return {"op1_sharding": op1_sql(), "op3_licenses": op3_sql(), "op7_chat": op7_sql(), "op10_mixing": op10_sql(), "op11_merkle": op11_sql()}
