@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwatch.llm import ann, chat, decontaminate, jaccard, langid, licenses, merkle, mixing, repeats, sharding, urls, whitening
+from millwatch.llm import ann, chat, decontaminate, jaccard, langid, licenses, merkle, mixing, phrases, repeats, sharding, urls, whitening
 from millwatch.llm.common import WORD, word_count
 
 #: The shards of the query and the pipeline.
@@ -105,12 +105,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, tampered=merkle.every_fifth(F.col("doc_id")), tamper={"text": merkle.lower_case(F.col("text"))}).drop("position")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.remove_phrases(table(spark, sf_dir, "documents"), window=50, digest=True)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_nearest, op3_licenses, op4_jaccard, op5_repeats, op6_decontaminate, op7_chat, op8_urls, op9_langid, op10_mixing, op11_merkle, op13_whitening)}
+    return {f.__name__: f for f in (op1_sharding, op2_nearest, op3_licenses, op4_jaccard, op5_repeats, op6_decontaminate, op7_chat, op8_urls, op9_langid, op10_mixing, op11_merkle, op12_phrases, op13_whitening)}
 
 
 def _q(values) -> str:

@@ -124,8 +124,12 @@ def _sample_grams(depth: int):
 def frequent_grams(long: DataFrame, depth: int) -> np.ndarray | None:
     """Bits of the grams that are frequent in the sample; None if there are none."""
     some = long.where(F.pmod(F.xxhash64("doc", "m"), F.lit(SAMPLE)) == 0).select("text")
-    counts = some.mapInArrow(_sample_grams(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    counts = written(counts, "frequent")
+    return hot_bits(some.mapInArrow(_sample_grams(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+
+
+def hot_bits(counts: DataFrame) -> np.ndarray | None:
+    """Bits of the grams (gram, n) that a sample holds often enough; None if there are none."""
+    counts = written(counts.where(F.col("n") >= OFTEN), "frequent")
     levels = counts.groupBy(F.floor(F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()  # a row a power of two
     least, held = None, 0
     for r in levels:
