@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.operators import joins
-from millwatch.operators.ordering import running
+from millwatch.operators.ordering import meet_groups, running
 from millwatch.operators.paths import parse
 from millwatch.sources.io import stored
 
@@ -18,19 +17,41 @@ def target_encoding(df: DataFrame, cols: list[str], target: str = "Response") ->
     return long.where("value is not null").groupBy("col", "value").agg(F.avg(target).alias("rate"))
 
 
-def apply_encoding(df: DataFrame, table: DataFrame, cols: list[str], default: DataFrame, suffix: str = "_target_enc") -> DataFrame:
-    """df with each column's encoding; null, unseen and absent values get the default. Each column meets its own values
-    in a join; their table is broadcast where its size, counted first, allows."""
+#: Values of a column whose rates are one map, and of all such columns together; a column with more meets its values in
+#: the one join that all such columns share.
+MAP_VALUES, MOST_MAPPED = 32, 1 << 16
+
+
+def apply_encoding(df: DataFrame, table: DataFrame, cols: list[str], default: DataFrame, suffix: str = "_target_enc", row_id: str = "Id") -> DataFrame:
+    """df with each column's encoding; null, unseen and absent values get the default. Columns with few values take them
+    from maps in one broadcast row of bounded size. The others are unpivoted, without their nulls, meet all their rates
+    in one join that sets heavy values apart, and come back as one map a row (row_id tells rows apart; without a column
+    of that name a row's own hash does)."""
     sizes = {r["col"]: r["count"] for r in table.groupBy("col").count().collect()}  # a row a column
+    known = [c for c in cols if c in df.columns and sizes.get(c)]
+    small, held = [], 0
+    for c in sorted(known, key=lambda c: sizes[c]):
+        if sizes[c] <= MAP_VALUES and held + sizes[c] <= MOST_MAPPED:
+            small.append(c)
+            held += sizes[c]
+    large = [c for c in known if c not in set(small)]
     out = df.crossJoin(F.broadcast(default.select(F.col(default.columns[0]).alias("_g"))))
-    for c in cols:
-        if c not in df.columns or not sizes.get(c):
-            out = out.withColumn(f"{c}{suffix}", F.col("_g"))
-            continue
-        t = table.where(F.col("col") == c).select(F.col("value").alias("_k"), F.col("rate").alias("_v"))
-        t = F.broadcast(t) if sizes[c] <= joins.MOST_BROADCAST else t
-        out = out.join(t, F.col(c).cast("string") == F.col("_k"), "left").withColumn(f"{c}{suffix}", F.coalesce("_v", "_g")).drop("_k", "_v")
-    return out.drop("_g")
+    found: dict[str, Column] = {}
+    if small:
+        per = table.where(F.col("col").isin(small)).groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("value", "rate"))).alias("m"))
+        maps = per.groupBy().agg(*[F.first(F.when(F.col("col") == c, F.col("m")), ignorenulls=True).alias(f"_m{i}") for i, c in enumerate(small)])
+        out = out.crossJoin(F.broadcast(maps))
+        found |= {c: F.when(F.col(c).isNotNull(), F.try_element_at(F.col(f"_m{i}"), F.col(c).cast("string"))) for i, c in enumerate(small)}
+    if large:
+        out = out.withColumn("_row", F.col(row_id) if row_id in df.columns else F.sha2(F.to_json(F.struct(*df.columns)), 256))
+        # a value of a column as one key; nulls leave before anything is shuffled
+        each = out.select("_row", F.explode(F.filter(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in large]), lambda p: p["value"].isNotNull())).alias("p")).select("_row", "p.*")
+        rated = meet_groups(each, table.where(F.col("col").isin(large)), ["col", "value"]).where("rate is not null")
+        back = rated.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("col", "rate"))).alias("_e"))
+        out = out.join(back, "_row", "left").drop("_row")
+        found |= {c: F.try_element_at(F.col("_e"), F.lit(c)) for c in large}
+    out = out.withColumns({f"{c}{suffix}": F.coalesce(found.get(c, F.lit(None).cast("double")), F.col("_g")) for c in cols})
+    return out.drop("_g", "_e", *[f"_m{i}" for i in range(len(small))])
 
 
 def percentiles(df: DataFrame, cols: list[str], shares: list[float]) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lookup tables up to this many rows are broadcast.
-MOST_BROADCAST = 1 << 17
+from millwatch.operators.ordering import meet_groups
 
 
 def one_to_one(left: DataFrame, right: DataFrame, on: str = "Id", check: bool = True) -> DataFrame:
@@ -26,8 +25,7 @@ def left_filled(left: DataFrame, right: DataFrame, on: str, fills: dict[str, obj
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: DataFrame, out: str) -> DataFrame:
     """df with `out`: the table's value for the key, else the one value of the one-row default. The table is broadcast
-    when its size allows, else joined by a shuffle."""
-    t = table.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
-    t = F.broadcast(t) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else t
+    when its size allows, else joined by a shuffle that sets heavy keys apart."""
     one = default.select(F.col(default.columns[0]).alias("_d"))
-    return df.join(t, df[key].eqNullSafe(t["_k"]), "left").crossJoin(F.broadcast(one)).withColumn(out, F.coalesce("_v", "_d")).drop("_k", "_v", "_d")
+    met = meet_groups(df.withColumn("_k", F.col(key)), table.select(F.col(key).alias("_k"), F.col(value).alias("_v")), ["_k"])
+    return met.crossJoin(F.broadcast(one)).withColumn(out, F.coalesce("_v", "_d")).drop("_k", "_v", "_d")

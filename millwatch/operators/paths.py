@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwatch.operators.ordering import meet_groups
 from millwatch.operators.rowwise import EMPTY_BASELINE
 
 
@@ -26,9 +27,9 @@ def pairs(tokens: Column) -> Column:
 
 
 def frequency(df: DataFrame, col: str, out: str) -> DataFrame:
-    """df with the number of rows that share the column's value, nulls among themselves."""
-    per = df.groupBy(F.col(col).alias("_k")).agg(F.count("*").alias(out))
-    return df.join(per, df[col].eqNullSafe(per["_k"]), "left").drop("_k")
+    """df with the number of rows that share the column's value, nulls among themselves; heavy values meet theirs apart."""
+    per = df.groupBy(col).agg(F.count("*").alias("_n"), F.count("*").alias(out))
+    return meet_groups(df, per, [col], "_n")
 
 
 def smoothed_rate(df: DataFrame, key: str, target: str = "Response", weight: float = 10.0) -> DataFrame:

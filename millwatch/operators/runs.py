@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
-from millwatch.operators.ordering import by_key, meet, ranges, running
+from millwatch.operators.ordering import by_key, meet, meet_groups, ranges, running
 from millwatch.sources.io import stored
 
 #: Rows without data are spread over so many groups, where they would meet in one.
@@ -106,8 +106,10 @@ def expanding_mean(df: DataFrame, score: str, out: str = "prev_score_mean") -> D
 
 
 def run_statistics(df: DataFrame, score: str, duration: str = "duration") -> DataFrame:
-    per = df.groupBy("run_id").agg(F.avg(score).alias("run_score_mean"), F.max(score).alias("run_score_max"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("run_score_std"), F.avg(duration).alias("run_duration_mean"), (F.max(duration) - F.min(duration)).alias("run_duration_range"))
-    return df.join(per, "run_id")
+    """df with its run's mean, maximum and deviation of scores and mean and range of durations; long runs meet theirs
+    apart, so a run is no task."""
+    per = df.groupBy("run_id").agg(F.count("*").alias("_n"), F.avg(score).alias("run_score_mean"), F.max(score).alias("run_score_max"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("run_score_std"), F.avg(duration).alias("run_duration_mean"), (F.max(duration) - F.min(duration)).alias("run_duration_range"))
+    return meet_groups(df, per, ["run_id"], "_n")
 
 
 def run_rank_of(df: DataFrame, col: str, out: str) -> DataFrame:

@@ -51,4 +51,11 @@ def dataset_h(df: DataFrame) -> DataFrame:
     a = encode.signature_token_stats(df, "path_signature", steps, encode.oof_token_rates(df, "path_signature", steps), ("transition_fail_rate_mean", "transition_fail_rate_max", "transition_fail_rate_std"))
     b = encode.signature_token_stats(df, "path_signature", tokens, encode.oof_token_rates(df, "path_signature", tokens), ("station_risk_mean", "_m", "_s")).drop("_m", "_s")
     c = paths.pair_cooccurrence(df)
-    return df.join(a, ["path_signature", "cv_fold"], "left").join(b, ["path_signature", "cv_fold"], "left").join(c, "path_signature", "left")
+    key = ["path_signature", "cv_fold"]
+    sizes = stored(df.groupBy(*key).agg(F.count("*").alias("_n")), "signatures")
+    # all figures of a signature and fold are one row, which its rows meet once, heavy signatures apart
+    same = lambda x, y, on: [x[k].eqNullSafe(y[k]) for k in on]
+    per = sizes
+    for more, on in ((a, key), (b, key), (c, key[:1])):
+        per = per.join(more, same(per, more, on), "left").select(per["*"], *[more[x] for x in more.columns if x not in on])
+    return ordering.meet_groups(df, per, key, "_n")

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from millwatch.operators import drift, encode, folds, history, ordering, runs
+from millwatch.operators import drift, encode, folds, history, joins, ordering, paths, runs
 
 MOST = 40
 
@@ -32,10 +32,25 @@ def both(monkeypatch, make):
     one = rows(make())
     monkeypatch.setattr(ordering, "ROWS", MOST)
     assert rows(make()) == one
+    # groups beyond the bound for broadcasting, those of more than 50 rows heavy
+    monkeypatch.setattr(ordering, "MOST_GROUPS", 1)
+    monkeypatch.setattr(ordering, "HEAVY", 50)
+    monkeypatch.setattr(encode, "MAP_VALUES", 0)
+    assert rows(make()) == one
+    monkeypatch.setattr(ordering, "MOST_GROUPS", 20)
+    assert rows(make()) == one
     return one
 
 
+RATES = [("k", "same", 0.5), ("k", "a", 0.25), ("cat", "7", 0.75), ("cat", "8", 0.125)]
+
 CASES = {
+    "same_window": lambda d: ordering.around_count(d, "start_time", 3.0, "n"),
+    "wide_window": lambda d: ordering.trailing_counts(d, "start_time", "Id", {"all": 31.0, "odd": 0.3, "huge": 1e12}),
+    "frequency": lambda d: paths.frequency(d, "k", "n"),
+    "oof": lambda d: encode.oof_rate(d, "start_time", fold="chunk"),
+    "encoding": lambda d: encode.apply_encoding(d.withColumn("cat", F.when(F.col("Id") % 9 == 0, F.col("Id") % 40)), d.sparkSession.createDataFrame(RATES, "col string, value string, rate double"), ["k", "cat", "none"], d.sparkSession.createDataFrame([(0.1,)], "g double")),
+    "lookup": lambda d: joins.lookup(d, d.sparkSession.createDataFrame([("same", 1.0), (None, 2.0)], "k string, v double"), "k", "v", d.sparkSession.createDataFrame([(0.1,)], "g double"), "out"),
     "index": lambda d: ordering.global_index(d, "start_time", "Id"),
     "index_down": lambda d: ordering.global_index(d, "m1", "Id", descending=True),
     "index_within": lambda d: ordering.global_index(d, "start_time", "Id", within=["k"]),
@@ -59,6 +74,46 @@ def test_ranges(parts, monkeypatch, name):
     assert both(monkeypatch, lambda: CASES[name](parts))
 
 
+def test_windows_of_any_width(spark):
+    """Inclusive edges, also where widths aren't powers of two, by brute force."""
+    r = random.Random(8)
+    data = [(i, round(r.random() * 20, 1)) for i in range(400)]
+    d = spark.createDataFrame(data, "Id long, t double")
+    widths = {"a": 0.1, "b": 0.3, "c": 7.7, "d": 25.0}
+    got = {x["Id"]: x for x in ordering.around_count(ordering.trailing_counts(d, "t", "Id", widths), "t", 0.6, "near").collect()}
+    for i, t in data:
+        for name, w in widths.items():
+            assert got[i][name] == sum(t - w <= u and (u, j) <= (t, i) for j, u in data)
+        assert got[i]["near"] == sum(t - 0.3 <= u <= t + 0.3 for _, u in data) - 1
+
+
+@pytest.mark.parametrize("name", ["frequency", "oof", "as_of", "same_window", "lookup", "encoding"])
+def test_heavy_keys_are_spread(spark, monkeypatch, name):
+    """90 % of the rows have one key or none; no task of the result has more than three times the median."""
+    for key, value in (("start_time", "k"), ("k", "start_time")):
+        n = 20_000
+        d = spark.range(n).select(F.col("id").alias("Id"), *[F.when(F.col("id") % 10 == 0, F.hash("id").cast("double") if c == "start_time" else F.hash("id").cast("string")).otherwise(None if key == "start_time" else (1.0 if c == "start_time" else "same")).alias(c) for c in ("start_time", "k")], (F.col("id") % 3).alias("m1"), (F.col("id") % 7).alias("score"), (F.col("id") % 5).alias("chunk"), (F.col("id") % 4).cast("int").alias("Response")).repartition(8)
+        monkeypatch.setattr(ordering, "MOST_GROUPS", 100)
+        monkeypatch.setattr(ordering, "HEAVY", 1000)
+        monkeypatch.setattr(encode, "MAP_VALUES", 0)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            if name == "lookup":
+                table = d.select("k").distinct().withColumn("v", F.lit(1.0))
+                out = joins.lookup(d, table, "k", "v", spark.createDataFrame([(0.1,)], "g double"), "out")
+            elif name == "encoding":
+                table = d.where("k is not null").select(F.lit("k").alias("col"), F.col("k").alias("value")).distinct().withColumn("rate", F.lit(0.5))
+                out = encode.apply_encoding(d, table, ["k"], spark.createDataFrame([(0.1,)], "g double"))
+            else:
+                out = CASES[name](d)
+            sizes = sorted(x["count"] for x in out.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sum(sizes) == n and len(sizes) >= 8 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def test_run_features(parts, monkeypatch):
     monkeypatch.setattr(ordering, "ROWS", 1 << 19)
     r = runs.adjacent_runs(parts.withColumn("start_time", F.col("Id").cast("double")), ["k"]).cache()
