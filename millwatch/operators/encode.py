@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.operators.ordering import meet_groups, running
+from millwatch.operators import select
+from millwatch.operators.ordering import meet_groups
 from millwatch.operators.paths import parse
 from millwatch.sources.io import stored
 
@@ -56,16 +59,20 @@ def apply_encoding(df: DataFrame, table: DataFrame, cols: list[str], default: Da
 
 def percentiles(df: DataFrame, cols: list[str], shares: list[float]) -> DataFrame:
     """(col, share, value): exact percentiles, between two values by their distance; a column without values has no
-    row. Distinct values with their counts are ordered in ranges, all columns in one pass, so no task holds them all."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("x")) for c in cols])).alias("p")).select("p.*")
-    per = long.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("col", "x").agg(F.count("*").alias("n"))
-    line = running(stored(per, "values"), [F.col("x").asc()], {"_at": F.col("n")}, ["col"], inclusive=False, totals=True)
-    asked = line.withColumn("share", F.explode(F.array(*[F.lit(float(q)) for q in shares])))
-    place = F.col("share") * (F.col("_at_total") - 1)
-    holds = lambda k: (k >= F.col("_at")) & (k < F.col("_at") + F.col("n"))
-    low, high = F.floor(place), F.ceil(place)
-    near = asked.where(holds(low) | holds(high)).groupBy("col", "share").agg(F.max(F.when(holds(low), F.col("x"))).alias("a"), F.max(F.when(holds(high), F.col("x"))).alias("b"), F.max(place - low).alias("f"))
-    return near.select("col", "share", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("f")) + F.col("b") * F.col("f")).alias("value"))
+    row. All columns' ranks are found together by nested histograms, so neither rows nor values are ordered."""
+    slim = stored(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]), "columns")
+    ends = lambda m: {(q, end): end(q * (m - 1)) for q in map(float, shares) for end in (math.floor, math.ceil)}
+    found = select.places(slim, [f"c{i}" for i in range(len(cols))], lambda m: ends(m) | {"last": m - 1})
+    rows = []
+    for i, c in enumerate(cols):
+        if (f"c{i}", "last") not in found:
+            continue
+        last = found[f"c{i}", "last"]
+        m = last.below + last.equal
+        for q in map(float, shares):
+            x, y, f = found[f"c{i}", (q, math.floor)].value, found[f"c{i}", (q, math.ceil)].value, q * (m - 1) - math.floor(q * (m - 1))
+            rows.append((c, q, x if x == y else x * (1 - f) + y * f))
+    return df.sparkSession.createDataFrame(rows, "col string, share double, value double")  # a row a column and share
 
 
 def scalars(df: DataFrame, col: str, exact: bool = True) -> DataFrame:

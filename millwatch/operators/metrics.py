@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.operators import encode
-from millwatch.operators.ordering import global_index
+from millwatch.operators import encode, select
 
 #: Cost of a missed failure and of a needless inspection.
 COST_FN, COST_FP = 100.0, 5.0
@@ -74,20 +75,28 @@ def best_threshold(sweep: DataFrame, by: list[str] | None = None) -> DataFrame:
     return sweep.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("mcc"), "threshold"))).where("_r = 1").drop("_r")
 
 
+def percent_rows(n: int, percent: float) -> int:
+    """Rows of a budget in the budget curve, ceil(n * (percent / 100)); decisions take ceil(n * percent / 100)."""
+    return math.ceil(n * (percent / 100))
+
+
 def budget_curve(df: DataFrame, label: str = "Response", score: str = "pred", row_id: str = "Id", percents: tuple[int, ...] = tuple(range(1, 11))) -> DataFrame:
-    """For each budget: rows selected, the score of the last, and their confusion. One descending rank; each row counts
-    for the first budget that reaches it, and running sums over the budgets follow."""
-    spark = df.sparkSession
-    r = global_index(df, score, row_id, "_i", descending=True)
-    totals = df.agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
-    table = spark.createDataFrame([(float(p),) for p in percents], "inspection_budget_pct double").crossJoin(totals).withColumn("k", F.ceil(F.col("n") * (F.col("inspection_budget_pct") / 100)))
-    ks = F.broadcast(table.groupBy().agg(F.sort_array(F.collect_list("k")).alias("_ks")))
-    first = r.crossJoin(ks).withColumn("_k", F.get(F.filter("_ks", lambda k: k > F.col("_i")), F.lit(0))).where("_k is not null")
-    h = first.groupBy(F.col("_k").alias("k")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.max(F.when(F.col("_i") == F.col("_k") - 1, F.col(score))).alias("score_cutoff"))
-    out = table.join(F.broadcast(h), "k", "left")
-    w = W.orderBy("inspection_budget_pct").rowsBetween(W.unboundedPreceding, 0)
-    out = out.withColumn("tp", F.coalesce(F.sum("_p").over(w), F.lit(0)))
-    out = out.select("inspection_budget_pct", F.col("k").alias("selected_rows"), "score_cutoff", "tp", (F.col("k") - F.col("tp")).alias("fp"), (F.col("pos") - F.col("tp")).alias("fn"), (F.col("n") - F.col("pos") - F.col("k") + F.col("tp")).alias("tn"))
+    """For each budget: rows selected, the score of the last, and their confusion. All budgets' cuts are found by nested
+    histograms together; each row counts for the first cut it passes, and running sums over the budgets follow."""
+    percents = tuple(sorted(percents))
+    cuts, n = select.cuts(df, lambda rows: [percent_rows(rows, p) for p in percents], score, row_id)
+    passed = F.coalesce(*[F.when(c.holds(F.col(score), F.col(row_id)), F.lit(j)) for j, c in enumerate(cuts)], F.lit(len(cuts)))
+    h = df.groupBy(passed.alias("_j")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.min(F.col(score).cast("double")).alias("_least"), F.count_if(F.col(score).isNull()).alias("_none"))
+    least = {r["_j"]: (r["_p"], r["_least"], r["_none"]) for r in h.collect()}  # a row a budget
+    rows, tp = [], 0
+    for j, (p, c) in enumerate(zip(percents, cuts, strict=True)):
+        got = least.get(j, (0, None, 0))
+        tp += got[0]
+        # where a cut lets all pass, the last row's score is the smallest there is
+        last = c.score if c.score is not None else None if got[2] or c.nothing else got[1] if got[1] is not None else rows[-1][2] if rows else None
+        rows.append((float(p), min(c.k, n), last, tp))
+    pos = sum(v[0] for v in least.values())
+    out = df.sparkSession.createDataFrame([(p, k, s, t, k - t, pos - t, n - pos - k + t) for p, k, s, t in rows], "inspection_budget_pct double, selected_rows long, score_cutoff double, tp long, fp long, fn long, tn long")
     return rates(out).drop("flagged_pct").withColumn("mcc", mcc())
 
 

@@ -49,7 +49,7 @@ def test_golden_counts(spark):
 
 def test_budget_formulas_differ(spark):
     assert spark.range(1).select(decide.budget_rows(F.lit(100), 7)).first()[0] == 7
-    assert decide.percent_rows(100, 7) == 8
+    assert metrics.percent_rows(100, 7) == 8
 
 
 def test_float_threshold(spark):
