@@ -118,6 +118,16 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     return flagged(df, key, bitmap(ids, id_col), "_maybe").where("_maybe").drop("_maybe")
 
 
+def sifted(df: DataFrame, key: str, ids: DataFrame, always: str = "false") -> DataFrame:
+    """The rows of df whose key may be among ids (a written table with one column of that name), and those of which
+    `always` holds; too many rows must cost work only. By bits, without a shuffle; where ids are too many for the bits
+    to say much, by a join that Spark splits at large keys."""
+    bits = bitmap(ids, key)
+    if 4 * ids.count() <= bits[1]:
+        return flagged(df, key, bits, "_maybe").where(f"_maybe or {always}").drop("_maybe")
+    return df.where(f"not ({always})").join(ids, key, "left_semi").unionByName(df.where(always))
+
+
 # ---- groups of very different sizes ------------------------------------------------------------------------------
 
 #: Groups with more rows are few (the rows divided by this), so that their figures may be broadcast.

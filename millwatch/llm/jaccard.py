@@ -4,8 +4,8 @@ A document's set holds its distinct k-word shingles; documents link when their J
 threshold. The join finds, for each document, those that share enough of its shingles:
 
 1. Screening. In one global order of shingles (by hash), documents that link share several of the first few. Each
-   document sends these, a shuffle by shingle finds the shared ones, and documents with too few are done. A shingle
-   that one task meets in several documents is sent once, so frequent shingles don't gather.
+   document sends these, sums by shingle find the shared ones, which come back as bits, and documents with too few are
+   done. A shingle that one task meets in several documents is sent once, and no shingle's documents gather.
 2. Order by frequency. The remaining sets (equal ones once) are counted by shingle. A document's rarest
    |set| - T + 1 shingles, T being the least overlap of a link, must hold a shared one; documents whose rarest are
    their own are done. Star edges over the shared ones give cells: every link lies in one cell.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.llm.common import U64, bitmap, components, flagged, maybe_in, meet_groups, mix, pieces, shingles, word_count, written
+from millwatch.llm.common import U64, bitmap, components, flagged, maybe_in, meet_groups, mix, pieces, shingles, sifted, word_count, written
 
 #: Shingles of a block of a cell: about 500 KB of hashes.
 BLOCK = 1 << 16
@@ -242,10 +242,10 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     named = slim.where("doc is not null")
     # 1: how many of each document's first shingles others have, less how many it needs
-    sent = named.mapInArrow(_screen(words, percent), "token long, doc long, c int, kind byte, v long")
-    by = W.partitionBy("token")
-    shared = (F.min("doc").over(by) < F.max("doc").over(by)) | (F.max("kind").over(by) == 1)
-    told = sent.withColumn("_s", shared).where("kind >= 2 or kind = 0 and _s")
+    sent = written(named.mapInArrow(_screen(words, percent), "token long, doc long, c int, kind byte, v long"), "sent")
+    # two figures a shingle, summed where rows are read; the shared ones come back as bits
+    shared = sent.where("kind < 2").groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("kind").alias("k")).where("a < b or k = 1")
+    told = sifted(sent.where("kind <> 1"), "token", written(shared.select("token"), "shared"), always="kind >= 2")
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("v")))
     seen = told.groupBy("doc").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(F.col("c"))).alias("c"), of(2).alias("n"), of(3).alias("s1"), of(4).alias("s2"))
     seen = written(seen, "screened")

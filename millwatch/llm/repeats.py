@@ -9,8 +9,9 @@ that become single leave at once; what is equal at full depth are the repeated w
    these, grams that are frequent in a sample of the documents coming last. Equal windows have it at the same place, and
    neighbouring windows share it, so a document sends one row for some 40 bytes. A window that reaches beyond a frequent
    line has a rarer gram, so a frequent gram has only the windows inside such a line, which are few different ones. The
-   sample decides how evenly windows are dealt, never what is found. A shuffle by gram drops the grams that occur once.
-   A gram that one piece of text holds more than once is told once a piece, so frequent grams don't gather.
+   sample decides how evenly windows are dealt, never what is found. Sums by gram (how often, and whether a piece of text
+   holds it more than once) find those that occur again; they come back to the places as bits, so no gram's places
+   gather.
 3. The documents of the remaining grams meet their texts again and send, for each such gram, the bytes of the windows
    whose digit it is; of a frequent gram each piece sends equal windows once. These meet by gram, and windows are
    refined digit after digit of 8 bytes; the windows equal at full depth, but the first of each, are repeats. A gram
@@ -32,10 +33,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.llm.common import BASE, INVERSE, U64, maybe_in, meet_groups, mix, pieces, powers, prefix_hash, written
+from millwatch.llm.common import BASE, INVERSE, U64, maybe_in, meet_groups, mix, pieces, powers, prefix_hash, sifted, written
 
 GRAM = 32
 #: Bytes of text that are hashed at once, and windows that are sorted at once.
@@ -374,10 +374,11 @@ def find_repeats(rows: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
     repeats. signed: (doc, m, n, first boolean), a row a text."""
     long = rows.where(F.octet_length("text") >= depth)
     hot = rows.sparkSession.sparkContext.broadcast(frequent_grams(long, depth))
-    by = W.partitionBy("gram")
+    # told twice, as writing it would take more room than the second reading takes time
     sent = long.select("doc", "text").mapInArrow(_send_grams(depth, hot), "gram long, doc long, place long, kind byte")
-    shared = (F.col("kind") == 1) | (F.count("*").over(by) > 1) | (F.max("kind").over(by) == 2)
-    places = sent.withColumn("_s", shared).where("_s and kind < 2").groupBy("doc").agg(F.collect_set("place").alias("places"))
+    shared = sent.where("kind <> 1").groupBy("gram").agg(F.count("*").alias("c"), F.max("kind").alias("k")).where("c > 1 or k = 2")
+    told = sifted(sent.where("kind < 2"), "gram", written(shared.select("gram"), "shared"), always="kind = 1")
+    places = told.groupBy("doc").agg(F.collect_set("place").alias("places"))
     places = written(places.join(signed.where("first").select("doc").distinct(), "doc", "left_semi"), "places")
     texts = maybe_in(long, "doc", places.select("doc"), "doc").join(places, "doc").join(signed.where("first").select("doc", "m"), ["doc", "m"])
     windows = texts.select("doc", "m", "text", "places").mapInArrow(_send_windows(depth, hot), "gram long, doc long, m long, start long, skip int, bytes binary")
