@@ -1,29 +1,40 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a row of tokens: words without outer punctuation, in one case. Numbers and number words become one
-placeholder, quantities with a unit (5km, 10%) another, a unit a third, and names a fourth; the word itself is kept as
-the slot's value. Names are capitalised words, in one view only those inside a sentence, in another those that begin one
-too. Windows of `window` tokens (an item's whole text, if it is shorter; 4 at least) are joined by hash with the
-benchmark's, as templates in both views and by their words in one case, so that a copy in another case is found too. Matches of a
-document and an item on one diagonal must fill the item's slots consistently: an equal value by equal ones (where they
-differ, the one that most slots have counts), different names and units by different ones; numbers may coincide. A slot
-that breaks this removes the template windows that hold it and no others; windows equal word by word always count. A
-document is contaminated by an item when matches cover `cover` of the item's windows of either kind, `run` tokens in a
-row, or, with the equal words beside them on their diagonals, `share` of its tokens. So a question is found again after
-its numbers, names or units were changed, in part, or with scattered words changed. An item of fewer than 4 tokens is found
-in documents that have its words and no others.
+A text becomes a row of tokens: words without outer punctuation, in one case; in scripts without spaces each character is
+a token. Numbers and number words become one placeholder, quantities with a unit (5km, 10%) another, a unit a third, and
+names a fourth; the word itself is kept as the slot's value. Names are capitalised words, in one view only those inside a
+sentence, in another those that begin one too. Windows of `window` tokens (an item's whole text, if it is shorter; 4 at
+least) are joined by hash with the benchmark's, as templates in both views and by their words in one case, so that a copy
+in another case is found too. Matches of a document and an item on one diagonal must fill the item's slots consistently:
+an equal value by equal ones (where they differ, the one that most slots have counts), different names and units by
+different ones; numbers may coincide. A slot that breaks this removes the template windows that hold it and no others;
+windows equal word by word always count.
+
+Windows that more than `MANY` items share (an instruction before each question) say nothing about one of them: they are
+not joined and count for none, but for items that have no others of their kind. So a document that holds a shared preamble
+and no more is no finding, and the work doesn't grow with the items that share it.
+
+A document is contaminated by an item when matches cover `cover` of the item's own windows of either kind, `run` of its
+own tokens in a row, or, with the equal words beside them on their diagonals, `share` of them. So a question is found
+again after its numbers, names or units were changed, in part, or with scattered words changed.
+
+Slots that no list knows (number words of other languages, changed words) show by alignment: two short windows (`SEED`
+equal words, apart from each other) on one diagonal align the whole item; what differs there between equal words, up to
+`GAP` tokens at once, is a slot, filled consistently, and the item is found when `EQUAL` of its tokens are equal and
+`share` are equal or slots. An item of fewer than 4 tokens is found in documents that have its words and no others.
 
 The benchmark goes to the tasks in blocks of items with at most `block` windows each (one block, if it has fewer), one
 after the other, documents being read once a block; the driver holds one block.
 
 Defined results: null or empty documents and items match nothing; very long texts are read whole; template
 windows with fewer than half literal words are too general and don't count, nor do equal ones of which more than half
-are numbers and units; repeated rows give repeated findings; an empty
+are numbers and units; repeated rows give repeated findings, and equal items are found each; an empty
 benchmark or an empty table gives an empty result. Output columns are fixed, so other columns never clash.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +45,26 @@ from pyspark.sql import functions as F
 from millwatch.llm.common import _LOWER, U64, mix, pieces, prefix_hash, span_hash, words, written
 
 LEAST = 4
+#: Items that may share a window that still counts for each of them.
+MANY = 2
+#: Words of the short windows that align an item, tokens of a slot, and the share of an item's tokens that must be equal.
+SEED, GAP, EQUAL = 4, 2, 0.7
+#: Scripts that are written without spaces (Thai and Lao, Myanmar, Khmer, kana and Han).
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 #: Units wherever they stand.
 UNITS = "km cm mm kg mg ml kmh mph kw khz mhz ghz kb mb gb tb mile miles kilometer kilometers meter meters metre metres feet foot inch inches gram grams kilogram kilograms liter liters litre litres hr hrs hour hours minute minutes second seconds day days week weeks month months year years eur usd gbp dollar dollars euro euros cents % $"
 #: Units only after a number, as they are words too.
 SHORT_UNITS = "m mi ft in g lb oz l s ms min h a v w hz c f k"
-#: Words for numbers ("one" is mostly a pronoun).
-NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
+#: Words for numbers, by language ("one" and its like are mostly articles and pronouns); hints, as slots
+#: also show by alignment.
+NUMBER_WORDS_BY_LANGUAGE = {
+    "en": "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million",
+    "de": "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig hundert tausend",
+    "fr": "deux trois quatre cinq six sept huit neuf dix onze douze treize quinze vingt trente quarante cinquante soixante cent mille",
+    "es": "dos tres cuatro cinco seis siete ocho nueve diez once doce trece quince veinte treinta cuarenta cincuenta sesenta cien mil",
+    "zh": "二 三 四 五 六 七 八 九 十 百 千 万 两",
+}
+NUMBER_WORDS = " ".join(dict.fromkeys(" ".join(NUMBER_WORDS_BY_LANGUAGE.values()).casefold().split()))
 #: Punctuation beyond ASCII, as its nearest ASCII sign.
 PUNCTUATION = {ord(a): b for a, b in zip("‘’‚‛“”„‟«»‹›…–—。，？！：；、（）", chr(39) * 4 + chr(34) * 6 + chr(39) * 2 + ".--.,?!:;,()", strict=True)}
 NUM, QTY, UNIT, NAME = (np.uint64(x) for x in (1, 2, 3, 4))
@@ -65,7 +90,7 @@ def one_case(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The bytes and offsets of the rows with ASCII punctuation, and those in one case."""
     if not len(data) or data.max() < 128:
         return data, offs, _LOWER[data], offs
-    plain = [data[a:b].tobytes().decode("utf-8", "replace").translate(PUNCTUATION) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    plain = [UNSPACED.sub(r" \1 ", data[a:b].tobytes().decode("utf-8", "replace").translate(PUNCTUATION)) for a, b in zip(offs[:-1], offs[1:], strict=True)]
     out = []
     for texts in (plain, [t.casefold() for t in plain]):
         raw = [t.encode() for t in texts]
@@ -134,8 +159,20 @@ def all_kinds(row: np.ndarray, codes: tuple[np.ndarray, np.ndarray], literal: np
     return [*(windows(row, code, size) for code in codes), windows(row, codes[0], size, literal, UNIT)]
 
 
+def _shared_by(h: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """How many items have the hash, for each."""
+    order = np.lexsort((item, h))
+    a, b = h[order], item[order]
+    head = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, dtype=bool)
+    fresh = head | np.concatenate([[True], b[1:] != b[:-1]]) if len(a) else head
+    group = np.cumsum(head) - 1
+    out = np.zeros(len(h), dtype=np.int64)
+    out[order] = np.bincount(group, weights=fresh)[group] if len(a) else 0
+    return out
+
+
 class Items:
-    """A block of the benchmark: its tokens, and its windows of all kinds sorted by hash, by window size."""
+    """A block of the benchmark: its tokens, and its windows of all kinds that count, sorted by hash, by window size."""
 
     def __init__(self, ids: list, texts: list, size: int):
         raw = [(t or "").encode() for t in texts]
@@ -146,20 +183,86 @@ class Items:
         self.start = np.concatenate([[0], np.cumsum(count)])
         self.by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         equal, fits = np.zeros(len(self.row), dtype=bool), np.zeros(len(self.row), dtype=bool)
+        own, said = np.zeros(len(self.row) + 1, dtype=np.int64), np.zeros(len(self.row) + 1, dtype=np.int64)
         for s in sorted({min(size, int(c)) for c in count if c >= LEAST}):
             kinds = []
             for kind, (at, h) in enumerate(all_kinds(self.row, self.codes, self.literal, s)):
                 mine = np.minimum(count[self.row[at]], size) == s
                 at, h = at[mine], h[mine]
+                rare = _shared_by(h, self.row[at]) <= MANY
+                has = np.zeros(len(ids), dtype=bool)
+                has[self.row[at[rare]]] = True
+                counts = rare | ~has[self.row[at]]
+                if kind == 2:
+                    np.add.at(said, at[~counts], 1)
+                    np.add.at(said, at[~counts] + s, -1)
+                at, h = at[counts], h[counts]
                 (equal if kind == 2 else fits)[at] = True
+                np.add.at(own, at, 1)
+                np.add.at(own, at + s, -1)
                 order = np.argsort(h, kind="stable")
                 kinds.append((h[order], at[order]))
             self.by_size[s] = kinds
         self.general = ~fits
         self.windows = np.array([np.bincount(self.row[m], minlength=len(ids)) for m in (fits, equal)])
+        # an item's own tokens: under windows that count, and under none that others have word by word; where these are
+        # few, all under windows that count; where none does, all
+        counted = np.cumsum(own)[:-1] > 0
+        self.own = counted & (np.cumsum(said)[:-1] == 0)
+        for least, instead in ((2 * SEED, counted), (1, np.ones(len(self.row), dtype=bool))):
+            few = np.bincount(self.row[self.own], minlength=len(ids)) < least
+            self.own = np.where(few[self.row], instead, self.own)
+        self.own_tokens = np.bincount(self.row[self.own], minlength=len(ids))
         self.short: dict[tuple, list[int]] = {}
         for i in np.flatnonzero((count > 0) & (count < LEAST)):
             self.short.setdefault(tuple(self.literal[self.start[i] : self.start[i + 1]].tolist()), []).append(int(i))
+        at, h = windows(self.row, self.codes[0], SEED, self.literal, UNIT)
+        rare = (_shared_by(h, self.row[at]) <= MANY) & (count[self.row[at]] >= 2 * SEED)
+        at, h = at[rare], h[rare]
+        order = np.argsort(h, kind="stable")
+        self.seeds = (h[order], at[order])
+
+
+def _pairs(keys: np.ndarray, places: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the document, place in the benchmark) of equal hashes; keys are sorted."""
+    left, right = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
+    many = right - left
+    own = np.repeat(np.arange(len(h)), many)
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+    return at[own], places[left[own] + inner]
+
+
+def _aligned(items: Items, row: np.ndarray, codes: tuple[np.ndarray, np.ndarray], literal: np.ndarray, share: float) -> list[tuple]:
+    """Findings of items whose short windows align them with a document, as search() gives them."""
+    here, there = _pairs(*items.seeds, *windows(row, codes[0], SEED, literal, UNIT))
+    if not len(here):
+        return []
+    r, item, shift = row[here], items.row[there], here - there
+    order = np.lexsort((there, shift, item, r))
+    r, item, shift, there = r[order], item[order], shift[order], there[order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])]))
+    last = np.append(first[1:], len(r)) - 1
+    out = {}
+    for k in np.flatnonzero(there[last] - there[first] >= SEED):
+        i, s, doc = int(item[first[k]]), int(shift[first[k]]), int(r[first[k]])
+        begin, end = int(items.start[i]), int(items.start[i + 1])
+        place = np.arange(max(begin, -s), min(end, len(row) - s))
+        place = place[row[place + s] == doc]
+        same = items.literal[place] == literal[place + s]
+        if same.sum() < EQUAL * (end - begin):
+            continue
+        # runs of different tokens between equal ones
+        differ = np.flatnonzero(~same)
+        runs = np.split(differ, np.flatnonzero(np.diff(differ) > 1) + 1) if len(differ) else []
+        slots = np.array([x for g in runs if len(g) <= GAP and g[0] > 0 and g[-1] + 1 < len(same) for x in g], dtype=np.int64)
+        kind = np.full(len(slots), NAME)
+        kind[items.codes[0][place[slots]] == NUM] = NUM
+        slots = slots[~_broken(kind, items.literal[place[slots]], literal[place[slots] + s])] if len(slots) else slots
+        good = place[np.concatenate([np.flatnonzero(same), slots])]
+        mine = items.own[good].sum()
+        if mine >= share * items.own_tokens[i] and items.own[place[same]].sum() >= EQUAL * items.own_tokens[i]:
+            out[doc, i] = max(out.get((doc, i), (0,)), (int(same.sum()), end - begin, len(slots), len(slots)))
+    return [(doc, i, *v) for (doc, i), v in out.items()]
 
 
 def _broken(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,14 +290,9 @@ def search(items: Items, data: np.ndarray, offs: np.ndarray, cover: float, share
         for kind, ((keys, places), (at, h)) in enumerate(zip(kinds, all_kinds(row, codes, literal, size), strict=True)):
             if not len(keys):
                 continue
-            left = np.searchsorted(keys, h)
-            for i in np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == h):
-                j = left[i]
-                while j < len(keys) and keys[j] == h[i]:
-                    place = int(places[j])
-                    shifts = found.setdefault((int(row[at[i]]), int(items.row[place])), {})
-                    shifts.setdefault(int(at[i]) - place, (set(), set(), set(), size))[kind].add(place)
-                    j += 1
+            for here, place in zip(*(x.tolist() for x in _pairs(keys, places, at, h)), strict=True):
+                shifts = found.setdefault((int(row[here]), int(items.row[place])), {})
+                shifts.setdefault(here - place, (set(), set(), set(), size))[kind].add(place)
     out = []
     if items.short:
         count = np.bincount(row, minlength=len(offs) - 1)
@@ -233,9 +331,11 @@ def search(items: Items, data: np.ndarray, offs: np.ndarray, cover: float, share
             continue
         kept = {p for p in kept if not items.general[p]}
         n, total = max(((len(m), int(t)) for m, t in zip((kept, equal), items.windows[:, item], strict=True) if t), key=lambda x: x[0] / x[1])
-        if n >= cover * total or len(tokens) >= share * (items.start[item + 1] - items.start[item]) or longest >= run:
+        own = sum(items.own[p] for p in tokens)
+        if n >= cover * total or own >= share * items.own_tokens[item] or longest >= run:
             out.append((r, item, n, total, len(slots), len(changed)))
-    return out
+    known = {(r, item) for r, item, *_ in out}
+    return out + [x for x in _aligned(items, row, codes, literal, share) if x[:2] not in known]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, cover: float = 0.5, share: float = 0.9, run: int = 30, block: int = 1 << 20) -> DataFrame:

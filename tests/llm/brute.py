@@ -128,46 +128,85 @@ def _tokens(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def contaminated(text: str, item: str, size: int = 8, cover: float = 0.5, share: float = 0.9, run: int = 30) -> bool:
-    """Whether a document of one line holds an item of `size` tokens at least, whole or re-parameterised."""
-    d, b = _tokens(text), _tokens(item)
-    fit = lambda row, at, k: 2 * sum(t[k][0] == "=" for t in row[at : at + size]) >= size
-    plain = lambda row, at: 2 * sum(t[0][0] == "=" or t[0] == "NAME" for t in row[at : at + size]) >= size
-    same = lambda i, j, k: [t[k] for t in d[i : i + size]] == [t[k] for t in b[j : j + size]]
-    eligible = [{j for j in range(len(b) - size + 1) if fit(b, j, 0) or fit(b, j, 1)}, {j for j in range(len(b) - size + 1) if plain(b, j)}]
+def _bad_slots(slots, pairs) -> set:
+    """Slots that break consistency. pairs: (of item, of document, kinds) as functions of a slot and the kinds asked."""
+    bad: set = set()
+    for one, other, asked in pairs:
+        groups: dict = {}
+        for p in slots:
+            if p not in bad and asked(p):
+                groups.setdefault(one(p), []).append(p)
+        for mine in groups.values():
+            values = [other(p) for p in mine]
+            top = max(values.count(v) for v in values)
+            if len(set(values)) > 1:
+                assert 2 * top <= len(mine) or sum(values.count(v) == top for v in set(values)) == 1
+                bad |= {p for p, v in zip(mine, values, strict=True) if 2 * top <= len(mine) or values.count(v) != top}
+    return bad
+
+
+def contaminated(text: str, item: str, items: list[str], size: int = 8, cover: float = 0.5, share: float = 0.9, run: int = 30, many: int = 2) -> bool:
+    """Whether a document of one line holds an item of `size` tokens at least, whole or re-parameterised. items: the
+    benchmark's texts, the item among them; windows that more than `many` share don't count."""
+    d, b, all_items = _tokens(text), _tokens(item), [_tokens(x) for x in items]
+    fit = lambda row, at, k, n=size: 2 * sum(t[k][0] == "=" if k < 2 else t[0][0] == "=" or t[0] == "NAME" for t in row[at : at + n]) >= n
+    key = lambda row, at, k, n=size: tuple(t[k] for t in row[at : at + n])
+    eligible = []
+    for k in range(3):
+        has = [{key(x, j, k) for j in range(len(x) - size + 1) if fit(x, j, k)} for x in all_items]
+        mine = {j for j in range(len(b) - size + 1) if fit(b, j, k)}
+        eligible.append({j for j in mine if sum(key(b, j, k) in h for h in has) <= many} or mine)
+    spans = lambda js: {p for j in js for p in range(j, j + size)}
+    counted = spans(j for e in eligible for j in e)
+    own = counted - spans(mine - eligible[2])
+    own = own if len(own) >= 8 else counted or set(range(len(b)))
     kept, equal, tokens, longest = set(), set(), set(), 0
     for shift in range(-len(b), len(d)):
-        inside = [j for j in range(len(b) - size + 1) if 0 <= j + shift <= len(d) - size]
-        by_word = {j for j in inside if plain(b, j) and same(j + shift, j, 2)}
-        good = set(by_word)
+        hit = [{j for j in e if 0 <= j + shift <= len(d) - size and key(b, j, k) == key(d, j + shift, k)} for k, e in enumerate(eligible)]
+        good = set(hit[2])
         for k in (0, 1):
-            places = {j for j in inside if fit(b, j, k) and same(j + shift, j, k)}
-            slots = sorted({p for j in places for p in range(j, j + size) if b[p][k][0] != "="})
-            bad = set()
-            for one, other, kinds in ((b, d, None), (d, b, ("NAME", "UNIT"))):
-                of = lambda row, p: (row[p] if row is b else row[p + shift])[2]  # noqa: B023, E731
-                free = [p for p in slots if p not in bad and (kinds is None or b[p][k] in kinds)]
-                groups: dict = {}
-                for p in free:
-                    groups.setdefault(of(one, p), []).append(p)
-                for mine in groups.values():
-                    values = [of(other, p) for p in mine]
-                    top = max(values.count(v) for v in values)
-                    if len(set(values)) > 1:
-                        assert 2 * top <= len(mine) or sum(values.count(v) == top for v in set(values)) == 1
-                        bad |= {p for p, v in zip(mine, values, strict=True) if 2 * top <= len(mine) or values.count(v) != top}
-            good |= {j for j in places if bad.isdisjoint(range(j, j + size))}
+            slots = sorted({p for j in hit[k] for p in range(j, j + size) if b[p][k][0] != "="})
+            ours, theirs = (lambda p: b[p][2]), (lambda p, s=shift: d[p + s][2])
+            bad = _bad_slots(slots, [(ours, theirs, lambda p: True), (theirs, ours, lambda p, k=k: b[p][k] in ("NAME", "UNIT"))])
+            good |= {j for j in hit[k] if bad.isdisjoint(range(j, j + size))}
         if good:
             held = sorted({p for j in good for p in range(j, j + size)})
             kept |= good
-            equal |= by_word
+            equal |= hit[2]
             tokens |= set(held) | {p for p in range(len(b)) if 0 <= p + shift < len(d) and b[p][2] == d[p + shift][2]}
             stretch = 1
             for x, y in zip(held, held[1:], strict=False):
                 longest = max(longest, stretch)
                 stretch = stretch + 1 if y == x + 1 else 1
             longest = max(longest, stretch)
-    if not kept:
-        return False
-    shares = [len(m & e) / len(e) for m, e in zip((kept, equal), eligible, strict=True) if e]
-    return max(shares) >= cover or len(tokens) >= share * len(b) or longest >= run
+    shares = [len(m & e) / len(e) for m, e in ((kept, eligible[0] | eligible[1]), (equal, eligible[2])) if e]
+    if kept and (max(shares) >= cover or len(tokens & own) >= share * len(own) or longest >= run):
+        return True
+    return _aligned(d, b, all_items, own, share, many)
+
+
+def _aligned(d, b, all_items, own, share, many, seed: int = 4, gap: int = 2, least: float = 0.7) -> bool:
+    fit = lambda row, at: 2 * sum(t[0][0] == "=" or t[0] == "NAME" for t in row[at : at + seed]) >= seed
+    key = lambda row, at: tuple(t[2] for t in row[at : at + seed])
+    has = [{key(x, j) for j in range(len(x) - seed + 1) if fit(x, j)} for x in all_items]
+    rare = {j for j in range(len(b) - seed + 1) if fit(b, j) and sum(key(b, j) in h for h in has) <= many}
+    for shift in range(-len(b), len(d)):
+        seeds = [j for j in rare if 0 <= j + shift <= len(d) - seed and key(b, j) == key(d, j + shift)]
+        if not seeds or max(seeds) - min(seeds) < seed:
+            continue
+        place = [p for p in range(len(b)) if 0 <= p + shift < len(d)]
+        same = {p for p in place if b[p][2] == d[p + shift][2]}
+        slots, run = [], []
+        for p in [*place, None]:
+            if p is not None and p not in same:
+                run.append(p)
+                continue
+            if run and len(run) <= gap and run[0] > place[0] and p is not None:
+                slots += run
+            run = []
+        ours, theirs = (lambda p: b[p][2]), (lambda p, s=shift: d[p + s][2])
+        bad = _bad_slots(slots, [(ours, theirs, lambda p: True), (theirs, ours, lambda p: b[p][0] != "NUM")])
+        good = same | (set(slots) - bad)
+        if len(same) >= least * len(b) and len(same & own) >= least * len(own) and len(good & own) >= share * len(own):
+            return True
+    return False

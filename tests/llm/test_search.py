@@ -1,6 +1,7 @@
 """Nearest neighbours, decontamination, language identification and the pipeline."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -138,10 +139,56 @@ def test_twins(spark):
     found = sum((i, i) in got for i in range(len(pairs))) / len(pairs)
     print("recall of re-parameterised items", found)
     assert found >= 0.9 and all(d < 1000 for d, _ in got)
-    want = {(d, i) for d, t in docs for i, (item, _) in enumerate(pairs) if brute.contaminated(t, item)}
+    want = {(d, i) for d, t in docs for i, (item, _) in enumerate(pairs) if brute.contaminated(t, item, [x for x, _ in pairs])}
     assert got == want
 
 
+#: An item and a twin with other number words, in the languages of the documents, one whose number words no list holds,
+#: and two scripts without spaces.
+LANGUAGES = {
+    "en": ("Only one of the ships left the old harbour before the storm and one sailor watched it from the tower until night.", "Only four of the ships left the old harbour before the storm and four sailor watched it from the tower until night."),
+    "de": ("Der Zug fährt um neun Uhr im Hafen ab und erreicht nach zwei Stunden die alte Stadt am Fluss. Wie weit ist der Weg?", "Der Zug fährt um sieben Uhr im Hafen ab und erreicht nach vier Stunden die alte Stadt am Fluss. Wie weit ist der Weg?"),
+    "fr": ("Le marchand vend trois paniers de pommes chaque matin et garde cinq paniers de noix pour le soir au village voisin.", "Le marchand vend huit paniers de pommes chaque matin et garde quatre paniers de noix pour le soir au village voisin."),
+    "es": ("La abuela compra siete cartas de papel en la tienda azul y manda dos cartas largas a su hermana del norte.", "La abuela compra nueve cartas de papel en la tienda azul y manda seis cartas largas a su hermana del norte."),
+    "sv": ("Bonden säljer tre korgar med äpplen varje morgon och sparar fem korgar med nötter till kvällen i den lilla byn.", "Bonden säljer åtta korgar med äpplen varje morgon och sparar fyra korgar med nötter till kvällen i den lilla byn."),
+    "zh": ("一辆火车九点离开北方的城市，两小时以后到达海边的小镇。请问这辆火车每小时走多少公里的路？", "一辆火车七点离开北方的城市，四小时以后到达海边的小镇。请问这辆火车每小时走多少公里的路？"),
+    "ja": ("この列車は朝の九時に北の町を出て二時間で海の近くの村に着きます。列車の速さはどれだけですか。", "この列車は朝の七時に北の町を出て四時間で海の近くの村に着きます。列車の速さはどれだけですか。"),
+}
+
+
+def test_languages_and_scripts(spark):
+    """Verbatim copies and twins, with and without a space before them, beside text that holds neither."""
+    bench = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(LANGUAGES.values())], "item_id long, text string")
+    filler = "其他的文字写在这里没有什么意思只是为了填满这一页的空白。 " + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)) + ". "
+    docs, want = [(0, filler)], set()
+    for i, (item, twin) in enumerate(LANGUAGES.values()):
+        for k, text in enumerate((filler + item, filler.strip() + item + filler, filler + twin + " " + filler)):
+            docs.append((10 * (i + 1) + k, text))
+            want.add((10 * (i + 1) + k, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want
+
+
+def test_shared_preamble(spark):
+    """Items that begin alike: a document with the preamble alone is no finding, one with a question is one, and the time
+    doesn't grow with the items."""
+    preamble = "Read the following question with care and answer it with one word only as shown in the lines above."
+    filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)) + ". "
+    took = {}
+    for n in (10, 200, 1600):
+        r = random.Random(n)
+        items = [f"{preamble} " + " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(9)) for _ in range(n)]
+        held = decontaminate.Items(list(range(n)), items, 8)
+        texts = [(filler + (preamble + " ") * 20 + filler).encode(), (filler + items[3]).encode(), (filler + items[3].removeprefix(preamble) + " " + filler).encode()]
+        data, offs = np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        began = time.time()
+        for _ in range(5):
+            found = decontaminate.search(held, data, offs, 0.5, 0.9, 30)
+        took[n] = time.time() - began
+        assert {x[:2] for x in found} == {(1, 3), (2, 3)}
+    assert took[1600] < 3 * took[10] + 0.2
+
+
 def test_planted_passages(spark):
     docs = [tuple(r) for r in Q.table(spark, SF, "documents").select("doc_id", "text").collect()]
     items = [tuple(r) for r in Q.table(spark, SF, "benchmark").select("item_id", "text").collect()]
