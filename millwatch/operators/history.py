@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwatch.operators.ordering import as_of, by_key, global_index, running
+from millwatch.operators.ordering import as_of, by_key, global_index, meet_groups, running
 from millwatch.sources.io import stored
 
 
@@ -36,15 +39,45 @@ def trailing_rate(df: DataFrame, key: str, row_id: str, target: str, rows: int,
 
 def oof_trailing_rate(df: DataFrame, key: str = "start_time", row_id: str = "Id", fold: str = "cv_fold", target: str = "Response", rows: int = 10000, out: str = "rolling_fail_rate") -> DataFrame:
     """For each row the trailing rate at the last row of the other folds not after it; the overall mean where there is
-    none. A null key sorts before all (-1e9)."""
+    none. A null key sorts before all (-1e9).
+
+    One order serves all folds: running sums hold, for each fold, the rows of the others so far and their targets, so a
+    row's frame is the sum at its own rank less the sum `rows` ranks before, both found by rank in its range. A range
+    also gets the last rows of those before it, as far as its frames reach back (mostly the end of one). Rows then meet
+    the figures of their key's last row."""
     d = df.withColumn("_k", F.coalesce(F.col(key).cast("double"), F.lit(-1e9)))
     mean = df.agg(F.avg(target).alias("_g"))
-    folds = df.select(F.col(fold).alias("_fold")).distinct()
-    train = d.select("_k", row_id, target, fold).crossJoin(F.broadcast(folds)).where(F.col(fold) != F.col("_fold")).drop(fold)
-    rated = trailing_rate(train, "_k", row_id, target, rows, "_rate", ["_fold"]).crossJoin(F.broadcast(mean)).withColumn("_rate", F.coalesce("_rate", "_g")).select("_fold", "_k", row_id, "_rate")
-    rated = stored(rated, "rated")
-    got = as_of(d.withColumn("_fold", F.col(fold)), rated.withColumnRenamed("_k", "_rk"), "_k", "_rk", row_id, ["_rate"], within=["_fold"])
-    return got.crossJoin(F.broadcast(mean)).withColumn(out, F.coalesce("_rate", "_g")).drop("_k", "_fold", "_rate", "_g")
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)  # a few
+    js, other = range(len(folds)), [F.coalesce(F.col(fold) != f, F.lit(False)) for f in folds]
+    sums = {f"_n{j}": o.cast("long") for j, o in enumerate(other)} | {f"_s{j}": F.when(o, F.col(target)).otherwise(0).cast("long") for j, o in enumerate(other)}
+    run = stored(running(d.select("_k", row_id, fold, target), by_key("_k", row_id), sums, keep=True).drop(fold, target), "sums")
+    ends = run.groupBy("_b").agg(*[f(f"_n{j}").alias(f"_{e}{j}") for j in js for e, f in (("lo", F.min), ("hi", F.max))])
+    ends = stored(ends.withColumn("_at", F.row_number().over(W.orderBy("_b"))), "ends")
+    back = lambda n, lo: reduce(lambda x, y: x | y, [F.col(f"{n}{j}") >= F.col(f"{lo}{j}") - rows - 1 for j in js], F.lit(False))
+    # (a range, a later one that reaches back into it); each step goes one range further
+    pairs, step = [], 1
+    while True:
+        later = ends.select((F.col("_at") - step).alias("_at"), F.col("_b").alias("_to"), *[F.col(f"_lo{j}").alias(f"_f{j}") for j in js])
+        near = stored(ends.join(later, "_at").where(back("_hi", "_f")).select("_b", "_to", *[f"_f{j}" for j in js]), "near")
+        if not near.take(1):
+            break
+        pairs.append(near)
+        step += 1
+    line = run
+    if pairs:
+        halo = run.join(F.broadcast(reduce(DataFrame.unionByName, pairs)), "_b").where(back("_n", "_f")).withColumn("_b", F.col("_to"))
+        line = run.withColumn("_own", F.lit(True)).unionByName(halo.select(*run.columns, F.lit(False).alias("_own")))
+    rates = []
+    for j in js:
+        at = lambda ranks, j=j: F.coalesce(F.max(f"_s{j}").over(W.partitionBy("_b").orderBy(f"_n{j}").rangeBetween(-ranks, -ranks)), F.lit(0))
+        line = line.withColumns({f"_x{j}": at(1), f"_y{j}": at(rows + 1)})
+        n = F.col(f"_n{j}") - 1
+        rates.append(F.when(n > 0, F.try_divide((F.col(f"_x{j}") - F.col(f"_y{j}")).cast("double"), F.least(n, F.lit(rows)).cast("double"))))
+    line = line.where("_own") if pairs else line
+    per = line.groupBy("_k").agg(F.max_by(F.array(*rates).cast("array<double>"), row_id).alias("_rates"), F.count("*").alias("_c"))
+    mine = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col(fold)).cast("int") - 1 if folds else F.lit(None).cast("int")
+    got = meet_groups(d, per, ["_k"], "_c").withColumn("_rate", F.when(mine >= 0, F.get("_rates", mine)))
+    return got.crossJoin(F.broadcast(mean)).withColumn(out, F.coalesce("_rate", "_g")).drop("_k", "_rate", "_rates", "_g")
 
 
 def since_failures(df: DataFrame, failures: DataFrame, key: str, failure_key: str, failure_id: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

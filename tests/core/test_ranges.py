@@ -63,6 +63,7 @@ CASES = {
     "rounded": lambda d: runs.rounded_duplicates(d, {"s": ["m1", "m2"]}, least=0.0),
     "since": lambda d: history.since_failures(d, d.where("Response = 1").select(F.col("start_time").alias("ft"), F.col("Id").alias("fid")), "start_time", "ft", "fid", (1, 3)),
     "rate": lambda d: history.trailing_rate(d, "start_time", "Id", "Response", 50, "r", ["k"]),
+    "oof_rate_back": lambda d: history.oof_trailing_rate(d.withColumn("cv_fold", F.when(F.col("Id") % 50 != 0, F.col("Id") % 4)), rows=90),
     "folds": lambda d: folds.group_folds(d, "Id", folds=5),
     "percentiles": lambda d: encode.percentiles(d, ["score", "start_time", "m1"], [0.1, 0.5, 0.9]),
     "wasserstein": lambda d: drift.wasserstein(d.where("Id % 3 = 0"), d.where("Id % 3 > 0"), ["score", "start_time"]),
@@ -87,6 +88,23 @@ def test_windows_of_any_width(spark):
         assert got[i]["near"] == sum(t - 0.3 <= u <= t + 0.3 for _, u in data) - 1
 
 
+def test_trailing_rate_of_other_folds(spark, monkeypatch):
+    """By definition, over ranges shorter and longer than the window, with ties, null keys and one fold of most rows."""
+    r = random.Random(4)
+    data = [(i, r.choice([None, float(r.randint(0, 40))]), 0 if r.random() < 0.8 else r.randint(1, 3), int(r.random() < 0.3)) for i in r.sample(range(5000), 500)]
+    d = spark.createDataFrame(data, "Id long, start_time double, cv_fold int, Response int").repartition(3)
+    line = sorted((-1e9 if t is None else t, i, f, y) for i, t, f, y in data)
+    mean = sum(y for *_, y in line) / len(line)
+    for size, most in ((30, 40), (30, 1 << 19), (120, 25)):
+        monkeypatch.setattr(ordering, "ROWS", most)
+        got = {x["Id"]: x["rolling_fail_rate"] for x in history.oof_trailing_rate(d, rows=size).collect()}
+        for k, i, f, _ in line:
+            others = [x for x in line if x[2] != f]
+            upto = [n for n, x in enumerate(others) if x[0] <= k]
+            before = [x[3] for x in others[max(0, upto[-1] - size) : upto[-1]]] if upto else []
+            assert abs(got[i] - (sum(before) / len(before) if before else mean)) < 1e-9
+
+
 @pytest.mark.parametrize("name", ["frequency", "oof", "as_of", "same_window", "lookup", "encoding"])
 def test_heavy_keys_are_spread(spark, monkeypatch, name):
     """90 % of the rows have one key or none; no task of the result has more than three times the median."""
