@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
 from millwatch.operators import encode, joins, metrics
+from millwatch.sources import io
 from millwatch.sources.io import stored
 
 #: Feature lists of the three base models.
@@ -38,16 +39,19 @@ def _assemble(df: DataFrame, features: list[str], fills: dict[str, float]) -> Da
     return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x").transform(df.select("*", *values)).drop(*[f"_f{i}" for i in range(len(features))])
 
 
-def balanced(df: DataFrame, target: str = "Response") -> DataFrame:
-    """df with _w = n / (2 * rows of the row's class)."""
-    per = df.agg(F.count("*").alias("_n"), F.count_if(F.col(target) == 1).alias("_p"))
+def balanced(df: DataFrame, target: str = "Response", of: Column | None = None) -> DataFrame:
+    """df with _w = n / (2 * rows of the row's class), counted over the rows where `of` holds (all, if it is left out)."""
+    counted = df if of is None else df.where(of)
+    per = counted.agg(F.count("*").alias("_n"), F.count_if(F.col(target) == 1).alias("_p"))
     w = F.when(F.col(target) == 1, F.col("_n") / (2 * F.greatest("_p", F.lit(1)))).otherwise(F.col("_n") / (2 * F.greatest(F.col("_n") - F.col("_p"), F.lit(1))))
     return df.crossJoin(F.broadcast(per)).withColumn("_w", w).drop("_n", "_p")
 
 
-def fit_one(train: DataFrame, features: list[str], fills: dict[str, float], target: str = "Response", rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42, stop_share: float = 0.1) -> GBTClassificationModel:
-    """One model with balanced weights; a hashed share of the rows decides when to stop."""
-    t = balanced(_assemble(train, features, fills), target).select("_x", F.col(target).cast("double").alias("_y"), "_w", (F.pmod(F.xxhash64("Id", F.lit(seed)), F.lit(1000)) < int(1000 * stop_share)).alias("_stop"))
+def fit_one(train: DataFrame, features: list[str], fills: dict[str, float], target: str = "Response", rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42, stop_share: float = 0.1, stop: Column | None = None) -> GBTClassificationModel:
+    """One model with balanced weights. The rows of `stop` (a held-out fold; a hashed share, if it is left out) aren't
+    trained on and decide when to stop."""
+    stop = F.pmod(F.xxhash64("Id", F.lit(seed)), F.lit(1000)) < int(1000 * stop_share) if stop is None else F.coalesce(stop, F.lit(False))
+    t = balanced(_assemble(train.withColumn("_stop", stop), features, fills), target, ~F.col("_stop")).select("_x", F.col(target).cast("double").alias("_y"), "_w", "_stop")
     return GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", validationIndicatorCol="_stop", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed).fit(t)
 
 
@@ -70,15 +74,18 @@ class Trained:
         return hashlib.sha256(json.dumps([self.features, sorted(self.fills.items()), trees]).encode()).hexdigest()[:12]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for k, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/model-{k}")
+        """As a new version, which readers see when it is whole."""
         told = [(len(self.models), self.features, [float(self.fills[f]) for f in self.features])]
-        spark.createDataFrame(told, "models int, features array<string>, fills array<double>").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+        with io.new_version(spark, path) as folder:
+            for k, m in enumerate(self.models):
+                m.write().save(f"{folder}/model-{k}")
+            spark.createDataFrame(told, "models int, features array<string>, fills array<double>").coalesce(1).write.json(f"{folder}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Trained:
-        r = spark.read.schema("models int, features array<string>, fills array<double>").json(f"{path}/about").first()
-        return cls([GBTClassificationModel.load(f"{path}/model-{k}") for k in range(r["models"])], r["features"], dict(zip(r["features"], r["fills"], strict=True)))
+        folder = io.last_version(spark, path)
+        r = spark.read.schema("models int, features array<string>, fills array<double>").json(f"{folder}/about").first()
+        return cls([GBTClassificationModel.load(f"{folder}/model-{k}") for k in range(r["models"])], r["features"], dict(zip(r["features"], r["fills"], strict=True)))
 
     def score(self, df: DataFrame, out: str = "predicted_proba") -> DataFrame:
         """df with the mean of the models' probabilities."""
@@ -90,11 +97,11 @@ class Trained:
 
 
 def train_oof(df: DataFrame, features: list[str], folds: int = 5, target: str = "Response", fold: str = "cv_fold", parallelism: int = 3, **params) -> tuple[DataFrame, Trained]:
-    """(Id, Response, oof_pred, cv_fold) and the models: each fold is scored by a model of the others. Folds are a fixed
-    few; some are fitted at a time, each fit being Spark jobs."""
+    """(Id, Response, oof_pred, cv_fold) and the models: each fold is scored by a model of the others, whose rounds end
+    where the loss on that fold does. Folds are a fixed few; some are fitted at a time, each fit being Spark jobs."""
     slim = stored(df.select("Id", target, fold, *features), "train")
     fills = fill_values(slim, features)
-    fit = lambda k: fit_one(slim.where(F.col(fold) != k), features, fills, target, **params)
+    fit = lambda k: fit_one(slim, features, fills, target, stop=F.col(fold) == k if folds > 1 else None, **params)
     with ThreadPool(min(parallelism, folds)) as pool:
         models = pool.map(inheritable_thread_target(slim.sparkSession)(fit), range(folds)) if folds > 1 else [fit(0)]
     out = [score(slim.where(F.col(fold) == k), m, features, fills, "oof_pred").select("Id", target, "oof_pred", fold) for k, m in enumerate(models)]
@@ -115,6 +122,21 @@ def fold_report(oof: DataFrame, target: str = "Response", fold: str = "cv_fold")
     return every.groupBy("scope").agg(F.count("*").alias("rows")).join(best, "scope").select("scope", "rows", "threshold", "mcc")
 
 
+def summary(oof: DataFrame, name: str, target: str = "Response", fold: str = "cv_fold") -> DataFrame:
+    """One row of a training summary: model, rows, folds, the best overall threshold with its mcc, and each fold's rows,
+    threshold and mcc."""
+    report = stored(fold_report(oof, target, fold), "report")
+    each = F.col("scope") != "overall"
+    detail = F.sort_array(F.collect_list(F.when(each, F.struct("scope", "rows", "threshold", "mcc"))))
+    one = lambda c: F.max(F.when(~each, F.col(c))).alias(c)
+    return report.agg(F.lit(name).alias("model"), one("rows"), F.count_if(each).alias("folds"), one("threshold"), one("mcc"), detail.alias("by_fold"))
+
+
+def record(oof: DataFrame, name: str, path: str, target: str = "Response", fold: str = "cv_fold") -> DataFrame:
+    """Puts a model's row into the summary at path, in place of an earlier one of its name, and gives the whole summary."""
+    return io.update_summary(summary(oof, name, target, fold), path, "model")
+
+
 def stack(bases: dict[str, DataFrame], groups: DataFrame) -> DataFrame:
     """Out-of-fold scores of base models (Id, Response, oof_pred) as one table with the meta features, each base score
     counted from its own best threshold on; groups: (Id, chunk_id, cv_fold)."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millwatch.functions import numbers as N
 from millwatch.functions.columns import StationCatalog
 from millwatch.operators import encode, history, joins, ordering, paths, rowwise, runs
+from millwatch.sources import io
 from millwatch.sources.io import stored
 
 #: Names that tell the future.
@@ -61,12 +62,15 @@ class State:
     NAMES = ("encodings", "paths", "scalars", "medians", "mean", "contract")
 
     def save(self, path: str) -> None:
-        for n in self.NAMES:
-            getattr(self, n).write.mode("overwrite").parquet(f"{path}/{n}")
+        """As a new version, which readers see when all its tables are written."""
+        with io.new_version(self.mean.sparkSession, path) as folder:
+            for n in self.NAMES:
+                getattr(self, n).write.parquet(f"{folder}/{n}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> State:
-        return cls(*[spark.read.parquet(f"{path}/{n}") for n in cls.NAMES])
+        folder = io.last_version(spark, path)
+        return cls(*[spark.read.parquet(f"{folder}/{n}") for n in cls.NAMES])
 
     def columns(self) -> list[tuple[str, str, object]]:
         """The contract as align() takes it; a row a feature."""

@@ -8,7 +8,7 @@ from millwatch.operators import drift, metrics, model, predict, quality, state
 from millwatch.plans import datasets
 from millwatch.plans import fixtures as X
 from millwatch.plans.q_rows import CATALOG, D_COLS, SIGNED, START, _scratch, parts
-from millwatch.plans.q_stats import _COST, A6, A7, O3, R6, TABLE, folds_sql, oof_sql, table, tokens_sql
+from millwatch.plans.q_stats import _COST, A6, A7, O3, R6, TABLE, counts_sql, folds_sql, oof_sql, rates_sql, table, tokens_sql
 from millwatch.plans.q_windows import B, R, S, batch_rows, run_rows
 from millwatch.plans.registry import query
 from millwatch.sources.io import stored
@@ -86,6 +86,31 @@ def m3_report(spark, sf_dir):
     return model.fold_report(model.train_oof(_small(spark, sf_dir), model.BASELINE)[0])
 
 
+_SCORED = lambda col, scope: f"SELECT {scope} AS scope, \"Response\", {col} AS pred FROM oof3"
+_REPORT = lambda source: f"""every AS ({source}), sc AS (SELECT scope, threshold, {counts_sql('pred >= threshold')} FROM (SELECT CAST(k AS DOUBLE) / 100 AS threshold FROM range(1, 100) r(k)), every GROUP BY scope, threshold),
+  swept AS (SELECT *, {rates_sql()} FROM sc), best AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY mcc DESC, threshold) AS place FROM swept)"""
+
+
+def _scored(spark, sf_dir, col):
+    """Stored scores as a model's out-of-fold scores, in five folds."""
+    return X.oof3(spark, sf_dir).select("Id", "Response", F.col(col).alias("oof_pred"), F.expr("cast(Id % 5 as int)").alias("cv_fold"))
+
+
+@query("m3_scored_report", f"""{O3}, {_REPORT(_SCORED('p1', "'fold ' || CAST(" + '"Id" % 5' + " AS VARCHAR)") + " UNION ALL " + _SCORED('p1', "'overall'"))} SELECT scope, tp + fp + fn + tn AS rows, threshold, round(mcc, 9) AS mcc FROM best WHERE place = 1""")
+def m3_scored_report(spark, sf_dir):
+    """The report of folds, of scores that are given."""
+    return model.fold_report(_scored(spark, sf_dir, "p1")).withColumn("mcc", F.round("mcc", 9))
+
+
+@query("m3_summary", f"""{O3}, {_REPORT(_SCORED('p1', "'first'") + " UNION ALL " + _SCORED('p3', "'second'"))} SELECT scope AS model, tp + fp + fn + tn AS rows, 5::BIGINT AS folds, threshold, round(mcc, 9) AS mcc FROM best WHERE place = 1""")
+def m3_summary(spark, sf_dir):
+    """The training summary: a row a model, the last report of each."""
+    path = _scratch(spark, "training")
+    for col, name in (("p2", "first"), ("p3", "second"), ("p1", "first")):
+        out = model.record(_scored(spark, sf_dir, col), name, path)
+    return out.drop("by_fold").withColumn("mcc", F.round("mcc", 9))
+
+
 @query("a23_importance")
 def a23(spark, sf_dir):
     return model.importance(spark, model.train_oof(_small(spark, sf_dir), model.BASELINE)[1])
@@ -103,12 +128,12 @@ def m5(spark, sf_dir):
 
 @query("m6_stacked")
 def m6(spark, sf_dir):
-    """Three base models, on the baseline and on datasets G and H, and one on their out-of-fold scores; three folds."""
-    base = datasets.with_folds(datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=CHUNK), n=3)
-    oof = lambda df, features: stored(model.train_oof(df, features, 3)[0], "oof")
+    """Three base models, on the baseline and on datasets G and H, and one on their out-of-fold scores; five folds each."""
+    base = _small(spark, sf_dir)
+    oof = lambda df, features: stored(model.train_oof(df, features)[0], "oof")
     bases = {"baseline": oof(base, model.BASELINE), "dataset_g": oof(datasets.dataset_g(base), model.DATASET_G), "dataset_h": oof(datasets.dataset_h(base), model.DATASET_H)}
     meta = model.stack(bases, base.select("Id", "chunk_id", "cv_fold"))
-    return model.train_oof(meta, model.META, 3)[0]
+    return model.train_oof(meta, model.META)[0]
 
 
 @query("m7_ensemble", f'{O3} SELECT "Id", round(((p1 + p2) / 2 + p3) / 2, 6) AS proba FROM oof3')
@@ -116,19 +141,34 @@ def m7(spark, sf_dir):
     return X.oof3(spark, sf_dir).select("Id", F.round(model.ensemble([[F.col("p1"), F.col("p2")], [F.col("p3")]]), 6).alias("proba"))
 
 
-@query("m8_predictions")
-def m8(spark, sf_dir):
-    """Raw rows to labels: state and models are fitted, saved and loaded again."""
+def _prepared(spark, sf_dir):
+    """Parts, the state fitted on them (saved and loaded again), their features with folds of time chunks, and the names."""
     p, path = stored(parts(spark, sf_dir), "parts"), _scratch(spark, "prediction")
     state.fit(p, stations=STATIONS).save(f"{path}/state")
     fitted = state.State.load(spark, f"{path}/state")
     features = state.prepare(p.drop("Response"), fitted, p, stations=STATIONS)[0]
-    folded = features.join(p.select("Id", "Response"), "Id").withColumn("cv_fold", F.pmod(F.xxhash64("Id"), F.lit(2)))
-    names = [n for n, kind, _ in fitted.columns() if kind != "string"]
-    model.train_oof(folded, names, 2)[1].save(spark, f"{path}/models")
+    folded = stored(features.join(p.select("Id", "Response"), "Id").withColumn("cv_fold", F.pmod(F.xxhash64("Id"), F.lit(5))), "folded")
+    return p, path, fitted, folded, [n for n, kind, _ in fitted.columns() if kind != "string"]
+
+
+@query("m8_predictions")
+def m8(spark, sf_dir):
+    """Raw rows to labels: state and five models are fitted, saved and loaded again."""
+    p, path, fitted, folded, names = _prepared(spark, sf_dir)
+    model.train_oof(folded, names)[1].save(spark, f"{path}/models")
     return predict.predict(p.drop("Response"), fitted, model.Trained.load(spark, f"{path}/models"), p, stations=STATIONS)[0]
 
 
+@query("m9_trained")
+def m9_trained(spark, sf_dir):
+    """Raw rows to labels in two stages, both trained: the second on runs of duplicates, from the first's out-of-fold
+    scores."""
+    p, _, fitted, folded, names = _prepared(spark, sf_dir)
+    oof, first = model.train_oof(folded, names)
+    _, second = predict.train_second(folded.drop("Response", "cv_fold"), stored(oof, "oof"))
+    return predict.predict_two_stage(p.drop("Response"), fitted, first, second, p, stations=STATIONS)[0]
+
+
 @query("m9_two_stage", f'{R} SELECT "Id", CASE WHEN run_size > 1 THEN score * score ELSE score END AS final_predicted_proba, CAST(CASE WHEN run_size > 1 THEN score * score ELSE score END >= 0.5 AS INTEGER) AS predicted_label, CAST(run_size > 1 AS INTEGER) AS is_duplicate_row FROM runs')
 def m9(spark, sf_dir):
     d = run_rows(spark, sf_dir).withColumn("second", F.col("score") * F.col("score"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,6 +98,48 @@ def upsert(old: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
     return new if old is None else old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+@contextmanager
+def new_version(spark: SparkSession, path: str) -> Iterator[str]:
+    """A new folder below path, to be filled by the caller; when that ends without an error, one row of the manifest
+    (a single small file) names the folder. Readers go by the manifest, so they see the version before or this one, whole;
+    older ones stay for those who still read them. Of writers that end together the later name counts."""
+    folder = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
+    yield folder
+    number = (_versions(spark, path) or [(0, "")])[-1][0] + 1
+    spark.createDataFrame([(number, folder.rpartition("/")[2])], VERSIONS).coalesce(1).write.mode("append").json(f"{path.rstrip('/')}/manifest")
+
+
+VERSIONS = "number long, folder string"
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    try:
+        rows = spark.read.schema(VERSIONS).json(f"{path.rstrip('/')}/manifest").orderBy(F.desc("number"), F.desc("folder")).limit(1).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    return [(r["number"], r["folder"]) for r in rows]
+
+
+def last_version(spark: SparkSession, path: str) -> str:
+    """The folder of the last whole version below path."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no whole version in {path}")
+    return f"{path.rstrip('/')}/{found[-1][1]}"
+
+
+def update_summary(new: DataFrame, path: str, key: str) -> DataFrame:
+    """new's rows in place of those with the same keys in the summary at path, which may not be there yet; gives the new
+    summary. A writer that stops midway leaves the old one."""
+    spark = new.sparkSession
+    old = spark.read.parquet(last_version(spark, path)) if _versions(spark, path) else None
+    with new_version(spark, path) as folder:
+        upsert(old, new, key).coalesce(1).write.parquet(folder)
+    return spark.read.parquet(last_version(spark, path))
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """df written as Parquet below spark.checkpoint.dir, in a folder for the application (which may be removed when that
     has ended), and read again: later steps neither repeat its work nor carry its plan. Where the setting is unset, a
