@@ -92,21 +92,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 FILTER_BITS = (1 << 20, 1 << 28)
 
 
-def bitmap(ids: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+def _hash(key, seed: int):
+    return F.xxhash64(F.col(key), F.lit(seed)) if seed else F.xxhash64(F.col(key))
+
+
+def bitmap(ids: DataFrame, id_col: str, seed: int = 0) -> tuple[DataFrame, int]:
     """The ids as bits of their hash: (_bucket, _bits), rows of 4 KB; and how many bits there are, some 16 an id as far
     as the bound allows, so the table may be broadcast whatever the number of ids."""
     size = FILTER_BITS[0]
     n = ids.count()
     while size < min(16 * n, FILTER_BITS[1]):
         size *= 2
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(size)) + 1
+    place = F.pmod(_hash(id_col, seed), F.lit(size)) + 1
     return ids.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits")), size
 
 
-def flagged(df: DataFrame, key: str, bits: tuple[DataFrame, int], out: str) -> DataFrame:
+def flagged(df: DataFrame, key: str, bits: tuple[DataFrame, int], out: str, seed: int = 0) -> DataFrame:
     """df with `out`: the key may be among the bitmap's ids."""
     table, size = bits
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(size)) + 1
+    place = F.pmod(_hash(key, seed), F.lit(size)) + 1
     there = df.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(table), "_bucket", "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     bit = F.getbit(byte, (F.bitmap_bit_position("_p") % 8).cast("int")) == 1
@@ -120,11 +124,12 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
 
 def sifted(df: DataFrame, key: str, ids: DataFrame, always: str = "false") -> DataFrame:
     """The rows of df whose key may be among ids (a written table with one column of that name), and those of which
-    `always` holds; too many rows must cost work only. By bits, without a shuffle; where ids are too many for the bits
-    to say much, by a join that Spark splits at large keys."""
+    `always` holds; too many rows must cost work only. By the bits of two hashes, without a shuffle (one key in 250 too
+    many); where ids are too many for the bits to say much, by a join that Spark splits at large keys."""
     bits = bitmap(ids, key)
     if 4 * ids.count() <= bits[1]:
-        return flagged(df, key, bits, "_maybe").where(f"_maybe or {always}").drop("_maybe")
+        some = flagged(df, key, bits, "_maybe").where(f"_maybe or {always}").drop("_maybe")
+        return flagged(some, key, bitmap(ids, key, 1), "_maybe", 1).where(f"_maybe or {always}").drop("_maybe")
     return df.where(f"not ({always})").join(ids, key, "left_semi").unionByName(df.where(always))
 
 
