@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from millwatch.sources.io import stored
 
 #: From so many reference rows distances are used, with their threshold; below, p-values with theirs.
 LARGE, DISTANCE, P_VALUE = 1000, 0.1, 0.05
+#: Numbers with so many values at most are taken as categories.
+FEW_VALUES = 5
 
 
 def stable_split(df: DataFrame, row_id: str = "Id", share: float = 0.7, seed: int = 42) -> DataFrame:
@@ -77,18 +80,71 @@ def rule(scores: DataFrame, threshold: float = DISTANCE, is_p_value: bool = Fals
     return scores.select("column", "drift_score", t.alias("threshold"), F.coalesce(drifted(F.col("drift_score"), t, F.lit(is_p_value)), F.lit(False)).alias("drift_detected"))
 
 
+def chi_square_survival(x: float, k: int) -> float:
+    """The share of the chi-square distribution with k degrees of freedom above x: by its recursion from one degree (erfc)
+    or two (exp), two degrees a step."""
+    if k <= 0 or x <= 0:
+        return 1.0
+    if math.isinf(x):
+        return 0.0
+    y = x / 2
+    a, q = (0.5, math.erfc(math.sqrt(y))) if k % 2 else (1.0, math.exp(-y))
+    while a < k / 2:
+        q += math.exp(a * math.log(y) - y - math.lgamma(a + 1))
+        a += 1
+    return min(1.0, q)
+
+
+def category_tests(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, test, statistic, p_value) of categories, nulls left out. Up to two values: z_test, the two-sided test that
+    both samples have the same share of a value, the statistic being z squared; more: chi_square of the current counts
+    against the reference's shares, infinite where a value is new. Values are counted by column in one pass; a column's
+    sums are one row, from which the driver takes the p-value."""
+
+    def long(df: DataFrame, a: int) -> DataFrame:
+        vs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols]))
+        return df.select(vs.alias("p")).select("p.*", F.lit(a).cast("long").alias("a"), F.lit(1 - a).cast("long").alias("b"))
+
+    per = long(ref, 1).unionByName(long(cur, 0)).where("v is not null").groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    per = stored(per, "categories")
+    total = per.groupBy("column").agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
+    expected = F.col("a") * F.col("m") / F.col("n")
+    part = F.when(F.col("a") > 0, (F.col("b") - expected) * (F.col("b") - expected) / expected).when(F.col("b") > 0, F.lit(float("inf"))).otherwise(0.0)
+    share = (F.col("a") + F.col("b")) / (F.col("n") + F.col("m"))
+    gap = F.col("a") / F.col("n") - F.col("b") / F.col("m")
+    z = F.try_divide(gap * gap, share * (1 - share) * (1 / F.col("n") + 1 / F.col("m")))
+    sums = per.join(F.broadcast(total.where("n > 0 and m > 0")), "column").groupBy("column").agg(F.count("*").alias("k"), F.sum(part).alias("chi"), F.max(z).alias("z"))
+    rows = []
+    for r in sums.collect():  # a row a column
+        two = r["k"] <= 2
+        x = float((r["z"] or 0.0) if two else r["chi"])
+        rows.append((r["column"], "z_test" if two else "chi_square", x, chi_square_survival(x, 1 if two else r["k"] - 1)))
+    return ref.sparkSession.createDataFrame(rows, "column string, test string, statistic double, p_value double")
+
+
 def detect(ref: DataFrame, cur: DataFrame, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
-    """(column, test, drift_score, threshold, drift_detected) with the test that fits the reference's size: above
-    `LARGE` rows distances (Wasserstein for numbers, Jensen-Shannon for categories), else the Kolmogorov-Smirnov p-value
-    for numbers."""
+    """(column, test, drift_score, threshold, drift_detected) with the test that fits the reference's size and the column's
+    kind: above `LARGE` rows distances (Wasserstein for numbers, Jensen-Shannon for categories), else p-values
+    (Kolmogorov-Smirnov for numbers; chi-square, or the z test for two values, for categories). Numbers with `FEW_VALUES`
+    values or fewer in the reference count as categories."""
     large = ref.limit(LARGE + 1).count() > LARGE
-    out = [rule(jensen_shannon(ref, cur, c)).withColumn("test", F.lit("jensen_shannon")) for c in categorical]
+    numeric, categorical = list(numeric), list(categorical)
+    if numeric:
+        kinds = ref.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in numeric]).first()
+        few = [c for c in numeric if kinds[c] <= FEW_VALUES]
+        numeric, categorical = [c for c in numeric if c not in few], [*categorical, *few]
+    out = []
+    if categorical and large:
+        out += [rule(jensen_shannon(ref, cur, c)).withColumn("test", F.lit("jensen_shannon")) for c in categorical]
+    elif categorical:
+        tests = stored(category_tests(ref, cur, categorical), "tests")
+        out.append(rule(tests.select("column", F.col("p_value").alias("drift_score")), P_VALUE, is_p_value=True).join(tests.select("column", "test"), "column"))
     if numeric and large:
         out.append(rule(wasserstein(ref, cur, numeric)).withColumn("test", F.lit("wasserstein")))
     elif numeric:
         p = kolmogorov_smirnov(ref, cur, numeric).select("column", F.col("p_value").alias("drift_score"))
         out.append(rule(p, P_VALUE, is_p_value=True).withColumn("test", F.lit("kolmogorov_smirnov")))
-    return reduce(DataFrame.unionByName, out).select("column", "test", "drift_score", "threshold", "drift_detected")
+    return reduce(lambda x, y: x.unionByName(y), out).select("column", "test", "drift_score", "threshold", "drift_detected")
 
 
 def summary(rows: DataFrame, prediction: str = "pred") -> DataFrame:

@@ -269,6 +269,23 @@ def d6(spark, sf_dir):
     return out.select("column", F.round("statistic", 9).alias("statistic"), F.round("p_value", 9).alias("p_value"))
 
 
+_CHI = """greatest(0.0, least(1.0, CASE WHEN x <= 0 THEN 1.0 WHEN x > 600 THEN 0.0 ELSE 1 - exp(-x / 2 + k / 2 * ln(x / 2) - lgamma(k / 2 + 1)) * (SELECT sum(exp(n * ln(x / 2) + lgamma(k / 2 + 1) - lgamma(k / 2 + 1 + n))) FROM range(0, 900) r(n)) END))"""
+
+
+@query("d7_account_drift", f"""WITH ref AS (SELECT s_nationkey AS nation, s_acctbal > 0 AS credit, s_nationkey % 4 AS part FROM supplier), cur AS (SELECT c_nationkey AS nation, c_acctbal > 0 AS credit, c_nationkey % 4 AS part FROM customer),
+  u AS (SELECT c AS "column", v, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM (SELECT 'nation' AS c, CAST(nation AS VARCHAR) AS v, 1 AS a, 0 AS b FROM ref UNION ALL SELECT 'nation', CAST(nation AS VARCHAR), 0, 1 FROM cur UNION ALL SELECT 'credit', CAST(credit AS VARCHAR), 1, 0 FROM ref
+    UNION ALL SELECT 'credit', CAST(credit AS VARCHAR), 0, 1 FROM cur UNION ALL SELECT 'part', CAST(part AS VARCHAR), 1, 0 FROM ref UNION ALL SELECT 'part', CAST(part AS VARCHAR), 0, 1 FROM cur) GROUP BY 1, 2),
+  t AS (SELECT *, sum(a) OVER (PARTITION BY "column") AS n, sum(b) OVER (PARTITION BY "column") AS m, count(*) OVER (PARTITION BY "column") AS kinds FROM u), q AS (SELECT *, a * m / n AS e, (a + b) / (n + m) AS s, a / n AS f, b / m AS g FROM t),
+  w AS (SELECT "column", any_value(kinds) AS kinds, sum(CASE WHEN a > 0 THEN (b - e) * (b - e) / e WHEN b > 0 THEN 1e9 ELSE 0 END) AS chi, max(CASE WHEN s < 1 THEN (f - g) * (f - g) / (s * (1 - s) * (1 / n + 1 / m)) ELSE 0 END) AS z,
+    sqrt(greatest(sum(CASE WHEN f > 0 THEN f * ln(f / ((f + g) / 2)) ELSE 0 END + CASE WHEN g > 0 THEN g * ln(g / ((f + g) / 2)) ELSE 0 END) / 2, 0)) AS js FROM q GROUP BY 1),
+  x AS (SELECT *, CASE WHEN kinds <= 2 THEN z ELSE chi END AS x, CASE WHEN kinds <= 2 THEN 1.0::DOUBLE ELSE (kinds - 1)::DOUBLE END AS k, (SELECT count(*) > 1000 FROM ref) AS large FROM w), p AS (SELECT *, CASE WHEN large THEN js ELSE {_CHI} END AS score FROM x)
+  SELECT "column", CASE WHEN large THEN 'jensen_shannon' WHEN kinds <= 2 THEN 'z_test' ELSE 'chi_square' END AS test, round(score, 6) AS drift_score, CASE WHEN large THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END AS threshold, CASE WHEN large THEN score > 0.1 ELSE score < 0.05 END AS drift_detected FROM p""")
+def d7(spark, sf_dir):
+    """Accounts of suppliers against those of customers: categories with many, two and few values (the last are numbers)."""
+    rows = lambda t, c: X.load(spark, sf_dir, t).select(F.col(f"{c}_nationkey").alias("nation"), (F.col(f"{c}_acctbal") > 0).alias("credit"), (F.col(f"{c}_nationkey") % 4).alias("part"))
+    return drift.detect(rows("supplier", "s"), rows("customer", "c"), ["part"], ["nation", "credit"]).withColumn("drift_score", F.round("drift_score", 6))
+
+
 @query("q1_no_nulls", f"""{S}, x AS (SELECT count(*) FILTER ("Id" IS NULL OR "Response" IS NULL OR pred IS NULL) AS b FROM scores) SELECT 'scores' AS module, 'no_nulls' AS "check", b = 0 AS passed FROM x""")
 def q1(spark, sf_dir):
     return quality.no_nulls(X.scores(spark, sf_dir), "scores")
