@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
@@ -192,10 +192,18 @@ def transform(df: DataFrame, state: State, context: DataFrame | None = None, all
 
 
 def prepare(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations()) -> tuple[DataFrame, dict]:
-    """transform(), stored and checked: an error where a name tells the future or a feature holds nulls."""
+    """transform(), stored and checked: an error where a name tells the future or a feature holds nulls. Nulls are counted
+    while the table is written (`observe`), so checking reads nothing again; info has the rows."""
     out, info = transform(df, state, context, allow_fallback, stations)
-    out = stored(out, "prepared")
-    bad = [(r["check"], r["columns"]) for r in guard(out, [n for n, _, _ in state.columns()]).where("not passed").collect()]
+    features = [n for n, _, _ in state.columns()]
+    seen = Observation("features")
+    counts = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(features)]
+    out = stored(out.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), "prepared")
+    told = seen.get
+    info["rows"] = told["rows"]
+    leaky = [c for c in out.columns if c.lower().startswith(LEAKY)]
+    nulls = [c for i, c in enumerate(features) if told[f"n{i}"]]
+    bad = [(check, ",".join(names)) for check, names in (("leaky", leaky), ("nulls", nulls)) if names]
     if bad:
         raise ValueError(f"features are not fit for a model: {bad}")
     return out, info

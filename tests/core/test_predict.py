@@ -86,3 +86,19 @@ def test_narrowest(spark):
     kinds = io.narrowest(df, list("abcdef"))
     assert kinds == {"a": "tinyint", "b": "tinyint", "c": "smallint", "d": "int", "e": "bigint", "f": "tinyint"}
     assert io.optimize_types(df, kinds).collect() == df.collect()
+
+
+def test_nulls_are_counted_while_writing(spark, parts, monkeypatch):
+    """A prepared table tells its rows and nulls without being read again, and names the features that hold nulls."""
+    fitted = state.fit(parts, stations=STATIONS)
+    out, info = state.prepare(parts.drop("Response"), fitted, parts, stations=STATIONS)
+    assert info["rows"] == out.count() == parts.count()
+    whole = state.transform
+
+    def holes(*args):
+        made, told = whole(*args)
+        return made.withColumn("duration", F.when(F.col("Id") % 2 == 0, F.col("duration"))), told
+
+    monkeypatch.setattr(state, "transform", holes)
+    with pytest.raises(ValueError, match="'nulls', 'duration'"):
+        state.prepare(parts.drop("Response"), fitted, parts, stations=STATIONS)
