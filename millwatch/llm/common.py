@@ -35,6 +35,12 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Spark removes a shuffle's files when the driver's garbage is collected; after a large shuffle that nothing reads any
+    more, that is asked for, so that its room is free for the next."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bare(df: DataFrame) -> DataFrame:
     """df with its columns named in0, in1, ... by place, so that no name of the input can meet one of an operator's."""
     return df.toDF(*[f"in{i}" for i in range(len(df.columns))])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwatch.llm.common import BASE, INVERSE, U64, maybe_in, meet_groups, mix, pieces, powers, prefix_hash, sifted, written
+from millwatch.llm.common import BASE, INVERSE, U64, let_go, maybe_in, meet_groups, mix, pieces, powers, prefix_hash, sifted, written
 
 GRAM = 32
 #: Bytes of text that are hashed at once, and windows that are sorted at once.
@@ -376,8 +376,11 @@ def find_repeats(rows: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
     hot = rows.sparkSession.sparkContext.broadcast(frequent_grams(long, depth))
     # told twice, as writing it would take more room than the second reading takes time
     sent = long.select("doc", "text").mapInArrow(_send_grams(depth, hot), "gram long, doc long, place long, kind byte")
-    shared = sent.where("kind <> 1").groupBy("gram").agg(F.count("*").alias("c"), F.max("kind").alias("k")).where("c > 1 or k = 2")
-    told = sifted(sent.where("kind < 2"), "gram", written(shared.select("gram"), "shared"), always="kind = 1")
+    # a mark (kind 2) counts as two
+    shared = sent.where("kind <> 1").groupBy("gram").agg(F.sum(F.when(F.col("kind") == 2, 2).otherwise(1)).alias("c")).where("c > 1").select("gram")
+    shared = written(shared, "shared")
+    let_go(rows.sparkSession)
+    told = sifted(sent.where("kind < 2"), "gram", shared, always="kind = 1")
     places = told.groupBy("doc").agg(F.collect_set("place").alias("places"))
     places = written(places.join(signed.where("first").select("doc").distinct(), "doc", "left_semi"), "places")
     texts = maybe_in(long, "doc", places.select("doc"), "doc").join(places, "doc").join(signed.where("first").select("doc", "m"), ["doc", "m"])
