@@ -69,6 +69,12 @@ NUMBER_WORDS = " ".join(dict.fromkeys(" ".join(NUMBER_WORDS_BY_LANGUAGE.values()
 PUNCTUATION = {ord(a): b for a, b in zip("‘’‚‛“”„‟«»‹›…–—。，？！：；、（）", chr(39) * 4 + chr(34) * 6 + chr(39) * 2 + ".--.,?!:;,()", strict=True)}
 NUM, QTY, UNIT, NAME = (np.uint64(x) for x in (1, 2, 3, 4))
 
+#: First bytes, in UTF-8, of the characters of UNSPACED (and of some others).
+_UNSPACED_LEAD = np.zeros(256, dtype=bool)
+_UNSPACED_LEAD[[0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0]] = True
+#: The same of PUNCTUATION.
+_MARK_LEAD = np.zeros(256, dtype=bool)
+_MARK_LEAD[[chr(c).encode()[0] for c in PUNCTUATION]] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _NUMERIC = _DIGIT.copy()
@@ -90,7 +96,12 @@ def one_case(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The bytes and offsets of the rows with ASCII punctuation, and those in one case."""
     if not len(data) or data.max() < 128:
         return data, offs, _LOWER[data], offs
-    plain = [UNSPACED.sub(r" \1 ", data[a:b].tobytes().decode("utf-8", "replace").translate(PUNCTUATION)) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    held = lambda lead: np.diff(np.concatenate([[0], np.cumsum(lead[data])])[offs]).tolist()
+    plain = []
+    for a, b, marks, unspaced in zip(offs[:-1].tolist(), offs[1:].tolist(), held(_MARK_LEAD), held(_UNSPACED_LEAD), strict=True):
+        t = data[a:b].tobytes().decode("utf-8", "replace")
+        t = t.translate(PUNCTUATION) if marks else t
+        plain.append(UNSPACED.sub(r" \1 ", t) if unspaced else t)
     out = []
     for texts in (plain, [t.casefold() for t in plain]):
         raw = [t.encode() for t in texts]
@@ -181,7 +192,7 @@ class Items:
         self.row, self.codes, self.literal = template(data, offs)
         count = np.bincount(self.row, minlength=len(ids)).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(count)])
-        self.by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.by_size: dict[int, list[Hashes]] = {}
         equal, fits = np.zeros(len(self.row), dtype=bool), np.zeros(len(self.row), dtype=bool)
         own, said = np.zeros(len(self.row) + 1, dtype=np.int64), np.zeros(len(self.row) + 1, dtype=np.int64)
         for s in sorted({min(size, int(c)) for c in count if c >= LEAST}):
@@ -200,8 +211,7 @@ class Items:
                 (equal if kind == 2 else fits)[at] = True
                 np.add.at(own, at, 1)
                 np.add.at(own, at + s, -1)
-                order = np.argsort(h, kind="stable")
-                kinds.append((h[order], at[order]))
+                kinds.append(Hashes(h, at))
             self.by_size[s] = kinds
         self.general = ~fits
         self.windows = np.array([np.bincount(self.row[m], minlength=len(ids)) for m in (fits, equal)])
@@ -219,22 +229,33 @@ class Items:
         at, h = windows(self.row, self.codes[0], SEED, self.literal, UNIT)
         rare = (_shared_by(h, self.row[at]) <= MANY) & (count[self.row[at]] >= 2 * SEED)
         at, h = at[rare], h[rare]
-        order = np.argsort(h, kind="stable")
-        self.seeds = (h[order], at[order])
+        self.seeds = Hashes(h, at)
+
 
+class Hashes:
+    """Hashes with their places, sorted, behind a table of bits of their first digits that most others miss."""
 
-def _pairs(keys: np.ndarray, places: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the document, place in the benchmark) of equal hashes; keys are sorted."""
-    left, right = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
-    many = right - left
-    own = np.repeat(np.arange(len(h)), many)
-    inner = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-    return at[own], places[left[own] + inner]
+    def __init__(self, h: np.ndarray, at: np.ndarray):
+        order = np.argsort(h, kind="stable")
+        self.keys, self.places = h[order], at[order]
+        bits = min(24, max(12, (16 * len(h)).bit_length()))
+        self.shift, self.table = U64(64 - bits), np.zeros(1 << bits, dtype=bool)
+        self.table[(h >> self.shift).astype(np.int64)] = True
+
+    def pairs(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the document, place in the benchmark) of equal hashes."""
+        some = self.table[(h >> self.shift).astype(np.int64)]
+        at, h = at[some], h[some]
+        left, right = np.searchsorted(self.keys, h), np.searchsorted(self.keys, h, side="right")
+        many = right - left
+        own = np.repeat(np.arange(len(h)), many)
+        inner = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        return at[own], self.places[left[own] + inner]
 
 
 def _aligned(items: Items, row: np.ndarray, codes: tuple[np.ndarray, np.ndarray], literal: np.ndarray, share: float) -> list[tuple]:
     """Findings of items whose short windows align them with a document, as search() gives them."""
-    here, there = _pairs(*items.seeds, *windows(row, codes[0], SEED, literal, UNIT))
+    here, there = items.seeds.pairs(*windows(row, codes[0], SEED, literal, UNIT))
     if not len(here):
         return []
     r, item, shift = row[here], items.row[there], here - there
@@ -287,10 +308,8 @@ def search(items: Items, data: np.ndarray, offs: np.ndarray, cover: float, share
     row, codes, literal = template(data, offs)
     found: dict[tuple, dict[int, tuple[set, set, set, int]]] = {}
     for size, kinds in items.by_size.items():
-        for kind, ((keys, places), (at, h)) in enumerate(zip(kinds, all_kinds(row, codes, literal, size), strict=True)):
-            if not len(keys):
-                continue
-            for here, place in zip(*(x.tolist() for x in _pairs(keys, places, at, h)), strict=True):
+        for kind, (known, asked) in enumerate(zip(kinds, all_kinds(row, codes, literal, size), strict=True)):
+            for here, place in zip(*(x.tolist() for x in known.pairs(*asked)), strict=True):
                 shifts = found.setdefault((int(row[here]), int(items.row[place])), {})
                 shifts.setdefault(here - place, (set(), set(), set(), size))[kind].add(place)
     out = []
