@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from millwatch.sources.io import stored
 
-#: Parts of a bin; values that are counted one by one.
-BINS, FEW = 4096, 1 << 16
+#: Parts of a bin; values that are counted one by one; columns or targets whose bins the driver takes (a few thousand
+#: small rows each), where Spark's own look-up would be jobs more.
+BINS, FEW, FEW_COLUMNS = 4096, 1 << 16, 16
 
 
 @dataclass
@@ -45,37 +46,65 @@ def _values(df: DataFrame, cols: list[str], only: list[int], kind: str) -> DataF
 
 
 def _bins(line: DataFrame, part: Column, by: list[str]) -> DataFrame:
-    return stored(line.groupBy(*by, part.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")), "bins")
+    return line.groupBy(*by, part.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
+class Bins:
+    """A pass's bins (g, bin, n, lo, hi): on the driver where they are of a few columns or targets, else as a table."""
+
+    def __init__(self, df: DataFrame, few: bool):
+        self.df, self.rows = (None, {}) if few else (stored(df, "bins"), None)
+        if few:
+            for r in df.collect():
+                self.rows.setdefault(r["g"], []).append((r["bin"], r["n"], r["lo"], r["hi"]))
+            for line in self.rows.values():
+                line.sort()
+
+    def sizes(self) -> dict[int, int]:
+        if self.rows is not None:
+            return {g: sum(n for _, n, _, _ in line) for g, line in self.rows.items()}
+        return {r["g"]: r["n"] for r in self.df.groupBy("g").agg(F.sum("n").alias("n")).collect()}  # a row a column
+
+    def find(self, want: list[tuple[int, int, int]]) -> list[tuple]:
+        """(i, n, lo, hi, before) of the bin that holds rank r of g, for each (i, g, r)."""
+        if self.rows is None:
+            asked = F.broadcast(self.df.sparkSession.createDataFrame(want, "i int, g int, r long"))
+            line = self.df.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+            return [tuple(x) for x in line.join(asked, "g").where("r >= before and r < before + n").select("i", "n", "lo", "hi", "before").collect()]  # a row a target
+        out = []
+        for i, g, r in want:
+            before = 0
+            for _, n, lo, hi in self.rows[g]:
+                if r < before + n:
+                    out.append((i, n, lo, hi, before))
+                    break
+                before += n
+        return out
 
 
 def places(df: DataFrame, cols: list[str], ask: Callable[[int], dict], kind: str = "double") -> dict[tuple[str, object], Place]:
     """{(column, tag): Place} for the ranks (from 0, smallest first) that `ask` names by tag, given a column's number of
     values. A column without values has none. kind: double, or bigint for whole numbers. df is read once a pass."""
     spark = df.sparkSession
-    first = _bins(_values(df, cols, range(len(cols)), kind), _coarse(F.col("x").cast("double")), ["c"])
-    sizes = {r["c"]: r["n"] for r in first.groupBy("c").agg(F.sum("n").alias("n")).collect()}  # a row a column
-    asked = [(c, t, r) for c, m in sizes.items() for t, r in ask(m).items()]
+    held = Bins(_bins(_values(df, cols, range(len(cols)), kind), _coarse(F.col("x").cast("double")), ["c"]).withColumnRenamed("c", "g"), len(cols) <= FEW_COLUMNS)
+    asked = [(c, t, r) for c, m in held.sizes().items() for t, r in ask(m).items()]
     if not asked:
         return {}
     out: dict[int, tuple] = {}
     # target: its column, rank among the values of its bin, values below the bin
-    live = {i: (c, r, 0) for i, (c, _, r) in enumerate(asked)}
-    held, group = first, {i: c for i, (c, _, _) in enumerate(asked)}
+    live, group = {i: (c, r, 0) for i, (c, _, r) in enumerate(asked)}, {i: c for i, (c, _, _) in enumerate(asked)}
     widths: dict[int, tuple] = {}
     while live:
-        want = spark.createDataFrame([(i, group[i], r) for i, (_, r, _) in live.items()], "i int, g int, r long")
-        line = held.withColumnRenamed("c", "g").withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        found = line.join(F.broadcast(want), "g").where("r >= before and r < before + n").select("i", "n", "lo", "hi", "before").collect()  # a row a target
+        found = held.find([(i, group[i], r) for i, (_, r, _) in live.items()])
         stuck = True
-        for f in found:
-            c, r, below = live.pop(f["i"])
-            if f["lo"] == f["hi"]:
-                out[f["i"]] = Place(f["lo"], below + f["before"], f["n"])
+        for i, n, lo, hi, before in found:
+            c, r, below = live.pop(i)
+            if lo == hi:
+                out[i] = Place(lo, below + before, n)
                 continue
-            stuck = stuck and widths.get(f["i"]) == (f["lo"], f["hi"])
-            widths[f["i"]] = (f["lo"], f["hi"])
-            live[f["i"]] = (c, r - f["before"], below + f["before"])
-            group[f["i"]] = (c, f["lo"], f["hi"], f["n"])
+            stuck = stuck and widths.get(i) == (lo, hi)
+            widths[i] = (lo, hi)
+            live[i], group[i] = (c, r - before, below + before), (c, lo, hi, n)
         if not live:
             break
         spans = {s: g for g, s in enumerate(dict.fromkeys(group[i] for i in live))}
@@ -96,7 +125,7 @@ def places(df: DataFrame, cols: list[str], ask: Callable[[int], dict], kind: str
             break
         width = F.col("shi").cast("double") - F.col("slo").cast("double")
         part = F.coalesce(F.floor(F.try_divide(F.col("x").cast("double") - F.col("slo").cast("double"), width) * BINS), F.lit(0))
-        held = _bins(inside, F.least(part, F.lit(BINS - 1)).cast("int"), ["g"])
+        held = Bins(_bins(inside, F.least(part, F.lit(BINS - 1)).cast("int"), ["g"]), len(spans) <= FEW_COLUMNS)
         group = {i: spans[group[i]] for i in live}
     return {(cols[asked[i][0]], asked[i][1]): p for i, p in out.items()}
 

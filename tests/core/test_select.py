@@ -15,9 +15,10 @@ def spread(r, n):
     return [r.choice(pick)() for _ in range(n)]
 
 
-@pytest.mark.parametrize("few, bins", [(1 << 16, 4096), (0, 4096), (3, 2)])
-def test_places(spark, monkeypatch, few, bins):
+@pytest.mark.parametrize("few, bins, columns", [(1 << 16, 4096, 16), (0, 4096, 16), (0, 4096, 0), (3, 2, 16)])
+def test_places(spark, monkeypatch, few, bins, columns):
     monkeypatch.setattr(select, "FEW", few)
+    monkeypatch.setattr(select, "FEW_COLUMNS", columns)
     monkeypatch.setattr(select, "BINS", bins)
     r = random.Random(few + bins)
     n = 700 if bins > 2 else 60
