@@ -220,5 +220,16 @@ def op11_sql(levels: int = 5, tops: int = 2) -> str:
     SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{len(steps)}, top"""
 
 
+def op12_sql() -> str:
+    """All windows by their words; a null id would be smaller than all others."""
+    return """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+    win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+    f AS (SELECT h, min(doc_id) AS doc FROM win GROUP BY 1), hit AS (SELECT r, i FROM win JOIN f ON win.h = f.h WHERE doc_id > f.doc),
+    gone AS (SELECT DISTINCT r, i + k AS p FROM hit, range(0, 50) t(k)), words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+    kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.p) AS line, count(*) AS n FROM words ANTI JOIN gone ON words.r = gone.r AND words.p = gone.p GROUP BY 1)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sql(), "op3_licenses": op3_sql(), "op7_chat": op7_sql(), "op10_mixing": op10_sql(), "op11_merkle": op11_sql()}
+    return {"op1_sharding": op1_sql(), "op3_licenses": op3_sql(), "op7_chat": op7_sql(), "op10_mixing": op10_sql(), "op11_merkle": op11_sql(), "op12_phrases": op12_sql()}

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -46,6 +47,14 @@ def test_table(spark):
         assert mine == plain(docs) and sum(r[2] for r in mine) > 0
 
 
+def test_sql():
+    for sf in ("0.001", "0.01"):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from read_parquet('/root/testdata/sf{sf}/documents.parquet')")
+        docs = con.sql("select doc_id, text from documents").fetchall()
+        assert sorted(map(tuple, con.sql(Q.op12_sql()).fetchall()), key=str) == plain(docs)
+
+
 def corpus(r, n=250):
     """Passages at, below and above the window, shared by some or by most documents, also within one document, with one
     word changed here and there, beside near and exact copies."""
