@@ -8,7 +8,7 @@ from millwatch.plans import q_models
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", [q_models.m3, q_models.m6, q_models.a23, q_models.m3_report, q_models.m8, q_models.m9_trained])
+@pytest.mark.parametrize("query", [q_models.m3, q_models.m6, q_models.a23, q_models.m3_report, q_models.m8])
 def test_defaults(spark, monkeypatch, query):
     seen, asked, whole = [], [], model.train_oof
 
