@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from millwatch.operators import decide, encode, folds, joins, metrics, ordering, paths
 from millwatch.plans import fixtures as X
 from millwatch.plans.q_rows import SIGNED, START, TOKENS, WP, parts, signed, started
-from millwatch.plans.q_windows import HYBRID, S, T
+from millwatch.plans.q_windows import BATCHES, HYBRID, S, T
 from millwatch.plans.registry import SQL, query
 from millwatch.sources.io import stored
+from millwatch.streaming import sliding
 
 P = f"{WP}, {SIGNED}"
 O3 = f"WITH {X.OOF3}"
@@ -302,6 +303,27 @@ def a24(spark, sf_dir):
     return out.withColumn("mcc", F.round("mcc", 9))
 
 
+_REPORT = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std" for c in sliding.SIGNALS)
+
+
+@query("a19_policy_replay", f"""{O3}, {SWEEP}, policy AS (SELECT threshold FROM sweep ORDER BY mcc DESC, threshold LIMIT 1),
+  u AS (SELECT "Id", "Response", p1 AS pred, 'first' AS source, 0 AS k FROM oof3 UNION ALL SELECT "Id", "Response", p2, 'second', 1 FROM oof3 UNION ALL SELECT "Id", "Response", p3, 'mean', 2 FROM oof3),
+  uc AS (SELECT source, k, {counts_sql('pred >= 0.74')} FROM u GROUP BY 1, 2), ur AS (SELECT *, {rates_sql()} FROM uc), best AS (SELECT source, mcc FROM ur ORDER BY mcc DESC, k LIMIT 1),
+  b AS (SELECT u.*, row_number() OVER (ORDER BY "Id") - 1 AS pos, (row_number() OVER (ORDER BY "Id") - 1) // 1000 AS batch FROM u JOIN best USING (source)), {BATCHES.replace('0.6', '(SELECT threshold FROM policy)')}
+  SELECT any_value(best.source) AS source, round(any_value(best.mcc), 9) AS source_mcc, round(any_value(policy.threshold), 9) AS threshold_high, 5.0::DOUBLE AS inspection_budget_pct, 1000 AS batch_size, count(*) AS batches, {_REPORT} FROM q, best, policy""")
+def a19_policy(spark, sf_dir):
+    """Best threshold to a policy file, and from that, with the best source, to the replay's report."""
+    from millwatch.plans.q_rows import _scratch
+
+    path = _scratch(spark, "policy")
+    best = metrics.best_threshold(sweep(spark, sf_dir)).first()["threshold"]
+    sliding.save_policy(spark, sliding.Policy(threshold_high=best), path)
+    o = X.oof3(spark, sf_dir)
+    out = sliding.replay_report({name: o.withColumn("pred", F.col(c)) for name, c in (("first", "p1"), ("second", "p2"), ("mean", "p3"))}, sliding.load_policy(spark, path), 1000)
+    whole = ["source", "inspection_budget_pct", "batch_size", "batches"]
+    return out.select(*whole, *[F.round(c, 9).alias(c) for c in ("source_mcc", "threshold_high")], *[F.round(f"{c}_{f}", 6).alias(f"{c}_{f}") for c in sliding.SIGNALS for f in ("mean", "std")])
+
+
 @query("a25_uniqueness_gate", f"""{WP}, v AS (SELECT round_even("L0_S1_F1", 6) AS a, round_even("L0_S1_F2", 6) AS b FROM parts WHERE coalesce("L0_S1_F1", "L0_S1_F2") IS NOT NULL), n AS (SELECT a, b, count(*) AS n FROM v GROUP BY 1, 2)
   SELECT CAST(sum(n) AS BIGINT) AS valid, count(*) AS distinct_values, count(*) >= 0.01 * sum(n) AS use_counts FROM n""")
 def a25(spark, sf_dir):

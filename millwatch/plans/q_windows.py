@@ -8,7 +8,7 @@ from millwatch.operators import decide, history, ordering, runs
 from millwatch.plans import fixtures as X
 from millwatch.plans.registry import SQL, query
 from millwatch.plans.q_rows import START, WP, started
-from millwatch.streaming import replay
+from millwatch.streaming import replay, sliding
 
 T = f"WITH {X.TICKS}"
 S = f"WITH {X.SCORES}"
@@ -181,7 +181,7 @@ def w19(spark, sf_dir):
     return decide.hybrid(X.scores(spark, sf_dir)).select("Id", "auto_reject", "manual_inspect", "decision")
 
 
-@query("a19_replay_summary", f"{B} SELECT count(*) AS batches, {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std' for c in ('precision', 'recall', 'flagged_pct', 'pred_mean'))} FROM q")
+@query("a19_replay_summary", f"{B} SELECT count(*) AS batches, {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std' for c in ('precision', 'recall', 'flagged_pct', 'pred_mean', 'pred_std'))} FROM q")
 def a19(spark, sf_dir):
     out = replay.replay_summary(batch_rows(spark, sf_dir))
     return out.select("batches", *[F.round(c, 6).alias(c) for c in out.columns if c != "batches"])
@@ -230,3 +230,31 @@ def st3(spark, sf_dir):
     replay.write_batches(X.scores(spark, sf_dir), f"{base}/in", 10000)
     replay.action_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema("Id long, pred double, action string").parquet(f"{base}/out")
+
+
+_SIGNALS = ", ".join(f"round(avg({c}) OVER w, 6) AS {c}_mean, round(stddev_samp({c}) OVER w, 6) AS {c}_std" for c in sliding.SIGNALS)
+
+
+@query("st2_drift_signals", f"{B.replace('// 1000 AS batch', '// 5000 AS batch')} SELECT 'all' AS source, batch AS batch_id, row_number() OVER w AS batches, {_SIGNALS} FROM q WINDOW w AS (ORDER BY batch)")
+def st2_signals(spark, sf_dir):
+    """Scores to a stream of batches, its log to a stream of signals."""
+    from millwatch.plans.q_rows import _scratch
+
+    base = _scratch(spark, "signals")
+    replay.write_batches(X.scores(spark, sf_dir), f"{base}/in", 5000)
+    replay.run_stream(spark, f"{base}/in", f"{base}/log", f"{base}/checkpoint")
+    sliding.run_signals(spark, f"{base}/log", f"{base}/out", f"{base}/signals")
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("source", "batch_id", "batches", *[F.round(c, 6).alias(c) for c in out.columns if c.endswith(("_mean", "_std"))])
+
+
+@query("st1_sliding_replay", f"""{_B10} SELECT batch AS step, batch_start, batch_end, batch_end >= (SELECT count(*) FROM scores) AS reset_triggered, {_LOG} FROM q""")
+def st1_sliding(spark, sf_dir):
+    """One round of the table, each step starting from the state that the one before saved."""
+    from millwatch.plans.q_rows import _scratch, rounded_batches
+
+    base = _scratch(spark, "sliding")
+    placed = sliding.place_scores(X.scores(spark, sf_dir), f"{base}/scores")
+    while sliding.slide(placed, base, 10000)["pointer"]:
+        pass
+    return rounded_batches(spark.read.parquet(f"{base}/log"), [F.col("step").cast("long").alias("step"), "batch_start", "batch_end", "reset_triggered"])

@@ -22,7 +22,7 @@ def batch_metrics(df: DataFrame, threshold: float = 0.6, percent: float = 5.0, b
 
 def replay_summary(batches: DataFrame) -> DataFrame:
     """Means over batches, and sample deviations as drift signals."""
-    cols = ["precision", "recall", "flagged_pct", "pred_mean"]
+    cols = ["precision", "recall", "flagged_pct", "pred_mean", "pred_std"]
     return batches.agg(F.count("*").alias("batches"), *[F.avg(c).alias(f"{c}_mean") for c in cols], *[F.stddev_samp(c).alias(f"{c}_std") for c in cols])
 
 
