@@ -132,7 +132,7 @@ def _running(batch: str):
 
 def drift_signals(log: DataFrame, batch: str = "batch_id", source: str | None = None) -> DataFrame:
     """A stream of batch metrics to a row for each new batch of a source: batches so far, their metrics' means and sample
-    deviations. A source's batches come in ascending order; what one trigger brings is sorted."""
+    deviations. A source's batches come in ascending order over triggers; what one trigger brings is sorted."""
     key = F.lit("all") if source is None else F.col(source).cast("string")
     rows = log.select(F.coalesce(key, F.lit("")).alias("source"), F.col(batch).cast("long").alias(batch), *[F.col(c).cast("double").alias(c) for c in SIGNALS]).where(F.col(batch).isNotNull())
     shown = ", ".join(f"{c}_mean double, {c}_std double" for c in SIGNALS)
@@ -141,8 +141,10 @@ def drift_signals(log: DataFrame, batch: str = "batch_id", source: str | None =
 
 
 def run_signals(spark: SparkSession, log: str, out: str, checkpoint: str, batch: str = "batch_id", source: str | None = None) -> None:
-    """Signals of the log's batches that are new since the last run, appended to out; the checkpoint holds the state."""
+    """Signals of the log's batches that are new since the last run, appended to out; the checkpoint holds the state. A
+    stream takes files by time of writing, and a log's files aren't written in the order of batches: so one trigger brings
+    all new ones (a few numbers a batch), and sorts them."""
     schema = spark.read.parquet(log).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(log)
+    stream = spark.readStream.schema(schema).parquet(log)
     q = drift_signals(stream, batch, source).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()

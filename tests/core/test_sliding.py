@@ -66,3 +66,15 @@ def test_signals_over_restarts(spark, tmp_path):
     sliding.run_signals(spark, log, f"{tmp_path}/once", f"{tmp_path}/new", source="source")
     once = spark.read.parquet(f"{tmp_path}/once").toPandas().sort_values(["source", "batch_id"])
     pd.testing.assert_frame_equal(got.reset_index(drop=True), once.reset_index(drop=True))
+
+
+def test_signals_of_a_log_in_any_order(spark, tmp_path):
+    """More than 1,000 batches whose files were written from the last to the first: none is lost."""
+    n, log = 1010, f"{tmp_path}/log"
+    m = spark.range(n).select(F.col("id").alias("batch_id"), *[(F.col("id") * k % 7).cast("double").alias(c) for k, c in enumerate(sliding.SIGNALS, 1)])
+    io.append_log(m.where("batch_id >= 5").coalesce(1), log)
+    io.append_log(m.where("batch_id < 5").coalesce(1), log)
+    sliding.run_signals(spark, log, f"{tmp_path}/out", f"{tmp_path}/check")
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("batch_id").toPandas()
+    assert list(got.batch_id) == list(range(n)) and list(got.batches) == list(range(1, n + 1))
+    pd.testing.assert_series_equal(got.recall_mean, m.toPandas().recall.expanding().mean(), check_names=False)
