@@ -1,9 +1,10 @@
 """Replay by a saved policy and position: a report of all batches, one window a step, and drift signals kept as state.
 
 A step reads its window only, from scores that are stored in id order. It writes its row of the log, then its state as a
-new version, so a step that stops midway is done again from the same position and replaces its own row. Drift signals
-(means and sample deviations of batch metrics so far) are a stateful stream over the log: a few numbers a source, however
-many batches there were.
+new version, so a step that stops midway is done again from the same position and replaces its own row. Steps that follow
+each other may be made together: their windows are one job, their state is the last one's. Drift signals (means and sample
+deviations of batch metrics so far) are a stateful stream over the log: a few numbers a source, however many batches there
+were.
 
 Defined results: a missing policy file, or a missing value in it, gives the default; a file that is no JSON is an error. A
 position outside the table counts as 0; a table without rows has no step and is an error. Null scores are never over a
@@ -79,22 +80,26 @@ def position(spark: SparkSession, folder: str) -> dict:
     return spark.read.schema(STATE).json(path).first().asDict()
 
 
-def slide(placed: DataFrame, folder: str, size: int, policy: Policy = Policy(), schedule_seconds: int = 60) -> dict:
-    """Replays the window at the saved position and gives the new state. Log (a row a step) and state lie in folder."""
-    if size <= 0:
-        raise ValueError("batch size must be positive")
+def slide(placed: DataFrame, folder: str, size: int, policy: Policy = Policy(), schedule_seconds: int = 60, windows: int = 1) -> dict:
+    """Replays the windows from the saved position on, so many of them and up to the table's end at most, and gives the
+    new state. Log (a row a step, which is a window) and state lie in folder; if it stops midway, all its steps are done
+    again and replace their own rows."""
+    if size <= 0 or windows <= 0:
+        raise ValueError("batch size and number of windows must be positive")
     spark = placed.sparkSession
     at = position(spark, folder)
     n = placed.agg(F.max("position") + 1).first()[0]
     if not n:
         raise ValueError("no scored rows to replay")
     start = at["pointer"] if 0 <= at["pointer"] < n else 0
-    end = min(n, start + size)
-    rows = placed.where((F.col("position") >= start) & (F.col("position") < end)).withColumn("step", F.lit(at["step"]))
+    end = min(n, start + size * windows)
+    steps = -(-(end - start) // size)
+    step = F.expr(f"{at['step']}L + (position - {start}L) div {size}L")
+    rows = placed.where((F.col("position") >= start) & (F.col("position") < end)).withColumn("step", step)
     row = replay.batch_metrics(rows, policy.threshold_high, policy.inspection_budget_pct, batch="step")
-    given = {"reset_triggered": end >= n, "schedule_seconds": int(schedule_seconds), "batch_size": int(size), "threshold_high": float(policy.threshold_high), "inspection_budget_pct": float(policy.inspection_budget_pct)}
-    io.append_log(row.withColumns({k: F.lit(v) for k, v in given.items()}), f"{folder}/log", "step")
-    new = {"step": at["step"] + 1, "pointer": 0 if end >= n else end, "last_start": start, "last_end": end, "batch_size": int(size), "schedule_seconds": int(schedule_seconds), "dataset_rows": n, "reset_on_end": True}
+    given = {"schedule_seconds": int(schedule_seconds), "batch_size": int(size), "threshold_high": float(policy.threshold_high), "inspection_budget_pct": float(policy.inspection_budget_pct)}
+    io.append_log(row.withColumns({"reset_triggered": F.col("batch_end") >= n} | {k: F.lit(v) for k, v in given.items()}), f"{folder}/log", "step")
+    new = {"step": at["step"] + steps, "pointer": 0 if end >= n else end, "last_start": start + size * (steps - 1), "last_end": end, "batch_size": int(size), "schedule_seconds": int(schedule_seconds), "dataset_rows": n, "reset_on_end": True}
     with io.new_version(spark, f"{folder}/state") as version:
         spark.createDataFrame([tuple(new.values())], STATE).coalesce(1).write.json(version)
     return new

@@ -68,6 +68,21 @@ def test_signals_over_restarts(spark, tmp_path):
     pd.testing.assert_frame_equal(got.reset_index(drop=True), once.reset_index(drop=True))
 
 
+def test_windows_together(spark, tmp_path):
+    """Steps made together leave the log and the state that single ones do; the last window of a round may be short."""
+    placed = sliding.place_scores(scores(spark, 250), f"{tmp_path}/scores")
+    one, some = f"{tmp_path}/one", f"{tmp_path}/some"
+    for _ in range(6):
+        last = sliding.slide(placed, one, 30)
+    assert sliding.slide(placed, some, 30, windows=4)["pointer"] == 120
+    assert sliding.slide(placed, some, 30, windows=2) == last and sliding.position(spark, some) == last
+    for _ in range(3):
+        last = sliding.slide(placed, one, 30)
+    assert sliding.slide(placed, some, 30, windows=100) == last and last["pointer"] == 0 and last["last_start"] == 240
+    logs = [[r.asDict() for r in spark.read.parquet(f"{f}/log").orderBy("step").collect()] for f in (one, some)]
+    assert logs[0] == logs[1] and [r["reset_triggered"] for r in logs[1]] == [False] * 8 + [True]
+
+
 def test_signals_of_a_log_in_any_order(spark, tmp_path):
     """More than 1,000 batches whose files were written from the last to the first: none is lost."""
     n, log = 1010, f"{tmp_path}/log"
