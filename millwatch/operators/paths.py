@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millwatch.operators.ordering import meet_groups
 from millwatch.operators.rowwise import EMPTY_BASELINE
+from millwatch.sources.io import stored
 
 
 def parse(sig: Column, empty: str = EMPTY_BASELINE) -> Column:
@@ -41,8 +42,9 @@ def smoothed_rate(df: DataFrame, key: str, target: str = "Response", weight: flo
 
 def pair_cooccurrence(df: DataFrame, sig: str = "path_signature") -> DataFrame:
     """(signature, mean, max, std of the weights of its pairs); a pair weighs the rows of all signatures with it. Pairs
-    are made once a distinct signature."""
-    per = df.groupBy(sig).agg(F.count("*").alias("_n")).withColumn("_p", pairs(parse(F.col(sig))))
+    are made once a distinct signature: signatures are stored first, as Spark would push the question whether a signature
+    has pairs down to the rows, and read these once for each use."""
+    per = stored(df.groupBy(sig).agg(F.count("*").alias("_n")), "signatures").withColumn("_p", pairs(parse(F.col(sig))))
     each = per.select(sig, "_n", F.explode("_p").alias("_pair"))
     weight = each.groupBy("_pair").agg(F.sum("_n").alias("_w"))
     stats = each.join(weight, "_pair").groupBy(F.col(sig).alias("_s")).agg(F.avg("_w").alias("a"), F.max("_w").alias("b"), F.stddev_pop("_w").alias("c"))

@@ -17,8 +17,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an order: Id, Response, and for station k what the order's line k measured."""
+    """One row an order: Id, Response, and for station k what the order's line k measured. Lines, which are narrow, meet by
+    order before they become an order's columns."""
     orders, lines = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    lines = lines.repartition("l_orderkey")
     day = F.datediff(F.col("l_shipdate"), F.lit(_DAY0).cast("date")).cast("double")
     cols = []
     for k, s in enumerate(STATIONS, 1):
