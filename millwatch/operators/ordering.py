@@ -24,8 +24,11 @@ MOST_GROUPS, HEAVY = 1 << 17, 1 << 19
 
 def ranges(df: DataFrame, order: list[Column], n: int | None = None) -> tuple[DataFrame, int]:
     """df with `_b` int, rows of a smaller range coming before those of a larger in the order; and the number of
-    ranges. n: the number of rows, or a bound, where the caller knows it."""
-    n = df.count() if n is None else n
+    ranges. n: the number of rows, or a bound, where the caller knows it; else df is stored first, as counting, sampling
+    and dealing it would each make it again."""
+    if n is None:
+        df = stored(df, "unordered")
+        n = df.count()
     parts = max(1, -(-n // ROWS))
     if parts == 1:
         return df.withColumn("_b", F.lit(0)), 1
@@ -33,6 +36,11 @@ def ranges(df: DataFrame, order: list[Column], n: int | None = None) -> tuple[Da
     return stored(df.repartitionByRange(parts, *order).withColumn("_b", F.spark_partition_id()), "ranges"), parts
 
 
+def are_light(df: DataFrame, within: list[str]) -> bool:
+    """Whether no group has more rows than a range."""
+    return (df.groupBy(*within).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) <= ROWS
+
+
 def by_key(key: str, row_id: str, descending: bool = False) -> list[Column]:
     return [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last(), F.col(row_id).asc()]
 
@@ -88,9 +96,17 @@ def meet_groups(rows: DataFrame, groups: DataFrame, on: list[str], count: str |
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], within: list[str] | None = None, inclusive: bool = True, totals: bool = False, n: int | None = None, keep: bool = False) -> DataFrame:
     """df with running sums in the order, over all rows or within groups, all in one pass; with totals also the sum of
-    the row's whole group as <name>_total. keep leaves the range's number `_b` in."""
-    within = within or []
-    b, parts = ranges(df.withColumns({f"_v_{k}": v for k, v in sums.items()}), order, n)
+    the row's whole group as <name>_total. keep leaves the range's number `_b` in. Where no group
+    is larger than a range, groups are ordered as they are."""
+    within, values = within or [], {f"_v_{k}": v for k, v in sums.items()}
+    df = df.withColumns(values)
+    if within and n is None:
+        df = stored(df, "unordered")
+        n = df.count()
+    if within and n > ROWS and are_light(df, within):
+        b, parts = df.withColumn("_b", F.lit(0)), 1
+    else:
+        b, parts = ranges(df, order, n)
     frame = W.partitionBy(*within, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     run = b.withColumns({k: F.coalesce(F.sum(f"_v_{k}").over(frame), F.lit(0)) for k in sums})
     if totals and parts == 1:
@@ -134,14 +150,14 @@ def key_counts(dense: DataFrame, asks: dict[str, tuple[Column, bool]], n: int |
     return line.groupBy("_k").agg(*[F.max(F.when(F.col("_tag") == i, F.col("_up"))).alias(name) for i, name in enumerate(asks)])
 
 
-def trailing_counts(df: DataFrame, key: str, row_id: str, widths: dict[str, float], place: str | None = None) -> DataFrame:
+def trailing_counts(df: DataFrame, key: str, row_id: str, widths: dict[str, float], place: str | None = None, n: int | None = None) -> DataFrame:
     """df with, for each name, the rows whose key is in [key - width, key], of equal keys only those up to the row
     itself in id order (a null key counts the null keys so far); with `place` also the row's place, from 0, in the order
-    (key, id).
+    (key, id). n: the number of rows, where the caller knows it.
 
     A count is the rows up to the row less those below key - width, both from running counts over distinct keys. Rows
     meet the figures of their key once a range, so a key that most rows share doesn't gather."""
-    b, parts = ranges(df, by_key(key, row_id))
+    b, parts = ranges(df, by_key(key, row_id), n)
     per = b.groupBy(F.col(key).alias("_k"), "_b").agg(F.count("*").alias("_n"))
     per = stored(per, "keys")
     dense = per.groupBy("_k").agg(F.sum("_n").alias("_all"))

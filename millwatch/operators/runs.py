@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
-from millwatch.operators.ordering import by_key, meet, meet_groups, ranges, running
+from millwatch.operators.ordering import are_light, by_key, meet, meet_groups, ranges, running
 from millwatch.sources.io import stored
 
 #: Rows without data are spread over so many groups, where they would meet in one.
@@ -63,9 +63,15 @@ def _spread(cols: list[Column], row_id: str) -> tuple[Column, Column]:
 
 def station_duplicates(df: DataFrame, stations: dict[str, list[str]], start: str = "start_time", row_id: str = "Id") -> DataFrame:
     """<station>_dup_count and <station>_dup_rank of rows with equal measures there, 0 without any; and their total."""
+    base = df = stored(df, "unordered")
     for s, cols in stations.items():
         has, group = _spread([F.col(c) for c in cols], row_id)
-        d = running(df.withColumn("_z", group), by_key(start, row_id), {"_r": F.lit(1).cast("long")}, [*cols, "_z"], totals=True)
+        d, within = df.withColumn("_z", group), [*cols, "_z"]
+        if are_light(base.withColumn("_z", group), within):
+            w = W.partitionBy(*within)
+            d = d.withColumns({"_r": F.row_number().over(w.orderBy(*by_key(start, row_id))), "_r_total": F.count("*").over(w)})
+        else:
+            d = running(d, by_key(start, row_id), {"_r": F.lit(1).cast("long")}, within, totals=True)
         df = d.withColumns({f"{s}_dup_count": F.when(has, F.col("_r_total")).otherwise(0).cast("int"), f"{s}_dup_rank": F.when(has, F.col("_r")).otherwise(0).cast("int")}).drop("_z", "_r", "_r_total")
     return df.withColumn("total_station_dups", N.add([F.lit(0), *[F.col(f"{s}_dup_count") for s in stations]]))
 
@@ -75,12 +81,13 @@ def rounded_duplicates(df: DataFrame, stations: dict[str, list[str]], least: flo
     their log1p."""
     from millwatch.operators.encode import uniqueness_gate
 
+    base = df
     for s, cols in stations.items():
-        gate = uniqueness_gate(df, cols, least, digits).select(F.col("use_counts").alias("_use"))
+        gate = uniqueness_gate(base, cols, least, digits).select(F.col("use_counts").alias("_use"))
         has, group = _spread([F.col(c) for c in cols], row_id)
         keys = {f"_q{i}": F.bround(F.col(c), digits) for i, c in enumerate(cols)}
         rows = df.withColumns(keys | {"_z": group})
-        per = rows.where("_z is null").groupBy(*keys, "_z").agg(F.count("*").alias("_n"))
+        per = base.withColumns(keys | {"_z": group}).where("_z is null").groupBy(*keys, "_z").agg(F.count("*").alias("_n"))
         df = meet(rows, per, [*keys, "_z"]).crossJoin(F.broadcast(gate)).withColumn(f"{s}_concat_count", F.when(has & F.col("_use"), F.col("_n")).otherwise(0).cast("int")).drop("_use", "_n", "_z", *keys)
     return df.withColumn("total_concat_count", N.add([F.lit(0.0), *[F.log1p(F.col(f"{s}_concat_count").cast("double")) for s in stations]]))
 

@@ -108,7 +108,7 @@ def _raw(df: DataFrame, catalog: StationCatalog, stations: Stations) -> tuple[Da
     d = d.withColumn("_t", N.min_of(catalog.of_kind("D")))
     # duplicates, in the order of time and id
     d = stored(runs.adjacent_runs(d, measures, "_t"), "runs")
-    d = runs.station_duplicates(d, has(stations.duplicates), "_t")
+    d = stored(runs.station_duplicates(d, has(stations.duplicates), "_t"), "station_duplicates")
     d = stored(runs.rounded_duplicates(d, has(stations.rounded)), "duplicates")
     # path
     d = rowwise.station_counts(rowwise.visited(d, catalog, "F"), catalog)
