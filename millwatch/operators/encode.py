@@ -107,10 +107,11 @@ def oof_rate(df: DataFrame, key: str, fold: str = "cv_fold", target: str = "Resp
 
 
 def oof_token_rates(df: DataFrame, sig: str, tokens: Column, fold: str = "cv_fold", target: str = "Response") -> DataFrame:
-    """(token, fold, rate) from the other folds: sums by signature and fold, then by their tokens."""
-    per = df.groupBy(sig, fold).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
+    """(token, fold, rate) from the other folds: sums by signature and fold (stored, so that no row makes its tokens), then
+    by their tokens."""
+    per = stored(df.groupBy(sig, fold).agg(F.sum(target).alias("s"), F.count(target).alias("n")), "signatures")
     each = per.select(fold, "s", "n", F.explode(tokens).alias("token")).groupBy("token", fold).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    folds = df.select(fold).distinct()
+    folds = per.select(fold).distinct()
     grid = each.select("token").distinct().crossJoin(F.broadcast(folds)).join(each, ["token", fold], "left").fillna(0, ["s", "n"])
     w = W.partitionBy("token")
     rate = F.try_divide(F.sum("s").over(w) - F.col("s"), (F.sum("n").over(w) - F.col("n")).cast("double"))
@@ -121,7 +122,7 @@ def signature_token_stats(df: DataFrame, sig: str, tokens: Column, rates: DataFr
     """(signature, fold) with mean, max and deviation of its tokens' rates; an unseen token counts as the overall mean,
     a signature without tokens has (mean, mean, 0)."""
     mean = df.agg(F.avg(target).alias("_g"))
-    per = df.select(sig, fold).distinct().withColumn("_t", tokens).crossJoin(F.broadcast(mean))
+    per = stored(df.select(sig, fold).distinct(), "signatures").withColumn("_t", tokens).crossJoin(F.broadcast(mean))
     each = per.select(sig, fold, "_g", F.explode("_t").alias("token")).join(rates, ["token", fold], "left")
     r = F.coalesce("rate", "_g")
     stats = each.groupBy(F.col(sig).alias("_s"), F.col(fold).alias("_f")).agg(F.avg(r).alias("a"), F.max(r).alias("b"), F.stddev_pop(r).alias("c"))

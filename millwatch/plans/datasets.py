@@ -19,11 +19,12 @@ def baseline(df: DataFrame, numeric: list[str], dates: list[str], chunk: int = 1
     catalog = StationCatalog.of([*numeric, *dates])
     d = rowwise.start_end(rowwise.visited(df, catalog), dates)
     d = d.select("Id", "Response", "start_time", "duration", F.coalesce(N.mean_of(numeric), F.lit(0.0)).alias("feature_mean"), rowwise.signature(catalog).alias("path_signature"), N.add([F.col(f"visited_{s}") for s in catalog.stations]).alias("station_count"))
+    d = stored(d, "core")
+    n = d.count()
     d = paths.frequency(d, "path_signature", "path_count")
     low = d.agg(F.min("start_time").alias("_low"))
     d = d.crossJoin(F.broadcast(low)).withColumn("_ft", F.coalesce("start_time", F.col("_low") - 1, F.lit(0.0))).drop("_low")
-    d = stored(d, "core")
-    d = ordering.trailing_counts(d, "_ft", "Id", {"records_last_1hr": 1.0, "records_last_24hr": 24.0}, place="_i")
+    d = ordering.trailing_counts(d, "_ft", "Id", {"records_last_1hr": 1.0, "records_last_24hr": 24.0}, place="_i", n=n)
     d = d.withColumn("density_ratio", F.col("records_last_1hr") / F.greatest("records_last_24hr", F.lit(1)))
     d = stored(d.withColumn("chunk_id", F.expr(f"cast(_i div {chunk} as int)")), "chunks")
     return paths.frequency(d, "chunk_id", "chunk_size").drop("_ft", "_i")
