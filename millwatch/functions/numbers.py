@@ -19,36 +19,37 @@ def to_number(c, default: float) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).try_cast("double"), F.lit(float(default)))
 
 
-def values(cols: list[str]) -> Column:
-    return F.filter(F.array(*[clean(c) for c in cols]) if cols else F.array().cast("array<double>"), lambda x: x.isNotNull())
+def _either(f, cols: list[str]) -> Column:
+    """f (least or greatest, which skip nulls) over the columns' values."""
+    return f(*[clean(c) for c in cols]) if len(cols) > 1 else clean(cols[0]) if cols else F.lit(None).cast("double")
 
 
-def total(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+def count_of(cols: list[str]) -> Column:
+    """How many of the columns have a value."""
+    return add([F.lit(0), *[clean(c).isNotNull().cast("int") for c in cols]])
 
 
 def mean_of(cols: list[str]) -> Column:
-    v = values(cols)
-    return F.try_divide(total(v), F.size(v))
+    return F.try_divide(add([F.lit(0.0), *[F.coalesce(clean(c), F.lit(0.0)) for c in cols]]), count_of(cols))
 
 
 def std_of(cols: list[str]) -> Column:
-    """Sample standard deviation; null for fewer than two values."""
-    v, m = values(cols), mean_of(cols)
-    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-    return F.when(F.size(v) > 1, F.sqrt(squares / (F.size(v) - 1)))
+    """Sample standard deviation; null for fewer than two values. The mean is made once a row, as a list's one element."""
+    square = lambda c, m: F.coalesce((clean(c) - m) * (clean(c) - m), F.lit(0.0))
+    squares = F.get(F.transform(F.array(mean_of(cols)), lambda m: add([F.lit(0.0), *[square(c, m) for c in cols]])), 0)
+    return F.when(count_of(cols) > 1, F.sqrt(squares / (count_of(cols) - 1)))
 
 
 def min_of(cols: list[str]) -> Column:
-    return F.array_min(values(cols))
+    return _either(F.least, cols)
 
 
 def max_of(cols: list[str]) -> Column:
-    return F.array_max(values(cols))
+    return _either(F.greatest, cols)
 
 
 def null_share(cols: list[str]) -> Column:
-    return 1 - F.size(values(cols)) / float(len(cols))
+    return 1 - count_of(cols) / float(len(cols))
 
 
 def any_of(cols: list[str]) -> Column:

@@ -57,10 +57,12 @@ def apply_encoding(df: DataFrame, table: DataFrame, cols: list[str], default: Da
     return out.drop("_g", "_e", *[f"_m{i}" for i in range(len(small))])
 
 
-def percentiles(df: DataFrame, cols: list[str], shares: list[float]) -> DataFrame:
+def percentiles(df: DataFrame, cols: list[str], shares: list[float], at_hand: bool = False) -> DataFrame:
     """(col, share, value): exact percentiles, between two values by their distance; a column without values has no
-    row. All columns' ranks are found together by nested histograms, so neither rows nor values are ordered."""
-    slim = stored(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]), "columns")
+    row. All columns' ranks are found together by nested histograms, so neither rows nor values are ordered. The columns are
+    stored first, as each pass reads them, unless they are at hand (columns of a stored table)."""
+    slim = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    slim = slim if at_hand else stored(slim, "columns")
     ends = lambda m: {(q, end): end(q * (m - 1)) for q in map(float, shares) for end in (math.floor, math.ceil)}
     found = select.places(slim, [f"c{i}" for i in range(len(cols))], lambda m: ends(m) | {"last": m - 1})
     rows = []
@@ -75,21 +77,21 @@ def percentiles(df: DataFrame, cols: list[str], shares: list[float]) -> DataFram
     return df.sparkSession.createDataFrame(rows, "col string, share double, value double")  # a row a column and share
 
 
-def scalars(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
+def scalars(df: DataFrame, col: str, exact: bool = True, at_hand: bool = False) -> DataFrame:
     """One row: mean, std (sample; 1 where it is not positive), p90, p10. The approximate percentiles need one pass."""
     sd = F.stddev_samp(col)
     one = df.agg(F.avg(col).alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("std"), *([] if exact else [F.approx_percentile(col, F.lit(q), F.lit(10000)).cast("double").alias(n) for q, n in ((0.9, "p90"), (0.1, "p10"))]))
     if exact:
         at = lambda q: F.max(F.when(F.col("share") == q, F.col("value")))
-        one = one.crossJoin(percentiles(df, [col], [0.9, 0.1]).agg(at(0.9).alias("p90"), at(0.1).alias("p10")))
+        one = one.crossJoin(percentiles(df, [col], [0.9, 0.1], at_hand).agg(at(0.9).alias("p90"), at(0.1).alias("p10")))
     return one
 
 
-def medians(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+def medians(df: DataFrame, cols: list[str], exact: bool = True, at_hand: bool = False) -> DataFrame:
     """(col, median): 0 for a column without values."""
     if exact:
         names = df.sparkSession.createDataFrame([(c,) for c in cols], "col string")
-        return names.join(F.broadcast(percentiles(df, cols, [0.5])), "col", "left").select("col", F.coalesce("value", F.lit(0.0)).alias("median"))
+        return names.join(F.broadcast(percentiles(df, cols, [0.5], at_hand)), "col", "left").select("col", F.coalesce("value", F.lit(0.0)).alias("median"))
     one = df.agg(*[F.coalesce(F.approx_percentile(c, F.lit(0.5), F.lit(10000)).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("median")) for c in cols])).alias("p")).select("p.*")
 

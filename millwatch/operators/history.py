@@ -89,5 +89,6 @@ def since_failures(df: DataFrame, failures: DataFrame, key: str, failure_key: st
     own = F.col("_step") == 0
     means = [F.when(F.count(F.when(F.col("_step") < k, 1)) == k, F.sum(F.when(F.col("_step") < k, F.col("_ft"))) / k).alias(f"_m{k}") for k in ks]
     f = wide.groupBy((F.col("_at") + F.col("_step")).alias("_to")).agg(F.max(F.when(own, F.col("_ft"))).alias("_ft"), F.max(F.when(own, F.col("_fi"))).alias("_fi"), *means).where("_ft is not null")
+    f = stored(f, "failures")
     got = as_of(df, f, key, "_ft", "_fi", [f"_m{k}" for k in ks], strict=True)
     return got.withColumns({f"since_last_{k}": F.col(key) - F.col(f"_m{k}") for k in ks}).drop(*[f"_m{k}" for k in ks])

@@ -28,9 +28,9 @@ META = ["p1", "p2", "p3", "mean_prediction", "std_prediction", "max_prediction",
 
 
 def fill_values(df: DataFrame, features: list[str]) -> dict[str, float]:
-    """Each feature's median, one row a feature; 0 for one without values."""
+    """Each feature's median, one row a feature; 0 for one without values. df is a stored table."""
     doubles = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-    return {r["col"]: r["median"] for r in encode.medians(doubles, features).collect()}
+    return {r["col"]: r["median"] for r in encode.medians(doubles, features, at_hand=True).collect()}
 
 
 def _assemble(df: DataFrame, features: list[str], fills: dict[str, float]) -> DataFrame:

@@ -37,7 +37,7 @@ def entry_times(df: DataFrame, catalog: StationCatalog) -> DataFrame:
 def line_times(df: DataFrame, catalog: StationCatalog, lines: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
     """Start, end and duration over entry times, over all stations and for each line, and the timed stations."""
     all_of = [f"entry_{s}" for s in catalog.stations]
-    out = {"start_time": N.min_of(all_of), "end_time": N.max_of(all_of), "duration": N.max_of(all_of) - N.min_of(all_of), "timed_stations": F.size(N.values(all_of))}
+    out = {"start_time": N.min_of(all_of), "end_time": N.max_of(all_of), "duration": N.max_of(all_of) - N.min_of(all_of), "timed_stations": N.count_of(all_of)}
     for k in lines:
         mine = [c for c in all_of if c.startswith(f"entry_L{k}_")]
         out |= {f"start_L{k}": N.min_of(mine), f"end_L{k}": N.max_of(mine), f"duration_L{k}": N.max_of(mine) - N.min_of(mine)}

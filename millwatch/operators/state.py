@@ -100,38 +100,57 @@ def raw_end(df: DataFrame) -> Column:
     return N.max_of(StationCatalog.of(df.columns).of_kind("D"))
 
 
-def _raw(df: DataFrame, catalog: StationCatalog, stations: Stations) -> tuple[DataFrame, list[str], list[str]]:
-    """The features that depend on no fitted value, times as they are; and the names of all and of the times."""
+@dataclass(frozen=True)
+class Raw:
+    """Rows with the features that depend on no fitted value, times as they are; the names of all and of the times."""
+
+    rows: DataFrame
+    made: list[str]
+    times: list[str]
+
+
+def raw(df: DataFrame, stations: Stations = Stations()) -> Raw:
+    """What fit() and transform() start from, stored, so that both may share it where they see the same rows. Each block
+    that orders or groups rows takes a row's number and the few columns it needs; blocks meet the rows by that number, so
+    the whole width is shuffled once and no block's order decides how many tasks the next one has."""
+    catalog = StationCatalog.of(df.columns)
     measures, has = catalog.of_kind("F"), lambda names: {s: catalog.of_kind("F", s) for s in names if catalog.of_kind("F", s)}
-    d = rowwise.core_numbers(df, measures)
-    d = rowwise.station_statistics(d, list(has(stations.statistics)), catalog)
-    d = d.withColumn("_t", N.min_of(catalog.of_kind("D")))
-    # duplicates, in the order of time and id
-    d = stored(runs.adjacent_runs(d, measures, "_t"), "runs")
-    d = stored(runs.station_duplicates(d, has(stations.duplicates), "_t"), "station_duplicates")
-    d = stored(runs.rounded_duplicates(d, has(stations.rounded)), "duplicates")
-    # path
-    d = rowwise.station_counts(rowwise.visited(d, catalog, "F"), catalog)
-    d = paths.frequency(d.withColumn("path_signature", rowwise.signature(catalog, rowwise.EMPTY_PIPELINE)), "path_signature", "path_count")
-    d = d.withColumn("path_risk_tier", rowwise.risk_tier(F.col("path_count")))
-    # times
-    before = set(d.columns)
-    d = rowwise.calendar(rowwise.line_times(rowwise.entry_times(d, catalog), catalog))
-    times = [c for c in d.columns if c not in before and c != "timed_stations"]
-    d = rowwise.id_shift(history.records_around(d))
-    made = [c for c in d.columns if c not in {*df.columns, "_t"}]
-    return stored(d.select(*df.columns, *made), "raw"), made, times
+    since = lambda d, e: [c for c in d.columns if c not in set(e.columns)]
+    # of a row alone
+    a = rowwise.station_statistics(rowwise.core_numbers(df, measures), list(has(stations.statistics)), catalog)
+    b = rowwise.station_counts(rowwise.visited(a, catalog, "F"), catalog)
+    b = b.withColumn("path_signature", rowwise.signature(catalog, rowwise.EMPTY_PIPELINE))
+    c = rowwise.calendar(rowwise.line_times(rowwise.entry_times(b, catalog), catalog))
+    d = rowwise.id_shift(c)
+    rows = stored(d.withColumns({"_t": N.min_of(catalog.of_kind("D")), "_row": F.monotonically_increasing_id()}), "rows")
+    # duplicates, in the order of time and id; records around, in that of id
+    slim = lambda names: rows.select("_row", "Id", "_t", *dict.fromkeys(names))
+    some = lambda of: [x for names in of.values() for x in names]
+    again, alike = has(stations.duplicates), has(stations.rounded)
+    blocks = [
+        runs.adjacent_runs(slim(measures), measures, "_t").drop(*measures),
+        runs.station_duplicates(slim(some(again)), again, "_t").drop(*some(again)),
+        runs.rounded_duplicates(slim(some(alike)), alike).drop(*some(alike)),
+        history.records_around(slim([])),
+    ]
+    blocks = [x.drop("Id", "_t") for x in blocks]
+    out = paths.frequency(rows, "path_signature", "path_count").withColumn("path_risk_tier", rowwise.risk_tier(F.col("path_count")))
+    for x in blocks:
+        out = out.join(x, "_row")
+    named = [[x for x in block.columns if x != "_row"] for block in blocks]
+    times = [x for x in since(c, b) if x != "timed_stations"]
+    made = [*since(a, df), *named[0], *named[1], *named[2], *since(b, a), "path_count", "path_risk_tier", *since(c, b), *named[3], *since(d, c)]
+    return Raw(stored(out.select(*df.columns, *made), "raw"), made, times)
 
 
 def _complete(b: DataFrame, state_of: dict[str, DataFrame], cats: list[str], times: list[str], failures: DataFrame | None) -> DataFrame:
-    """b with the features that depend on fitted tables; without failures the history stays null."""
+    """b (stored) with the features that depend on fitted tables; without failures the history stays null. Nothing is
+    stored between: what is asked of all rows, their times, needs few columns of b."""
     b = encode.apply_encoding(b, state_of["encodings"], cats, state_of["mean"])
     b = joins.lookup(b, state_of["paths"], "path_signature", "rate", state_of["mean"], "path_failure_rate")
     b = rowwise.duration_flags(b, state_of["scalars"])
-    fills = state_of["medians"].where(F.col("col").isin(times)).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("col", "median"))).alias("_m"))
-    b = b.crossJoin(F.broadcast(fills))
-    b = b.withColumns({c: F.coalesce(F.col(c).cast("double"), F.try_element_at("_m", F.lit(c)), F.lit(0.0)) for c in times}).drop("_m")
-    b = stored(b, "filled")
+    fills = {r["col"]: r["median"] for r in state_of["medians"].where(F.col("col").isin(times)).collect()}  # a row a time
+    b = b.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(fills.get(c) or 0.0))) for c in times})
     if failures is None:
         b = b.withColumns({f"since_last_{k}": F.lit(None).cast("double") for k in HISTORY})
     else:
@@ -143,18 +162,20 @@ def _kind(t: str) -> str:
     return t if t in ("tinyint", "smallint", "int", "bigint", "string") else "double"
 
 
-def fit(df: DataFrame, target: str = "Response", stations: Stations = Stations()) -> State:
-    """The state of a labelled table; fitting changes nothing else. Its own failures are the history of its rows."""
+def fit(df: DataFrame, target: str = "Response", stations: Stations = Stations(), made: Raw | None = None) -> State:
+    """The state of a labelled table; fitting changes nothing else. Its own failures are the history of its rows. made:
+    raw() of df, where the caller has it."""
     catalog = StationCatalog.of(df.columns)
-    b, made, times = _raw(df, catalog, stations)
+    made = made or raw(df, stations)
+    b, times = made.rows, made.times
     cats, spark = catalog.of_kind("C"), df.sparkSession
-    of = {"encodings": encode.target_encoding(b, cats, target), "paths": paths.smoothed_rate(b, "path_signature", target), "scalars": encode.scalars(b, "duration"), "mean": b.agg(F.avg(target).alias("mean")), "medians": encode.medians(b, times)}
+    of = {"encodings": encode.target_encoding(b, cats, target), "paths": paths.smoothed_rate(b, "path_signature", target), "scalars": encode.scalars(b, "duration", at_hand=True), "mean": b.agg(F.avg(target).alias("mean")), "medians": encode.medians(b, times, at_hand=True)}
     of = {k: stored(v, k) for k, v in of.items()}
     filled_end = F.coalesce(F.col("end_time").cast("double"), F.lit(of["medians"].where("col = 'end_time'").first()["median"]))
     failures = b.where(F.col(target) == 1).select(filled_end.alias("time"), F.col("Id").alias("failure_id"))
     full = stored(_complete(b, of, cats, times, failures).drop(*df.columns), "full")
     kinds = {c: _kind(t) for c, t in full.dtypes}
-    medians = stored(encode.medians(full, [c for c, t in kinds.items() if t != "string"]), "medians")
+    medians = stored(encode.medians(full, [c for c, t in kinds.items() if t != "string"], at_hand=True), "medians")
     fill = {r["col"]: r["median"] for r in medians.collect()}  # a row a feature
     told = [(i, c, t, ("unknown_path" if c == "path_signature" else "") if t == "string" else repr(float(fill[c]))) for i, (c, t) in enumerate(kinds.items())]
     return State(of["encodings"], of["paths"], of["scalars"], medians, of["mean"], spark.createDataFrame(told, "place int, name string, kind string, fill string"))
@@ -168,9 +189,9 @@ def failures_of(context: DataFrame) -> DataFrame:
     return context.where("Response = 1").select(end.cast("double").alias("time"), F.col("Id").alias("failure_id")).where("time is not null")
 
 
-def transform(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations()) -> tuple[DataFrame, dict]:
+def transform(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations(), made: Raw | None = None) -> tuple[DataFrame, dict]:
     """(Id and the contract's features, info). context: labelled rows to look back on. Without usable failures the
-    history's fitted medians stand in, and info warns, unless allow_fallback is off."""
+    history's fitted medians stand in, and info warns, unless allow_fallback is off. made: raw() of the same rows."""
     catalog = StationCatalog.of(df.columns)
     info: dict = {"temporal_context_used": False, "temporal_fallback_used": False, "warnings": []}
     failures = None if context is None else failures_of(context)
@@ -184,17 +205,18 @@ def transform(df: DataFrame, state: State, context: DataFrame | None = None, all
     else:
         info["temporal_fallback_used"] = True
         info["warnings"].append(f"{why}: fitted medians stand in for the time since failures")
-    b, _, times = _raw(df, catalog, stations)
+    made = made or raw(df, stations)
+    b, times = made.rows, made.times
     full = _complete(b, {n: getattr(state, n) for n in State.NAMES}, catalog.of_kind("C"), times, failures)
     contract = state.columns()
     info["missing_features"] = [name for name, _, _ in contract if name not in full.columns]
     return align(full, [("Id", "bigint", 0), *contract]), info
 
 
-def prepare(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations()) -> tuple[DataFrame, dict]:
+def prepare(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations(), made: Raw | None = None) -> tuple[DataFrame, dict]:
     """transform(), stored and checked: an error where a name tells the future or a feature holds nulls. Nulls are counted
     while the table is written (`observe`), so checking reads nothing again; info has the rows."""
-    out, info = transform(df, state, context, allow_fallback, stations)
+    out, info = transform(df, state, context, allow_fallback, stations, made)
     features = [n for n, _, _ in state.columns()]
     seen = Observation("features")
     counts = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(features)]

@@ -193,8 +193,9 @@ _MED = lambda c: f"(SELECT coalesce(median({c}), 0) FROM starts0)"
 def m10(spark, sf_dir):
     """Some of the columns that the fitted state gives the rows it was fitted on, looking back on them."""
     p, path = stored(parts(spark, sf_dir), "parts"), _scratch(spark, "state")
-    state.fit(p, stations=STATIONS).save(path)
-    d = state.transform(p.drop("Response"), state.State.load(spark, path), p, stations=STATIONS)[0]
+    made = state.raw(p, STATIONS)
+    state.fit(p, stations=STATIONS, made=made).save(path)
+    d = state.transform(p.drop("Response"), state.State.load(spark, path), p, stations=STATIONS, made=made)[0]
     rounded = ["start_time", "end_time", "duration", "path_failure_rate", "L0_S1_C1_target_enc", "since_last_1"]
     return d.select("Id", "path_signature", "path_count", "records_same", F.col("records_before_25").cast("bigint").alias("records_before_25"), F.col("records_after_240").cast("bigint").alias("records_after_240"), *[F.round(c, 6).alias(c) for c in rounded])
 
