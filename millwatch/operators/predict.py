@@ -24,10 +24,11 @@ def run_features(rows: DataFrame, score: str = BASE) -> DataFrame:
     return runs.run_rank_of(runs.run_rank_of(d, score, "score_rank"), "duration", "duration_rank")
 
 
-def predict(df: DataFrame, fitted: state.State, models: model.Trained, context: DataFrame | None = None, allow_fallback: bool = True, threshold: float = 0.5, stations: state.Stations = state.Stations()) -> tuple[DataFrame, dict]:
+def predict(df: DataFrame, fitted: state.State, models: model.Trained, context: DataFrame | None = None, allow_fallback: bool = True, threshold: float = 0.5, stations: state.Stations = state.Stations(), prepared: tuple[DataFrame, dict] | None = None) -> tuple[DataFrame, dict]:
     """(Id, predicted_proba, predicted_label, prediction_timestamp, model_version, n_features_used,
-    missing_features_count) of raw rows, and what preparing them had to say."""
-    features, info = state.prepare(df, fitted, context, allow_fallback, stations)
+    missing_features_count) of raw rows, and what preparing them had to say. prepared: what state.prepare() gave for the
+    same rows, where the caller has it."""
+    features, info = prepared or state.prepare(df, fitted, context, allow_fallback, stations)
     scored = models.score(features, "_score")
     out = model.predictions(scored, "_score", models.features, models.version, threshold)
     return out.withColumn("missing_features_count", F.col("missing_features_count") + len(info["missing_features"])), info
@@ -40,10 +41,10 @@ def train_second(features: DataFrame, oof: DataFrame, folds: int = 5, **params)
     return model.train_oof(run_features(stored(rows, "second")), [*RUN_FEATURES, BASE], folds, **params)
 
 
-def predict_two_stage(df: DataFrame, fitted: state.State, first: model.Trained, second: model.Trained, context: DataFrame | None = None, allow_fallback: bool = True, threshold: float = 0.5, zero_single: bool = False, stations: state.Stations = state.Stations()) -> tuple[DataFrame, dict]:
+def predict_two_stage(df: DataFrame, fitted: state.State, first: model.Trained, second: model.Trained, context: DataFrame | None = None, allow_fallback: bool = True, threshold: float = 0.5, zero_single: bool = False, stations: state.Stations = state.Stations(), prepared: tuple[DataFrame, dict] | None = None) -> tuple[DataFrame, dict]:
     """Predictions of both stages: rows of runs with several rows get the second's score, others the first's (or 0). Scores
-    meet their rows by Id."""
-    features, info = state.prepare(df, fitted, context, allow_fallback, stations)
+    meet their rows by Id. prepared: as predict() takes it."""
+    features, info = prepared or state.prepare(df, fitted, context, allow_fallback, stations)
     base = stored(first.score(features, BASE), "base")
     batch = second.score(run_features(base.where("run_size > 1")), SECOND).select("Id", SECOND)
     rows = model.route(base.join(batch, "Id", "left"), BASE, SECOND, threshold=threshold, zero_single=zero_single)

@@ -142,31 +142,33 @@ def m7(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    """Parts, the state fitted on them (saved and loaded again), their features with folds of time chunks, and the names."""
+    """Parts, the state fitted on them (saved and loaded again), their features as prepare() gives them, these with folds of
+    time chunks, and the names."""
     p, path = stored(parts(spark, sf_dir), "parts"), _scratch(spark, "prediction")
-    state.fit(p, stations=STATIONS).save(f"{path}/state")
+    made = state.raw(p, STATIONS)
+    state.fit(p, stations=STATIONS, made=made).save(f"{path}/state")
     fitted = state.State.load(spark, f"{path}/state")
-    features = state.prepare(p.drop("Response"), fitted, p, stations=STATIONS)[0]
-    folded = stored(features.join(p.select("Id", "Response"), "Id").withColumn("cv_fold", F.pmod(F.xxhash64("Id"), F.lit(5))), "folded")
-    return p, path, fitted, folded, [n for n, kind, _ in fitted.columns() if kind != "string"]
+    prepared = state.prepare(p.drop("Response"), fitted, p, stations=STATIONS, made=made)
+    folded = stored(prepared[0].join(p.select("Id", "Response"), "Id").withColumn("cv_fold", F.pmod(F.xxhash64("Id"), F.lit(5))), "folded")
+    return p, path, fitted, prepared, folded, [n for n, kind, _ in fitted.columns() if kind != "string"]
 
 
 @query("m8_predictions")
 def m8(spark, sf_dir):
     """Raw rows to labels: state and five models are fitted, saved and loaded again."""
-    p, path, fitted, folded, names = _prepared(spark, sf_dir)
+    p, path, fitted, prepared, folded, names = _prepared(spark, sf_dir)
     model.train_oof(folded, names)[1].save(spark, f"{path}/models")
-    return predict.predict(p.drop("Response"), fitted, model.Trained.load(spark, f"{path}/models"), p, stations=STATIONS)[0]
+    return predict.predict(p.drop("Response"), fitted, model.Trained.load(spark, f"{path}/models"), p, stations=STATIONS, prepared=prepared)[0]
 
 
 @query("m9_trained")
 def m9_trained(spark, sf_dir):
     """Raw rows to labels in two stages, both trained: the second on runs of duplicates, from the first's out-of-fold
     scores."""
-    p, _, fitted, folded, names = _prepared(spark, sf_dir)
+    p, _, fitted, prepared, folded, names = _prepared(spark, sf_dir)
     oof, first = model.train_oof(folded, names)
     _, second = predict.train_second(folded.drop("Response", "cv_fold"), stored(oof, "oof"))
-    return predict.predict_two_stage(p.drop("Response"), fitted, first, second, p, stations=STATIONS)[0]
+    return predict.predict_two_stage(p.drop("Response"), fitted, first, second, p, stations=STATIONS, prepared=prepared)[0]
 
 
 @query("m9_two_stage", f'{R} SELECT "Id", CASE WHEN run_size > 1 THEN score * score ELSE score END AS final_predicted_proba, CAST(CASE WHEN run_size > 1 THEN score * score ELSE score END >= 0.5 AS INTEGER) AS predicted_label, CAST(run_size > 1 AS INTEGER) AS is_duplicate_row FROM runs')
