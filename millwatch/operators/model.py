@@ -10,8 +10,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +33,11 @@ def fill_values(df: DataFrame, features: list[str]) -> dict[str, float]:
 
 
 def _assemble(df: DataFrame, features: list[str], fills: dict[str, float]) -> DataFrame:
+    """df with the vector _x of its features, unless it has that."""
+    if "_x" in df.columns:
+        return df
     x = lambda f: F.col(f).cast("double")
-    values = [F.coalesce(F.when(~F.isnan(x(f)), x(f)), F.lit(float(fills.get(f, 0.0)))).alias(f"_f{i}") for i, f in enumerate(features)]
-    return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x").transform(df.select("*", *values)).drop(*[f"_f{i}" for i in range(len(features))])
+    return df.withColumn("_x", array_to_vector(F.array(*[F.coalesce(F.when(~F.isnan(x(f)), x(f)), F.lit(float(fills.get(f, 0.0)))) for f in features])))
 
 
 def balanced(df: DataFrame, target: str = "Response", of: Column | None = None) -> DataFrame:
@@ -98,13 +99,15 @@ class Trained:
 
 def train_oof(df: DataFrame, features: list[str], folds: int = 5, target: str = "Response", fold: str = "cv_fold", parallelism: int = 3, **params) -> tuple[DataFrame, Trained]:
     """(Id, Response, oof_pred, cv_fold) and the models: each fold is scored by a model of the others, whose rounds end
-    where the loss on that fold does. Folds are a fixed few; some are fitted at a time, each fit being Spark jobs."""
+    where the loss on that fold does. Folds are a fixed few; some are fitted at a time, each fit being Spark jobs. Vectors
+    are stored by fold, as each fit reads those of the others several times and the held-out ones each round."""
     slim = stored(df.select("Id", target, fold, *features), "train")
     fills = fill_values(slim, features)
-    fit = lambda k: fit_one(slim, features, fills, target, stop=F.col(fold) == k if folds > 1 else None, **params)
+    rows = stored(_assemble(slim, features, fills).select("Id", target, fold, "_x"), "vectors", by=[fold])
+    fit = lambda k: fit_one(rows, features, fills, target, stop=F.col(fold) == k if folds > 1 else None, **params)
     with ThreadPool(min(parallelism, folds)) as pool:
-        models = pool.map(inheritable_thread_target(slim.sparkSession)(fit), range(folds)) if folds > 1 else [fit(0)]
-    out = [score(slim.where(F.col(fold) == k), m, features, fills, "oof_pred").select("Id", target, "oof_pred", fold) for k, m in enumerate(models)]
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds)) if folds > 1 else [fit(0)]
+    out = [score(rows.where(F.col(fold) == k), m, features, fills, "oof_pred").select("Id", target, "oof_pred", fold) for k, m in enumerate(models)]
     return reduce(DataFrame.unionByName, out), Trained(models, features, fills)
 
 

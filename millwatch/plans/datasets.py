@@ -30,9 +30,11 @@ def baseline(df: DataFrame, numeric: list[str], dates: list[str], chunk: int = 1
     return paths.frequency(d, "chunk_id", "chunk_size").drop("_ft", "_i")
 
 
-def with_folds(df: DataFrame, group: str = "chunk_id", n: int = 5) -> DataFrame:
+def with_folds(df: DataFrame, group: str = "chunk_id", n: int = 5, once: bool = False) -> DataFrame:
+    """df with cv_fold. once: the caller reads the rows once, so that they are not stored with their folds."""
     df = stored(df, "base")
-    return stored(folds.assign_folds(df, folds.group_folds(df, group, folds=n), group, check=False), "folds")
+    out = folds.assign_folds(df, folds.group_folds(df, group, folds=n), group, check=False)
+    return out if once else stored(out, "folds")
 
 
 def dataset_g(df: DataFrame, rolling: int = 10000) -> DataFrame:

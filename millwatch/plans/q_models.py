@@ -71,9 +71,9 @@ def m13(spark, sf_dir):
     return datasets.dataset_h(datasets.with_folds(b)).select("Id", "cv_fold", "path_count", *[F.round(c, 6).alias(c) for c in _HCOLS])
 
 
-def _small(spark, sf_dir):
-    """Baseline with folds, for training."""
-    return datasets.with_folds(datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=CHUNK))
+def _small(spark, sf_dir, once=True):
+    """Baseline with folds, for training; once: one model's rows are all that is read."""
+    return datasets.with_folds(datasets.baseline(parts(spark, sf_dir), X.NUMERIC, X.DATES, chunk=CHUNK), once=once)
 
 
 @query("m3_train_oof")
@@ -129,7 +129,7 @@ def m5(spark, sf_dir):
 @query("m6_stacked")
 def m6(spark, sf_dir):
     """Three base models, on the baseline and on datasets G and H, and one on their out-of-fold scores; five folds each."""
-    base = _small(spark, sf_dir)
+    base = _small(spark, sf_dir, once=False)
     oof = lambda df, features: stored(model.train_oof(df, features)[0], "oof")
     bases = {"baseline": oof(base, model.BASELINE), "dataset_g": oof(datasets.dataset_g(base), model.DATASET_G), "dataset_h": oof(datasets.dataset_h(base), model.DATASET_H)}
     meta = model.stack(bases, base.select("Id", "chunk_id", "cv_fold"))

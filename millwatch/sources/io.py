@@ -140,10 +140,11 @@ def update_summary(new: DataFrame, path: str, key: str) -> DataFrame:
     return spark.read.parquet(last_version(spark, path))
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
+def stored(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
     """df written as Parquet below spark.checkpoint.dir, in a folder for the application (which may be removed when that
     has ended), and read again: later steps neither repeat its work nor carry its plan. Where the setting is unset, a
-    temporary folder serves, but only if driver and executors are one process."""
+    temporary folder serves, but only if driver and executors are one process. by: columns of few values, a folder each, so
+    that a filter on them reads no other rows."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -151,5 +152,5 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.gettempdir()
     path = f"{base.rstrip('/')}/millwatch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns]) if by else spark.read.schema(df.schema).parquet(path)
