@@ -119,7 +119,9 @@ def importance(spark: SparkSession, trained: Trained) -> DataFrame:
 
 def fold_report(oof: DataFrame, target: str = "Response", fold: str = "cv_fold") -> DataFrame:
     """(scope, rows, threshold, mcc): rows and the best threshold of each fold, and overall."""
-    every = oof.select(F.concat(F.lit("fold "), F.col(fold).cast("string")).alias("scope"), target, "oof_pred").unionByName(oof.select(F.lit("overall").alias("scope"), target, "oof_pred"))
+    # each row twice, made once
+    scopes = F.array(F.concat(F.lit("fold "), F.col(fold).cast("string")), F.lit("overall"))
+    every = oof.select(F.explode(scopes).alias("scope"), target, "oof_pred")
     every = stored(every, "oof")
     best = metrics.best_threshold(metrics.threshold_sweep(every, target, "oof_pred", by=["scope"]), by=["scope"])
     return every.groupBy("scope").agg(F.count("*").alias("rows")).join(best, "scope").select("scope", "rows", "threshold", "mcc")

@@ -38,3 +38,17 @@ def test_vectors(spark, monkeypatch):
     for k, m in enumerate(trained.models):
         for r in model.score(df.where(F.col("cv_fold") == k), m, FEATURES, trained.fills).collect():
             assert got[r["Id"]] == r["pred"]
+
+
+def test_report_makes_scores_once(spark):
+    """The report of folds and overall reads each score once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(i):
+        seen.add(1)
+        return i % 100 / 100
+
+    df = rows(spark).where("cv_fold is not null").withColumn("oof_pred", F.udf(told, "double")("Id"))
+    got = {r["scope"]: r["rows"] for r in model.fold_report(df).collect()}
+    assert got == {"fold 0": 180, "fold 1": 180, "fold 2": 180, "overall": 540}
+    assert seen.value == 540
