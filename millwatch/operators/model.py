@@ -1,21 +1,22 @@
-"""Out-of-fold training, stacking and scoring with Spark ML's boosted trees."""
+"""Out-of-fold training, stacking and scoring with boosted trees (trees.py)."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
+from threading import Lock
+from weakref import WeakKeyDictionary
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
-from millwatch.operators import encode, joins, metrics
+from millwatch.operators import encode, joins, metrics, trees
 from millwatch.sources import io
 from millwatch.sources.io import stored
 
@@ -32,32 +33,58 @@ def fill_values(df: DataFrame, features: list[str]) -> dict[str, float]:
     return {r["col"]: r["median"] for r in encode.medians(doubles, features, at_hand=True).collect()}
 
 
-def _assemble(df: DataFrame, features: list[str], fills: dict[str, float]) -> DataFrame:
-    """df with the vector _x of its features, unless it has that."""
+class Fills(Mapping):
+    """Each feature's median. Those of features that miss values in df, a stored table, are found at once; the others,
+    which only other rows can ask for, when one is asked for."""
+
+    def __init__(self, df: DataFrame, features: list[str]):
+        missing = lambda f: F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
+        gaps = df.agg(*[F.count_if(missing(f)).alias(f"c{i}") for i, f in enumerate(features)]).first()
+        holed = [f for i, f in enumerate(features) if gaps[f"c{i}"]]
+        self.df, self.features, self.lock = df, features, Lock()
+        self.known = fill_values(df, holed) if holed else {}
+
+    def __getitem__(self, feature: str) -> float:
+        with self.lock:
+            if feature not in self.known and feature in self.features:
+                self.known |= fill_values(self.df, [f for f in self.features if f not in self.known])
+        return self.known[feature]
+
+    def __iter__(self):
+        return iter(self.features)
+
+    def __len__(self) -> int:
+        return len(self.features)
+
+
+def _assemble(df: DataFrame, features: list[str], fills: Mapping[str, float]) -> DataFrame:
+    """df with the array _x of its features, unless it has that."""
     if "_x" in df.columns:
         return df
     x = lambda f: F.col(f).cast("double")
-    return df.withColumn("_x", array_to_vector(F.array(*[F.coalesce(F.when(~F.isnan(x(f)), x(f)), F.lit(float(fills.get(f, 0.0)))) for f in features])))
+    return df.withColumn("_x", F.array(*[F.coalesce(F.when(~F.isnan(x(f)), x(f)), F.lit(float(fills.get(f, 0.0)))) for f in features]))
+
+
+#: Blocks by fold of the rows that several fits share.
+_BLOCKS: WeakKeyDictionary[DataFrame, trees.Blocks] = WeakKeyDictionary()
 
 
-def balanced(df: DataFrame, target: str = "Response", of: Column | None = None) -> DataFrame:
-    """df with _w = n / (2 * rows of the row's class), counted over the rows where `of` holds (all, if it is left out)."""
-    counted = df if of is None else df.where(of)
-    per = counted.agg(F.count("*").alias("_n"), F.count_if(F.col(target) == 1).alias("_p"))
-    w = F.when(F.col(target) == 1, F.col("_n") / (2 * F.greatest("_p", F.lit(1)))).otherwise(F.col("_n") / (2 * F.greatest(F.col("_n") - F.col("_p"), F.lit(1))))
-    return df.crossJoin(F.broadcast(per)).withColumn("_w", w).drop("_n", "_p")
+def fit_one(train: DataFrame, features: list[str], fills: Mapping[str, float], target: str = "Response", rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42, stop_share: float = 0.1, stop: Column | None = None, share: float = 0.8) -> trees.Trees:
+    """One model with balanced weights, each tree on a share of the rows. The rows of `stop` (a held-out fold; a hashed
+    share, if it is left out) aren't trained on and decide when to stop."""
+    if stop is None or (blocks := _BLOCKS.get(train)) is None:
+        stop = F.pmod(F.xxhash64("Id", F.lit(seed)), F.lit(1000)) < int(1000 * stop_share) if stop is None else stop
+        rows = _assemble(train, features, fills).withColumn("_stop", F.coalesce(stop, F.lit(False)))
+        blocks, stop = trees.pack(rows, len(features), target, "_stop"), F.col("_stop")
+    return trees.fit(blocks, F.coalesce(stop, F.lit(False)), rounds, depth, step, seed, share, least_rows=20)
 
 
-def fit_one(train: DataFrame, features: list[str], fills: dict[str, float], target: str = "Response", rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42, stop_share: float = 0.1, stop: Column | None = None) -> GBTClassificationModel:
-    """One model with balanced weights. The rows of `stop` (a held-out fold; a hashed share, if it is left out) aren't
-    trained on and decide when to stop."""
-    stop = F.pmod(F.xxhash64("Id", F.lit(seed)), F.lit(1000)) < int(1000 * stop_share) if stop is None else F.coalesce(stop, F.lit(False))
-    t = balanced(_assemble(train.withColumn("_stop", stop), features, fills), target, ~F.col("_stop")).select("_x", F.col(target).cast("double").alias("_y"), "_w", "_stop")
-    return GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", validationIndicatorCol="_stop", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed).fit(t)
+def score(df: DataFrame, model, features: list[str], fills: Mapping[str, float], out: str = "pred") -> DataFrame:
+    return _assemble(df, features, fills).withColumn(out, model.probability()).drop("_x")
 
 
-def score(df: DataFrame, model, features: list[str], fills: dict[str, float], out: str = "pred") -> DataFrame:
-    return model.transform(_assemble(df, features, fills)).withColumn(out, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+#: A saved version: each model as text, features, and their fill values.
+ABOUT = "models array<string>, features array<string>, fills array<double>"
 
 
 @dataclass
@@ -66,44 +93,41 @@ class Trained:
 
     models: list
     features: list[str]
-    fills: dict[str, float]
+    fills: Mapping[str, float]
 
     @property
     def version(self) -> str:
         """Prefix of the hash of all that scoring depends on."""
-        trees = [m.toDebugString for m in self.models]
-        return hashlib.sha256(json.dumps([self.features, sorted(self.fills.items()), trees]).encode()).hexdigest()[:12]
+        texts = [m.text() for m in self.models]
+        return hashlib.sha256(json.dumps([self.features, sorted(self.fills.items()), texts]).encode()).hexdigest()[:12]
 
     def save(self, spark: SparkSession, path: str) -> None:
         """As a new version, which readers see when it is whole."""
-        told = [(len(self.models), self.features, [float(self.fills[f]) for f in self.features])]
+        told = [([m.text() for m in self.models], self.features, [float(self.fills[f]) for f in self.features])]
         with io.new_version(spark, path) as folder:
-            for k, m in enumerate(self.models):
-                m.write().save(f"{folder}/model-{k}")
-            spark.createDataFrame(told, "models int, features array<string>, fills array<double>").coalesce(1).write.json(f"{folder}/about")
+            spark.createDataFrame(told, ABOUT).coalesce(1).write.json(f"{folder}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Trained:
         folder = io.last_version(spark, path)
-        r = spark.read.schema("models int, features array<string>, fills array<double>").json(f"{folder}/about").first()
-        return cls([GBTClassificationModel.load(f"{folder}/model-{k}") for k in range(r["models"])], r["features"], dict(zip(r["features"], r["fills"], strict=True)))
+        r = spark.read.schema(ABOUT).json(f"{folder}/about").first()
+        return cls([trees.Trees.of(m) for m in r["models"]], r["features"], dict(zip(r["features"], r["fills"], strict=True)))
 
     def score(self, df: DataFrame, out: str = "predicted_proba") -> DataFrame:
         """df with the mean of the models' probabilities."""
         d = _assemble(df, self.features, self.fills)
-        for k, m in enumerate(self.models):
-            d = m.transform(d).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-        mean = ensemble([[F.col(f"_p{k}")] for k in range(len(self.models))])
-        return d.withColumn(out, mean).drop("_x", *[f"_p{k}" for k in range(len(self.models))])
+        return d.withColumn(out, ensemble([[m.probability()] for m in self.models])).drop("_x")
 
 
-def train_oof(df: DataFrame, features: list[str], folds: int = 5, target: str = "Response", fold: str = "cv_fold", parallelism: int = 3, **params) -> tuple[DataFrame, Trained]:
+def train_oof(df: DataFrame, features: list[str], folds: int = 5, target: str = "Response", fold: str = "cv_fold", parallelism: int = 5, **params) -> tuple[DataFrame, Trained]:
     """(Id, Response, oof_pred, cv_fold) and the models: each fold is scored by a model of the others, whose rounds end
-    where the loss on that fold does. Folds are a fixed few; some are fitted at a time, each fit being Spark jobs. Vectors
-    are stored by fold, as each fit reads those of the others several times and the held-out ones each round."""
-    slim = stored(df.select("Id", target, fold, *features), "train")
-    fills = fill_values(slim, features)
-    rows = stored(_assemble(slim, features, fills).select("Id", target, fold, "_x"), "vectors", by=[fold])
+    where the loss on that fold does. Folds are a fixed few; some are fitted at a time, each fit being Spark jobs. Rows and
+    their blocks are stored by fold, once for all fits."""
+    slim = stored(df.select("Id", target, fold, *features), "train", by=[fold])
+    fills = Fills(slim, features)
+    rows = _assemble(slim, features, fills.known)
+    if folds > 1:
+        _BLOCKS[rows] = trees.pack(rows, len(features), target, fold)
     fit = lambda k: fit_one(rows, features, fills, target, stop=F.col(fold) == k if folds > 1 else None, **params)
     with ThreadPool(min(parallelism, folds)) as pool:
         models = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds)) if folds > 1 else [fit(0)]
@@ -113,7 +137,7 @@ def train_oof(df: DataFrame, features: list[str], folds: int = 5, target: str =
 
 def importance(spark: SparkSession, trained: Trained) -> DataFrame:
     """(feature, importance) over the models' mean, the highest first."""
-    rows = [(k, f, float(v)) for k, m in enumerate(trained.models) for f, v in zip(trained.features, m.featureImportances.toArray(), strict=True)]
+    rows = [(k, f, float(v)) for k, m in enumerate(trained.models) for f, v in zip(trained.features, m.importances(), strict=True)]
     return spark.createDataFrame(rows, "fold int, feature string, v double").groupBy("feature").agg(F.avg("v").alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
@@ -145,12 +169,11 @@ def record(oof: DataFrame, name: str, path: str, target: str = "Response", fold:
 def stack(bases: dict[str, DataFrame], groups: DataFrame) -> DataFrame:
     """Out-of-fold scores of base models (Id, Response, oof_pred) as one table with the meta features, each base score
     counted from its own best threshold on; groups: (Id, chunk_id, cv_fold)."""
-    out, names, limits = groups, [f"p{i}" for i in range(1, len(bases) + 1)], []
+    names, limits, tables = [f"p{i}" for i in range(1, len(bases) + 1)], [], [groups]
     for i, (name, oof) in enumerate(zip(names, bases.values(), strict=True)):
         limits.append(metrics.best_threshold(metrics.threshold_sweep(oof, score="oof_pred")).first()["threshold"])
-        cols = ["Id", *(["Response"] if i == 0 else []), F.col("oof_pred").alias(name)]
-        out = joins.one_to_one(out, oof.select(*cols))
-    return meta_features(out, names, limits)
+        tables.append(oof.select("Id", *(["Response"] if i == 0 else []), F.col("oof_pred").alias(name)))
+    return meta_features(joins.all_to_one(tables), names, limits)
 
 
 def meta_features(df: DataFrame, scores: list[str], thresholds: list[float] | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from millwatch.operators import drift, metrics, model, predict, quality, state
@@ -130,8 +133,11 @@ def m5(spark, sf_dir):
 def m6(spark, sf_dir):
     """Three base models, on the baseline and on datasets G and H, and one on their out-of-fold scores; five folds each."""
     base = _small(spark, sf_dir, once=False)
-    oof = lambda df, features: stored(model.train_oof(df, features)[0], "oof")
-    bases = {"baseline": oof(base, model.BASELINE), "dataset_g": oof(datasets.dataset_g(base), model.DATASET_G), "dataset_h": oof(datasets.dataset_h(base), model.DATASET_H)}
+    kinds = {"baseline": (lambda d: d, model.BASELINE), "dataset_g": (datasets.dataset_g, model.DATASET_G), "dataset_h": (datasets.dataset_h, model.DATASET_H)}
+    oof = lambda kind: stored(model.train_oof(kind[0](base), kind[1])[0], "oof")
+    # side by side, as jobs of one leave cores to those of others
+    with ThreadPool(len(kinds)) as pool:
+        bases = dict(zip(kinds, pool.map(inheritable_thread_target(spark)(oof), kinds.values()), strict=True))
     meta = model.stack(bases, base.select("Id", "chunk_id", "cv_fold"))
     return model.train_oof(meta, model.META)[0]
 
