@@ -33,9 +33,12 @@ def mean_of(cols: list[str]) -> Column:
     return F.try_divide(add([F.lit(0.0), *[F.coalesce(clean(c), F.lit(0.0)) for c in cols]]), count_of(cols))
 
 
-def std_of(cols: list[str]) -> Column:
-    """Sample standard deviation; null for fewer than two values. The mean is made once a row, as a list's one element."""
+def std_of(cols: list[str], mean: Column | None = None) -> Column:
+    """Sample standard deviation; null for fewer than two values. The mean is made once a row, as a list's one element, or
+    is a column that the caller has made, which Spark compiles."""
     square = lambda c, m: F.coalesce((clean(c) - m) * (clean(c) - m), F.lit(0.0))
+    if mean is not None:
+        return F.when(count_of(cols) > 1, F.sqrt(add([F.lit(0.0), *[square(c, mean) for c in cols]]) / (count_of(cols) - 1)))
     squares = F.get(F.transform(F.array(mean_of(cols)), lambda m: add([F.lit(0.0), *[square(c, m) for c in cols]])), 0)
     return F.when(count_of(cols) > 1, F.sqrt(squares / (count_of(cols) - 1)))
 

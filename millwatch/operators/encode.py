@@ -59,14 +59,23 @@ def apply_encoding(df: DataFrame, table: DataFrame, cols: list[str], default: Da
 
 def percentiles(df: DataFrame, cols: list[str], shares: list[float], at_hand: bool = False) -> DataFrame:
     """(col, share, value): exact percentiles, between two values by their distance; a column without values has no
-    row. All columns' ranks are found together by nested histograms, so neither rows nor values are ordered. The columns are
-    stored first, as each pass reads them, unless they are at hand (columns of a stored table)."""
+    row. All columns' ranks are found together by nested histograms, so neither rows nor values are ordered. Of many columns
+    one pass tells those with few values first, whole. The columns are stored first, as each pass reads them, unless they
+    are at hand (columns of a stored table)."""
     slim = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     slim = slim if at_hand else stored(slim, "columns")
     ends = lambda m: {(q, end): end(q * (m - 1)) for q in map(float, shares) for end in (math.floor, math.ceil)}
-    found = select.places(slim, [f"c{i}" for i in range(len(cols))], lambda m: ends(m) | {"last": m - 1})
+    names = [f"c{i}" for i in range(len(cols))]
+    many = len(cols) > select.FEW_COLUMNS
+    told = dict(zip(names, select.profiles(slim, names), strict=True)) if many else {}
+    left = [c for c in names if c not in told or not told[c].exact]
+    found = select.places(slim, left, lambda m: ends(m) | {"last": m - 1}, arrays=many) if left else {}
     rows = []
     for i, c in enumerate(cols):
+        if names[i] not in left:
+            p = told[names[i]]
+            rows += [(c, q, p.at(q)) for q in map(float, shares)] if len(p.values) else []
+            continue
         if (f"c{i}", "last") not in found:
             continue
         last = found[f"c{i}", "last"]

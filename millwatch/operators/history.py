@@ -12,10 +12,11 @@ from millwatch.operators.ordering import as_of, by_key, global_index, meet_group
 from millwatch.sources.io import stored
 
 
-def records_around(df: DataFrame, row_id: str = "Id", widths: tuple[int, ...] = (25, 240, 1680)) -> DataFrame:
-    """records_before_<w> and records_after_<w> in id order: at most w, the row itself counted."""
+def records_around(df: DataFrame, row_id: str = "Id", widths: tuple[int, ...] = (25, 240, 1680), rows: int | None = None) -> DataFrame:
+    """records_before_<w> and records_after_<w> in id order: at most w, the row itself counted. rows: their number, where df
+    is a stored table of which the caller knows it."""
     n = df.agg(F.count("*").alias("_n"))
-    i = global_index(df, row_id, row_id, "_i").crossJoin(F.broadcast(n))
+    i = global_index(df, row_id, row_id, "_i", n=rows).crossJoin(F.broadcast(n))
     for w in widths:
         i = i.withColumns({f"records_before_{w}": F.least(F.col("_i") + 1, F.lit(w)), f"records_after_{w}": F.least(F.col("_n") - F.col("_i"), F.lit(w))})
     return i.drop("_i", "_n")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.functions import numbers as N
-from millwatch.operators import encode, joins, metrics, trees
+from millwatch.operators import encode, joins, metrics, select, trees
 from millwatch.sources import io
 from millwatch.sources.io import stored
 
@@ -27,20 +27,26 @@ DATASET_H = [*BASELINE, "transition_fail_rate_mean", "transition_fail_rate_max",
 META = ["p1", "p2", "p3", "mean_prediction", "std_prediction", "max_prediction", "agreement_count"]
 
 
+#: Profiles of stored tables, by feature.
+_PROFILES: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
+
+
 def fill_values(df: DataFrame, features: list[str]) -> dict[str, float]:
-    """Each feature's median, one row a feature; 0 for one without values. df is a stored table."""
-    doubles = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-    return {r["col"]: r["median"] for r in encode.medians(doubles, features, at_hand=True).collect()}
+    """Each feature's median, one row a feature; 0 for one without values. df is a stored table. What its profiles know is
+    not looked for again."""
+    told = {f: p for f, p in _PROFILES.get(df, {}).items() if f in features and p.exact}
+    left = [f for f in features if f not in told]
+    known = {f: p.at(0.5) if len(p.values) else 0.0 for f, p in told.items()}
+    doubles = df.select(*[F.col(f).cast("double").alias(f) for f in left])
+    return known | {r["col"]: r["median"] for r in (encode.medians(doubles, left, at_hand=True).collect() if left else [])}
 
 
 class Fills(Mapping):
     """Each feature's median. Those of features that miss values in df, a stored table, are found at once; the others,
     which only other rows can ask for, when one is asked for."""
 
-    def __init__(self, df: DataFrame, features: list[str]):
-        missing = lambda f: F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
-        gaps = df.agg(*[F.count_if(missing(f)).alias(f"c{i}") for i, f in enumerate(features)]).first()
-        holed = [f for i, f in enumerate(features) if gaps[f"c{i}"]]
+    def __init__(self, df: DataFrame, features: list[str], told: list[select.Profile]):
+        holed = [f for f, p in zip(features, told, strict=True) if p.gaps]
         self.df, self.features, self.lock = df, features, Lock()
         self.known = fill_values(df, holed) if holed else {}
 
@@ -74,8 +80,8 @@ def fit_one(train: DataFrame, features: list[str], fills: Mapping[str, float], t
     share, if it is left out) aren't trained on and decide when to stop."""
     if stop is None or (blocks := _BLOCKS.get(train)) is None:
         stop = F.pmod(F.xxhash64("Id", F.lit(seed)), F.lit(1000)) < int(1000 * stop_share) if stop is None else stop
-        rows = _assemble(train, features, fills).withColumn("_stop", F.coalesce(stop, F.lit(False)))
-        blocks, stop = trees.pack(rows, len(features), target, "_stop"), F.col("_stop")
+        rows = train.withColumn("_stop", F.coalesce(stop, F.lit(False)))
+        blocks, stop = trees.pack(rows, features, fills, select.profiles(rows, features), target, "_stop"), F.col("_stop")
     return trees.fit(blocks, F.coalesce(stop, F.lit(False)), rounds, depth, step, seed, share, least_rows=20)
 
 
@@ -122,12 +128,15 @@ class Trained:
 def train_oof(df: DataFrame, features: list[str], folds: int = 5, target: str = "Response", fold: str = "cv_fold", parallelism: int = 5, **params) -> tuple[DataFrame, Trained]:
     """(Id, Response, oof_pred, cv_fold) and the models: each fold is scored by a model of the others, whose rounds end
     where the loss on that fold does. Folds are a fixed few; some are fitted at a time, each fit being Spark jobs. Rows and
-    their blocks are stored by fold, once for all fits."""
-    slim = stored(df.select("Id", target, fold, *features), "train", by=[fold])
-    fills = Fills(slim, features)
+    their blocks are stored by fold, once for all fits; rows that the caller has stored so are taken as they are."""
+    slim = df.select("Id", target, fold, *features)
+    slim = slim if io.stored_by(df) == [fold] else stored(slim, "train", by=[fold])
+    told = select.profiles(slim, features)
+    _PROFILES[slim] = dict(zip(features, told, strict=True))
+    fills = Fills(slim, features, told)
     rows = _assemble(slim, features, fills.known)
     if folds > 1:
-        _BLOCKS[rows] = trees.pack(rows, len(features), target, fold)
+        _BLOCKS[rows] = trees.pack(slim, features, fills.known, told, target, fold)
     fit = lambda k: fit_one(rows, features, fills, target, stop=F.col(fold) == k if folds > 1 else None, **params)
     with ThreadPool(min(parallelism, folds)) as pool:
         models = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds)) if folds > 1 else [fit(0)]

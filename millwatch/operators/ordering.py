@@ -127,9 +127,10 @@ def prefix(df: DataFrame, key: str, row_id: str, value: Column, out: str, within
     return running(df, by_key(key, row_id, descending), {out: value}, within, inclusive)
 
 
-def global_index(df: DataFrame, key: str, row_id: str, out: str = "idx", within: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """df with `out` long: the row's place, from 0, in the order (key, id), nulls last."""
-    return prefix(df, key, row_id, F.lit(1).cast("long"), out, within, descending, inclusive=False).withColumn(out, F.col(out).cast("long"))
+def global_index(df: DataFrame, key: str, row_id: str, out: str = "idx", within: list[str] | None = None, descending: bool = False, n: int | None = None) -> DataFrame:
+    """df with `out` long: the row's place, from 0, in the order (key, id), nulls last. n: the number of rows, where the
+    caller knows it."""
+    return running(df, by_key(key, row_id, descending), {out: F.lit(1).cast("long")}, within, inclusive=False, n=n).withColumn(out, F.col(out).cast("long"))
 
 
 def chunk_ids(df: DataFrame, key: str, row_id: str, size: int, out: str = "chunk_id") -> DataFrame:

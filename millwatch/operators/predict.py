@@ -17,6 +17,10 @@ RUN_FEATURES = [
 ]
 
 
+#: What run_features() reads beside the score.
+RUN_COLUMNS = ["Id", "run_id", "run_size", "run_rank", "run_rank_desc", "duration"]
+
+
 def run_features(rows: DataFrame, score: str = BASE) -> DataFrame:
     """rows (of runs) with what the other rows of their run say: neighbours, positions, statistics and ranks."""
     d = runs.positions(runs.neighbours(rows, [score, "duration"]))
@@ -37,7 +41,7 @@ def predict(df: DataFrame, fitted: state.State, models: model.Trained, context:
 def train_second(features: DataFrame, oof: DataFrame, folds: int = 5, **params) -> tuple[DataFrame, model.Trained]:
     """The second stage: trained on rows of runs with several rows, from the first stage's out-of-fold scores. features:
     prepared rows; oof: (Id, Response, oof_pred, cv_fold)."""
-    rows = features.where("run_size > 1").join(oof.select("Id", "Response", "cv_fold", F.col("oof_pred").alias(BASE)), "Id")
+    rows = features.where("run_size > 1").select(*RUN_COLUMNS).join(oof.select("Id", "Response", "cv_fold", F.col("oof_pred").alias(BASE)), "Id")
     return model.train_oof(run_features(stored(rows, "second")), [*RUN_FEATURES, BASE], folds, **params)
 
 
@@ -45,7 +49,8 @@ def predict_two_stage(df: DataFrame, fitted: state.State, first: model.Trained,
     """Predictions of both stages: rows of runs with several rows get the second's score, others the first's (or 0). Scores
     meet their rows by Id. prepared: as predict() takes it."""
     features, info = prepared or state.prepare(df, fitted, context, allow_fallback, stations)
-    base = stored(first.score(features, BASE), "base")
+    asked = [c for c in second.features if c in features.columns and c not in RUN_COLUMNS]
+    base = stored(first.score(features, BASE).select(*RUN_COLUMNS, BASE, *asked), "base")
     batch = second.score(run_features(base.where("run_size > 1")), SECOND).select("Id", SECOND)
     rows = model.route(base.join(batch, "Id", "left"), BASE, SECOND, threshold=threshold, zero_single=zero_single)
     told = (F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("prediction_timestamp"), F.lit(f"{first.version}-{second.version}").alias("model_version"), F.lit(len(info["missing_features"])).alias("missing_features_count"))

@@ -15,8 +15,9 @@ HOUR, DAY, WEEK = 10, 240, 1680
 
 def core_numbers(df: DataFrame, cols: list[str]) -> DataFrame:
     """feature_mean, feature_std, feature_min, feature_range and the null share times the deviation."""
-    lo, hi, sd = N.min_of(cols), N.max_of(cols), N.std_of(cols)
-    return df.withColumns({"feature_mean": N.mean_of(cols), "feature_std": sd, "feature_min": lo, "feature_range": hi - lo, "null_share_x_std": N.null_share(cols) * sd})
+    lo, hi = N.min_of(cols), N.max_of(cols)
+    d = df.withColumn("feature_mean", N.mean_of(cols)).withColumn("feature_std", N.std_of(cols, F.col("feature_mean")))
+    return d.withColumns({"feature_min": lo, "feature_range": hi - lo, "null_share_x_std": N.null_share(cols) * F.col("feature_std")})
 
 
 def station_statistics(df: DataFrame, stations: list[str], catalog: StationCatalog) -> DataFrame:

@@ -14,15 +14,16 @@ from millwatch.sources.io import stored
 SPREAD = 1024
 
 
-def adjacent_runs(df: DataFrame, keys: list[str], start: str = "start_time", row_id: str = "Id") -> DataFrame:
+def adjacent_runs(df: DataFrame, keys: list[str], start: str = "start_time", row_id: str = "Id", rows: int | None = None, keep: bool = True) -> DataFrame:
     """is_duplicate, run_id (from 1), run_size, run_rank, run_rank_desc in the order (start, id), nulls last: a run is a
     stretch of rows with equal keys, nulls being equal. A row knows where its run begins from the rows before it and
     where the next one begins from the rows after it, both by frames that grow (forwards and backwards) in its range;
     each range hands on its rows and runs so far, where its last run began and where its first new one does. Ranks and
     sizes are differences of places, so a run of any length is neither a group nor a frame. Rows equal in start and id
-    take any order; an empty table gives none."""
+    take any order; an empty table gives none. rows: their number, where df is a stored table of which the caller knows it. Without
+    keep the keys leave when runs are known."""
     key, order = F.struct(*keys), by_key(start, row_id)
-    b, parts = ranges(df, order)
+    b, parts = ranges(df, order, rows)
     w = W.partitionBy("_b").orderBy(*order)
     j = b.withColumns({"_prev": F.lag(key).over(w), "_i": F.row_number().over(w).cast("long")})
     same = (F.col("_i") > 1) & F.col("_prev").eqNullSafe(key)
@@ -35,7 +36,7 @@ def adjacent_runs(df: DataFrame, keys: list[str], start: str = "start_time", row
         goes_on = edge(j.where("_i = 1"), 0, "_first").join(edge(ends, 1, "_last"), "_at").select("_b", F.col("_first").eqNullSafe(F.col("_last")).alias("_on"))
         j = meet(j, goes_on, ["_b"], parts)
         same = F.when(F.col("_i") == 1, F.coalesce("_on", F.lit(False))).otherwise(F.col("_same"))
-    j = j.withColumn("is_duplicate", same.cast("int")).drop("_prev", "_same", "_on")
+    j = j.withColumn("is_duplicate", same.cast("int")).drop("_prev", "_same", "_on", *([] if keep else keys))
     j = j.withColumn("_new", F.when(F.col("is_duplicate") == 0, F.col("_i")))
     upto = W.partitionBy("_b").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
     after = W.partitionBy("_b").orderBy(F.desc("_i")).rowsBetween(W.unboundedPreceding, -1)
@@ -61,9 +62,10 @@ def _spread(cols: list[Column], row_id: str) -> tuple[Column, Column]:
     return has, F.when(~has, F.pmod(F.xxhash64(row_id), F.lit(SPREAD)))
 
 
-def station_duplicates(df: DataFrame, stations: dict[str, list[str]], start: str = "start_time", row_id: str = "Id") -> DataFrame:
-    """<station>_dup_count and <station>_dup_rank of rows with equal measures there, 0 without any; and their total."""
-    base = df = stored(df, "unordered")
+def station_duplicates(df: DataFrame, stations: dict[str, list[str]], start: str = "start_time", row_id: str = "Id", at_hand: bool = False) -> DataFrame:
+    """<station>_dup_count and <station>_dup_rank of rows with equal measures there, 0 without any; and their total. at_hand:
+    df is a stored table."""
+    base = df = df if at_hand else stored(df, "unordered")
     for s, cols in stations.items():
         has, group = _spread([F.col(c) for c in cols], row_id)
         d, within = df.withColumn("_z", group), [*cols, "_z"]

@@ -3,24 +3,121 @@
 Columns are read together, pass after pass. The first pass counts values by sign and power of two; each later one counts
 the values of the bins that hold an asked rank in `BINS` equal parts of that bin's own range, least and greatest value
 known. A bin's range shrinks to one value, or few values are left and are counted as they are. So a pass shuffles a row
-for each bin a task meets, never a row for each value, and the driver holds some numbers for each column and rank.
+for each bin a task meets, never a row for each value, and the driver holds some numbers for each column and rank. Of many
+columns a value isn't even a row within a task, which sorts and counts its batches as arrays.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwatch.sources.io import stored
 
+# what tasks run goes to executors with the tasks, which need not find this package there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Parts of a bin; values that are counted one by one; columns or targets whose bins the driver takes (a few thousand
 #: small rows each), where Spark's own look-up would be jobs more.
 BINS, FEW, FEW_COLUMNS = 4096, 1 << 16, 16
+#: Values of a column that a task gathers before it keeps some of them; points that it tells of them.
+HELD, POINTS = 1 << 16, 1 << 12
+
+
+@dataclass
+class Profile:
+    """What all rows say of a feature: how many miss it, and its values with the rows of each, ascending; `exact`: all
+    values, else points whose places are right within some thousandth of the rows."""
+
+    gaps: int
+    values: np.ndarray
+    rows: np.ndarray
+    exact: bool
+
+    def at(self, share: float) -> float:
+        """The exact percentile, between two values by their distance."""
+        upto = np.cumsum(self.rows)
+        rank = share * (int(upto[-1]) - 1)
+        x, y = (float(self.values[np.searchsorted(upto, end(rank), "right")]) for end in (math.floor, math.ceil))
+        f = rank - math.floor(rank)
+        return x if x == y else x * (1 - f) + y * f
+
+
+def points(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Values with their rows, ascending, equal ones together. Of more than `most` the last of each `most`-th part of the
+    rows, with the part's rows."""
+    v, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate((float, np.int64)))
+    if not len(v):
+        return v, n, True
+    order = np.argsort(v, kind="stable")
+    v, n = v[order], n[order]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    v, n = v[first], np.add.reduceat(n, first)
+    if len(v) <= most:
+        return v, n, True
+    upto = np.cumsum(n)
+    part = (upto - 1) // max(1, -(-int(upto[-1]) // most))
+    last = np.flatnonzero(np.append(part[1:] != part[:-1], True))
+    return v[last], np.diff(upto[last], prepend=0), False
+
+
+def plain(df: DataFrame, features: list[str]) -> list[Column]:
+    """The features as numbers that tasks read as arrays; a cast is left out where it isn't needed."""
+    kinds = dict(df.dtypes)
+    return [F.col(f"`{f}`").alias(f"_x{i}") if kinds.get(f) in ("double", "float", "bigint", "int", "smallint", "tinyint") else F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """Doubles, NaN where a value is missing."""
+    return column.to_numpy(zero_copy_only=False).astype(float, copy=False)
+
+
+def profiles(df: DataFrame, features: list[str]) -> list[Profile]:
+    """Of each feature, in one pass: tasks sort their batches, gather up to HELD values and keep some of them."""
+    n = len(features)
+
+    def told(batches):
+        from pyspark import TaskContext
+
+        held, gaps, exact = [[] for _ in range(n)], np.zeros(n, np.int64), np.ones(n, bool)
+
+        def fewer(i: int, most: int) -> None:
+            v, w, whole = points(held[i], most)
+            held[i], exact[i] = [(v, w)], exact[i] and whole
+
+        for batch in batches:
+            for i in range(n):
+                x = numbers(batch.column(i))
+                here = x[~np.isnan(x)]
+                gaps[i] += len(x) - len(here)
+                held[i].append(np.unique(here, return_counts=True))
+                if sum(len(v) for v, _ in held[i]) > HELD:
+                    fewer(i, HELD // 8)
+        for i in range(n):
+            fewer(i, POINTS)
+        cols = [list(range(n)), [TaskContext.get().partitionId()] * n, gaps.tolist(), [h[0][0].tobytes() for h in held], [h[0][1].astype(np.int64).tobytes() for h in held], exact.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["f", "task", "gaps", "v", "w", "exact"])
+
+    def together(key, group):
+        rows = sorted(group.select(["task", "v", "w"]).to_pylist(), key=lambda r: r["task"])
+        v, w, whole = points([(np.frombuffer(r["v"], float), np.frombuffer(r["w"], np.int64)) for r in rows], 2 * POINTS)
+        exact = whole and all(group.column("exact").to_pylist())
+        return pa.table({"f": pa.array([key[0].as_py()], pa.int32()), "gaps": pa.array([sum(group.column("gaps").to_pylist())], pa.int64()), "v": pa.array([v.tobytes()], pa.binary()), "w": pa.array([w.tobytes()], pa.binary()), "exact": [exact]})
+
+    parts = df.select(*plain(df, features)).mapInArrow(told, "f int, task int, gaps long, v binary, w binary, exact boolean")
+    found = {r["f"]: r for r in parts.groupBy("f").applyInArrow(together, "f int, gaps long, v binary, w binary, exact boolean").collect()}  # a row a feature
+    empty = {"gaps": 0, "v": b"", "w": b"", "exact": True}
+    rows = [found.get(i, empty) for i in range(n)]
+    return [Profile(r["gaps"], np.frombuffer(r["v"], float), np.frombuffer(r["w"], np.int64), r["exact"]) for r in rows]
 
 
 @dataclass
@@ -49,6 +146,62 @@ def _bins(line: DataFrame, part: Column, by: list[str]) -> DataFrame:
     return line.groupBy(*by, part.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
 
 
+#: Bins of a column in the first pass of arrays, and the one of zero.
+COARSE, ZERO = 6400, 3200
+
+
+class _Held:
+    """A task's bins of one column or target."""
+
+    def __init__(self, size: int):
+        self.n, self.lo, self.hi = np.zeros(size, np.int64), np.full(size, np.inf), np.full(size, -np.inf)
+
+    def add(self, x: np.ndarray, part: np.ndarray) -> None:
+        """x ascending, and with it their bins."""
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        last, at = np.append(first[1:], len(part)) - 1, part[first]
+        self.n[at] += last - first + 1
+        self.lo[at], self.hi[at] = np.minimum(self.lo[at], x[first]), np.maximum(self.hi[at], x[last])
+
+
+def _counted(df: DataFrame, cols: list[str], spans: list[tuple] | None, each: bool = False) -> DataFrame:
+    """(g, bin, n, lo, hi) of each column by sign and power of two, or of the parts of each span (g, c, lo, hi); each: (g, x,
+    n) of the spans' values."""
+    only = list(range(len(cols))) if spans is None else sorted({s[1] for s in spans})
+    of = {c: [s for s in spans or () if s[1] == c] for c in only}
+
+    def count(batches):
+        held: dict = {}
+        for batch in batches:
+            for i, c in enumerate(only):
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                x = np.sort(x[~np.isnan(x)])
+                if spans is None and len(x):
+                    power = np.where(np.isinf(x), 2001, np.frexp(x)[1]) + 1099
+                    held.setdefault(c, _Held(COARSE)).add(x, ZERO + np.where(x == 0, 0, np.where(x > 0, power, -power)))
+                for g, _, lo, hi in of[c]:
+                    mine = x[np.searchsorted(x, lo, "left") : np.searchsorted(x, hi, "right")]
+                    if each:
+                        held.setdefault(g, []).append(mine)
+                    elif len(mine):
+                        with np.errstate(invalid="ignore", over="ignore"):
+                            part = np.nan_to_num((mine - lo) / (np.float64(hi) - lo)) * BINS
+                        held.setdefault(g, _Held(BINS)).add(mine, np.minimum(part, BINS - 1).astype(np.int64))
+        for g, h in held.items():
+            if each:
+                x, n = np.unique(np.concatenate(h), return_counts=True)
+                told = {"g": np.full(len(x), g, np.int32), "x": x, "n": n}
+            else:
+                at = np.flatnonzero(h.n)
+                told = {"g": np.full(len(at), g, np.int32), "bin": (at - (ZERO if spans is None else 0)).astype(np.int32), "n": h.n[at], "lo": h.lo[at], "hi": h.hi[at]}
+            yield pa.RecordBatch.from_pydict(told)
+
+    line = df.select(*[F.col(cols[c]).cast("double").alias(f"_x{c}") for c in only])
+    if each:
+        return line.mapInArrow(count, "g int, x double, n long").groupBy("g", "x").agg(F.sum("n").alias("n"))
+    return line.mapInArrow(count, "g int, bin int, n long, lo double, hi double").groupBy("g", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 class Bins:
     """A pass's bins (g, bin, n, lo, hi): on the driver where they are of a few columns or targets, else as a table."""
 
@@ -82,11 +235,13 @@ class Bins:
         return out
 
 
-def places(df: DataFrame, cols: list[str], ask: Callable[[int], dict], kind: str = "double") -> dict[tuple[str, object], Place]:
+def places(df: DataFrame, cols: list[str], ask: Callable[[int], dict], kind: str = "double", arrays: bool | None = None) -> dict[tuple[str, object], Place]:
     """{(column, tag): Place} for the ranks (from 0, smallest first) that `ask` names by tag, given a column's number of
-    values. A column without values has none. kind: double, or bigint for whole numbers. df is read once a pass."""
-    spark = df.sparkSession
-    held = Bins(_bins(_values(df, cols, range(len(cols)), kind), _coarse(F.col("x").cast("double")), ["c"]).withColumnRenamed("c", "g"), len(cols) <= FEW_COLUMNS)
+    values. A column without values has none. kind: double, or bigint for whole numbers. df is read once a pass. arrays:
+    whether tasks count doubles as arrays; many columns they do."""
+    spark, arrays = df.sparkSession, kind == "double" and (len(cols) > FEW_COLUMNS if arrays is None else arrays)
+    coarse = _counted(df, cols, None) if arrays else _bins(_values(df, cols, range(len(cols)), kind), _coarse(F.col("x").cast("double")), ["c"]).withColumnRenamed("c", "g")
+    held = Bins(coarse, len(cols) <= FEW_COLUMNS)
     asked = [(c, t, r) for c, m in held.sizes().items() for t, r in ask(m).items()]
     if not asked:
         return {}
@@ -108,13 +263,19 @@ def places(df: DataFrame, cols: list[str], ask: Callable[[int], dict], kind: str
         if not live:
             break
         spans = {s: g for g, s in enumerate(dict.fromkeys(group[i] for i in live))}
-        only = sorted({s[0] for s in spans})
-        ranges = F.broadcast(spark.createDataFrame([(g, *s[:3]) for s, g in spans.items()], f"g int, sc int, slo {kind}, shi {kind}"))
+        only, told = sorted({s[0] for s in spans}), [(g, *s[:3]) for s, g in spans.items()]
+        few = stuck or sum(s[3] for s in spans) <= FEW
+        if arrays and not few:
+            held = Bins(_counted(df, cols, told), len(spans) <= FEW_COLUMNS)
+            group = {i: spans[group[i]] for i in live}
+            continue
+        ranges = F.broadcast(spark.createDataFrame(told, f"g int, sc int, slo {kind}, shi {kind}"))
         inside = _values(df, cols, only, kind).join(ranges, (F.col("c") == F.col("sc")) & (F.col("x") >= F.col("slo")) & (F.col("x") <= F.col("shi")))
-        if stuck or sum(s[3] for s in spans) <= FEW:
+        if few:
             # few values, or whole numbers so near to each other that doubles don't tell them apart
             counts: dict[int, list] = {}
-            for r in inside.groupBy("g", "x").agg(F.count("*").alias("n")).orderBy("g", "x").collect():
+            alone = _counted(df, cols, told, True) if arrays else inside.groupBy("g", "x").agg(F.count("*").alias("n"))
+            for r in alone.orderBy("g", "x").collect():
                 counts.setdefault(r["g"], []).append((r["x"], r["n"]))
             for i, (_, r, below) in live.items():
                 for x, n in counts[spans[group[i]]]:

@@ -25,16 +25,16 @@ def impute(df: DataFrame, medians: DataFrame, text_fill: str = "unknown_path") -
     return known.withColumns(out).drop("_m")
 
 
-def align(df: DataFrame, contract: list[tuple[str, str, object]]) -> DataFrame:
+def align(df: DataFrame, contract: list[tuple[str, str, object]], carry: tuple[str, ...] = ()) -> DataFrame:
     """Columns of the contract (name, type, fill), in its order: missing ones filled, others dropped, nulls filled,
-    whole numbers rounded half to even."""
+    whole numbers rounded half to even. carry: columns that go along as they are."""
     cols = []
     for name, kind, fill in contract:
         c = F.col(name) if name in df.columns else F.lit(None)
         if kind in ("tinyint", "smallint", "int", "bigint"):
             c = F.bround(c.cast("double"))
         cols.append(F.coalesce(c.cast(kind), F.lit(fill).cast(kind)).alias(name))
-    return df.select(*cols)
+    return df.select(*cols, *carry)
 
 
 def guard(df: DataFrame, features: list[str], check_nulls: bool = True) -> DataFrame:
@@ -102,62 +102,70 @@ def raw_end(df: DataFrame) -> Column:
 
 @dataclass(frozen=True)
 class Raw:
-    """Rows with the features that depend on no fitted value, times as they are; the names of all and of the times."""
+    """Rows with the features that depend on no fitted value, times as they are; the names of all and of the times. known:
+    the rows have the other features too, by the state that was fitted on them, and no raw columns of stations."""
 
     rows: DataFrame
     made: list[str]
     times: list[str]
+    known: bool = False
 
 
 def raw(df: DataFrame, stations: Stations = Stations()) -> Raw:
     """What fit() and transform() start from, stored, so that both may share it where they see the same rows. Each block
     that orders or groups rows takes a row's number and the few columns it needs; blocks meet the rows by that number, so
-    the whole width is shuffled once and no block's order decides how many tasks the next one has."""
+    only raw columns are shuffled, once, and no block's order decides how many tasks the next one has. What a row says
+    alone is not stored, but made where it is asked for."""
     catalog = StationCatalog.of(df.columns)
     measures, has = catalog.of_kind("F"), lambda names: {s: catalog.of_kind("F", s) for s in names if catalog.of_kind("F", s)}
     since = lambda d, e: [c for c in d.columns if c not in set(e.columns)]
-    # of a row alone
-    a = rowwise.station_statistics(rowwise.core_numbers(df, measures), list(has(stations.statistics)), catalog)
-    b = rowwise.station_counts(rowwise.visited(a, catalog, "F"), catalog)
-    b = b.withColumn("path_signature", rowwise.signature(catalog, rowwise.EMPTY_PIPELINE))
-    c = rowwise.calendar(rowwise.line_times(rowwise.entry_times(b, catalog), catalog))
-    d = rowwise.id_shift(c)
-    rows = stored(d.withColumns({"_t": N.min_of(catalog.of_kind("D")), "_row": F.monotonically_increasing_id()}), "rows")
+    signed = rowwise.visited(df, catalog, "F").withColumns({"path_signature": rowwise.signature(catalog, rowwise.EMPTY_PIPELINE), "_t": N.min_of(catalog.of_kind("D")), "_row": F.monotonically_increasing_id()})
+    rows = stored(signed.select(*df.columns, "path_signature", "_t", "_row"), "rows")
+    n = rows.count()
     # duplicates, in the order of time and id; records around, in that of id
     slim = lambda names: rows.select("_row", "Id", "_t", *dict.fromkeys(names))
     some = lambda of: [x for names in of.values() for x in names]
     again, alike = has(stations.duplicates), has(stations.rounded)
     blocks = [
-        runs.adjacent_runs(slim(measures), measures, "_t").drop(*measures),
-        runs.station_duplicates(slim(some(again)), again, "_t").drop(*some(again)),
+        runs.adjacent_runs(slim(measures), measures, "_t", rows=n, keep=False),
+        runs.station_duplicates(slim(some(again)), again, "_t", at_hand=True).drop(*some(again)),
         runs.rounded_duplicates(slim(some(alike)), alike).drop(*some(alike)),
-        history.records_around(slim([])),
+        history.records_around(slim([]), rows=n),
     ]
     blocks = [x.drop("Id", "_t") for x in blocks]
-    out = paths.frequency(rows, "path_signature", "path_count").withColumn("path_risk_tier", rowwise.risk_tier(F.col("path_count")))
+    met = paths.frequency(rows.drop("_t"), "path_signature", "path_count").withColumn("path_risk_tier", rowwise.risk_tier(F.col("path_count")))
     for x in blocks:
-        out = out.join(x, "_row")
+        met = met.join(x, "_row")
+    met = stored(met.drop("_row"), "raw")
+    # of a row alone
+    a = rowwise.station_statistics(rowwise.core_numbers(met, measures), list(has(stations.statistics)), catalog)
+    b = rowwise.station_counts(rowwise.visited(a, catalog, "F"), catalog)
+    c = rowwise.calendar(rowwise.line_times(rowwise.entry_times(b, catalog), catalog))
+    d = rowwise.id_shift(c)
     named = [[x for x in block.columns if x != "_row"] for block in blocks]
     times = [x for x in since(c, b) if x != "timed_stations"]
-    made = [*since(a, df), *named[0], *named[1], *named[2], *since(b, a), "path_count", "path_risk_tier", *since(c, b), *named[3], *since(d, c)]
-    return Raw(stored(out.select(*df.columns, *made), "raw"), made, times)
+    made = [*since(a, met), *named[0], *named[1], *named[2], *since(b, a), "path_signature", "path_count", "path_risk_tier", *since(c, b), *named[3], *since(d, c)]
+    return Raw(d.select(*df.columns, *made), made, times)
 
 
-def _complete(b: DataFrame, state_of: dict[str, DataFrame], cats: list[str], times: list[str], failures: DataFrame | None) -> DataFrame:
-    """b (stored) with the features that depend on fitted tables; without failures the history stays null. Nothing is
-    stored between: what is asked of all rows, their times, needs few columns of b."""
+def _known(b: DataFrame, state_of: dict[str, DataFrame], cats: list[str], times: list[str]) -> DataFrame:
+    """b (stored) with the features that depend on fitted tables. Nothing is stored between: what is asked of all rows, their
+    times, needs few columns of b."""
     b = encode.apply_encoding(b, state_of["encodings"], cats, state_of["mean"])
     b = joins.lookup(b, state_of["paths"], "path_signature", "rate", state_of["mean"], "path_failure_rate")
     b = rowwise.duration_flags(b, state_of["scalars"])
     fills = {r["col"]: r["median"] for r in state_of["medians"].where(F.col("col").isin(times)).collect()}  # a row a time
     b = b.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(fills.get(c) or 0.0))) for c in times})
-    if failures is None:
-        b = b.withColumns({f"since_last_{k}": F.lit(None).cast("double") for k in HISTORY})
-    else:
-        b = history.since_failures(b, failures, "end_time", "time", "failure_id", HISTORY)
     return ordering.around_count(b, "start_time", SAME, "records_same")
 
 
+def _looking_back(b: DataFrame, failures: DataFrame | None) -> DataFrame:
+    """b with the time since failures, null without any, in its place."""
+    since, last = [f"since_last_{k}" for k in HISTORY], "records_same"
+    out = b.withColumns({c: F.lit(None).cast("double") for c in since}) if failures is None else history.since_failures(b, failures, "end_time", "time", "failure_id", HISTORY)
+    return out.select(*[c for c in b.columns if c != last], *since, last)
+
+
 def _kind(t: str) -> str:
     return t if t in ("tinyint", "smallint", "int", "bigint", "string") else "double"
 
@@ -165,6 +173,12 @@ def _kind(t: str) -> str:
 def fit(df: DataFrame, target: str = "Response", stations: Stations = Stations(), made: Raw | None = None) -> State:
     """The state of a labelled table; fitting changes nothing else. Its own failures are the history of its rows. made:
     raw() of df, where the caller has it."""
+    return fit_known(df, target, stations, made)[0]
+
+
+def fit_known(df: DataFrame, target: str = "Response", stations: Stations = Stations(), made: Raw | None = None) -> tuple[State, Raw]:
+    """fit(), and its rows with the features that the state gives them, which transform() of the same rows by this state
+    takes as `made`: only their history, which the context decides, is made again."""
     catalog = StationCatalog.of(df.columns)
     made = made or raw(df, stations)
     b, times = made.rows, made.times
@@ -173,12 +187,15 @@ def fit(df: DataFrame, target: str = "Response", stations: Stations = Stations()
     of = {k: stored(v, k) for k, v in of.items()}
     filled_end = F.coalesce(F.col("end_time").cast("double"), F.lit(of["medians"].where("col = 'end_time'").first()["median"]))
     failures = b.where(F.col(target) == 1).select(filled_end.alias("time"), F.col("Id").alias("failure_id"))
-    full = stored(_complete(b, of, cats, times, failures).drop(*df.columns), "full")
-    kinds = {c: _kind(t) for c, t in full.dtypes}
+    stay = [c for c in df.columns if c not in {x for kind in "FDC" for x in catalog.of_kind(kind)}]
+    full = _looking_back(_known(b, of, cats, times), failures)
+    kinds = {c: _kind(t) for c, t in full.dtypes if c not in df.columns}
+    full = stored(full.select(*stay, *kinds), "full")
     medians = stored(encode.medians(full, [c for c, t in kinds.items() if t != "string"], at_hand=True), "medians")
     fill = {r["col"]: r["median"] for r in medians.collect()}  # a row a feature
     told = [(i, c, t, ("unknown_path" if c == "path_signature" else "") if t == "string" else repr(float(fill[c]))) for i, (c, t) in enumerate(kinds.items())]
-    return State(of["encodings"], of["paths"], of["scalars"], medians, of["mean"], spark.createDataFrame(told, "place int, name string, kind string, fill string"))
+    fitted = State(of["encodings"], of["paths"], of["scalars"], medians, of["mean"], spark.createDataFrame(told, "place int, name string, kind string, fill string"))
+    return fitted, Raw(full.drop(*[f"since_last_{k}" for k in HISTORY]), list(kinds), times, True)
 
 
 def failures_of(context: DataFrame) -> DataFrame:
@@ -189,9 +206,10 @@ def failures_of(context: DataFrame) -> DataFrame:
     return context.where("Response = 1").select(end.cast("double").alias("time"), F.col("Id").alias("failure_id")).where("time is not null")
 
 
-def transform(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations(), made: Raw | None = None) -> tuple[DataFrame, dict]:
+def transform(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations(), made: Raw | None = None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
     """(Id and the contract's features, info). context: labelled rows to look back on. Without usable failures the
-    history's fitted medians stand in, and info warns, unless allow_fallback is off. made: raw() of the same rows."""
+    history's fitted medians stand in, and info warns, unless allow_fallback is off. made: raw() of the same rows, or what
+    fit_known() gave with this state. carry: columns of made's rows that go along."""
     catalog = StationCatalog.of(df.columns)
     info: dict = {"temporal_context_used": False, "temporal_fallback_used": False, "warnings": []}
     failures = None if context is None else failures_of(context)
@@ -206,21 +224,24 @@ def transform(df: DataFrame, state: State, context: DataFrame | None = None, all
         info["temporal_fallback_used"] = True
         info["warnings"].append(f"{why}: fitted medians stand in for the time since failures")
     made = made or raw(df, stations)
-    b, times = made.rows, made.times
-    full = _complete(b, {n: getattr(state, n) for n in State.NAMES}, catalog.of_kind("C"), times, failures)
+    known = made.rows if made.known else _known(made.rows, {n: getattr(state, n) for n in State.NAMES}, catalog.of_kind("C"), made.times)
+    full = _looking_back(known, failures)
     contract = state.columns()
     info["missing_features"] = [name for name, _, _ in contract if name not in full.columns]
-    return align(full, [("Id", "bigint", 0), *contract]), info
+    return align(full, [("Id", "bigint", 0), *contract], carry), info
 
 
-def prepare(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations(), made: Raw | None = None) -> tuple[DataFrame, dict]:
+def prepare(df: DataFrame, state: State, context: DataFrame | None = None, allow_fallback: bool = True, stations: Stations = Stations(), made: Raw | None = None, carry: tuple[str, ...] = (), folds: Column | None = None) -> tuple[DataFrame, dict]:
     """transform(), stored and checked: an error where a name tells the future or a feature holds nulls. Nulls are counted
-    while the table is written (`observe`), so checking reads nothing again; info has the rows."""
-    out, info = transform(df, state, context, allow_fallback, stations, made)
+    while the table is written (`observe`), so checking reads nothing again; info has the rows. folds: cv_fold of the rows,
+    which lie by it then, so that training needs no table of its own."""
+    out, info = transform(df, state, context, allow_fallback, stations, made, carry)
+    by = None if folds is None else ["cv_fold"]
+    out = out if folds is None else out.withColumn("cv_fold", folds)
     features = [n for n, _, _ in state.columns()]
     seen = Observation("features")
     counts = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(features)]
-    out = stored(out.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), "prepared")
+    out = stored(out.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), "prepared", by=by)
     told = seen.get
     info["rows"] = told["rows"]
     leaky = [c for c in out.columns if c.lower().startswith(LEAKY)]

@@ -11,7 +11,7 @@ import json
 import math
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millwatch.operators.select import Profile, numbers, plain, points
 from millwatch.sources.io import stored
 
 # what tasks run goes to executors with the tasks, which need not find this package there
@@ -100,21 +101,15 @@ class Trees:
         return cls([Tree(**t) for t in d["trees"]], d["weights"], d["features"])
 
 
-def edges(df: DataFrame, n: int) -> list[list[float]]:
-    """For each of the n features in the array _x the values between bins: quantiles of all rows, or what lies between the
-    values where they are few."""
-    x = [F.get("_x", F.lit(i)) for i in range(n)]
-    shares = [k / BINS for k in range(1, BINS)]
-    told = df.agg(*[F.percentile_approx(c, shares, 1000).alias(f"q{i}") for i, c in enumerate(x)], *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(x)]).first()
-    out = [sorted(set(told[f"q{i}"] or [])) for i in range(n)]
-    few = [i for i in range(n) if told[f"d{i}"] <= 2 * BINS]
-    if few:
-        values = df.agg(*[F.array_sort(F.collect_set(x[i])).alias(f"v{i}") for i in few]).first()
-        for i in few:
-            v = values[f"v{i}"]
-            if len(v) <= BINS:
-                out[i] = [(a + b) / 2 if math.isfinite(a + b) else a for a, b in zip(v, v[1:], strict=False)]
-    return out
+def edges(told: Profile, fill: float) -> list[float]:
+    """The values between a feature's bins: quantiles of all rows, or what lies between the values where they are few.
+    Missing values are `fill`."""
+    more = [(np.array([fill]), np.array([told.gaps]))] if told.gaps else []
+    v, n, _ = points([(told.values, told.rows), *more], sys.maxsize)
+    if told.exact and len(v) <= BINS:
+        return [(a + b) / 2 if math.isfinite(a + b) else a for a, b in zip(v.tolist(), v[1:].tolist(), strict=False)]
+    upto = np.cumsum(n)
+    return sorted({float(v[np.searchsorted(upto, math.ceil(k * int(upto[-1]) / BINS))]) for k in range(1, BINS)}) if len(v) else []
 
 
 @dataclass
@@ -125,10 +120,11 @@ class Blocks:
     edges: list[list[float]]
 
 
-def pack(df: DataFrame, n: int, target: str, by: str) -> Blocks:
-    """The rows of df, which has the array _x of n features, in blocks."""
-    points = edges(df, n)
-    bounds = [np.array(p, float) for p in points]
+def pack(df: DataFrame, features: list[str], fills: Mapping[str, float], told: list[Profile], target: str, by: str) -> Blocks:
+    """The rows of df in blocks; told: profiles() of the features, whose missing values are those of fills, or 0."""
+    n, fill = len(features), [float(fills.get(f, 0.0)) if p.gaps else 0.0 for f, p in zip(features, told, strict=True)]
+    ends = [edges(p, x) for p, x in zip(told, fill, strict=True)]
+    bounds = [np.array(p, float) for p in ends]
     kind = df.schema[by].dataType
     schema = T.StructType([T.StructField(by, kind), *[T.StructField(c, T.LongType()) for c in ("_n", "_p", "_h")], T.StructField("_y", T.BinaryType()), T.StructField("_x", T.BinaryType())])
 
@@ -151,7 +147,10 @@ def pack(df: DataFrame, n: int, target: str, by: str) -> Blocks:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             if not np.isin(label, (0, 1)).all():
                 raise ValueError(f"{target} must be 0 or 1")
-            x = np.stack([np.searchsorted(b, batch.column(2 + i).to_numpy(zero_copy_only=False)).astype(np.uint8) for i, b in enumerate(bounds)])
+            x = np.empty((n, batch.num_rows), np.uint8)
+            for i, b in enumerate(bounds):
+                v = numbers(batch.column(2 + i))
+                x[i] = np.searchsorted(b, np.where(np.isnan(v), fill[i], v))
             keys = batch.column(0).dictionary_encode(null_encoding="encode")
             codes = keys.indices.to_numpy(zero_copy_only=False)
             for code, key in enumerate(keys.dictionary.to_pylist()):
@@ -161,8 +160,8 @@ def pack(df: DataFrame, n: int, target: str, by: str) -> Blocks:
         for key in held:
             yield from out(key, 1)
 
-    rows = df.select(by, F.col(target).cast("double").alias("_y"), *[F.get("_x", F.lit(i)).alias(f"_x{i}") for i in range(n)])
-    return Blocks(stored(rows.mapInArrow(blocks, schema), "blocks", by=[by]), points)
+    rows = df.select(by, F.col(target).cast("double").alias("_y"), *plain(df, features))
+    return Blocks(stored(rows.mapInArrow(blocks, schema), "blocks", by=[by]), ends)
 
 
 def _read(batches: Iterator[pa.RecordBatch], n: int, trees: list[Tree], weights: list[float]) -> Iterator[tuple]:

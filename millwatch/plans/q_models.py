@@ -148,22 +148,23 @@ def m7(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    """Parts, the state fitted on them (saved and loaded again), their features as prepare() gives them, these with folds of
-    time chunks, and the names."""
-    p, path = stored(parts(spark, sf_dir), "parts"), _scratch(spark, "prediction")
+    """Parts, the state fitted on them (saved and loaded again), their features as prepare() gives them, with label and
+    fold, and the names. Parts and features are made once, and stored by fold."""
+    p, path = parts(spark, sf_dir), _scratch(spark, "prediction")
     made = state.raw(p, STATIONS)
-    state.fit(p, stations=STATIONS, made=made).save(f"{path}/state")
+    p = made.rows.select(*p.columns)
+    fit, known = state.fit_known(p, stations=STATIONS, made=made)
+    fit.save(f"{path}/state")
     fitted = state.State.load(spark, f"{path}/state")
-    prepared = state.prepare(p.drop("Response"), fitted, p, stations=STATIONS, made=made)
-    folded = stored(prepared[0].join(p.select("Id", "Response"), "Id").withColumn("cv_fold", F.pmod(F.xxhash64("Id"), F.lit(5))), "folded")
-    return p, path, fitted, prepared, folded, [n for n, kind, _ in fitted.columns() if kind != "string"]
+    prepared = state.prepare(p.drop("Response"), fitted, p, stations=STATIONS, made=known, carry=("Response",), folds=F.pmod(F.xxhash64("Id"), F.lit(5)))
+    return p, path, fitted, prepared, [n for n, kind, _ in fitted.columns() if kind != "string"]
 
 
 @query("m8_predictions")
 def m8(spark, sf_dir):
     """Raw rows to labels: state and five models are fitted, saved and loaded again."""
-    p, path, fitted, prepared, folded, names = _prepared(spark, sf_dir)
-    model.train_oof(folded, names)[1].save(spark, f"{path}/models")
+    p, path, fitted, prepared, names = _prepared(spark, sf_dir)
+    model.train_oof(prepared[0], names)[1].save(spark, f"{path}/models")
     return predict.predict(p.drop("Response"), fitted, model.Trained.load(spark, f"{path}/models"), p, stations=STATIONS, prepared=prepared)[0]
 
 
@@ -171,9 +172,9 @@ def m8(spark, sf_dir):
 def m9_trained(spark, sf_dir):
     """Raw rows to labels in two stages, both trained: the second on runs of duplicates, from the first's out-of-fold
     scores."""
-    p, _, fitted, prepared, folded, names = _prepared(spark, sf_dir)
-    oof, first = model.train_oof(folded, names)
-    _, second = predict.train_second(folded.drop("Response", "cv_fold"), stored(oof, "oof"))
+    p, _, fitted, prepared, names = _prepared(spark, sf_dir)
+    oof, first = model.train_oof(prepared[0], names)
+    _, second = predict.train_second(prepared[0], stored(oof, "oof"))
     return predict.predict_two_stage(p.drop("Response"), fitted, first, second, p, stations=STATIONS, prepared=prepared)[0]
 
 
@@ -200,10 +201,12 @@ _MED = lambda c: f"(SELECT coalesce(median({c}), 0) FROM starts0)"
   FROM starts s JOIN signed q ON s."Id" = q."Id" JOIN pr ON q.path_signature = pr.path_signature JOIN parts p ON p."Id" = s."Id" LEFT JOIN enc ON p."L0_S1_C1" = enc.v ASOF LEFT JOIN f ON s.end_time > f.ft JOIN same ON s.start_time = same.start_time JOIN r ON r."Id" = s."Id", g, m1""")
 def m10(spark, sf_dir):
     """Some of the columns that the fitted state gives the rows it was fitted on, looking back on them."""
-    p, path = stored(parts(spark, sf_dir), "parts"), _scratch(spark, "state")
+    p, path = parts(spark, sf_dir), _scratch(spark, "state")
     made = state.raw(p, STATIONS)
-    state.fit(p, stations=STATIONS, made=made).save(path)
-    d = state.transform(p.drop("Response"), state.State.load(spark, path), p, stations=STATIONS, made=made)[0]
+    p = made.rows.select(*p.columns)
+    fit, known = state.fit_known(p, stations=STATIONS, made=made)
+    fit.save(path)
+    d = state.transform(p.drop("Response"), state.State.load(spark, path), p, stations=STATIONS, made=known)[0]
     rounded = ["start_time", "end_time", "duration", "path_failure_rate", "L0_S1_C1_target_enc", "since_last_1"]
     return d.select("Id", "path_signature", "path_count", "records_same", F.col("records_before_25").cast("bigint").alias("records_before_25"), F.col("records_after_240").cast("bigint").alias("records_after_240"), *[F.round(c, 6).alias(c) for c in rounded])
 

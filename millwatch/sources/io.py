@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -140,6 +141,15 @@ def update_summary(new: DataFrame, path: str, key: str) -> DataFrame:
     return spark.read.parquet(last_version(spark, path))
 
 
+#: Stored tables that lie in folders by columns, and these.
+_BY: WeakKeyDictionary[DataFrame, list[str]] = WeakKeyDictionary()
+
+
+def stored_by(df: DataFrame) -> list[str] | None:
+    """The columns by which df, a table that stored() gave, lies in folders."""
+    return _BY.get(df)
+
+
 def stored(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
     """df written as Parquet below spark.checkpoint.dir, in a folder for the application (which may be removed when that
     has ended), and read again: later steps neither repeat its work nor carry its plan. Where the setting is unset, a
@@ -153,4 +163,8 @@ def stored(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataF
         base = tempfile.gettempdir()
     path = f"{base.rstrip('/')}/millwatch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns]) if by else spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if by:
+        out = out.select(*[F.col(f"`{c}`") for c in df.columns])
+        _BY[out] = by
+    return out
